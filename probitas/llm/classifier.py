@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards:
     n = known.count()
     if n > max_rows:  # the rows of least hash, about max_rows
         known = known.filter(F.col("r") < int(-(1 << 63) + (1 << 64) * (max_rows / n)))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "y", "r", F.pmod(F.hash("r"), F.lit(shards)).alias("shard"))
+    # the ids are bounded by max_rows, so texts stay where they are read and only sampled ones move
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "r", F.pmod(F.hash("r"), F.lit(shards)).alias("shard"))
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(t=pdf["text"].fillna("")).sort_values(["r", "t"])
