@@ -69,8 +69,7 @@ def near_pairs(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFram
     radius, bounds = distance // segments, [64 * i // segments for i in range(segments + 1)]
     parts, balls = [], []
     for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        mask = F.lit((1 << (hi - lo)) - 1).cast("long")
-        value = F.shiftrightunsigned("fp", lo).bitwiseAND(mask) if hi - lo < 64 else F.col("fp")
+        value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) if hi - lo < 64 else F.col("fp")
         flips = [sum(1 << x for x in c) for r in range(radius + 1) for c in combinations(range(hi - lo), r)]
         flips = [x - (1 << 64) if x >> 63 else x for x in flips]
         parts.append(F.struct(F.lit(i).alias("seg"), value.alias("v")))

@@ -67,7 +67,7 @@ class _Encoder:
         cut = {}
         for w in new:
             core = w.rstrip(_SIGNS)
-            if core and len(core) < len(w) and core[-1].isalpha() and "<|" not in w:
+            if core and len(core) < len(w) and core[-1].lower().isalpha() and "<|" not in w:
                 cut[w] = (core, w[len(core) :])
         need = {p for pair in cut.values() for p in pair} | (new - cut.keys())
         self._encode([p for p in need if p not in self.known])
