@@ -66,6 +66,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     core, shape = v >> np.uint64(32), v & np.uint64(0xFFFFFFFF)
     odd = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
     grams = [core * odd[0], shape * odd[1], core[:-1] * odd[2] + core[1:] * odd[0], shape[:-1] * odd[3] + shape[1:] * odd[1]]
+    grams.append(np.full(int((core[:-1] == core[1:]).sum()), odd[0] + odd[1]))  # any word after itself
     h = np.concatenate(grams) * np.uint64(0x9E3779B97F4A7C15)
     return np.maximum((h >> np.uint64(64 - bits)).astype(np.int64), 1)
 
@@ -79,8 +80,9 @@ def score(text: str | None, weights: np.ndarray) -> float:
     return _logistic(weights[0] + (weights[i].sum() / np.sqrt(len(i)) if len(i) else 0.0))
 
 
-def train_ftrl(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, bits: int = BITS) -> np.ndarray:
-    """Weights by FTRL-proximal over the rows in the given order, epochs times."""
+def train_ftrl(rows: list[tuple[str | None, int]], prior: float = 0.0, epochs: int = EPOCHS, bits: int = BITS) -> np.ndarray:
+    """Weights by FTRL-proximal over the rows in the given order, epochs times; prior: log odds that
+    every score begins with."""
     z, n, w = (np.zeros(1 << bits) for _ in range(3))
     seen = []
     for text, y in rows:
@@ -91,7 +93,7 @@ def train_ftrl(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, bits: i
         for i, x, y in seen:
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) <= L1 * (i > 0), 0.0, -(zi - np.sign(zi) * L1 * (i > 0)) / ((BETA + np.sqrt(ni)) / ALPHA + L2 * (i > 0)))
-            g = (_logistic(float(wi @ x)) - y) * x
+            g = (_logistic(prior + float(wi @ x)) - y) * x
             s = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
             z[i] = zi + g - s * wi
             n[i] = ni + g * g
@@ -111,14 +113,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards:
     # the ids are bounded by max_rows, so texts stay where they are read and only sampled ones move
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "r", F.pmod(F.hash("r"), F.lit(shards)).alias("shard"))
 
+    good, all_ = known.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    prior = float(np.log((good + 1) / (all_ - good + 1)))  # a text of few words stays near the share of good ones
+
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(t=pdf["text"].fillna("")).sort_values(["r", "t"])
-        w = train_ftrl(list(zip(pdf["t"], pdf["y"], strict=True)))
+        w = train_ftrl(list(zip(pdf["t"], pdf["y"], strict=True)), prior)
         return pd.DataFrame({"n": [len(pdf)], "w": [w.astype("<f4").tobytes()]})
 
     parts = rows.groupBy("shard").applyInPandas(learn, "n long, w binary").collect()  # `shards` rows
     total = sum(p.n for p in parts)
-    return sum((np.frombuffer(p.w, dtype="<f4").astype(np.float64) * (p.n / total) for p in parts), np.zeros(1 << BITS))
+    w = sum((np.frombuffer(p.w, dtype="<f4").astype(np.float64) * (p.n / total) for p in parts), np.zeros(1 << BITS))
+    w[0] += prior
+    return w
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
