@@ -29,7 +29,7 @@ from probitas.llm.common import id_remainder, table
 
 BITS, SHARDS, MAX_ROWS, EPOCHS, THRESHOLD = 18, 8, 1 << 16, 3, 0.7
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.1, 1.0
-_KEEP = 1 << 19
+_KEEP = 1 << 18
 _RUN = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
 
 

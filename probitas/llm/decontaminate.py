@@ -40,7 +40,7 @@ MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 6, 7))
 WINDOW, MAX_SUBSTITUTIONS, MIN_TOKENS = 16, 3, 8
 _PIECE = 4096
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-_KEEP = 1 << 19
+_KEEP = 1 << 18
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
