@@ -24,6 +24,39 @@ IDENTIFIERS = {
     "epfo_code": r"\b([A-Z]{2}\s*/\s*[A-Z0-9]{3,7}\s*/\s*[0-9]{5,7}(?:\s*/\s*[0-9]{3})?)\b",
     "pan": r"\b([A-Z]{5}[0-9]{4}[A-Z]{1})\b",
 }
+# Pages that ask for something, are blocked, or found nothing; the first that fits counts.
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+CAPTCHA_TITLES = ("captcha", "robot verification", "verify you are human", "attention required", "security check")
+CAPTCHA = (
+    "recaptcha", "hcaptcha", "g-recaptcha", "bot verification", "verify you are human", "robot check", "prove you're not a robot", "please solve the captcha", "solve the captcha", "security check to proceed", "complete the captcha",
+    "cf-browser-verification", "cf-im-under-attack", "distribute captcha", "enter captcha", "captcha code", "captcha image", "name='captcha'", 'name="captcha"', "id='captcha'", 'id="captcha"',
+)
+OTP = (
+    r"enter\s+(?:the\s+)?(?:[0-9]-digit\s+)?otp", r"please\s+enter\s+(?:the\s+)?otp", r"enter\s+(?:the\s+)?one-time\s+password", r"enter\s+(?:the\s+)?one\s+time\s+password", r"verification\s+code\s+sent\s+to\s+your",
+    r"enter\s+verification\s+code\s+sent", r"two-factor\s+authentication\s+required", r"two-factor\s+authentication\s+code", r"""<input[^>]+name=['"](?:otp|otp_code|verification_code)['"]""",
+)
+LOGIN = ("login required", "please log in", "please sign in", "sign in to your account", "authentication required", "member login", "sign in to proceed", "log in to continue", "sign in to continue")
+BLOCKED = (
+    "access denied", "403 forbidden", "403 error", "404 not found", "404 error", "page not found", "401 unauthorized", "503 service unavailable", "502 bad gateway", "500 internal server error", "attention required! | cloudflare",
+    "cf-browser-verification", "error code 1020", "requested url was rejected", "security check to proceed", "duckduckgo privacy error", "anonymized error code", "protection. privacy. peace of mind",
+)
+BLOCKED_TITLES = ("access denied", "forbidden", "attention required", "error", "unauthorized", "404", "not found", "page not found", "duckduckgo", "bing search", "google search", "yahoo search")
+NO_RESULTS = ("no results found", "0 results", "no records found", "no data found", "record not found", "invalid gstin", "invalid cin", "invalid format")
+# Words of a status, in the order in which a line is searched for them.
+STATUSES = (
+    ("ACTIVE", ("active",)), ("INACTIVE", ("inactive",)), ("CANCELLED", ("cancelled", "canceled")), ("SUSPENDED", ("suspended",)), ("STRIKE OFF", ("strike off", "struck off", "strikeoff")), ("AMALGAMATED", ("amalgamated",)),
+    ("UNDER LIQUIDATION", ("under liquidation", "in liquidation")), ("DORMANT", ("dormant",)), ("DISSOLVED", ("dissolved",)),
+)
+STATUS_WORDS = ("active", "inactive", "cancelled", "suspended", "allocated", "struck off")
+FOUNDED = ("incorporated", "incorporation", "established", "founded", "estd")
+YEAR, DAY = r"\b(19\d{2}|20\d{2})\b", r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b|\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b"
+# Fields in which a task may find its own target, and shapes that belong in few fields.
+OWN_TARGET = {
+    "ENTITY_DISCOVERY": ("candidate_entities",), "GST_VERIFICATION": ("gstin",), "MCA_VERIFICATION": ("cin",), "EPFO_VERIFICATION": ("epfo_code",),
+    "WEBSITE_VERIFICATION": ("website", "website_url", "domain", "candidate_domain", "page_title", "title"),
+    "GENERAL_WEB_RESEARCH": ("company_name", "business_name", "legal_name"), "THIRD_PARTY_RESEARCH": ("company_name", "business_name", "legal_name"),
+}
+ANY_SHAPE = ("candidate_entities", "source_text", "page_text", "content")
 MARKUP = ((r"(?is)<script[^>]*>.*?</script>", " "), (r"(?is)<style[^>]*>.*?</style>", " "), (r"(?i)<(?:/div|/p|/h[1-6]|/tr|/li|br\s*/?|/td|/section|/article)>", "\n"), (r"<[^>]+>", " "))
 LINK = r"""(?i)href=["']([^"']+)["']"""
 
@@ -36,13 +69,16 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
+def plain_text(html: Column) -> Column:
+    plain = reduce(lambda v, p: F.regexp_replace(v, p[0], p[1]), MARKUP, F.coalesce(html, F.lit("")))
+    return F.array_join(F.filter(F.transform(F.split(plain, "\n"), clean), lambda x: x != ""), "\n")
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """pages (page_id, html) to (page_id, title, text): markup out, one line a block, no empty lines."""
     html = F.coalesce("html", F.lit(""))
     title = F.when(html.rlike(r"(?is)<title[^>]*>.*?</title>"), neutralize(clean(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))))
-    plain = reduce(lambda v, p: F.regexp_replace(v, p[0], p[1]), MARKUP, html)
-    lines = F.filter(F.transform(F.split(plain, "\n"), clean), lambda x: x != "")
-    return pages.select("page_id", title.alias("title"), neutralize(F.array_join(lines, "\n")).alias("text"))
+    return pages.select("page_id", title.alias("title"), neutralize(plain_text(html)).alias("text"))
 
 
 def identifiers(texts: DataFrame) -> DataFrame:
@@ -54,3 +90,98 @@ def link_table(pages: DataFrame) -> DataFrame:
     """(page_id, pos, link): targets of a page's links, each once, in order."""
     links = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
     return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
+
+
+def _holds(c: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, (c.contains(w) for w in words))
+
+
+def _fits(c: Column, patterns) -> Column:
+    return reduce(lambda a, b: a | b, (c.rlike(p) for p in patterns))
+
+
+def challenge(html: Column) -> Column:
+    """CAPTCHA, OTP or LOGIN_REQUIRED, the first that a page asks for; else null."""
+    low = F.lower(html)
+    captcha = _holds(F.lower(F.regexp_extract(html, TITLE, 1)), CAPTCHA_TITLES) | _holds(low, CAPTCHA)
+    return F.when(captcha, "CAPTCHA").when(_fits(low, OTP), "OTP").when(_fits(low, [rf"\b{w}\b" for w in LOGIN]), "LOGIN_REQUIRED")
+
+
+def fetch_failure(html: Column, text: Column) -> Column:
+    """EMPTY_RESPONSE, BLOCKED_OR_ERROR or NO_RESULTS for a page that can't be used whatever was
+    looked for; else null."""
+    low, title = F.lower(html), F.lower(F.regexp_extract(html, TITLE, 1))
+    return (
+        F.when(F.trim(F.regexp_replace(F.coalesce(html, F.lit("")), r"\s+", " ")) == "", "EMPTY_RESPONSE")
+        .when(challenge(html).isNotNull() | _holds(low, BLOCKED) | _holds(title, BLOCKED_TITLES), "BLOCKED_OR_ERROR")
+        .when(_holds(low, NO_RESULTS), "NO_RESULTS")
+        .when(F.coalesce(text, F.lit("")) == "", "EMPTY_RESPONSE")
+    )
+
+
+def page_challenge(pages: DataFrame) -> DataFrame:
+    """(page_id, challenge, failure) of each page."""
+    return pages.select("page_id", challenge(F.col("html")).alias("challenge"), fetch_failure(F.col("html"), plain_text(F.col("html"))).alias("failure"))
+
+
+def _first_line(lines: Column, found) -> Column:
+    """The first value that found gives for a line, NOT_FOUND if none does."""
+    return F.coalesce(F.get(F.array_compact(F.transform(lines, found)), F.lit(0)), F.lit("NOT_FOUND"))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def _word_of(low: Column, words, name=F.upper) -> Column:
+    return F.coalesce(*(F.when(low.contains(w), name(F.lit(w))) for w in words))
+
+
+def strict_status(text: Column) -> Column:
+    """The status named, in whole words, by the first line that speaks of a status and names one."""
+    named = lambda low: F.coalesce(*(F.when(_fits(low, [rf"\b{w}\b" for w in words]), s) for s, words in STATUSES))
+    return _first_line(_lines(text), lambda x: F.when(F.lower(x).contains("status"), named(F.lower(x))))
+
+
+def company_status(text: Column) -> Column:
+    """A status word of the first line that speaks of a status and has one, else of the first line that has one."""
+    spoken = _first_line(_lines(text), lambda x: F.when(F.lower(x).contains("status"), _word_of(F.lower(x), STATUS_WORDS)))
+    return F.when(spoken != "NOT_FOUND", spoken).otherwise(_first_line(_lines(text), lambda x: _word_of(F.lower(x), STATUS_WORDS)))
+
+
+def gst_status(text: Column) -> Column:
+    """AVAILABLE if the first line on GST with a status word says active, or, where no line has one,
+    any line on GST does; else UNAVAILABLE. As active is looked for first, inactive counts as it."""
+
+    def said(x: Column) -> Column:
+        low = F.lower(x)
+        other = _holds(low, ("company status", "mca status", "director status"))
+        ask = _holds(low, ("status", "active", "suspended", "cancelled", "inactive")) & low.contains("gst") & ~other
+        return F.when(ask & low.contains("active"), "AVAILABLE").when(ask & _holds(low, STATUS_WORDS), "UNAVAILABLE")
+
+    first = _first_line(_lines(text), said)
+    loose = F.exists(_lines(text), lambda x: F.lower(x).contains("gst") & F.lower(x).contains("active"))
+    return F.when(first != "NOT_FOUND", first).when(loose, "AVAILABLE").otherwise("UNAVAILABLE")
+
+
+def founding_date(text: Column) -> Column:
+    """The year, else the date, in the first line on the founding that has either."""
+    some = lambda x, p, g: F.nullif(F.regexp_extract(x, p, g), F.lit(""))
+    return _first_line(_lines(text), lambda x: F.when(_holds(F.lower(x), FOUNDED), F.coalesce(some(x, YEAR, 1), some(x, DAY, 0))))
+
+
+def page_facts(texts: DataFrame) -> DataFrame:
+    """(page_id, strict_status, company_status, gst_status, founded) from (page_id, text)."""
+    t = F.col("text")
+    return texts.select("page_id", strict_status(t).alias("strict_status"), company_status(t).alias("company_status"), gst_status(t).alias("gst_status"), founding_date(t).alias("founded"))
+
+
+def guard_leaks(d: DataFrame) -> DataFrame:
+    """d (task_type, target, field_name, field_value) with NOT_FOUND for a value that only repeats the
+    task's target, or is shaped like a GSTIN or CIN, in a field that may not hold it."""
+    field, value = F.col("field_name"), F.col("field_value")
+    own = reduce(lambda a, b: a | b, ((F.col("task_type") == t) & field.isin(*f) for t, f in OWN_TARGET.items()))
+    echo = (F.lower(F.trim(value)) == F.lower(F.trim("target"))) & ~F.coalesce(own, F.lit(False))
+    upper = F.upper(F.trim(value))
+    shaped = lambda k: upper.rlike("^" + IDENTIFIERS[k].removeprefix(r"\b").removesuffix(r"\b") + "$") & ~field.isin(k, *ANY_SHAPE)
+    return d.withColumn("field_value", F.when(echo | shaped("gstin") | shaped("cin"), "NOT_FOUND").otherwise(value))

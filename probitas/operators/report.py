@@ -168,3 +168,35 @@ def build_reports(investigations: DataFrame, scores: DataFrame, signals: DataFra
 
 def export_report_json(reports: DataFrame) -> DataFrame:
     return reports.select("investigation_id", F.to_json(F.struct(*[c for c in reports.columns])).alias("document"))
+
+
+def export_report_sections(entities: DataFrame, scores: DataFrame, categories: DataFrame, findings: DataFrame, ev: DataFrame) -> DataFrame:
+    """(investigation_id, section_no, line_no, cells): entity, risk summary, category scores, findings by
+    code and evidence by ev_seq, of each investigation in scores; line 0 of the last three is their
+    header. Missing identifiers are N/A, a missing score 0 and a missing level UNKNOWN."""
+    own = scores.select("investigation_id")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    def lines(d: DataFrame, section: int, rows: list) -> DataFrame:
+        cells = F.array(*(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in r)) for r in rows))
+        return d.select("investigation_id", F.lit(section).alias("section_no"), F.posexplode(cells).alias("line_no", "cells"))
+
+    def table(d: DataFrame, section: int, header: tuple, order: str, cells: list) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy("investigation_id").orderBy(order))
+        body = d.join(own, "investigation_id", "left_semi").select("investigation_id", F.lit(section).alias("section_no"), number.alias("line_no"), F.array(*cells).alias("cells"))
+        return lines(own, section, [header]).union(body)
+
+    known = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("N/A"))
+    entity = own.join(entities, "investigation_id", "left")
+    names = (("Business Name", "business_name"), ("GSTIN", "gstin"), ("CIN", "cin"), ("Website", "website"))
+    summary = [("Overall Risk Score", F.coalesce("score", F.lit(0)).cast("string")), ("Overall Risk Level", F.coalesce("level", F.lit("UNKNOWN"))), ("Recommendation", recommendation(F.col("score")))]
+    kinds = [c for c in categories.columns if c != "investigation_id"]
+    scored = own.join(categories, "investigation_id", "left").fillna(0, kinds)
+    parts = (
+        lines(entity, 1, [(label, known(c)) for label, c in names]),
+        lines(scores, 2, summary),
+        lines(scored, 3, [("Category", "Score"), *((c, text(c)) for c in kinds)]),
+        table(findings, 4, ("Code", "Category", "Severity", "Confidence", "Risk Weight", "Evidence IDs"), "code", [text("code"), text("category"), text("severity"), text("confidence"), text("risk_weight"), F.array_join("evidence_ids", ", ")]),
+        table(ev, 5, ("Evidence ID", "Task ID", "Field Name", "Source Name", "Confidence"), "ev_seq", [text("research_result_id"), text("task_id"), text("field_name"), text("source_name"), text("confidence")]),
+    )
+    return reduce(DataFrame.union, parts)

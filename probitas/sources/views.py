@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE = {"investigations": ["orders"], "evidence": ["lineitem"], "targets": ["supplier", "nation", "part"], "candidates": ["customer", "nation", "part"], "attempts": ["events"], "audit_events": ["events"]}
+BASE = {"investigations": ["orders"], "evidence": ["lineitem"], "targets": ["supplier", "nation", "part"], "candidates": ["customer", "nation", "part"], "attempts": ["events"], "audit_events": ["events"], "intake": ["orders"], "research_tasks": ["lineitem"]}
 
 VIEWS = {
     "investigations": """SELECT o_orderkey AS investigation_id, 'user-' || CAST(o_custkey % 50 AS STRING) AS user_id,
@@ -41,6 +41,14 @@ VIEWS = {
     "attempts": """SELECT event_id AS attempt_id, user_id AS investigation_id,
   CASE event_id % 6 WHEN 0 THEN 'gst.gov.in' WHEN 1 THEN 'mca.gov.in' WHEN 2 THEN 'epfindia.gov.in' WHEN 3 THEN 'company_website' WHEN 4 THEN 'zaubacorp.com' ELSE 'generic_web' END AS domain,
   CASE event_type WHEN 'click' THEN 'SUCCESS' WHEN 'view' THEN 'NO_DATA' WHEN 'signup' THEN 'REJECTED' WHEN 'purchase' THEN 'BLOCKED_OR_ERROR' ELSE 'ERROR' END AS status, ts AS started_at FROM {t}events""",
+    "intake": """SELECT o_orderkey AS investigation_id, CASE WHEN o_custkey % 5 <> 0 THEN 'Firm ' || CAST(o_custkey AS STRING) || ' Limited' WHEN o_custkey % 10 = 0 THEN '' END AS business_name,
+  CASE WHEN o_custkey % 4 = 0 THEN '27ABCDE' || lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') || 'F1Z5' END AS gstin, CASE WHEN o_custkey % 3 = 0 THEN 'U12345MH2001PTC' || lpad(CAST(o_custkey % 1000000 AS STRING), 6, '0') END AS cin,
+  CASE WHEN o_custkey % 7 = 0 THEN 'MH/BAN/' || lpad(CAST(o_custkey % 100000 AS STRING), 5, '0') END AS epfo_code, CASE WHEN o_custkey % 6 = 0 THEN 'firm' || CAST(o_custkey AS STRING) || '.com' END AS website,
+  CASE WHEN o_custkey % 8 <> 0 THEN 'Pune' END AS location FROM {t}orders""",
+    "research_tasks": """SELECT l_orderkey AS investigation_id, 'TASK-' || lpad(CAST(l_linenumber AS STRING), 3, '0') AS task_id,
+  CASE l_partkey % 3 WHEN 0 THEN 'GST_VERIFICATION' WHEN 1 THEN 'mca_verification ' ELSE 'MCA_VERIFICATION' END AS task_type, CASE l_suppkey % 3 WHEN 0 THEN ' Firm ' WHEN 1 THEN 'FIRM' ELSE 'Firm Two' END AS target,
+  'Verify it' AS objective, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'COMPLETED' WHEN 'RF' THEN 'FAILED' WHEN 'NF' THEN 'STARTED' ELSE 'PENDING' END AS status, l_shipdate AS changed_at,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS seq FROM {t}lineitem""",
     "audit_events": """SELECT event_id, user_id AS investigation_id,
   CASE event_id % 5 WHEN 0 THEN 'intake' WHEN 1 THEN 'planner' WHEN 2 THEN 'browser_research' WHEN 3 THEN 'risk_analysis' ELSE 'qa' END AS node,
   CASE WHEN event_type = 'error' THEN 'NODE_FAILED' WHEN event_type = 'view' THEN 'NODE_STARTED' ELSE 'NODE_COMPLETED' END AS event_type, ts AS created_at FROM {t}events""",

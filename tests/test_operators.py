@@ -12,9 +12,11 @@ from probitas.operators import evidence as E
 from probitas.operators import linkage as L
 from probitas.operators import listing as I
 from probitas.operators import pages as P
+from probitas.operators import planning as N
 from probitas.operators import qa as Q
 from probitas.operators import report as R
 from probitas.operators import risk as K
+from probitas.sources import catalog as C
 
 EV = "investigation_id long, research_result_id string, task_id string, field_name string, field_value string, source_name string, confidence double, verification_status string, retrieved_at timestamp, ev_seq long"
 
@@ -207,3 +209,114 @@ def test_entry_and_sql_keys(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["investigation_id", "score", "level", "insufficient_evidence", "n_signals"]
+
+
+def test_identifiers_in_order_of_results(spark):
+    listed = '[{"name": "Low", "cin": "C1", "confidence": 0.2}, {"name": "", "gstin": "G9", "confidence": 0.9}]'
+    g = ("s", 0.9, None)
+    rows = N.discovered_identifiers(ev(spark, (1, "a", "gstin", " not_found ", *g), (1, "b", "candidate_entities", listed, *g), (1, "c", "gstin", "G1", *g), (1, "d", "website", " x.in ", *g), (2, "e", "candidate_entities", "not json", *g), (2, "f", "tax_id", "  ", *g))).collect()
+    got = {r.investigation_id: r for r in rows}
+    assert (got[1].gstin, got[1].cin, got[1].website, got[1].name) == ("G9", "C1", "x.in", "Low")
+    assert (got[2].gstin, got[2].name) == (None, None)
+
+
+INTAKE = "investigation_id long, business_name string, gstin string, cin string, epfo_code string, website string, location string"
+EXISTING = "investigation_id long, task_type string, target string, preferred_sources array<string>"
+
+
+def test_plan_tasks(spark):
+    intake = spark.createDataFrame([(1, "Alpha", "", None, None, None, "Pune"), (2, None, None, "C2", None, None, None), (3, "", None, None, None, None, "Pune"), (4, "Beta", "G4", None, None, "b.in", None)], INTAKE)
+    old = spark.createDataFrame([(1, "THIRD_PARTY_RESEARCH", " ALPHA ", ["tofler.in"]), (4, "GST_VERIFICATION", "g4", ["gst.gov.in"]), (4, "MCA_VERIFICATION", "other", None)], EXISTING)
+    rows = N.plan_tasks(intake, ev(spark), old, C.source_catalog(spark)).orderBy("investigation_id", "task_id").collect()
+    of = lambda k: [r for r in rows if r.investigation_id == k]
+    assert [r.task_id for r in of(1)] == [f"TASK-{k:03d}" for k in range(2, 11)]
+    assert [r.preferred[0] for r in of(1) if r.task_type == "THIRD_PARTY_RESEARCH"] == ["falconebiz.com", "instafinancials.com", "quickcompany.in", "zaubacorp.com"]
+    assert (of(1)[-1].task_type, of(1)[-1].target) == ("ENTITY_DISCOVERY", "Alpha in Pune")
+    assert [(r.task_type, r.target) for r in of(2)] == [("MCA_VERIFICATION", "C2")]
+    assert of(3) == []
+    assert of(4)[0].task_id == "TASK-003" and "GST_VERIFICATION" not in {r.task_type for r in of(4)} and of(4)[-1].task_type == "GENERAL_WEB_RESEARCH"
+
+
+def test_sources(spark):
+    tasks = spark.createDataFrame([("MCA_VERIFICATION",), ("NONE",)], "task_type string")
+    got = {r.task_type: (r.preferred, r.fallback) for r in N.route_sources(tasks, C.source_catalog(spark)).collect()}
+    assert got == {"MCA_VERIFICATION": (["mca.gov.in"], ["instafinancials.com", "quickcompany.in", "tofler.in", "zaubacorp.com", "third_party"]), "NONE": ([], [])}
+    kind = "name string, source_type string, authority_tier int, enabled boolean"
+    registry = spark.createDataFrame([("a", "X", 1, True), ("b", "X", 2, True)], kind)
+    changes = spark.createDataFrame([("a", "X", None, False), ("a", "Y", 3, None)], kind)
+    assert sorted(map(tuple, C.upsert_source(registry, changes).collect())) == [("a", "X", 1, False), ("a", "Y", 3, True), ("b", "X", 2, True)]
+    assert sorted(r.source_type for r in C.register_missing(registry, changes).filter("name = 'a'").collect()) == ["X", "Y"]
+
+
+def test_candidates(spark):
+    intake = spark.createDataFrame([(1, "Alpha", None, None, None, "a.in", "Pune"), (2, "Alpha", None, None, None, None, "Pune"), (3, None, "G", None, None, None, None), (4, "", "", "", "", "", ""), (5, None, None, None, "E", None, "Pune"), (6, "A", None, None, None, None, None)], INTAKE)
+    seeds = N.seed_candidates(intake)
+    assert {r.investigation_id: r.confidence for r in seeds.collect()} == {1: 0.8, 2: 0.7, 3: 0.95, 5: 0.3, 6: 0.5}
+    extra = spark.createDataFrame([(1, 2, "Beta ", "G2", None, 0.4), (1, 1, " beta", "G1", None, 1.5), (1, 3, "ALPHA", None, None, 0.9), (1, 4, " ", None, None, 0.9), (3, 1, "Gamma", None, None, -1.0), (4, 1, "Delta", None, None, 0.5)], "investigation_id long, pos int, name string, gstin string, cin string, confidence double")
+    rows = N.merge_candidates(seeds, extra).filter("source = 'proposal'").collect()
+    assert sorted((r.investigation_id, r.name, r.gstin, r.confidence) for r in rows) == [(1, "beta", "G1", 0.9), (3, "Gamma", None, 0.0)]
+
+
+def test_budgets(spark):
+    rows = [(1, k, 1) for k in range(17)] + [(2, 0, 20), (2, 1, 1)]
+    got = N.admit(spark.createDataFrame(rows, "investigation_id long, k int, actions int"), "k").filter("reason is not null").collect()
+    assert sorted((r.investigation_id, r.k, r.reason) for r in got) == [(1, 15, N.TASKS_REASON), (1, 16, N.TASKS_REASON), (2, 1, N.ACTIONS_REASON)]
+
+
+def test_tasks_merge_and_take_their_status(spark):
+    t = dt.datetime(2024, 1, 1)
+    store = spark.createDataFrame([(1, "T1", "GST", "Alpha", "x", "COMPLETED", 2, t, t), (1, "T2", "MCA", "Alpha", "x", "PENDING", 0, None, None), (2, "T1", "GST", "Alpha", "x", "STARTED", 0, t, None)], "investigation_id long, task_id string, task_type string, target string, objective string, status string, retry_count int, started_at timestamp, completed_at timestamp")
+    batch = spark.createDataFrame([(1, "T7", " gst ", "ALPHA", "X", "FAILED", 1), (1, "T8", "GST", "alpha", "x", None, 2), (1, "T9", "MCA", "alpha ", "x", "PENDING", 3), (3, "T1", "Gst", " New", "x", "", 4)], "investigation_id long, task_id string, task_type string, target string, objective string, status string, seq int")
+    got = {(r.investigation_id, r.task_id): (r.target, r.status, r.retry_count, r.started_at) for r in N.upsert_tasks(store, batch).collect()}
+    assert got == {(1, "T8"): ("Alpha", "PENDING", 4, None), (1, "T9"): ("Alpha", "PENDING", 0, None), (2, "T1"): ("Alpha", "STARTED", 0, t), (3, "T1"): (" New", "PENDING", 0, None)}
+    later = dt.datetime(2024, 1, 2)
+    changes = spark.createDataFrame([(1, "T2", 1, later, "STARTED", None, None), (1, "T2", 2, later, "FAILED", "boom", "no"), (9, "T2", 1, later, "STARTED", None, None)], "investigation_id long, task_id string, seq int, changed_at timestamp, status string, error string, result string")
+    r = N.apply_task_status(store, changes).filter("task_id = 'T2'").first()
+    assert (r.status, r.started_at, r.completed_at, r.error_info, r.result_info) == ("FAILED", later, later, "boom", None)
+    assert N.apply_task_status(store, changes).count() == 3
+
+
+PAGES = [
+    ("<title>Attention Required!</title><p>x</p>", "CAPTCHA", "BLOCKED_OR_ERROR"),
+    ("<p>Please enter the OTP, solved a recaptcha</p>", "CAPTCHA", "BLOCKED_OR_ERROR"),
+    ("<p>Enter the 6-digit OTP. Login required</p>", "OTP", "BLOCKED_OR_ERROR"),
+    ("<p>Please log in to go on</p>", "LOGIN_REQUIRED", "BLOCKED_OR_ERROR"),
+    ("<p>Please log into it</p>", None, None),
+    ("<title>404</title><p>x</p>", None, "BLOCKED_OR_ERROR"),
+    ("<p>No records found</p>", None, "NO_RESULTS"),
+    ("<p> </p>", None, "EMPTY_RESPONSE"),
+    ("", None, "EMPTY_RESPONSE"),
+    (None, None, "EMPTY_RESPONSE"),
+]
+
+
+def test_page_checks(spark):
+    d = spark.createDataFrame([(k, h) for k, (h, _, _) in enumerate(PAGES)], "page_id int, html string")
+    assert [(r.challenge, r.failure) for r in P.page_challenge(d).orderBy("page_id").collect()] == [(c, f) for _, c, f in PAGES]
+
+
+def test_page_facts(spark):
+    texts = ["Director active\nCompany status: Struck Off\nfounded long ago\nIncorporated on 03/01/94", "Status: radioactive\nGST status: Inactive", "GSTIN cancelled\nEstd 1994, incorporated 2001", "GST portal\nnothing", None]
+    rows = P.page_facts(spark.createDataFrame(list(enumerate(texts)), "page_id int, text string")).orderBy("page_id").collect()
+    assert [(r.strict_status, r.company_status, r.gst_status, r.founded) for r in rows] == [
+        ("STRIKE OFF", "STRUCK OFF", "UNAVAILABLE", "03/01/94"), ("INACTIVE", "ACTIVE", "AVAILABLE", "NOT_FOUND"), ("NOT_FOUND", "CANCELLED", "UNAVAILABLE", "1994"), ("NOT_FOUND", "NOT_FOUND", "UNAVAILABLE", "NOT_FOUND"), ("NOT_FOUND", "NOT_FOUND", "UNAVAILABLE", "NOT_FOUND"),
+    ]
+
+
+def test_leaks(spark):
+    g = "27ABCDE1234F1Z5"
+    rows = [("GST_VERIFICATION", g, "gstin", g), ("GST_VERIFICATION", g, "legal_name", g.lower()), ("MCA_VERIFICATION", "Alpha", "legal_name", " alpha"), ("THIRD_PARTY_RESEARCH", "Alpha", "legal_name", "ALPHA"), ("MCA_VERIFICATION", "x", "page_text", g), ("MCA_VERIFICATION", "x", "cin", None)]
+    got = P.guard_leaks(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, task_type string, target string, field_name string, field_value string")).orderBy("k").collect()
+    assert [r.field_value for r in got] == [g, "NOT_FOUND", "NOT_FOUND", "ALPHA", g, None]
+
+
+def test_sections_of_an_export(spark):
+    intake = spark.createDataFrame([(1, "Alpha", "", None, None, None, None)], INTAKE)
+    e = ev(spark, (1, "a", "gst_status", "Inactive", "GST Portal", 0.9, "VERIFIED"), (2, "b", "gstin", "x", "s", 0.4, None), (9, "c", "gstin", "x", "s", 0.4, None))
+    signals = K.risk_signals(e)
+    scores = K.risk_scores(spark.createDataFrame([(1,), (2,)], "investigation_id long"), e)
+    rows = R.export_report_sections(intake, scores, K.category_scores(signals), signals, e).collect()
+    lines = {(r.investigation_id, r.section_no, r.line_no): r.cells for r in rows}
+    assert lines[1, 1, 0] == ["Business Name", "Alpha"] and lines[1, 1, 1] == ["GSTIN", "N/A"] and lines[2, 1, 0][1] == "N/A"
+    assert lines[1, 2, 0][1] == "30" and lines[2, 2, 0][1] == "0" and lines[2, 2, 1][1] == "INSUFFICIENT_EVIDENCE"
+    assert lines[1, 4, 1][0] == "GST_INACTIVE" and (2, 4, 1) not in lines and lines[2, 5, 1][0] == "b" and not any(k[0] == 9 for k in lines)
