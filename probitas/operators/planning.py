@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probitas.operators.pages import IDENTIFIERS
 from probitas.sources.catalog import DISCOVERY, EPFO, GENERAL, GST, MCA, NO_DIRECTORY, THIRD, WEBSITE, by_task_type
 
 # Fields that name an identifier, and what is no value.
@@ -31,6 +32,12 @@ DIRECTORY = ("Search third-party business database ({label}) for {target}.", ("l
 DISCOVER = ("Search public records to discover matching legal entities, GSTIN, and CIN for {}.", ("candidate_entities",), 1)
 GENERALLY = ("Perform general web research to identify public footprint, news, and operating claims for {}.", ("candidate_entities", "legal_name"), 2)
 TASKS_REASON, ACTIONS_REASON = "Max browser/research tasks limit reached", "Max browser actions limit reached"
+# Words that belong to a search rather than to a name.
+SITE_WORDS = r"(?i)\s+(?:official\s*website|website|in\s+[A-Za-z]+|company\s*registration|pvt|ltd|limited|private|llp|corp|inc)\b"
+SLUG_WORDS = r"(?i)\s+(?:in\s+[A-Za-z]+|mca\s+company\s+registration|epfo\s+establishment|official\s*website|company\s*registration|search|portal|master\s*data)\b"
+TERM_WORDS = r"(?i)\s+(?:official\s*website|website|in\s*india|company\s*registration|mca|epfo|establishment|search|portal|master\s*data)\b"
+WEB_ADDRESS = r"^(?i:https?://)?[^/?#]*\."
+DOMAIN_ENDS = r"\.(com|in|org|net|io|co)$"
 RAN = ("COMPLETED", "FAILED")
 CANDIDATES = "array<struct<name:string,gstin:string,cin:string,epfo_code:string,website:string,confidence:double>>"
 
@@ -223,3 +230,69 @@ def apply_task_status(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     d = tasks.join(g, ["investigation_id", "task_id"], "left")
     new = {c: F.coalesce(f"_{c}", c) for c in ("status", "started_at", "completed_at")}
     return d.withColumns(new).drop(*(f"_{c}" for c in new))
+
+
+def _identifier(kind: str, c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, IDENTIFIERS[kind], 1), F.lit(""))
+
+
+def _without(c: Column, *ids: Column) -> Column:
+    for i in ids:
+        c = F.replace(c, F.coalesce(i, F.lit("")))
+    return c
+
+
+def fetch_frontier(tasks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(investigation_id, task_id, source, pos, url): URLs to try for tasks (investigation_id, task_id,
+    task_type, target) at each enabled source of their type, best first and each once.
+
+    A target that is itself a URL stands alone, except at public authorities, where the portal does;
+    websites are guessed from the name; directories are asked by CIN and name, name, CIN, GSTIN and
+    search, then at their root. A null or empty target leaves the root alone."""
+    c = F.col
+    of = catalog.filter("enabled").select(F.explode("task_types").alias("task_type"), c("name").alias("source"), "kind", "base_url", "cin_name_url", "name_url", "cin_url", "gstin_url", "search_url")
+    t = F.trim("target")
+    direct = t.rlike("^https?://") | (t.contains(".") & ~t.contains(" ") & (t.contains("/") | t.rlike(DOMAIN_ENDS)))
+    d = tasks.withColumns({"_t": t, "_cin": _identifier("cin", F.upper(t)), "_gstin": _identifier("gstin", F.upper(t)), "_url": F.when(direct, F.when(t.contains("://"), t).otherwise(F.concat(F.lit("https://"), t)))})
+    site = F.lower(F.regexp_replace(F.regexp_replace("_t", SITE_WORDS, ""), "[^a-zA-Z0-9]", ""))
+    name = F.trim(F.regexp_replace(F.regexp_replace(_without(c("_t"), c("_gstin"), c("_cin")), SLUG_WORDS, ""), r"[^a-zA-Z0-9\s-]", ""))
+    slug = F.lower(F.regexp_replace(F.regexp_replace(name, r"\s+", "-"), "^-+|-+$", ""))
+    d = d.withColumns({"_site": F.nullif(site, F.lit("")), "_slug": F.nullif(slug, F.lit(""))}).join(of, "task_type")
+
+    def url(pattern: str, **values: Column) -> Column:
+        out = c(pattern)
+        for k, v in values.items():
+            out = F.replace(out, F.lit("{" + k + "}"), v)  # null where a value is missing
+        return out
+
+    guesses = [F.concat(F.lit(a), c("_site"), F.lit(b)) for a, b in (("https://www.", ".com"), ("https://", ".com"), ("https://www.", ".in"))]
+    query = F.coalesce("_cin", "_slug", F.nullif(c("_t"), F.lit("")))
+    root = F.regexp_replace("base_url", "/+$", "")
+    asked = [url("cin_name_url", slug=c("_slug"), cin=c("_cin")), url("name_url", slug=c("_slug")), url("cin_url", cin=c("_cin")), url("gstin_url", gstin=c("_gstin")), url("search_url", query=query), F.concat(root, F.lit("/company/"), c("_slug")), F.concat(root, F.lit("/company/"), c("_cin")), c("base_url")]
+    official = (c("kind") == "OFFICIAL_WEBSITE") | (c("task_type") == WEBSITE)
+    urls = (
+        F.when(F.coalesce(c("target"), F.lit("")) == "", F.array("base_url"))
+        .when(official & c("_url").isNull(), F.array(*guesses))
+        .when(c("_url").isNotNull() & (official | (c("kind") != "GOVERNMENT")), F.array("_url"))
+        .when(c("kind") == "GOVERNMENT", F.array("base_url"))
+        .otherwise(F.array(*asked))
+    )
+    return d.select("investigation_id", "task_id", "source", F.posexplode(F.array_distinct(F.array_compact(urls))).alias("pos", "url"))
+
+
+def search_terms(tasks: DataFrame) -> DataFrame:
+    """tasks (task_type, target) with terms: the words to search for, by the task's type."""
+    t = F.trim(F.coalesce("target", F.lit("")))
+    gstin, cin = _identifier("gstin", t), _identifier("cin", t)
+    name = F.trim(F.regexp_replace(_without(t, gstin, cin), TERM_WORDS, ""))
+    quoted = lambda v, rest="": F.concat(F.lit('"'), v, F.lit('"' + rest))
+    kind = F.col("task_type")
+    terms = (
+        F.when(kind == GST, F.coalesce(quoted(gstin), quoted(name, ' "GST" status')))
+        .when(kind == MCA, F.coalesce(quoted(cin), quoted(name, ' "MCA" "company master data"')))
+        .when(kind == EPFO, quoted(name, ' "EPFO" establishment'))
+        .when((kind == WEBSITE) & t.rlike(WEB_ADDRESS), t)
+        .when(kind == WEBSITE, quoted(name, " official website"))
+        .otherwise(quoted(F.coalesce(F.nullif(name, F.lit("")), t)))
+    )
+    return tasks.withColumn("terms", terms)

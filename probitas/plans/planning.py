@@ -23,8 +23,12 @@ def _existing(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("investigation_id", F.lit(C.EPFO).alias("task_type"), F.expr("' ' || upper(business_name) || ' EPFO establishment'").alias("target"), F.array(F.lit("epfindia.gov.in")).alias("preferred_sources"))
 
 
+def _tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return N.plan_tasks(view(spark, sf, "intake"), view(spark, sf, "evidence"), _existing(spark, sf), C.source_catalog(spark))
+
+
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    d = N.plan_tasks(view(spark, sf, "intake"), view(spark, sf, "evidence"), _existing(spark, sf), C.source_catalog(spark))
+    d = _tasks(spark, sf)
     return d.withColumns({c: F.array_join(c, ",") for c in ("required_fields", "preferred", "fallback")})
 
 
@@ -68,6 +72,8 @@ QUERIES = {
     "u6_merge_candidates": lambda s, d: N.merge_candidates(N.seed_candidates(view(s, d, "intake")), _proposals(s, d)),
     "j9_route_sources": lambda s, d: N.route_sources(_batch(s, d).select("investigation_id", "seq", F.upper(F.trim("task_type")).alias("task_type")), C.source_catalog(s)).withColumns({c: F.array_join(c, ",") for c in ("preferred", "fallback")}),
     "w11_admit": lambda s, d: N.admit(view(s, d, "attempts").withColumn("actions", F.col("attempt_id") % 3), "attempt_id").select("attempt_id", "reason"),
+    "x16_fetch_frontier": lambda s, d: N.fetch_frontier(_tasks(s, d), C.source_catalog(s)),
+    "x18_search_terms": lambda s, d: N.search_terms(_tasks(s, d)).select("investigation_id", "task_id", "terms"),
     "s9_upsert_tasks": lambda s, d: N.upsert_tasks(_store(s, d), _batch(s, d)),
     "s16_apply_task_status": lambda s, d: N.apply_task_status(_store(s, d), _changes(s, d)),
     "s14_export_sections": _sections,
@@ -105,6 +111,7 @@ _FOUND = f"""offers AS (
   found AS (SELECT e.investigation_id, {", ".join(f"arg_min(v, (ev_seq, o, i)) FILTER (kind = '{k}' AND v <> '') AS {k}" for k in N.OFFERS)} FROM (SELECT investigation_id FROM evidence GROUP BY 1) e LEFT JOIN offers USING (investigation_id) GROUP BY 1)"""
 _TARGETS = f"""{_FOUND}, tg AS (SELECT i.investigation_id, {", ".join(f"coalesce(nullif(i.{k}, ''), f.{k}) AS {k}" for k in N.OFFERS if k != "name")}, coalesce(f.name, nullif(business_name, '')) AS name, nullif(location, '') AS location FROM intake i LEFT JOIN found f ON i.investigation_id = f.investigation_id)"""
 _CATALOG = "cat(name, label, tier, priority, task_types) AS (VALUES " + ", ".join(f"({_q(s[0])}, {_q(s[1])}, {s[3]}, {s[4]}, [{', '.join(map(_q, s[6]))}])" for s in C.SOURCES) + ")"
+_SITES = ", ".join("(" + ", ".join("NULL" if v is None else _q(v) for v in (s[0], s[2], s[7], *C.URLS.get(s[0], (None,) * 5))) + f", [{', '.join(map(_q, s[6]))}])" for s in C.SOURCES)
 _ROUTES = f"""{_CATALOG}, typed AS (SELECT *, unnest(task_types) AS task_type FROM cat), byt AS (SELECT task_type, list(name ORDER BY priority, tier, name) AS l FROM typed GROUP BY 1)"""
 
 
@@ -160,11 +167,27 @@ def oracles(texts: str, plain: str, signals: str, level: str) -> dict[str, str]:
     category = ["SELECT investigation_id, 3, 0, 'Category|Score' FROM scores", *(f"SELECT s.investigation_id, 3, {k + 1}, '{c}|' || CAST(least(coalesce(sum(CASE WHEN lower(category) = '{c}' THEN risk_weight END), 0), 100) AS VARCHAR) FROM scores s LEFT JOIN signals g ON s.investigation_id = g.investigation_id GROUP BY 1" for k, c in enumerate(K.CATEGORIES))]
     findings = ["SELECT investigation_id, 4, 0, 'Code|Category|Severity|Confidence|Risk Weight|Evidence IDs' FROM scores", f"SELECT investigation_id, 4, row_number() OVER (PARTITION BY investigation_id ORDER BY code), concat_ws('|', code, category, severity, {text('confidence')}, {text('risk_weight')}, replace(evidence_ids, ',', ', ')) FROM signals WHERE investigation_id IN (SELECT investigation_id FROM scores)"]
     rows = ["SELECT investigation_id, 5, 0, 'Evidence ID|Task ID|Field Name|Source Name|Confidence' FROM scores", f"SELECT investigation_id, 5, row_number() OVER (PARTITION BY investigation_id ORDER BY ev_seq), concat_ws('|', research_result_id, task_id, field_name, source_name, {text('confidence')}) FROM evidence WHERE investigation_id IN (SELECT investigation_id FROM scores)"]
+    plan = f"""{ctes("evidence", "intake")}, {_TARGETS}, {_ROUTES}, made AS ({_planned()}), existing AS (SELECT investigation_id, lower(business_name) || ' epfo establishment' AS t FROM intake WHERE investigation_id % 3 = 0 AND business_name <> ''),
+  fresh AS (SELECT * FROM made WHERE target <> '' AND NOT (task_type = '{C.EPFO}' AND (investigation_id, lower(target)) IN (SELECT investigation_id, t FROM existing))),
+  planned AS (SELECT f.investigation_id, 'TASK-' || lpad(CAST(row_number() OVER (PARTITION BY f.investigation_id ORDER BY pos, route) + (CASE WHEN e.t IS NULL THEN 0 ELSE 1 END) AS VARCHAR), 3, '0') AS task_id, task_type, target, objective, required_fields, priority, preferred, fallback FROM fresh f LEFT JOIN existing e ON f.investigation_id = e.investigation_id)"""
     return {
         "u3_discovered_identifiers": f"{ctes('evidence')}, {_FOUND} SELECT * FROM found",
-        "u1_plan_tasks": f"""{ctes("evidence", "intake")}, {_TARGETS}, {_ROUTES}, made AS ({_planned()}), existing AS (SELECT investigation_id, lower(business_name) || ' epfo establishment' AS t FROM intake WHERE investigation_id % 3 = 0 AND business_name <> ''),
-  fresh AS (SELECT * FROM made WHERE target <> '' AND NOT (task_type = '{C.EPFO}' AND (investigation_id, lower(target)) IN (SELECT investigation_id, t FROM existing)))
-SELECT f.investigation_id, 'TASK-' || lpad(CAST(row_number() OVER (PARTITION BY f.investigation_id ORDER BY pos, route) + (CASE WHEN e.t IS NULL THEN 0 ELSE 1 END) AS VARCHAR), 3, '0') AS task_id, task_type, target, objective, required_fields, priority, preferred, fallback FROM fresh f LEFT JOIN existing e ON f.investigation_id = e.investigation_id""",
+        "u1_plan_tasks": f"{plan} SELECT * FROM planned",
+        "x16_fetch_frontier": f"""{plan}, src(source, kind, base_url, cin_name_url, name_url, cin_url, gstin_url, search_url, task_types) AS (VALUES {_SITES}),
+  a AS (SELECT *, nullif(regexp_extract(upper(trim(target)), {_q(P.IDENTIFIERS["cin"])}, 1), '') AS cin, nullif(regexp_extract(upper(trim(target)), {_q(P.IDENTIFIERS["gstin"])}, 1), '') AS gstin,
+    starts_with(target, 'http://') OR starts_with(target, 'https://') OR (contains(target, '.') AND NOT contains(target, ' ') AND (contains(target, '/') OR regexp_matches(target, {_q(N.DOMAIN_ENDS)}))) AS direct FROM planned),
+  b AS (SELECT *, nullif(lower(regexp_replace(regexp_replace(target, {_q(N.SITE_WORDS)}, '', 'g'), '[^a-zA-Z0-9]', '', 'g')), '') AS site,
+    nullif(lower(trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(replace(target, coalesce(gstin, '#'), ''), coalesce(cin, '#'), ''), {_q(N.SLUG_WORDS)}, '', 'g'), '[^a-zA-Z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-')), '') AS slug,
+    CASE WHEN contains(target, '://') THEN target ELSE 'https://' || target END AS whole FROM a),
+  u AS (SELECT b.*, source, CASE WHEN kind = 'OFFICIAL_WEBSITE' OR b.task_type = '{C.WEBSITE}' THEN CASE WHEN direct THEN [whole] ELSE ['https://www.' || site || '.com', 'https://' || site || '.com', 'https://www.' || site || '.in'] END
+    WHEN kind = 'GOVERNMENT' THEN [base_url] WHEN direct THEN [whole] ELSE [replace(replace(cin_name_url, '{{slug}}', slug), '{{cin}}', cin), replace(name_url, '{{slug}}', slug), replace(cin_url, '{{cin}}', cin), replace(gstin_url, '{{gstin}}', gstin),
+      replace(search_url, '{{query}}', coalesce(cin, slug, target)), base_url || '/company/' || slug, base_url || '/company/' || cin, base_url] END AS urls FROM b JOIN src ON list_contains(task_types, b.task_type)),
+  x AS (SELECT investigation_id, task_id, source, unnest(urls) AS url, generate_subscripts(urls, 1) AS k FROM u), y AS (SELECT investigation_id, task_id, source, url, min(k) AS k FROM x WHERE url IS NOT NULL GROUP BY ALL)
+SELECT investigation_id, task_id, source, CAST(row_number() OVER (PARTITION BY investigation_id, task_id, source ORDER BY k) - 1 AS INTEGER) AS pos, url FROM y""",
+        "x18_search_terms": f"""{plan}, a AS (SELECT *, nullif(regexp_extract(target, {_q(P.IDENTIFIERS["cin"])}, 1), '') AS cin, nullif(regexp_extract(target, {_q(P.IDENTIFIERS["gstin"])}, 1), '') AS gstin FROM planned),
+  b AS (SELECT *, trim(regexp_replace(replace(replace(target, coalesce(gstin, '#'), ''), coalesce(cin, '#'), ''), {_q(N.TERM_WORDS)}, '', 'g')) AS n FROM a)
+SELECT investigation_id, task_id, CASE task_type WHEN '{C.GST}' THEN coalesce('"' || gstin || '"', '"' || n || '" "GST" status') WHEN '{C.MCA}' THEN coalesce('"' || cin || '"', '"' || n || '" "MCA" "company master data"') WHEN '{C.EPFO}' THEN '"' || n || '" "EPFO" establishment'
+  WHEN '{C.WEBSITE}' THEN CASE WHEN regexp_matches(target, {_q(N.WEB_ADDRESS)}) THEN target ELSE '"' || n || '" official website' END ELSE '"' || coalesce(nullif(n, ''), target) || '"' END AS terms FROM b""",
         "u4_seed_candidates": f"{ctes('intake')}, {_SEED} SELECT * FROM seed WHERE confidence IS NOT NULL",
         "u6_merge_candidates": f"""{ctes("intake", "evidence")}, {_SEED}, base AS (SELECT * FROM seed WHERE confidence IS NOT NULL), extra AS (SELECT investigation_id, trim(field_value) AS name, confidence FROM evidence WHERE field_name IN ('legal_name', 'trade_name', 'company_name') AND trim(field_value) <> ''
    QUALIFY row_number() OVER (PARTITION BY investigation_id, lower(trim(field_value)) ORDER BY ev_seq) = 1)

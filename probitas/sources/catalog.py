@@ -22,13 +22,24 @@ SOURCES = (
     ("third_party", "Third-Party Source", "THIRD_PARTY_REGISTRY", 3, 3, 0.50, [GST, MCA, EPFO, THIRD], "https://www.quickcompany.in"),
     ("generic_web", "General Web", "PUBLIC_DIRECTORY", 4, 4, 0.60, [DISCOVERY, GENERAL, WEBSITE, THIRD], "https://www.quickcompany.in"),
 )
+# URLs by identifier and name, by name, by CIN, by GSTIN, and of a search.
+QUICK = (None, "https://www.quickcompany.in/company/{slug}", "https://www.quickcompany.in/company/{cin}", "https://www.quickcompany.in/company/{gstin}", "https://www.quickcompany.in/search?q={query}")
+URLS = {
+    "quickcompany.in": QUICK,
+    "tofler.in": ("https://www.tofler.in/{slug}/company/{cin}", "https://www.tofler.in/company/{slug}", "https://www.tofler.in/company/{cin}", None, "https://www.tofler.in/search?q={query}"),
+    "zaubacorp.com": ("https://www.zaubacorp.com/company/{slug}/{cin}", "https://www.zaubacorp.com/company/{slug}", "https://www.zaubacorp.com/company/{cin}", None, "https://www.zaubacorp.com/company-list/p-1-company.html?q={query}"),
+    "instafinancials.com": ("https://www.instafinancials.com/company/{slug}/{cin}", "https://www.instafinancials.com/company/{slug}", "https://www.instafinancials.com/company/{cin}", None, "https://www.instafinancials.com/search?q={query}"),
+    "falconebiz.com": ("https://www.falconebiz.com/company/{slug}-{cin}", "https://www.falconebiz.com/company/{slug}", "https://www.falconebiz.com/company/{cin}", None, "https://www.falconebiz.com/search?q={query}"),
+    "third_party": QUICK,
+    "generic_web": QUICK,
+}
 NO_DIRECTORY = ("generic_web", "third_party")
-SCHEMA = "name string, label string, kind string, tier int, priority int, confidence double, task_types array<string>, base_url string, enabled boolean"
+SCHEMA = "name string, label string, kind string, tier int, priority int, confidence double, task_types array<string>, base_url string, cin_name_url string, name_url string, cin_url string, gstin_url string, search_url string, enabled boolean"
 
 
 def source_catalog(spark: SparkSession) -> DataFrame:
     """The built-in sources; a table of the same columns can take its place."""
-    return spark.createDataFrame([(*s, True) for s in SOURCES], SCHEMA)
+    return spark.createDataFrame([(*s, *URLS.get(s[0], (None,) * 5), True) for s in SOURCES], SCHEMA)
 
 
 def by_task_type(catalog: DataFrame) -> DataFrame:

@@ -320,3 +320,23 @@ def test_sections_of_an_export(spark):
     assert lines[1, 1, 0] == ["Business Name", "Alpha"] and lines[1, 1, 1] == ["GSTIN", "N/A"] and lines[2, 1, 0][1] == "N/A"
     assert lines[1, 2, 0][1] == "30" and lines[2, 2, 0][1] == "0" and lines[2, 2, 1][1] == "INSUFFICIENT_EVIDENCE"
     assert lines[1, 4, 1][0] == "GST_INACTIVE" and (2, 4, 1) not in lines and lines[2, 5, 1][0] == "b" and not any(k[0] == 9 for k in lines)
+
+
+def test_frontier_and_terms(spark):
+    cin, gstin = "U12345MH2001PTC123456", "27ABCDE1234F1Z5"
+    rows = [("a", "MCA_VERIFICATION", f"Alpha & Co in Pune {cin}"), ("b", "WEBSITE_VERIFICATION", "Alpha Foods official website"), ("c", "WEBSITE_VERIFICATION", "alpha.in"), ("d", "EPFO_VERIFICATION", "http://x.y/z"), ("e", "EPFO_VERIFICATION", None), ("f", "GST_VERIFICATION", gstin), ("g", "WEBSITE_VERIFICATION", "!!"), ("h", "NONE", "x")]
+    tasks = spark.createDataFrame([(1, *r) for r in rows], "investigation_id long, task_id string, task_type string, target string")
+    got: dict = {}
+    for r in N.fetch_frontier(tasks, C.source_catalog(spark)).orderBy("task_id", "source", "pos").collect():
+        got.setdefault((r.task_id, r.source), []).append(r.url)
+    z = "https://www.zaubacorp.com/company"
+    assert got["a", "zaubacorp.com"] == [f"{z}/alpha-co/{cin}", f"{z}/alpha-co", f"{z}/{cin}", f"https://www.zaubacorp.com/company-list/p-1-company.html?q={cin}", "https://www.zaubacorp.com"]
+    assert got["a", "mca.gov.in"] == ["https://www.mca.gov.in"]
+    assert got["b", "company_website"] == ["https://www.alphafoods.com", "https://alphafoods.com", "https://www.alphafoods.in"]
+    assert got["c", "generic_web"] == ["https://alpha.in"]
+    assert (got["d", "epfindia.gov.in"], got["d", "third_party"]) == (["https://www.epfindia.gov.in"], ["http://x.y/z"])
+    assert got["e", "third_party"] == ["https://www.quickcompany.in"]
+    assert got["f", "quickcompany.in"][0] == f"https://www.quickcompany.in/company/{gstin}"
+    assert ("g", "company_website") not in got and not any(k == "h" for k, _ in got)
+    terms = {r.task_id: r.terms for r in N.search_terms(tasks).collect()}
+    assert terms == {"a": f'"{cin}"', "b": '"Alpha Foods" official website', "c": "alpha.in", "d": '"http://x.y/z" "EPFO" establishment', "e": '"" "EPFO" establishment', "f": f'"{gstin}"', "g": '"!!" official website', "h": '"x"'}
