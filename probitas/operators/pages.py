@@ -56,6 +56,33 @@ OWN_TARGET = {
     "WEBSITE_VERIFICATION": ("website", "website_url", "domain", "candidate_domain", "page_title", "title"),
     "GENERAL_WEB_RESEARCH": ("company_name", "business_name", "legal_name"), "THIRD_PARTY_RESEARCH": ("company_name", "business_name", "legal_name"),
 }
+# What is no address, and the parts that an address has.
+NO_ADDRESS = (
+    "not_found", "unavailable", "unknown", "error", "blocked", "irrelevant", "source_unavailable", "captcha_required", "not applicable", "n/a", "na", "none", "null", "something went wrong", "access denied", "403 forbidden", "page not found",
+    "404 not found", "503 service unavailable", "502 bad gateway", "500 internal server error", "empty_response",
+)
+FILINGS = ("patent number", "patent journal", "patent watch", "trademark", "computer science", "amendment", "registration core fields", "core fields", "director details", "signatory details", "shareholder", "balance sheet", "din :", "din:", "pan :", "pan:")
+HEADINGS = (
+    "nature of business activities", "nature of business", "business activity", "business activities", "principal business activity", "main activity", "activity description", "principal place of business", "principal place",
+    "registered office address", "registered office", "registered address", "establishment address", "corporate office", "office address", "contact details", "contact us", "about us", "terms of service", "privacy policy", "copyright",
+    "all rights reserved", "company master data", "taxpayer details", "filing status", "director details", "directors / signatory details", "charges / balance sheet", "search taxpayer", "search company", "search results", "navigation",
+    "home / about", "view financials", "financial details", "status: active", "gstin / uin", "cin / llpin", "trade name", "legal name", "company status", "date of incorporation", "jurisdiction", "constitution of business", "administrative office",
+)
+ACTIVITIES = (
+    "software publishing", "consultancy and supply", "other service activities", "manufacture of", "wholesale of", "retail trade", "wholesale trade", "legal activities", "accounting, bookkeeping", "management consultancy",
+    "architectural and engineering", "advertising and market", "publishing of", "telecommunications", "financial service activities", "insurance, reinsurance", "construction of buildings", "civil engineering", "specialised construction",
+    "food and beverage service", "accommodation", "information service activities",
+)
+PIN = r"\b[1-9][0-9]{5}\b|\b[0-9]{5}(?:-[0-9]{4})?\b"
+PARTS = (
+    r"floor|flr|ground\s+floor|first\s+floor|second\s+floor|third\s+floor|4th\s+floor|5th\s+floor|6th\s+floor|7th\s+floor|8th\s+floor|9th\s+floor|10th\s+floor", "building|bldg|tower|towers|park|plaza|court|heights|house|mansion|bhavan|bhawan",
+    "road|rd|street|st|marg|lane|path|avenue|ave|drive|crescent|way|circle|chowk|bypass|highway", r"plot|no\.?|house\s+no|h\.?no|flat|unit|suite|office|off\.?|room|cabin|premises|block|blk|sector|sec|phase|ph",
+    r"nagar|colony|enclave|complex|estate|vihar|puram|wadi|peth|layout|industrial\s+area|ind\s+area|midc|gidc|riico|sez", "point|hub|centre|center|square|sq|cross|main|junction|opposite|opp|near|nr|behind|adj",
+)
+REGIONS = (
+    "maharashtra", "karnataka", "delhi", "new delhi", "tamil nadu", "telangana", "gujarat", "west bengal", "haryana", "uttar pradesh", "mumbai", "bengaluru", "bangalore", "chennai", "hyderabad", "kolkata", "pune", "gurgaon", "gurugram",
+    "noida", "ahmedabad", "jaipur", "chandigarh", "kochi", "coimbatore", "indore", "india", "bharat",
+)
 ANY_SHAPE = ("candidate_entities", "source_text", "page_text", "content")
 MARKUP = ((r"(?is)<script[^>]*>.*?</script>", " "), (r"(?is)<style[^>]*>.*?</style>", " "), (r"(?i)<(?:/div|/p|/h[1-6]|/tr|/li|br\s*/?|/td|/section|/article)>", "\n"), (r"<[^>]+>", " "))
 LINK = r"""(?i)href=["']([^"']+)["']"""
@@ -185,3 +212,15 @@ def guard_leaks(d: DataFrame) -> DataFrame:
     upper = F.upper(F.trim(value))
     shaped = lambda k: upper.rlike("^" + IDENTIFIERS[k].removeprefix(r"\b").removesuffix(r"\b") + "$") & ~field.isin(k, *ANY_SHAPE)
     return d.withColumn("field_value", F.when(echo | shaped("gstin") | shaped("cin"), "NOT_FOUND").otherwise(value))
+
+
+def is_address_like(c: Column) -> Column:
+    """Whether a line has an address's parts: a PIN with a part or region, a part and a region in 15
+    characters or more, or a PIN and a comma in 20; headings, filings and activities are none. Null is false."""
+    v = F.trim(F.coalesce(c, F.lit("")))
+    low = F.lower(v)
+    starts = lambda words: reduce(lambda a, b: a | b, (low.startswith(w) for w in words))
+    none = low.isin(*NO_ADDRESS, *HEADINGS) | _holds(low, FILINGS) | starts([f"{h}{e}" for h in HEADINGS for e in (" -", ":")]) | starts(ACTIVITIES)
+    pin, part, region = v.rlike(PIN), _fits(low, [rf"\b(?:{p})\b" for p in PARTS]), _holds(low, REGIONS)
+    shaped = (pin & (part | region)) | (part & region & (F.length(v) >= 15)) | (pin & (F.length(v) >= 20) & v.contains(","))
+    return (F.length(v) >= 8) & ~none & shaped

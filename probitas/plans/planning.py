@@ -80,6 +80,7 @@ QUERIES = {
     "x2_page_challenge": lambda s, d: P.page_challenge(_html(s, d)),
     "x7_9_page_facts": lambda s, d: P.page_facts(P.page_text(_html(s, d))),
     "x7_9_document_facts": lambda s, d: P.page_facts(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text")),
+    "f14_address_values": lambda s, d: view(s, d, "evidence").filter(P.is_address_like(F.col("field_value"))).select("investigation_id", "ev_seq"),
     "p15_guard_leaks": lambda s, d: P.guard_leaks(_leaks(s, d)),
 }
 
@@ -208,6 +209,10 @@ SELECT s.investigation_id, s.task_id, task_type, target, objective, coalesce(c.s
   WHEN {_has("lower(html)", P.NO_RESULTS)} THEN 'NO_RESULTS' WHEN regexp_replace({plain}, '{P.SPACES}', '', 'g') = '' THEN 'EMPTY_RESPONSE' END AS failure FROM pages""",
         "x7_9_page_facts": f"{texts} {_FACTS} FROM (SELECT page_id, string_split(text, chr(10)) AS lines FROM texts)",
         "x7_9_document_facts": f"{_FACTS} FROM (SELECT doc_id AS page_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)",
+        "f14_address_values": f"""{ctes("evidence")}, t AS (SELECT investigation_id, ev_seq, trim(field_value) AS v, lower(trim(field_value)) AS low FROM evidence),
+  k AS (SELECT *, regexp_matches(v, {_q(P.PIN)}) AS pin, {_fits("low", [rf"\b(?:{p})\b" for p in P.PARTS])} AS part, {_has("low", P.REGIONS)} AS region FROM t WHERE length(v) >= 8 AND low NOT IN {_in((*P.NO_ADDRESS, *P.HEADINGS))} AND NOT {_has("low", P.FILINGS)}
+    AND NOT ({" OR ".join(f"starts_with(low, {_q(w)})" for w in (*P.ACTIVITIES, *(h + e for h in P.HEADINGS for e in (" -", ":"))))}))
+SELECT investigation_id, ev_seq FROM k WHERE (pin AND (part OR region)) OR (part AND region AND length(v) >= 15) OR (pin AND length(v) >= 20 AND contains(v, ','))""",
         "p15_guard_leaks": f"""{ctes("evidence")}, r AS (SELECT investigation_id, ev_seq, CASE ev_seq % 3 WHEN 0 THEN 'GST_VERIFICATION' WHEN 1 THEN 'THIRD_PARTY_RESEARCH' ELSE 'WEBSITE_VERIFICATION' END AS task_type, CASE ev_seq % 2 WHEN 0 THEN 'alpha foods ' ELSE '27ABCDE1234F1Z5' END AS target,
   CASE ev_seq % 4 WHEN 0 THEN 'legal_name' ELSE field_name END AS field_name, field_value FROM evidence) SELECT * REPLACE (CASE WHEN (lower(trim(field_value)) = lower(trim(target)) AND NOT coalesce({own}, FALSE)) OR {shaped} THEN 'NOT_FOUND' ELSE field_value END AS field_value) FROM r""",
     }

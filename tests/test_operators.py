@@ -340,3 +340,8 @@ def test_frontier_and_terms(spark):
     assert ("g", "company_website") not in got and not any(k == "h" for k, _ in got)
     terms = {r.task_id: r.terms for r in N.search_terms(tasks).collect()}
     assert terms == {"a": f'"{cin}"', "b": '"Alpha Foods" official website', "c": "alpha.in", "d": '"http://x.y/z" "EPFO" establishment', "e": '"" "EPFO" establishment', "f": f'"{gstin}"', "g": '"!!" official website', "h": '"x"'}
+
+
+@pytest.mark.parametrize(("line", "ok"), [("12 MG Road, Pune 411001", True), ("MG Road Pune", False), ("12, MG Road, Pune", True), ("Registered office: 12 MG Road, Pune 411001", False), ("Manufacture of roads, India 411001", False), ("411001, a place beyond", True), ("Alpha 411001", False), ("411001 x", False), ("", False), (None, False)])
+def test_address_lines(spark, line, ok):
+    assert one(spark, line, P.is_address_like) is ok
