@@ -58,38 +58,49 @@ def unescape_role(role: str) -> str:
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
-    """turns with conv_id, turn, role and text, nulls replaced, and their tokens."""
+    """turns with conv_id, turn, role and text, nulls replaced, their tokens, and the block's key:
+    c0 and c1 stand for conv_id and are never null, so that one exchange serves windows and joins."""
     d = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.withColumns({"c0": F.col("conv_id").isNull(), "c1": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))})
     return d.withColumn("tokens", n_words(F.col("text")) + MARKS)
 
 
+def _blocks(d: DataFrame, budget: int, history: int) -> DataFrame:
+    """A row a block: base and top, the fresh tokens before it and up to its end; opens, whether it
+    is its conversation's first; head, the system turn, and sys, its tokens; fresh, those of a span."""
+    g = d.groupBy("c0", "c1", "block").agg(F.any_value("conv_id").alias("conv_id"), F.sum("tokens").alias("n"), F.min(F.struct("turn", "role", "text", "tokens")).alias("h"))
+    along = Window.partitionBy("c0", "c1").orderBy("block")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.select("*", before.alias("before"), (F.row_number().over(along) == 1).alias("opens"), F.first("h").over(along).alias("top_turn"))
+    g = g.withColumn("head", F.when(F.col("top_turn.role") == "system", F.col("top_turn"))).withColumn("sys", F.coalesce("head.tokens", F.lit(0)))
+    g = g.withColumn("base", F.col("before") - F.when(F.col("opens"), 0).otherwise(F.col("sys"))).withColumn("top", F.col("before") + F.col("n") - F.col("sys"))
+    return g.withColumn("fresh", F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.col("sys")))
+
+
 def with_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, place, turn, role, text, again): every turn where it is fresh, and its
-    repeats; place is 0 for the system turn, 1 for history and 2 for fresh turns."""
-    d = _ordered(turns).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    first = d.groupBy(F.col("conv_id").alias("_c")).agg(F.min(F.struct("block", "turn", "role", "text", "tokens")).alias("h")).filter("h.role = 'system'")
-    d = d.join(first.select("_c", F.col("h.block").alias("_block"), F.col("h.tokens").alias("_tokens")), F.col("conv_id").eqNullSafe(F.col("_c")), "left")
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    head = F.coalesce((F.col("block") == F.col("_block")) & (F.row_number().over(order) == 1), F.lit(False))
-    d = d.withColumn("head", head).withColumn("value", F.when(F.col("head"), 0).otherwise(F.col("tokens")))
-    sums = d.groupBy("conv_id", "block").agg(F.sum("value").alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sums.select(F.col("conv_id").alias("_bc"), F.col("block").alias("_bb"), base.alias("base"))
-    inner = F.coalesce(F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("inner", inner).join(bases, F.col("conv_id").eqNullSafe(F.col("_bc")) & (F.col("block") == F.col("_bb")))
-    d = d.withColumn("fresh", F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce("_tokens", F.lit(0))))
-    d = d.withColumn("p", F.col("base") + F.col("inner")).withColumn("q", F.col("p") + F.col("value")).withColumn("k", F.floor(F.col("p") / F.col("fresh")))
+    repeats; place is 0 for the system turn, 1 for history and 2 for fresh turns. The system turn is
+    given to all windows that the sums allow; those without fresh turns are left out by formatted()."""
+    d = _ordered(turns)
+    blocks = _blocks(d, budget, history)
+    order = Window.partitionBy("c0", "c1", "block").orderBy("turn", "role", "text")
+    inner = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.select("*", inner.alias("inner"), F.row_number().over(order).alias("nth"))
+    d = d.join(blocks.select("c0", "c1", "block", "base", "opens", "sys", "fresh"), ["c0", "c1", "block"])
+    d = d.withColumn("head", F.col("opens") & (F.col("sys") > 0) & (F.col("nth") == 1)).withColumn("value", F.when(F.col("head"), 0).otherwise(F.col("tokens")))
+    d = d.withColumn("p", F.col("base") + F.col("inner") - F.when(F.col("opens") & (F.col("nth") > 1), F.col("sys")).otherwise(0))
+    d = d.withColumn("q", F.col("p") + F.col("value")).withColumn("k", F.floor(F.col("p") / F.col("fresh")))
     end = (F.col("k") + 1) * F.col("fresh")
     over = (F.col("p") > F.col("k") * F.col("fresh")) & (F.col("q") > end)
-    d = d.withColumn("window", 2 * F.col("k") + over.cast("long"))
     at = lambda place, window, again: F.struct(F.lit(place).alias("place"), window.alias("window"), F.lit(again).alias("again"))
-    own = F.when(F.col("head"), at(0, F.lit(0).cast("long"), False)).otherwise(at(2, F.col("window"), False))
+    own = F.when(F.col("head"), at(0, F.lit(0).cast("long"), False)).otherwise(at(2, 2 * F.col("k") + over.cast("long"), False))
     later = F.when(over & (F.col("tokens") <= history), at(1, 2 * F.floor(F.col("q") / F.col("fresh")), True)).when(~over & ~F.col("head") & (F.col("p") >= end - history), at(1, 2 * F.col("k") + 1, True))
     rows = d.select("conv_id", "turn", "role", "text", F.explode(F.array_compact(F.array(own, later))).alias("at")).select("conv_id", "turn", "role", "text", "at.*")
-    wanted = d.filter("window > 0").select(F.col("conv_id").alias("_c"), "window").distinct()
-    heads = first.select(F.col("_c").alias("conv_id"), F.col("h.turn").alias("turn"), F.col("h.role").alias("role"), F.col("h.text").alias("text"), F.lit(0).alias("place"))
-    heads = heads.join(wanted, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c").withColumn("again", F.lit(True))
-    return rows.unionByName(heads)
+    up = lambda c: F.floor((F.col(c) + F.col("fresh") - 1) / F.col("fresh"))
+    heads = blocks.filter("head is not null").withColumns({"k0": up("base"), "k1": up("top") - 1}).filter("k1 >= k0")
+    heads = heads.select("conv_id", "head.turn", "head.role", "head.text", F.explode(F.sequence("k0", "k1")).alias("k"))
+    heads = heads.select("conv_id", "turn", "role", "text", F.explode(F.array(2 * F.col("k"), 2 * F.col("k") + 1)).alias("window")).filter("window > 0")
+    return rows.unionByName(heads.withColumns({"place": F.lit(0), "again": F.lit(True)}))
 
 
 def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
