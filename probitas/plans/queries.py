@@ -15,7 +15,7 @@ from probitas.operators import pages as P
 from probitas.operators import qa as Q
 from probitas.operators import report as R
 from probitas.operators import risk as K
-from probitas.plans import identity, planning
+from probitas.plans import extract, identity, planning
 from probitas.sources.views import ctes, view
 
 AS_OF = "1998-12-01 00:00:00"
@@ -87,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **planning.QUERIES, **identity.QUERIES}
+    return {**QUERIES, **planning.QUERIES, **identity.QUERIES, **extract.QUERIES}
 
 
 # The same in SQL. CTEs that several statements share:
@@ -227,4 +227,4 @@ SELECT i.investigation_id, status, coalesce(e.n, 0) AS n_evidence, coalesce(e.f,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**ORACLES, **planning.oracles(_TEXTS, _PLAIN, _SIGNALS, _LEVEL), **identity.oracles(_TEXTS)}
+    return {**ORACLES, **planning.oracles(_TEXTS, _PLAIN, _SIGNALS, _LEVEL), **identity.oracles(_TEXTS), **extract.oracles(_TEXTS)}
