@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probitas.operators.pages import TITLE, fetch_failure, plain_text
 from probitas.sources import catalog as C
 
 # Words that don't tell names apart, and how much of a text counts for what.
@@ -131,3 +132,50 @@ def entity_gate(identified: DataFrame) -> DataFrame:
     )
     trust = reduce(lambda a, r: a.when((kind == C.WEBSITE) & (rel == r[0]), r[1]), WEBSITE_CONFIDENCE.items(), F.when(F.lit(False), 0.0))
     return identified.withColumns({"gate": F.when(bad, "REJECTED"), "site_confidence": trust})
+
+
+# Sectors that a page must share with its target, and what vouches for a page.
+SECTORS = ("hotel", "resort", "inn", "suites", "motel", "pharma", "pharmaceutical", "hospital", "clinic", "coaching", "academy", "classes", "tuition", "huel", "adult", "casino", "dating", "escort")
+PORTALS = (
+    "search taxpayer", "goods and services tax", "gst portal", "gst services", "ministry of corporate affairs", "mca services", "company master data", "employees' provident fund", "epfo", "epfindia", "electronic challan",
+    "income tax department", "quickcompany", "tofler", "zauba corp", "instafinancials",
+)
+SIGNALS = ("gst status", "company status", "mca status", "legal name", "cin", "gstin", "private limited", "limited", "pvt ltd", "registered address", "incorporation date")
+OUTCOME_WORDS = (
+    "limited", "pvt", "ltd", "private", "corporation", "corp", "inc", "incorporated", "co", "company", "and", "the", "official", "website", "registration", "establishment", "search", "portal", "mca", "epfo",
+)
+LEADING_CHARS, JUDGED_WORDS = 300, 15
+
+
+def irrelevance(target: Column, title: Column, text: Column) -> Column:
+    """IRRELEVANT_SECTOR or IRRELEVANT_CONTENT for a page that has nothing of its target, else null."""
+    t, title, text = F.lower(F.trim(F.coalesce(target, F.lit("")))), F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    lead = F.concat(F.lit(" "), F.substring(text, 1, LEADING_CHARS), F.lit(" "))
+    has = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))
+    sector = F.exists(F.array(*map(F.lit, SECTORS)), lambda w: ~t.contains(w) & (title.contains(w) | lead.contains(F.concat(F.lit(" "), w, F.lit(" ")))))
+    found = {k: F.regexp_extract(t, rf"\b({p})\b", 1) for k, p in IDS_IN_TARGET.items()}
+    named = (found["gstin"] != "") | (found["cin"] != "")
+    held = reduce(lambda a, b: a | b, ((v != "") & (text.contains(v) | title.contains(v)) for v in found.values()))
+    signals = has(text, SIGNALS)
+    vouched = has(text, PORTALS) | has(title, PORTALS) | held | (signals & named)
+    plain = F.regexp_replace(text, "[^a-z0-9]", "")
+    site = F.regexp_replace(F.split(F.trim(F.replace(F.coalesce(F.nullif(F.regexp_extract(t, "^[^/?#]*://([^/?#]+)", 1), F.lit("")), t), F.lit("www."), F.lit(""))), r"\.")[0], "[^a-z0-9]", "")
+    words = F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: ~w.isin(*OUTCOME_WORDS) & (F.length(w) > 2))
+    n, hits = F.size(words), F.size(F.filter(words, lambda w: text.contains(w) | title.contains(w)))
+    missing = (
+        F.when(t.contains(".") | t.contains("/"), (F.length(site) > 2) & ~plain.contains(site) & ~title.contains(site))
+        .when(t.rlike(r"\p{Nd}") & (F.length(t) > 5) & ~t.contains(" "), ~plain.contains(F.regexp_replace(t, "[^a-z0-9]", "")) & ~signals)
+        .when(n > 1, (hits < 2) | (hits * 2 < n)).when(n == 1, hits < 1).otherwise(~text.contains(t) & ~title.contains(t))
+    )
+    judged = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) >= JUDGED_WORDS
+    return F.when(sector, "IRRELEVANT_SECTOR").when(judged & ~vouched & missing, "IRRELEVANT_CONTENT")
+
+
+def page_outcome(pages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """tasks (page_id, target, ...) with outcome: why the page (page_id, html) can't be used, from the
+    page alone or for this target; null if it can. Null targets are empty strings."""
+    text = plain_text(F.col("html"))
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), TITLE, 1)
+    read = pages.select("page_id", title.alias("_title"), text.alias("_text"), fetch_failure(F.col("html"), text).alias("_failure"))
+    outcome = F.coalesce("_failure", irrelevance(F.col("target"), F.col("_title"), F.col("_text")))
+    return tasks.join(read, "page_id").select(*(tasks[c] for c in tasks.columns), outcome.alias("outcome"))

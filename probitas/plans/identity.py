@@ -44,7 +44,11 @@ def entity_gate(spark: SparkSession, sf: str) -> DataFrame:
     return D.entity_gate(D.page_identity(D.page_profiles(pages), _targets(pages))).select("page_id", "k", "task_type", "gate", "site_confidence")
 
 
-QUERIES = {"j23_page_identity": page_identity, "p16_entity_gate": entity_gate}
+def page_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    return D.page_outcome(spark.read.parquet(f"{sf}/pages.parquet"), _targets(_pages(spark, sf))).select("page_id", "k", "outcome")
+
+
+QUERIES = {"j23_page_identity": page_identity, "p16_entity_gate": entity_gate, "x3_page_outcome": page_outcome}
 
 
 # The same in SQL.
@@ -103,8 +107,32 @@ def _statement(texts: str, result: str) -> str:
   {result}"""
 
 
-def oracles(texts: str) -> dict[str, str]:
+def _any(c: str, words) -> str:
+    return f"len(list_filter([{', '.join(map(_q, words))}], lambda w: contains({c}, w))) > 0"
+
+
+def _outcome(texts: str, plain: str, failures: str) -> str:
+    who = _statement(texts, "")
+    alnum = lambda c: f"regexp_replace({c}, '[^a-z0-9]', '', 'g')"
+    ids = [f"regexp_extract(t, {_q(rf'\b({p})\b')}, 1)" for p in D.IDS_IN_TARGET.values()]
+    held = " OR ".join(f"({v} <> '' AND (contains(text, {v}) OR contains(title, {v})))" for v in ids)
+    site = alnum("string_split(trim(replace(coalesce(nullif(regexp_extract(t, '^[^/?#]*://([^/?#]+)', 1), ''), t), 'www.', '')), '.')[1]")
+    return f"""{who}, fails AS ({failures}), raw AS (SELECT page_id, lower(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title,
+    lower(array_to_string(list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(regexp_replace(x, {_q(P.SPACES)}, ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text FROM pages),
+  j AS (SELECT tgt.page_id, k, lower(trim(target)) AS t, coalesce(title, '') AS title, text, failure FROM tgt JOIN raw r ON tgt.page_id = r.page_id JOIN fails f ON tgt.page_id = f.page_id),
+  m AS (SELECT *, ' ' || substr(text, 1, {D.LEADING_CHARS}) || ' ' AS lead_, {_any("text", D.SIGNALS)} AS signals, {alnum("text")} AS plain, {site} AS site,
+    list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN {_in(D.OUTCOME_WORDS)} AND length(w) > 2) AS ws FROM j),
+  h AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: contains(text, w) OR contains(title, w))) AS hits, {_any("text", D.PORTALS)} OR {_any("title", D.PORTALS)} OR {held} OR (signals AND ({" OR ".join(f"{v} <> ''" for v in ids)})) AS vouched FROM m)
+SELECT page_id, k, CASE WHEN failure IS NOT NULL THEN failure
+  WHEN len(list_filter([{", ".join(map(_q, D.SECTORS))}], lambda w: NOT contains(t, w) AND (contains(title, w) OR contains(lead_, ' ' || w || ' ')))) > 0 THEN 'IRRELEVANT_SECTOR'
+  WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < {D.JUDGED_WORDS} OR vouched THEN NULL
+  WHEN CASE WHEN contains(t, '.') OR contains(t, '/') THEN length(site) > 2 AND NOT contains(plain, site) AND NOT contains(title, site)
+    WHEN regexp_matches(t, '[0-9]') AND length(t) > 5 AND NOT contains(t, ' ') THEN NOT contains(plain, {alnum("t")}) AND NOT signals
+    WHEN n > 1 THEN hits < 2 OR hits * 2 < n WHEN n = 1 THEN hits < 1 ELSE NOT contains(text, t) AND NOT contains(title, t) END THEN 'IRRELEVANT_CONTENT' END AS outcome FROM h"""
+
+
+def oracles(texts: str, plain: str, failures: str) -> dict[str, str]:
     gate = f"""SELECT page_id, k, task_type, CASE task_type WHEN '{C.WEBSITE}' THEN CASE WHEN relationship NOT IN {_in(D.WEBSITE_CONFIDENCE)} THEN 'REJECTED' END WHEN '{C.THIRD}' THEN CASE WHEN verdict <> 'MATCH' OR conflict THEN 'REJECTED' END
       WHEN '{C.GENERAL}' THEN CASE WHEN conflict THEN 'REJECTED' END ELSE CASE WHEN relationship = 'UNRELATED' AND conflict THEN 'REJECTED' END END AS gate,
       CASE WHEN task_type = '{C.WEBSITE}' THEN CASE relationship {" ".join(f"WHEN '{k}' THEN {v}" for k, v in D.WEBSITE_CONFIDENCE.items())} END END::DOUBLE AS site_confidence FROM who"""
-    return {"j23_page_identity": _statement(texts, "SELECT page_id, k, target, relationship, conflict, verdict FROM who"), "p16_entity_gate": _statement(texts, gate)}
+    return {"j23_page_identity": _statement(texts, "SELECT page_id, k, target, relationship, conflict, verdict FROM who"), "p16_entity_gate": _statement(texts, gate), "x3_page_outcome": _outcome(texts, plain, failures)}

@@ -227,4 +227,5 @@ SELECT i.investigation_id, status, coalesce(e.n, 0) AS n_evidence, coalesce(e.f,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**ORACLES, **planning.oracles(_TEXTS, _PLAIN, _SIGNALS, _LEVEL), **identity.oracles(_TEXTS), **extract.oracles(_TEXTS)}
+    planned = planning.oracles(_TEXTS, _PLAIN, _SIGNALS, _LEVEL)
+    return {**ORACLES, **planned, **identity.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"]), **extract.oracles(_TEXTS)}

@@ -37,3 +37,16 @@ def test_gate(spark):
     ]
     d = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(rows)], "k int, task_type string, relationship string, conflict boolean, verdict string")
     assert [(r.gate, r.site_confidence) for r in D.entity_gate(d).orderBy("k").collect()] == [r[4:] for r in rows]
+
+
+def test_outcomes(spark):
+    rest = " ".join(f"w{k}" for k in range(20))
+    rows = [
+        ("Alpha Foods", "<title>Alpha Hotel</title>x", "IRRELEVANT_SECTOR"), ("Alpha Hotel", "<title>Alpha Hotel</title>x", None), ("Alpha Foods", f"<p>alpha inn {rest}", "IRRELEVANT_SECTOR"), ("Alpha Foods", f"<p>alpha inner foods {rest}", None),
+        ("Alpha Foods", f"<p>alpha {rest}", "IRRELEVANT_CONTENT"), ("Alpha Foods", f"<p>GST portal {rest}", None), ("Alpha Foods", "<p>short", None), ("alpha.in", f"<p>{rest}", "IRRELEVANT_CONTENT"), ("https://www.alpha.in/x", f"<p>Al-pha {rest}", None),
+        (G1, f"<p>{rest}", "IRRELEVANT_CONTENT"), (G1, f"<p>{G1} {rest}", None), (G1, f"<p>legal name {rest}", None), (None, f"<p>{rest}", None), ("Alpha", None, "EMPTY_RESPONSE"), ("Alpha", "<p>no records found", "NO_RESULTS"),
+    ]
+    pages = spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows)], "page_id int, html string")
+    tasks = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "page_id int, target string")
+    got = {r.page_id: r.outcome for r in D.page_outcome(pages, tasks).collect()}
+    assert {k: (rows[k][:2], v) for k, v in got.items()} == {k: (r[:2], r[2]) for k, r in enumerate(rows)}
