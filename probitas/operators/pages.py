@@ -101,11 +101,12 @@ def plain_text(html: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(plain, "\n"), clean), lambda x: x != ""), "\n")
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """pages (page_id, html) to (page_id, title, text): markup out, one line a block, no empty lines."""
+def page_text(pages: DataFrame, *keep: str) -> DataFrame:
+    """pages (page_id, html) to (page_id, title, text) and the columns to keep: markup out, one line a
+    block, no empty lines."""
     html = F.coalesce("html", F.lit(""))
     title = F.when(html.rlike(r"(?is)<title[^>]*>.*?</title>"), neutralize(clean(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))))
-    return pages.select("page_id", title.alias("title"), neutralize(plain_text(html)).alias("text"))
+    return pages.select("page_id", title.alias("title"), neutralize(plain_text(html)).alias("text"), *keep)
 
 
 def identifiers(texts: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ WORDS = r"^\S+(?:\s+\S+){0,2}"
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    html = spark.read.parquet(f"{sf}/pages.parquet")
-    return P.page_text(html).join(html.select("page_id", F.regexp_extract(F.lower("url"), HOST, 1).alias("host")), "page_id")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return P.page_text(pages.withColumn("host", F.regexp_extract(F.lower("url"), HOST, 1)), "host")
 
 
 def _targets(pages: DataFrame) -> DataFrame:
