@@ -1,6 +1,6 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-Model: a trie of byte contexts up to `ORDER` = 3, with counts from every training text. A symbol
+Model: a trie of byte contexts up to an order (op4: `DEEP` = 5), with counts from every training text. A symbol
 (a byte, or the end of the text) is coded in the longest known context; if it isn't there, an
 escape is coded and the next shorter context is used, without the symbols that the longer one
 had (symbol exclusion). Escape estimation is method C: with n symbols seen in a context, q of
@@ -9,10 +9,11 @@ where exclusion leaves nothing the context costs nothing. Below order 0 all valu
 equally likely. As the trie is trained before it codes, each (context, symbol) has one
 probability, and a text's code length is a sum over its positions.
 
-The trie's deepest level is counted by Spark from runs of 4 bytes; shorter levels are its sums.
-Levels up to order 2 have at most 2^24 entries whatever the corpus; the deepest is cut by context
-into blocks of at most `BLOCK` entries, each broadcast on its own, and every block scores the
-positions whose context is in it. So a broadcast has a fixed bound and nothing is pruned.
+The trie's deepest level is counted by Spark from runs of order + 1 bytes; shorter levels are its
+sums. Levels up to order 2 have at most 2^24 entries whatever the corpus; the deepest is cut by the
+last two bytes of the context into blocks of about `BLOCK` entries (more only where one such pair
+has more), each broadcast on its own. All longer contexts that end in these bytes are in the same
+block, so each block has its levels complete and scores its positions; nothing is pruned.
 
 Base: a word unigram model with additive smoothing over lower-cased words, whose counts cover all
 training texts. Words of the commonest counts, at most `HEAD` of them, are scored where the text
@@ -40,35 +41,42 @@ from pyspark.sql.pandas.types import to_arrow_type
 from probitas.cluster import ship_package, stage
 from probitas.llm.common import id_remainder, lower_az, table, words_of
 
-ORDER, BLOCK, HEAD, RUN = 3, 1 << 22, 1 << 17, 1 << 22
+ORDER, DEEP, BLOCK, HEAD, RUN = 3, 5, 1 << 22, 1 << 17, 1 << 22
 #: Bytes that UTF-8 never uses: what stands before a text, and its end as a symbol.
 BEFORE, END = 0xFE, 0xFF
 ADD = 0.1
 
 
-def code_runs(texts: list[bytes], run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text numbers, codes): a code is 3 bytes of context and the symbol, one for each byte of a
+def _codes(s: np.ndarray, order: int) -> np.ndarray:
+    n = len(s) - order
+    out = s[:n].astype(np.uint64)
+    for k in range(1, order + 1):
+        out <<= np.uint64(8)
+        out |= s[k : n + k]
+    return out
+
+
+def code_runs(texts: list[bytes], run: int = RUN, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text numbers, codes): a code is `order` bytes of context and the symbol, one for each byte of a
     text and one for its end. Runs hold about `run` symbols; a longer text comes in several."""
 
     def of(block: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        pad, end = bytes([BEFORE]) * ORDER, bytes([END])
+        pad, end = bytes([BEFORE]) * order, bytes([END])
         s = np.frombuffer(b"".join(pad + texts[i] + end for i in block), dtype=np.uint8)
         n = np.array([len(texts[i]) + 1 for i in block])
-        starts = np.cumsum(n + ORDER) - (n + ORDER)
-        c = s.astype(np.uint32)
-        codes = (c[:-3] << np.uint32(24)) | (c[1:-2] << np.uint32(16)) | (c[2:-1] << np.uint32(8)) | c[3:]
+        starts = np.cumsum(n + order) - (n + order)
+        codes = _codes(s, order)
         on = np.ones(len(codes), dtype=bool)
-        for k in range(1, ORDER + 1):  # codes whose symbol is another text's beginning
+        for k in range(1, order + 1):  # codes whose symbol is another text's beginning
             on[starts[1:] - k] = False
         return np.repeat(np.array(block), n), codes[on]
 
     block, size = [], 0
     for i, t in enumerate(texts):
         if len(t) >= run:  # by itself, in windows that share their context
-            s = np.frombuffer(bytes([BEFORE]) * ORDER + t + bytes([END]), dtype=np.uint8)
+            s = np.frombuffer(bytes([BEFORE]) * order + t + bytes([END]), dtype=np.uint8)
             for a in range(0, len(t) + 1, run):
-                c = s[a : a + run + ORDER].astype(np.uint32)
-                codes = (c[:-3] << np.uint32(24)) | (c[1:-2] << np.uint32(16)) | (c[2:-1] << np.uint32(8)) | c[3:]
+                codes = _codes(s[a : a + run + order], order)
                 yield np.full(len(codes), i), codes
             continue
         block.append(i)
@@ -84,7 +92,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def trie_counts(docs: DataFrame) -> DataFrame:
+def trie_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(code, n) over all texts of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +100,8 @@ def trie_counts(docs: DataFrame) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             codes, n = np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
-            order = np.argsort(codes, kind="stable")
-            codes, n = codes[order], n[order]
+            by = np.argsort(codes, kind="stable")
+            codes, n = codes[by], n[by]
             first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             return codes[first], np.add.reduceat(n, first)
 
@@ -101,7 +109,7 @@ def trie_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
 
         for b in batches:
-            for _, codes in code_runs(_bytes(b.column("text"))):
+            for _, codes in code_runs(_bytes(b.column("text")), order=order):
                 held.append(np.unique(codes, return_counts=True))
                 if sum(len(c) for c, _ in held) > 1 << 21:
                     held = [merged()]
@@ -196,17 +204,28 @@ def levels(codes: np.ndarray, n: np.ndarray) -> list[Level]:
     return out
 
 
+def deeper(codes: np.ndarray, n: np.ndarray, low: list[Level], order: int) -> Level:
+    """The level of `order` over orders 0 and 1 of all contexts and the orders from 2 on of the
+    contexts that codes has: all that end in its pairs of bytes."""
+    top = low[1]
+    for k in range(2, order + 1):
+        short = codes & ((1 << (8 * k + 8)) - 1)
+        by = np.argsort(short, kind="stable")
+        top = Level(*_sums(short[by], n[by]), top)
+    return top
+
+
 class Block:
-    """The deepest level for contexts from lo to hi, with a hash table from code to log10 p."""
+    """The deepest level for contexts whose last two bytes are from lo to hi, with a hash table from code to log10 p."""
 
     def __init__(self, top: Level, lo: int, hi: int):
         self.top, self.lo, self.hi = top, lo, hi
         ctx = _find(top.ctx, top.codes >> 8)
         logp = np.log10(top.n / (top.total[ctx] + top.kinds[ctx])) if len(ctx) else np.empty(0)
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(logp)) * 3))))
-        self.keys = np.zeros(1 << self.bits, dtype=np.uint32)  # code 0 is never an entry's: text holds no 4 zero bytes in it
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)  # an empty slot has no value
         self.vals = np.full(1 << self.bits, np.nan, dtype=np.float32)
-        codes, left = top.codes.astype(np.uint32), np.arange(len(logp))
+        codes, left = top.codes.astype(np.uint64), np.arange(len(logp))
         slot = self._slot(codes)
         while len(left):
             free = np.isnan(self.vals[slot[left]])
@@ -217,7 +236,7 @@ class Block:
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes * np.uint32(2654435761)) >> np.uint32(32 - self.bits)).astype(np.int64)
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def log10p(self, codes: np.ndarray) -> np.ndarray:
         slot = self._slot(codes)
@@ -243,11 +262,11 @@ class Block:
 _ready: dict[str, Block] = {}
 
 
-def _block(name: str, codes: np.ndarray, n: np.ndarray, codes2: np.ndarray, n2: np.ndarray, lo: int, hi: int) -> Block:
+def _block(name: str, codes: np.ndarray, n: np.ndarray, codes2: np.ndarray, n2: np.ndarray, lo: int, hi: int, order: int) -> Block:
     """A block's tables, built once in each Python process."""
     if name not in _ready:
         _ready.clear()
-        _ready[name] = Block(Level(codes, n, levels(codes2, n2)[-1]), lo, hi)
+        _ready[name] = Block(deeper(codes, n, levels(codes2, n2), order), lo, hi)
     return _ready[name]
 
 
@@ -258,18 +277,19 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], n[order]
 
 
-def model_blocks(trie: DataFrame, limit: int = BLOCK) -> list[tuple]:
-    """(codes, counts, order-2 codes, order-2 counts, lo, hi) of each block, of bounded size."""
+def model_blocks(trie: DataFrame, order: int, limit: int = BLOCK) -> list[tuple]:
+    """(codes, counts, order-2 codes, order-2 counts, lo, hi, order) of each block."""
     low = _collected(trie.groupBy((F.col("code") % (1 << 24)).alias("code")).agg(F.sum("n").alias("n")))  # 2^24 rows at most
-    heads = {r[0]: r[1] for r in trie.groupBy(F.shiftright("code", 16).alias("h")).count().collect()}  # 2^16 rows at most, each of 2^16
+    last = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    heads = {r[0]: r[1] for r in trie.groupBy(last.alias("h")).count().collect()}  # 2^16 rows at most
     cuts, size = [0], 0
     for h in sorted(heads):
         if size and size + heads[h] > limit:
-            cuts.append(h << 16)
+            cuts.append(h)
             size = 0
         size += heads[h]
-    bounds = [*cuts, 1 << 32]
-    return [(*_collected(trie.filter(F.col("code").between(lo, hi - 1)).select("code", "n")), *low, lo, hi) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    bounds = [*cuts, 1 << 16]
+    return [(*_collected(trie.filter(last.between(lo, hi - 1)).select("code", "n")), *low, lo, hi, order) for lo, hi in zip(bounds, bounds[1:], strict=False)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -277,7 +297,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words_of(lower_az(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, order: int = ORDER) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -294,9 +314,9 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD) -> D
         least = 1 << k
     top = counts.filter(F.col("n") >= least).toArrow()  # `head` rows at most
     common = spark.sparkContext.broadcast((top.column(0).cast(pa.binary()).to_pylist(), top.column(1).to_numpy()))
-    trie = stage(trie_counts(training), "trie")
+    trie = stage(trie_counts(training, order), "trie")
     run = uuid.uuid4().hex
-    blocks = [(f"{run}-{i}", spark.sparkContext.broadcast(b)) for i, b in enumerate(model_blocks(trie))]
+    blocks = [(f"{run}-{i}", spark.sparkContext.broadcast(b)) for i, b in enumerate(model_blocks(trie, order))]
     id_type = docs.schema["doc_id"].dataType
     fields = [("h", T.LongType()), ("word", T.StringType()), ("m", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("ppm", T.DoubleType())]
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, k) for n, k in fields)])
@@ -305,9 +325,10 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD) -> D
     def summed(texts: list[bytes], name: str, shared) -> np.ndarray:
         """log10 probability of each text, over the positions whose context is in the block."""
         out, block = np.zeros(len(texts)), _block(name, *shared.value)
-        for rows, codes in code_runs(texts):
-            if block.lo > 0 or block.hi < 1 << 32:
-                on = (codes >= block.lo) & (codes < block.hi)
+        for rows, codes in code_runs(texts, order=order):
+            if block.lo > 0 or block.hi < 1 << 16:
+                last = (codes >> np.uint64(8)) & np.uint64(0xFFFF)
+                on = (last >= block.lo) & (last < block.hi)
                 rows, codes = rows[on], codes[on]
             if len(codes):
                 out += np.bincount(rows, weights=block.log10p(codes), minlength=len(texts))
@@ -379,5 +400,5 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD) -> D
 
 def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = score_documents(docs, docs.filter(id_remainder(10) != 0))
+    d = score_documents(docs, docs.filter(id_remainder(10) != 0), order=DEEP)
     return d.select("doc_id", (id_remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
