@@ -6,10 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_session: list[str] = []
+#: Where new folders are noted: those of the session, or of the innermost scratch block.
+_folders: ContextVar[list[str]] = ContextVar("folders", default=_session)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _folders.get().append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -41,6 +49,39 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose staged tables are removed at its end. The function it gives stages a table that
+    stays; nothing else that reads the block's tables may leave it."""
+    before, mine = _folders.get(), []
+    token = _folders.set(mine)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inner = _folders.set(before)
+        try:
+            return stage(df, label)
+        finally:
+            _folders.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _folders.reset(token)
+        _remove(spark, mine)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this session has staged outside of scratch blocks: for when results are written."""
+    _remove(spark, _session)
+    _session.clear()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once a session, for functions that run in their Python."""
     key = spark.sparkContext.applicationId
