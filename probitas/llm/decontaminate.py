@@ -6,21 +6,25 @@ substituted word under a zero doesn't break the hit. Hashes of every window of e
 are joined with those of the benchmark; around each hit the two texts are compared token by
 token on the hit's diagonal, and an overlap counts if some stretch of `WINDOW` item tokens (the
 whole item, if shorter) has at most 3 substitutions in 16 (in proportion if shorter). With the
-masks below no such overlap is missed (tests try every substitution pattern).
+masks below no such overlap is missed (tests try every substitution pattern). An item of fewer
+than `MIN_TOKENS` tokens has no room for a mask with zeros: its seed reads all its tokens, and it
+matches where all of them stand in a row.
 
 The benchmark is stated once and held against all documents in blocks: it is cut into pieces of
 bounded length, pieces are dealt to blocks of at most about `block_tokens` tokens, and each block
 is a broadcast of that proven size. A larger benchmark means more blocks, not a larger broadcast.
 
-Defined results: null, empty and blank documents never match; an item of fewer than `MIN_TOKENS`
-tokens (null and empty ones too) is no evidence of a leak and never matches; a repeated item
-matches under each of its ids; repeated documents match each; (doc_id, item_id) appears once,
-with its best stretch, earliest in the document; null ids are kept as null.
+Defined results: null, empty and blank documents never match, nor does an item without tokens
+(null, empty, or signs alone); a repeated item matches under each of its ids; repeated documents
+match each; (doc_id, item_id) appears once, with its best stretch, earliest in the document; null
+ids are kept as null; an empty table of documents or items gives an empty result; texts of any
+length are read whole; other columns of either table, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from probitas.cluster import ship_package, stage
-from probitas.llm.common import table
+from probitas.llm.common import free, table
 
 #: Offsets of the tokens that a mask reads.
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 6, 7))
@@ -71,7 +75,7 @@ def _seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     for k, off in enumerate(mask):
-        h += tokens[off : off + n] * _ODD[k]
+        h += tokens[off : off + n] * _ODD[k % len(_ODD)]
         h ^= h >> np.uint64(29)
     return h * _ODD[0]
 
@@ -93,8 +97,15 @@ class _Block:
         self.tokens = np.concatenate([*parts, np.empty(0, dtype=np.uint64)])
         self.rule = [_allowed(int(n)) for n in pieces["item_tokens"]]
         self.hash, self.at, self.maybe = [], [], []
+        small = [len(p) < MIN_TOKENS for p in parts]
+        self.short = {}  # length of short items: sorted hashes of whole items, and their pieces
+        for n in sorted({len(p) for p, few in zip(parts, small, strict=True) if few}):
+            which = np.array([i for i, p in enumerate(parts) if len(p) == n])
+            h = np.concatenate([_seeds(parts[i], tuple(range(n))) for i in which])
+            order = np.argsort(h, kind="stable")
+            self.short[n] = h[order], which[order]
         for m in MASKS:
-            hs = [_seeds(p, m) for p in parts]
+            hs = [_seeds(p if not few else p[:0], m) for p, few in zip(parts, small, strict=True)]
             at = np.concatenate([*(s + np.arange(len(h)) for s, h in zip(self.start, hs, strict=False)), np.empty(0, dtype=np.int64)]).astype(np.int64)
             h = np.concatenate([*hs, np.empty(0, dtype=np.uint64)])
             order = np.argsort(h, kind="stable")
@@ -120,13 +131,24 @@ class _Block:
                 found.append(np.unique(np.stack([piece, np.repeat(where[rows], k) - (item - self.start[piece])], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    def whole(self, tokens: np.ndarray) -> Iterator[tuple]:
+        """(item_id, start, item_start, width, equal) of the first place of each short item."""
+        for n, (hashes, pieces) in self.short.items():
+            h, first = np.unique(_seeds(tokens, tuple(range(n))), return_index=True)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for a, b, at in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), first[hi > lo].tolist(), strict=True):
+                for piece in pieces[a:b].tolist():
+                    if (self.tokens[self.start[piece] : self.start[piece + 1]] == tokens[at : at + n]).all():
+                        yield self.ids[piece], at, 0, n, n
+
     def overlaps(self, tokens: np.ndarray) -> Iterator[tuple]:
         """(item_id, start, item_start, width, equal) of the best stretch of each diagonal that has one."""
+        yield from self.whole(tokens)
         for piece, d in self.diagonals(tokens).tolist():
             item = self.tokens[self.start[piece] : self.start[piece + 1]]
             w, subs = self.rule[piece]
             a, b = max(0, -d), min(len(item), len(tokens) - d)
-            if b - a < w or w < MIN_TOKENS:
+            if b - a < w:
                 continue
             same = np.concatenate([[0], np.cumsum(item[a:b] == tokens[a + d : b + d])])
             equal = same[w:] - same[:-w]
@@ -135,9 +157,20 @@ class _Block:
                 yield self.ids[piece], a + d + k, int(self.offset[piece]) + a + k, w, int(equal[k])
 
 
+_ready: dict[str, _Block] = {}
+
+
+def _block(name: str, pieces: pd.DataFrame) -> _Block:
+    """A block's tables, built once in each Python process."""
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = _Block(pieces)
+    return _ready[name]
+
+
 def item_pieces(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_tokens, offset, tokens): items of enough tokens in pieces of bounded length,
-    which overlap so that every stretch lies within one."""
+    """(item_id, item_tokens, offset, tokens): items with tokens in pieces of bounded length, which
+    overlap so that every stretch lies within one."""
     kind = T.ArrayType(T.StructType([T.StructField("item_tokens", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]))
 
     @F.pandas_udf(kind)
@@ -146,7 +179,7 @@ def item_pieces(benchmark: DataFrame) -> DataFrame:
         for text in s:
             t = token_hashes(text).view(np.int64)
             step = _PIECE - WINDOW + 1
-            out.append([{"item_tokens": len(t), "offset": i, "tokens": t[i : i + _PIECE].tolist()} for i in range(0, max(1, len(t) - WINDOW + 1), step)] if len(t) >= MIN_TOKENS else [])
+            out.append([{"item_tokens": len(t), "offset": i, "tokens": t[i : i + _PIECE].tolist()} for i in range(0, max(1, len(t) - WINDOW + 1), step)] if len(t) else [])
         return pd.Series(out)
 
     return benchmark.select("item_id", F.explode(cut("text")).alias("p")).select("item_id", "p.*")
@@ -157,6 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 1 <<
     passage, a row for each such item, with the first of its best stretches. Positions count tokens."""
     spark = docs.sparkSession
     ship_package(spark)
+    run = uuid.uuid4().hex
     pieces = stage(item_pieces(benchmark), "benchmark")
     total = pieces.agg(F.sum(F.size("tokens"))).first()[0] or 0
     blocks = -(-total // block_tokens)
@@ -168,8 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 1 <<
         part = pieces.filter(F.pmod(F.xxhash64("item_id", "offset"), F.lit(blocks)) == k).toPandas()
         shared = spark.sparkContext.broadcast(part)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = _Block(shared.value)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, name=f"{run}-{k}") -> Iterator[pa.RecordBatch]:
+            block = _block(name, shared.value)
             for batch in batches:
                 rows, hits = [], []
                 for i, text in enumerate(batch.column("text")):
@@ -187,8 +221,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 1 <<
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark passage; rows that share an id with one go too."""
-    leaks = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    (leak,) = free(docs, "leak")
+    leaks = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

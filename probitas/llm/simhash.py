@@ -11,7 +11,8 @@ Equal fingerprints are one node, so copies never multiply: the join runs over di
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; a
 text of fewer words than a shingle is one shingle; repeated rows are linked as equal texts; a
 null doc_id takes part in linking, and a group's id is its smallest doc_id that isn't null (null
-if all are); other columns stay as they are.
+if all are); other columns stay as they are, whatever their names; a text of any length gives one
+fingerprint of the whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probitas.cluster import ship_package, stage
-from probitas.llm.common import connected_components, table
+from probitas.cluster import scratch, ship_package, stage
+from probitas.llm.common import connected_components, one_of_each, table
 
 _PLACE = np.arange(8) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -96,18 +97,15 @@ def with_groups(marked: DataFrame, distance: int = 3, segments: int = 2) -> Data
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2) -> DataFrame:
     """(doc_id, text_hash, fp, group_id, component_id, n_same), a row for each row of docs."""
-    rows = with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp")
-    return with_groups(stage(rows, "simhash"), distance, segments)
+    with scratch(docs.sparkSession) as keep:
+        rows = with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp")
+        return keep(with_groups(stage(rows, "simhash"), distance, segments), "groups")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2) -> DataFrame:
     """docs with one row of each group: the one of least doc_id, and of rows that share that id
     the one of least text hash. A group of null ids alone keeps one such row."""
-    groups = near_duplicate_groups(docs, shingle, distance, segments).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.groupBy("group_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.col("text_hash").alias("h"))).alias("_kept"))
-    keyed = docs.withColumn("_kept", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("h")))
-    repeats = Window.partitionBy("_kept").orderBy(F.lit(0))
-    return keyed.join(kept.select("_kept"), "_kept", "left_semi").withColumn("_copy", F.row_number().over(repeats)).filter("_copy = 1").select(*docs.columns)
+    return one_of_each(docs, near_duplicate_groups(docs, shingle, distance, segments), "group_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """URL filter: path rules first, then a weighted vocabulary found by Aho-Corasick.
 
 One automaton holds all terms, so a url is read once whatever the vocabulary's size. A hit
-counts only between boundaries (no letter or digit before or after it). A term counts once a
+counts only between boundaries (no letter, mark or number of any script before or after it). A term counts once a
 url; a strict term weighs as much as the limit, so one rejects, a soft term weighs 1, so several
 distinct ones are needed.
 
 Defined results: a null url, or one without ://, has an empty host and path and no rule; a null
 or empty url has no hits and is allowed; repeated rows are judged alike; rules hold for
-their host and its subdomains where the path starts with theirs, the longest rule wins.
+their host and its subdomains where the path starts with theirs, the longest rule wins; a term that
+is both strict and soft is strict; an empty vocabulary hits nothing, an empty table gives an empty
+result, urls of any length are read whole, and other columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import ahocorasick
@@ -35,20 +38,22 @@ _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for weight, terms in ((1, soft), (LIMIT, strict)):
-        for t in terms:
+        for t in filter(None, terms):
             a.add_word(t, (t, weight))
-    a.make_automaton()
+    if len(a):
+        a.make_automaton()
     return a
 
 
 def _edge(c: str) -> bool:
-    return not ("a" <= c <= "z" or "0" <= c <= "9")
+    """Whether c is neither letter, mark nor number, of any script."""
+    return unicodedata.category(c)[0] not in "LMN"
 
 
 def term_hits(url: str | None, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[int, int]:
     """Distinct strict and soft terms in a url that is lower-cased already."""
-    found = set()
-    for end, (term, weight) in _automaton(strict, soft).iter(url or ""):
+    found, terms = set(), _automaton(strict, soft)
+    for end, (term, weight) in terms.iter(url or "") if len(terms) else ():
         start = end - len(term)
         if (start < 0 or _edge(url[start])) and (end + 1 == len(url) or _edge(url[end + 1])):
             found.add((term, weight))
@@ -94,7 +99,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     def count(terms: tuple[str, ...]) -> str:
-        return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INTEGER)" for t in terms)
+        return " + ".join(f"CAST(regexp_matches(u, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{M}}\\p{{N}}])') AS INTEGER)" for t in terms)
 
     fits = [(h + p, v, f"((host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}'))") for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for r, _, c in fits) + " END"
