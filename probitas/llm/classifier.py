@@ -7,10 +7,15 @@ sparse dot product. Training goes in `SHARDS` tasks: each learns by FTRL-proxima
 of the labelled rows, and the weights are averaged. Labelled rows are at most about `MAX_ROWS`,
 the ones of least hash, so that what reaches the driver is bounded: SHARDS vectors of 2^18.
 
-Only the text is an input of a score. Defined results: a null, empty or blank text scores by the
-bias alone; without training rows every score is 0.5; null labels are left out; of
-repeated labels the least counts; repeated rows score alike; a null doc_id counts as the empty
-text in the split and never joins a label.
+Only the text is an input of a score. Texts become features before they are dealt to the shards. A
+shard has their distinct features and counts in memory, so the documented bound of rows, and 2^18
+features a row, bound it.
+
+Defined results: a null, empty or blank text scores by the bias alone; without training rows every
+score is 0.5; null labels are left out; of repeated labels the least counts; repeated rows score
+alike; a null doc_id counts as the empty text in the split and never joins a label; rows of equal
+hash are learnt in the order of their features; an empty table gives an empty result; texts of any
+length are read whole; columns of any name stay as they are, but scored() replaces score.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probitas.cluster import ship_package
-from probitas.llm.common import id_remainder, table
+from probitas.llm.common import all_of, id_remainder, table
 
 BITS, SHARDS, MAX_ROWS, EPOCHS, THRESHOLD = 18, 8, 1 << 16, 3, 0.7
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.1, 1.0
@@ -80,17 +85,20 @@ def score(text: str | None, weights: np.ndarray) -> float:
     return _logistic(weights[0] + (weights[i].sum() / np.sqrt(len(i)) if len(i) else 0.0))
 
 
-def train_ftrl(rows: list[tuple[str | None, int]], prior: float = 0.0, epochs: int = EPOCHS, bits: int = BITS) -> np.ndarray:
-    """Weights by FTRL-proximal over the rows in the given order, epochs times; prior: log odds that
-    every score begins with."""
+def counted(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct features, ascending, and their counts."""
+    i, c = np.unique(features(text, bits), return_counts=True)
+    return i.astype("<i4"), c.astype("<i4")
+
+
+def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float = 0.0, epochs: int = EPOCHS, bits: int = BITS) -> np.ndarray:
+    """Weights by FTRL-proximal over the rows (features, counts, label) in the given order, epochs
+    times; prior: log odds that every score begins with."""
     z, n, w = (np.zeros(1 << bits) for _ in range(3))
-    seen = []
-    for text, y in rows:
-        i, c = np.unique(features(text, bits), return_counts=True)
-        x = c / np.sqrt(max(1, c.sum()))
-        seen.append((np.concatenate([[0], i]), np.concatenate([[1.0], x]), y))
     for _ in range(epochs):
-        for i, x, y in seen:
+        for f, c, y in rows:
+            i = np.concatenate([[0], f])
+            x = np.concatenate([[1.0], c / np.sqrt(max(1, int(c.sum())))])
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) <= L1 * (i > 0), 0.0, -(zi - np.sign(zi) * L1 * (i > 0)) / ((BETA + np.sqrt(ni)) / ALPHA + L2 * (i > 0)))
             g = (_logistic(prior + float(wi @ x)) - y) * x
@@ -113,12 +121,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards:
     # the ids are bounded by max_rows, so texts stay where they are read and only sampled ones move
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "r", F.pmod(F.hash("r"), F.lit(shards)).alias("shard"))
 
+    @F.pandas_udf("f binary, c binary")
+    def of(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([[x.tobytes() for x in counted(t)] for t in s], columns=["f", "c"], dtype=object)
+
+    rows = rows.withColumn("x", of("text")).select("shard", "r", "y", "x.f", "x.c")
+
     good, all_ = known.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     prior = float(np.log((good + 1) / (all_ - good + 1)))  # a text of few words stays near the share of good ones
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(t=pdf["text"].fillna("")).sort_values(["r", "t"])
-        w = train_ftrl(list(zip(pdf["t"], pdf["y"], strict=True)), prior)
+        pdf = pdf.sort_values(["r", "f", "c"])
+        w = train_ftrl([(np.frombuffer(f, dtype="<i4"), np.frombuffer(c, dtype="<i4"), y) for f, c, y in zip(pdf["f"], pdf["c"], pdf["y"], strict=True)], prior)
         return pd.DataFrame({"n": [len(pdf)], "w": [w.astype("<f4").tobytes()]})
 
     parts = rows.groupBy("shard").applyInPandas(learn, "n long, w binary").collect()  # `shards` rows
@@ -143,8 +157,8 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs that the classifier accepts."""
-    d = scored(docs.select(*(F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns), "text"), train(docs, labels))
-    return d.filter(F.col("score") >= threshold).select(*(F.col(f"`c_{c}`").alias(c) for c in docs.columns))
+    row = docs.select(F.struct(*all_of(docs)).alias("row"), "text")
+    return scored(row, train(docs, labels)).filter(F.col("score") >= threshold).select("row.*")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

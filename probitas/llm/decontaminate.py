@@ -83,19 +83,19 @@ def _seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 def _allowed(n: int) -> tuple[int, int]:
     """Length of a stretch in an item of n tokens, and the substitutions allowed in it."""
     w = min(WINDOW, n)
-    return w, MAX_SUBSTITUTIONS * w // WINDOW
+    return w, MAX_SUBSTITUTIONS * w // WINDOW if n >= MIN_TOKENS else 0
 
 
 class _Block:
     """A block of item pieces with its seeds, sorted by hash."""
 
-    def __init__(self, pieces: pd.DataFrame):
-        self.ids = pieces["item_id"].tolist()
-        self.offset = pieces["offset"].to_numpy(dtype=np.int64)
-        parts = [np.asarray(t, dtype=np.int64).view(np.uint64) for t in pieces["tokens"]]
+    def __init__(self, pieces: pa.Table):
+        self.ids = pieces["item_id"].to_pylist()
+        self.offset = pieces["offset"].to_numpy()
+        parts = [t.values.to_numpy().view(np.uint64) for t in pieces["tokens"]]
         self.start = np.cumsum([0, *map(len, parts)])
         self.tokens = np.concatenate([*parts, np.empty(0, dtype=np.uint64)])
-        self.rule = [_allowed(int(n)) for n in pieces["item_tokens"]]
+        self.rule = [_allowed(int(n)) for n in pieces["item_tokens"].to_pylist()]
         self.hash, self.at, self.maybe = [], [], []
         small = [len(p) < MIN_TOKENS for p in parts]
         self.short = {}  # length of short items: sorted hashes of whole items, and their pieces
@@ -160,7 +160,7 @@ class _Block:
 _ready: dict[str, _Block] = {}
 
 
-def _block(name: str, pieces: pd.DataFrame) -> _Block:
+def _block(name: str, pieces: pa.Table) -> _Block:
     """A block's tables, built once in each Python process."""
     if name not in _ready:
         _ready.clear()
@@ -199,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 1 <<
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
     found = spark.createDataFrame([], schema)
     for k in range(blocks):
-        part = pieces.filter(F.pmod(F.xxhash64("item_id", "offset"), F.lit(blocks)) == k).toPandas()
+        part = pieces.filter(F.pmod(F.xxhash64("item_id", "offset"), F.lit(blocks)) == k).toArrow()
         shared = spark.sparkContext.broadcast(part)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, name=f"{run}-{k}") -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-Model: a trie of byte contexts up to an order (op4: `DEEP` = 5), with counts from every training text. A symbol
+Model: a trie of byte contexts up to an order (3 to 7, `ORDER` = 5), with counts from every training text. A symbol
 (a byte, or the end of the text) is coded in the longest known context; if it isn't there, an
 escape is coded and the next shorter context is used, without the symbols that the longer one
 had (symbol exclusion). Escape estimation is method C: with n symbols seen in a context, q of
@@ -10,18 +10,22 @@ equally likely. As the trie is trained before it codes, each (context, symbol) h
 probability, and a text's code length is a sum over its positions.
 
 The trie's deepest level is counted by Spark from runs of order + 1 bytes; shorter levels are its
-sums. Levels up to order 2 have at most 2^24 entries whatever the corpus; the deepest is cut by the
-last two bytes of the context into blocks of about `BLOCK` entries (more only where one such pair
-has more), each broadcast on its own. All longer contexts that end in these bytes are in the same
-block, so each block has its levels complete and scores its positions; nothing is pruned.
+sums. Levels up to order 2 have at most 2^24 entries whatever the corpus and are broadcast once; the
+deepest is cut by the last two bytes of the context, and where such a pair has too many by the last
+three, into blocks of about `BLOCK` entries (more only where three bytes have more, 2^24 at order 5).
+All longer contexts that end in these bytes are in the same block, so each block has its levels
+complete and scores its positions; nothing is pruned. Blocks are made, broadcast, used and freed one
+after another: the driver holds one at a time.
 
 Base: a word unigram model with additive smoothing over lower-cased words, whose counts cover all
 training texts. Words of the commonest counts, at most `HEAD` of them, are scored where the text
 is read; all other words are joined with their counts, so that no hot word meets in one task.
 
 Defined results: null text is the empty text, with the end alone; a null doc_id counts as the
-empty text in the split; rows that repeat both doc_id and text are one document; if nothing is
-left to train on, the base counts are 0 and every symbol is equally likely.
+empty text in the split; rows that repeat both doc_id and text are scored alike, a row each; if
+nothing is left to train on, the base counts are 0 and every symbol is equally likely; an empty
+table gives an empty result; texts of any length are coded whole; other columns, whatever their
+names, change nothing.
 """
 
 from __future__ import annotations
@@ -29,19 +33,19 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from probitas.cluster import ship_package, stage
+from probitas.cluster import scratch, ship_package, stage
 from probitas.llm.common import id_remainder, lower_az, table, words_of
 
-ORDER, DEEP, BLOCK, HEAD, RUN = 3, 5, 1 << 22, 1 << 17, 1 << 22
+ORDER, BLOCK, HEAD, RUN = 5, 1 << 22, 1 << 17, 1 << 22
 #: Bytes that UTF-8 never uses: what stands before a text, and its end as a symbol.
 BEFORE, END = 0xFE, 0xFF
 ADD = 0.1
@@ -205,10 +209,10 @@ def levels(codes: np.ndarray, n: np.ndarray) -> list[Level]:
 
 
 def deeper(codes: np.ndarray, n: np.ndarray, low: list[Level], order: int) -> Level:
-    """The level of `order` over orders 0 and 1 of all contexts and the orders from 2 on of the
-    contexts that codes has: all that end in its pairs of bytes."""
-    top = low[1]
-    for k in range(2, order + 1):
+    """The level of `order` over orders 0 to 2 of all contexts and the orders from 3 on of the
+    contexts that codes has: all that end in its groups of three bytes."""
+    top = low[2]
+    for k in range(3, order + 1):
         short = codes & ((1 << (8 * k + 8)) - 1)
         by = np.argsort(short, kind="stable")
         top = Level(*_sums(short[by], n[by]), top)
@@ -216,7 +220,7 @@ def deeper(codes: np.ndarray, n: np.ndarray, low: list[Level], order: int) -> Le
 
 
 class Block:
-    """The deepest level for contexts whose last two bytes are from lo to hi, with a hash table from code to log10 p."""
+    """The deepest level for contexts whose last_three() is from lo to below hi, with a hash table from code to log10 p."""
 
     def __init__(self, top: Level, lo: int, hi: int):
         self.top, self.lo, self.hi = top, lo, hi
@@ -262,7 +266,12 @@ class Block:
 _ready: dict[str, Block] = {}
 
 
-def _block(name: str, codes: np.ndarray, n: np.ndarray, codes2: np.ndarray, n2: np.ndarray, lo: int, hi: int, order: int) -> Block:
+def last_three(codes: np.ndarray) -> np.ndarray:
+    """The last two bytes of the context and then the third last, as one number."""
+    return ((codes >> np.uint64(8)) & np.uint64(0xFFFF)) << np.uint64(8) | (codes >> np.uint64(24)) & np.uint64(0xFF)
+
+
+def _block(name: str, codes: np.ndarray, n: np.ndarray, lo: int, hi: int, codes2: np.ndarray, n2: np.ndarray, order: int) -> Block:
     """A block's tables, built once in each Python process."""
     if name not in _ready:
         _ready.clear()
@@ -277,19 +286,31 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], n[order]
 
 
-def model_blocks(trie: DataFrame, order: int, limit: int = BLOCK) -> list[tuple]:
-    """(codes, counts, order-2 codes, order-2 counts, lo, hi, order) of each block."""
-    low = _collected(trie.groupBy((F.col("code") % (1 << 24)).alias("code")).agg(F.sum("n").alias("n")))  # 2^24 rows at most
-    last = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    heads = {r[0]: r[1] for r in trie.groupBy(last.alias("h")).count().collect()}  # 2^16 rows at most
+def _low(trie: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted entries of order 2 and their counts, 2^24 at most."""
+    return _collected(trie.groupBy((F.col("code") % (1 << 24)).alias("code")).agg(F.sum("n").alias("n")))
+
+
+def _last_three() -> Column:
+    two = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    return F.shiftleft(two, 8) + F.shiftright("code", 24).bitwiseAND(F.lit(0xFF).cast("long"))
+
+
+def block_bounds(trie: DataFrame, limit: int = BLOCK) -> list[int]:
+    """Where blocks of last_three() begin, and the end of all."""
+    pairs = {r[0]: r[1] for r in trie.groupBy(F.shiftright(_last_three(), 8).alias("h")).count().collect()}  # 2^16 rows at most
+    large = [h for h, n in pairs.items() if n > limit]
+    sizes = {h << 8: n for h, n in pairs.items() if n <= limit}
+    if large:  # 256 rows for each, of which there are no more than entries / limit
+        of = trie.filter(F.shiftright(_last_three(), 8).isin(large))
+        sizes |= {r[0]: r[1] for r in of.groupBy(_last_three().alias("h")).count().collect()}
     cuts, size = [0], 0
-    for h in sorted(heads):
-        if size and size + heads[h] > limit:
+    for h in sorted(sizes):
+        if size and size + sizes[h] > limit:
             cuts.append(h)
             size = 0
-        size += heads[h]
-    bounds = [*cuts, 1 << 16]
-    return [(*_collected(trie.filter(last.between(lo, hi - 1)).select("code", "n")), *low, lo, hi, order) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        size += sizes[h]
+    return [*cuts, 1 << 24]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -297,7 +318,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words_of(lower_az(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, order: int = ORDER) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, order: int = ORDER, limit: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -314,9 +335,7 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, orde
         least = 1 << k
     top = counts.filter(F.col("n") >= least).toArrow()  # `head` rows at most
     common = spark.sparkContext.broadcast((top.column(0).cast(pa.binary()).to_pylist(), top.column(1).to_numpy()))
-    trie = stage(trie_counts(training, order), "trie")
     run = uuid.uuid4().hex
-    blocks = [(f"{run}-{i}", spark.sparkContext.broadcast(b)) for i, b in enumerate(model_blocks(trie, order))]
     id_type = docs.schema["doc_id"].dataType
     fields = [("h", T.LongType()), ("word", T.StringType()), ("m", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("ppm", T.DoubleType())]
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, k) for n, k in fields)])
@@ -324,10 +343,10 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, orde
 
     def summed(texts: list[bytes], name: str, shared) -> np.ndarray:
         """log10 probability of each text, over the positions whose context is in the block."""
-        out, block = np.zeros(len(texts)), _block(name, *shared.value)
+        out, block = np.zeros(len(texts)), _block(name, *shared.value, *low.value, order)
         for rows, codes in code_runs(texts, order=order):
-            if block.lo > 0 or block.hi < 1 << 16:
-                last = (codes >> np.uint64(8)) & np.uint64(0xFFFF)
+            if block.lo > 0 or block.hi < 1 << 24:
+                last = last_three(codes)
                 on = (last >= block.lo) & (last < block.hi)
                 rows, codes = rows[on], codes[on]
             if len(codes):
@@ -378,10 +397,20 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, orde
                     yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     keyed = docs.select("doc_id", F.xxhash64("text", F.col("doc_id").cast("string")).alias("h"), "text")
-    rows = None
-    for i, (name, shared) in enumerate(blocks):
-        part = keyed.mapInArrow(partial(more if i else score, name=name, shared=shared), schema)
-        rows = part if rows is None else rows.union(part)
+    with scratch(spark) as keep:
+        trie = stage(trie_counts(training, order), "trie")
+        low = spark.sparkContext.broadcast(_low(trie))
+        bounds, parts = block_bounds(trie, limit), []
+        for i in range(len(bounds) - 2, -1, -1):  # the first block last, as its rows are not staged
+            lo, hi = bounds[i], bounds[i + 1]
+            shared = spark.sparkContext.broadcast((*_collected(trie.filter(_last_three().between(lo, hi - 1)).select("code", "n")), lo, hi))
+            part = keyed.mapInArrow(partial(more if i else score, name=f"{run}-{i}", shared=shared), schema)
+            if i:
+                parts.append(keep(part, "scores"))
+                shared.destroy()
+            else:
+                parts.append(part)
+    rows = reduce(DataFrame.union, parts)
     j = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")
     main = F.col("m") == 1
     c = F.coalesce("c", F.lit(0))
@@ -394,11 +423,12 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, orde
     )
     each = lambda x: (F.col(x) / F.col("m")).cast("long")
     norm = float(np.log10(tokens + ADD * (kinds + 1)))
-    return per.select("doc_id", each("n_tokens").alias("n_tokens"), each("n_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-                      (F.col("base") / F.col("m") - F.col("n_tokens") / F.col("m") * norm).alias("base_score"), (F.col("ppm") / F.col("m")).alias("score"))
+    one = per.select("doc_id", "m", each("n_tokens").alias("n_tokens"), each("n_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+                     (F.col("base") / F.col("m") - F.col("n_tokens") / F.col("m") * norm).alias("base_score"), (F.col("ppm") / F.col("m")).alias("score"))
+    return one.withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).drop("m")
 
 
 def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = score_documents(docs, docs.filter(id_remainder(10) != 0), order=DEEP)
+    d = score_documents(docs, docs.filter(id_remainder(10) != 0))
     return d.select("doc_id", (id_remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

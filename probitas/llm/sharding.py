@@ -12,8 +12,9 @@ a partition whose rows differ between the two fails the job. Every draw is seede
 so a task that runs again after a lost executor deals the same.
 
 Defined results: a null text has no bytes (size 1) and the checksum of the empty text; repeated
-rows are dealt one by one; an empty table gives an empty result; columns of the input that are
-named like new ones are replaced.
+rows are dealt one by one; an empty table gives an empty result; columns of the input named shard or
+slot are replaced, others stay, whatever their names; texts of any length move whole; equal keys of
+the second permutation are told apart by `tie`.
 """
 
 from __future__ import annotations
@@ -75,6 +76,9 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, t
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.drop("shard", "slot")
+    names = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names that nothing here clashes with
+    tie = [f"c{names.index(c)}" for c in tie]
     counts = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id()).count().collect()}  # one row a partition
     rows = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
     total = sum(rows)
@@ -93,20 +97,20 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, t
                 raise RuntimeError(f"partition {p} has more rows than were counted: the input must be a plain read")
             keys = rng.integers(0, 1 << 62, n)
             part = np.minimum((keys / float(1 << 62) * ranges).astype(np.int64), ranges - 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[at : at + n]), pa.array(part), pa.array(keys)], names=[*b.schema.names, "shard", "_range", "_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[at : at + n]), pa.array(part), pa.array(keys)], names=[*b.schema.names, "shard", "range", "key"])
             at += n
         if at != len(labels):
             raise RuntimeError(f"partition {p} has fewer rows than were counted: the input must be a plain read")
 
     def dealt(d: DataFrame) -> DataFrame:
-        return d.mapInArrow(deal, T.StructType([*d.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_range", T.LongType()), T.StructField("_key", T.LongType())]))
-
-    sums = dealt(docs.select(*tie)).groupBy("shard", "_range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("shard", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("shard", "_range").orderBy("_key", *tie)
-    out = dealt(docs).withColumn("_rank", F.row_number().over(within)).join(bases, ["shard", "_range"])
-    return out.select(*docs.columns, "shard", (F.col("_base") + F.col("_rank") - 1).alias("slot"))
+        return d.mapInArrow(deal, T.StructType([*d.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("range", T.LongType()), T.StructField("key", T.LongType())]))
+
+    sums = dealt(docs.select(*tie)).groupBy("shard", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard", "range").orderBy("key", *tie)
+    out = dealt(docs).withColumn("rank", F.row_number().over(within)).join(bases, ["shard", "range"])
+    return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)), "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

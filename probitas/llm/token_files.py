@@ -12,13 +12,16 @@ base, with which the second writes the offsets. A part is written under another
 renamed, so that a task which runs again leaves one whole file.
 
 The folder is in storage that all executors share; its address may name any file system that
-pyarrow can open. Reading maps the file where it is local and reads it where it isn't.
+pyarrow can open. Reading maps the file where it is local; elsewhere it reads a document's range.
 
-Encoding: words between spaces are encoded once and remembered, as this kind of tokenizer never
-joins across white space; what a word gives is what the library gives for it within its text.
+Encoding: a tokenizer of the kind `BY_WORD` drops white space before it looks for tokens, so words
+between spaces are encoded once and remembered; what a word gives is what the library gives for it
+within its text. Any other tokenizer gets whole texts.
 
-Defined results: a null, empty or blank text has the end id alone; equal ids are ordered by their
-text; a null doc_id comes first and is read back as the least long; an empty table has no parts.
+Defined results: a null, empty or blank text has the end id alone (a blank one what the tokenizer
+gives for it, if it keeps white space); equal ids are ordered by their text; a null doc_id comes
+first and is read back as the least long; an empty table has no parts; texts of any length are
+encoded whole; repeated rows are written each; other columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -43,22 +47,38 @@ from probitas.llm.common import table
 _KEEP = 1 << 20
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 NULL_ID = -(1 << 63)
+#: How a tokenizer says that it lower-cases, and drops white space around words, digits and signs.
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+
+
+def by_word(tokenizer: str) -> bool:
+    """Whether a tokenizer file (JSON) is of the kind that drops white space first."""
+    with open(tokenizer, encoding="utf-8") as f:
+        j = json.load(f)
+    first = ((j.get("pre_tokenizer") or {}).get("pretokenizers") or [None])[0]
+    plain = all(not a.get("lstrip") and not a.get("rstrip") and not a.get("normalized") for a in j.get("added_tokens", []))
+    return (j.get("normalizer"), first) == BY_WORD and plain
 
 
 class _Encoder:
-    """The library's ids of texts as bytes, by words."""
+    """The library's ids of texts as bytes, by words where that is right."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.of, self.kind, self.known = Tokenizer.from_file(path), kind, {}
+        self.of, self.kind, self.known, self.by_word = Tokenizer.from_file(path), kind, {}, by_word(path)
 
     def _encode(self, parts: list[str]) -> None:
         for part, e in zip(parts, self.of.encode_batch(parts, add_special_tokens=False), strict=True):
             self.known[part] = np.array(e.ids, dtype=self.kind).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.of.encode_batch(texts, add_special_tokens=False)]
         split = [t.split(" ") if "\n" not in t and "\t" not in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > _KEEP:
             self.known = {}
@@ -96,14 +116,34 @@ def _write(uri: str, name: str, chunks: Iterator[bytes]) -> None:
     fs.move(apart, f"{folder}/{name}")
 
 
-def _map(uri: str, name: str, kind: str) -> np.ndarray:
-    """A file as an array, mapped where it is local."""
-    fs, folder = _open(uri)
-    path = f"{folder}/{name}"
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, dtype=kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+class _File:
+    """An array in a file: mapped where the file is local, read by ranges where it isn't."""
+
+    def __init__(self, uri: str, name: str, kind: str):
+        fs, folder = _open(uri)
+        path, self.kind = f"{folder}/{name}", np.dtype(kind)
+        local = isinstance(fs, pafs.LocalFileSystem)
+        self.at = None if local else fs.open_input_file(path)
+        self.size = (os.path.getsize(path) if local else self.at.size()) // self.kind.itemsize
+        self.map = np.memmap(path, dtype=kind, mode="r") if local and self.size else np.empty(0, dtype=kind)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        lo, hi, _ = part.indices(self.size)
+        if self.at is None:
+            return self.map[lo:hi]
+        width = self.kind.itemsize
+        return np.frombuffer(self.at.read_at(max(0, hi - lo) * width, lo * width), dtype=self.kind)
+
+
+def with_token_counts(turns: DataFrame, tokenizer: str, marks: int = 0, out: str = "n_tokens") -> DataFrame:
+    """turns with the tokens of their texts under a tokenizer file, and `marks` more."""
+    ship_package(turns.sparkSession)
+
+    @F.pandas_udf("long")
+    def count(s: pd.Series) -> pd.Series:
+        return pd.Series([len(x) // 4 + marks for x in _encoder(tokenizer, "<u4").texts([t or "" for t in s])], dtype="int64")
+
+    return turns.withColumn(out, count("text"))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> int:
@@ -147,7 +187,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         for b in batches:
             for i in b.column(0).to_pylist():
                 p = parts[i]
-                n = _map(folder, f"part-{p:06d}.len", "<u8")
+                n = _File(folder, f"part-{p:06d}.len", "<u8")[:]
                 starts = np.concatenate([[0], np.cumsum(n)]).astype("<u8") + np.uint64(first[p])
                 _write(folder, f"part-{p:06d}.idx", iter([starts.tobytes()]))
             yield b
@@ -174,7 +214,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for i in b.column(0).to_pylist():
                 p = parts[i]
-                data, idx, ids = (_map(folder, f"part-{p:06d}.{x}", k) for x, k in (("bin", kind), ("idx", "<u8"), ("ids", "<i8")))
+                data = _File(folder, f"part-{p:06d}.bin", kind)
+                idx, ids = (_File(folder, f"part-{p:06d}.{x}", k)[:] for x, k in (("idx", "<u8"), ("ids", "<i8")))
                 at = (idx - idx[0]).astype(np.int64).tolist()
                 crc = [zlib.crc32(data[s:e].astype("<u4").tobytes()) for s, e in zip(at, at[1:], strict=False)]
                 starts = np.asarray(idx).astype(np.int64)

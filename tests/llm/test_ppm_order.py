@@ -42,7 +42,7 @@ def test_order_of_op4(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     train = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0]
     for limit in (1 << 22, 100):
-        monkeypatch.setattr(ppm.model_blocks, "__defaults__", (limit,))
+        monkeypatch.setattr(ppm.score_documents, "__defaults__", (ppm.HEAD, ppm.ORDER, limit))
         got = {r.doc_id: r.score for r in ppm.op4_ppm_scoring(spark, str(tmp_path)).collect()}
         assert len(got) == len(rows)
         for i, t in rows:
