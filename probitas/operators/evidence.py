@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ REJECTED = ("REJECTED", "ENTITY_MISMATCH", "UNRELATED", "IRRELEVANT")
 VERIFICATION_FIELDS = ("gst_status", "mca_status", "website_status")
 FRESH_DAYS = (("gst", 7), ("mca", 30), ("company", 30), ("website", 30))
 FRESH_DEFAULT = 30
+PORTAL_NAMES = (("gst.gov.in", "gst portal"), ("mca.gov.in", "mca portal"))
 KEY = ("investigation_id", "field_name", "source_key", "research_result_id")
 
 
@@ -59,18 +62,35 @@ def is_fresh(retrieved_at: Column, field: Column, as_of: Column) -> Column:
     return age < fresh_days(field)
 
 
-def cached_results(wanted: DataFrame, ev: DataFrame, as_of: Column) -> DataFrame:
-    """wanted (task_id, field_name, source_name) left-joined with the newest fresh evidence of that
-    field and source, in any investigation: found_value, found_at and found."""
-    fresh = ev.filter(is_fresh(F.col("retrieved_at"), F.col("field_name"), as_of)).withColumn("source_key", F.lower(F.trim("source_name")))
-    newest = fresh.groupBy("field_name", "source_key").agg(F.max_by(F.struct("field_value", "retrieved_at"), F.struct("retrieved_at", "investigation_id", "ev_seq")).alias("x"))
-    d = wanted.withColumn("source_key", F.lower(F.trim("source_name"))).join(newest, ["field_name", "source_key"], "left")
-    return d.select(*wanted.columns, F.col("x.field_value").alias("found_value"), F.col("x.retrieved_at").alias("found_at"), F.col("x").isNotNull().alias("found"))
+def source_key(name: Column) -> Column:
+    """Lower-case name; the two names of each portal are one."""
+    low = F.lower(F.trim(name))
+    return reduce(lambda c, kv: c.when(low == kv[0], kv[1]), PORTAL_NAMES, F.when(F.lit(False), "")).otherwise(low)
+
+
+def link_evidence_to_tasks(ev: DataFrame, tasks: DataFrame) -> DataFrame:
+    """ev with linked, and kind, target and objective in their normal form of the task that it names in its investigation."""
+    t = tasks.select("investigation_id", "task_id", F.upper(F.trim("task_type")).alias("kind"), F.lower(F.trim("target")).alias("target"), F.lower(F.trim("objective")).alias("objective"), F.lit(True).alias("linked"))
+    return ev.join(t, ["investigation_id", "task_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+
+def cached_results(wanted: DataFrame, linked: DataFrame, as_of: Column) -> DataFrame:
+    """wanted (task_type, target, objective, field_name, source_name, ...) with the newest fresh evidence
+    of link_evidence_to_tasks(), of any investigation, for that field and source: found_value, found_at
+    and found. Evidence linked to a task serves only tasks of the same type, target and objective."""
+    fresh = linked.filter(is_fresh(F.col("retrieved_at"), F.col("field_name"), as_of)).withColumn("source_key", source_key(F.col("source_name")))
+    best = F.max(F.struct("retrieved_at", "investigation_id", "ev_seq", "field_value")).alias("x")
+    free = fresh.filter("not linked").groupBy("field_name", "source_key").agg(best)
+    bound = fresh.filter("linked").groupBy("field_name", "source_key", "kind", "target", "objective").agg(best)
+    keyed = wanted.select(F.struct("*").alias("w"), "field_name", source_key(F.col("source_name")).alias("source_key"), F.upper(F.trim("task_type")).alias("kind"), F.lower(F.trim("target")).alias("target"), F.lower(F.trim("objective")).alias("objective"))
+    d = keyed.join(bound.withColumnRenamed("x", "own"), ["field_name", "source_key", "kind", "target", "objective"], "left").join(free.withColumnRenamed("x", "any"), ["field_name", "source_key"], "left")
+    x = d.select("w.*", F.greatest("own", "any").alias("x_"))
+    return x.select(*wanted.columns, F.col("x_.field_value").alias("found_value"), F.col("x_.retrieved_at").alias("found_at"), F.col("x_").isNotNull().alias("found"))
 
 
-def split_cached(found: DataFrame) -> DataFrame:
-    """(task_id, reusable): a task is reused only if each of its fields was found."""
-    return found.groupBy("task_id").agg(F.bool_and("found").alias("reusable"))
+def split_cached(found: DataFrame, *task: str) -> DataFrame:
+    """(task..., reusable): a task is reused only if each of its fields was found."""
+    return found.groupBy(*(task or ("task_id",))).agg(F.bool_and("found").alias("reusable"))
 
 
 def evidence_for(ev: DataFrame, investigations: DataFrame) -> DataFrame:

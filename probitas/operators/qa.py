@@ -41,9 +41,9 @@ def unsafe_wording(findings: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 def contradicted_findings(findings: DataFrame, ev: DataFrame) -> DataFrame:
-    """A finding of an inactive GST registration against evidence that says active."""
+    """A finding of an inactive GST registration against GST status evidence that says active."""
     low = F.lower("field_value")
-    active = ev.filter(low.contains("active") & ~low.contains("inactive")).select("investigation_id", "research_result_id")
+    active = ev.filter((F.col("field_name") == "gst_status") & low.contains("active") & ~low.contains("inactive")).select("investigation_id", "research_result_id")
     return findings.filter("code = 'GST_INACTIVE'").select("investigation_id", "code").join(active, "investigation_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probitas.functions import text as X
+from probitas.sources.catalog import lookup_key
 
 # Categories, ranks and labels that reports depend on.
 CATEGORIES = ("gst", "mca", "epfo", "official_website", "third_party", "general_web")
@@ -15,6 +16,8 @@ LABELS = {"gst": "GST Portal", "mca": "MCA Portal", "epfo": "EPFO Portal", "offi
 THIRD_PARTY = ("third_party", "third-party", "third party", "zauba", "tofler", "quickcompany", "quick company", "instafinancial", "registry", "directory")
 ATTEMPT_RANK = {"SUCCESS": 6, "NO_DATA": 5, "NO_RESULTS": 5, "NOT_FOUND": 5, "REJECTED": 4, "ENTITY_MISMATCH": 4, "UNRELATED": 4, "IRRELEVANT_CONTENT": 3, "IRRELEVANT_SECTOR": 3, "IRRELEVANT": 3, "CAPTCHA_REQUIRED": 2, "BLOCKED": 2, "BLOCKED_OR_ERROR": 2, "ERROR": 1, "EMPTY_RESPONSE": 1}
 AUTHORITY = (("gst",), ("mca",), ("epf",), ("company website", "official website"), ("zauba", "tofler", "quickcompany", "quick company", "instafinancials", "third-party", "third party", "registry"), ("web",))
+DETAILS = {"VERIFIED": "Evidence obtained and verified against target entity.", "CAPTCHA_REQUIRED": "Source requires human verification or CAPTCHA challenge.", "BLOCKED": "Source access was blocked or timed out.", "NOT_FOUND": "Target entity record not found in this registry."}
+NO_RESEARCH, NO_DETAIL = "No research evidence retrieved from this source.", "Source information unavailable or unverified."
 LIMITATIONS = ("UNAVAILABLE", "BLOCKED", "CAPTCHA_REQUIRED", "NOT_FOUND")
 UNUSABLE = ("NOT_FOUND", "UNAVAILABLE", "SOURCE_UNAVAILABLE", "BLOCKED", "TIMEOUT", "NONE", "ERROR")
 NO_VALUE = ("NOT_FOUND", "UNAVAILABLE", "NONE", "BLOCKED", "ERROR", "UNKNOWN")
@@ -26,9 +29,11 @@ def _any(c: Column, words) -> Column:
     return reduce(lambda a, b: a | b, (c.contains(w) for w in words))
 
 
-def source_category(name: Column) -> Column:
+def source_category(name: Column, registered: Column | None = None) -> Column:
+    """registered: whether the source is registered as a third-party registry."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    return F.when(low.contains("gst"), "gst").when(low.contains("mca"), "mca").when(low.contains("epf"), "epfo").when(_any(low, THIRD_PARTY), "third_party").when(_any(low, ("website", "company")), "official_website").otherwise("general_web")
+    third = _any(low, THIRD_PARTY) if registered is None else registered | _any(low, THIRD_PARTY)
+    return F.when(low.contains("gst"), "gst").when(low.contains("mca"), "mca").when(low.contains("epf"), "epfo").when(third, "third_party").when(_any(low, ("website", "company")), "official_website").otherwise("general_web")
 
 
 def domain_category(domain: Column) -> Column:
@@ -36,23 +41,27 @@ def domain_category(domain: Column) -> Column:
     return F.when(low.contains("gst"), "gst").when(low.contains("mca"), "mca").when(low.contains("epf"), "epfo").when(low.contains("website"), "official_website").when(_any(low, ("third_party", "zauba", "tofler", "quick", "insta")), "third_party").otherwise("general_web")
 
 
-def source_status(ev: DataFrame) -> DataFrame:
-    """(investigation_id, category, status, evidence_count): six rows for each investigation with
-    evidence; the best outcome of a source wins over its failures."""
+def source_status(ev: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(investigation_id, category, status, details, evidence_count): six rows for each investigation with
+    evidence; the best outcome of a source wins over its failures. A source that the catalogue has as
+    a third-party registry is one whatever its name says."""
     value = F.upper(F.trim(F.coalesce("field_value", F.lit(""))))
     said = F.upper(F.trim(F.coalesce("verification_status", F.lit(""))))
     verified = ~value.isin("NOT_FOUND", "UNAVAILABLE", "NONE", "BLOCKED") & F.when(said != "", said == "VERIFIED").otherwise(F.coalesce("confidence", F.lit(0.0)) >= 0.70)
     use = F.col("field_name") != "candidate_entities"
     flags = F.struct(use.alias("use"), (use & verified).alias("v"), (use & (value.contains("CAPTCHA") | F.upper("field_name").contains("CAPTCHA"))).alias("c"), (use & value.isin("BLOCKED", "SOURCE_UNAVAILABLE", "TIMEOUT")).alias("b"), (use & value.isin("NOT_FOUND", "NONE")).alias("n"))
-    cat = source_category(F.col("source_name"))
+    third = catalog.filter("kind = 'THIRD_PARTY_REGISTRY'").select(lookup_key(F.col("name")).alias("key_"), F.lit(True).alias("third_")).distinct()
+    cat = source_category(F.col("source_name"), F.coalesce("third_", F.lit(False)))
     per = []
     for c in CATEGORIES:
         on = lambda f, c=c: F.bool_or((F.col("cat") == c) & F.col(f"f.{f}"))
         n = F.count_if((F.col("cat") == c) & F.col("f.use"))
         status = F.when(on("v"), "VERIFIED").when(on("c"), "CAPTCHA_REQUIRED").when(on("b"), "BLOCKED").when(on("n"), "NOT_FOUND").otherwise("UNAVAILABLE")
         per.append(F.struct(F.lit(c).alias("category"), status.alias("status"), n.alias("evidence_count")))
-    g = ev.select("investigation_id", cat.alias("cat"), flags.alias("f")).groupBy("investigation_id").agg(F.array(*per).alias("x"))
-    return g.select("investigation_id", F.explode("x").alias("x")).select("investigation_id", "x.*")
+    rows = ev.withColumn("key_", lookup_key(F.col("source_name"))).join(third, "key_", "left")
+    g = rows.select("investigation_id", cat.alias("cat"), flags.alias("f")).groupBy("investigation_id").agg(F.array(*per).alias("x"))
+    details = reduce(lambda c, kv: c.when(F.col("x.status") == kv[0], kv[1]), DETAILS.items(), F.when(F.col("x.evidence_count") == 0, NO_RESEARCH)).otherwise(NO_DETAIL)
+    return g.select("investigation_id", F.explode("x").alias("x")).select("investigation_id", "x.category", "x.status", details.alias("details"), "x.evidence_count")
 
 
 def attempt_rank(status: Column) -> Column:
@@ -94,11 +103,13 @@ def source_limitations(status: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def reconcile_attempts(attempts: DataFrame, ev: DataFrame) -> DataFrame:
-    """attempts with final_status and selected: a success whose source left no usable evidence is NO_DATA."""
-    usable = (F.col("confidence") > 0) & ~F.upper(F.trim("field_value")).isin(*UNUSABLE)
-    sources = ev.filter(usable).select("investigation_id", source_category(F.col("source_name")).alias("_cat")).distinct().withColumn("_has", F.lit(True))
-    d = attempts.withColumn("_cat", domain_category(F.col("domain"))).join(sources, ["investigation_id", "_cat"], "left")
-    has = F.coalesce("_has", F.lit(False))
+    """attempts (source_name, ...) with final_status and selected: a success whose source, by its name,
+    left no usable evidence in the investigation is NO_DATA."""
+    name = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    usable = (F.col("confidence") > 0) & ~F.upper(F.trim("field_value")).isin(*UNUSABLE) & (name("source_name") != "")
+    sources = ev.filter(usable).select("investigation_id", name("source_name").alias("source_")).distinct().withColumn("has_", F.lit(True))
+    d = attempts.withColumn("source_", name("source_name")).join(sources, ["investigation_id", "source_"], "left")
+    has = F.coalesce("has_", F.lit(False))
     final = F.when((F.col("status") == "SUCCESS") & ~has, "NO_DATA").otherwise(F.col("status"))
     return d.select(*attempts.columns, final.alias("final_status"), ((F.col("status") == "SUCCESS") & has).alias("selected"))
 
@@ -174,29 +185,25 @@ def export_report_sections(entities: DataFrame, scores: DataFrame, categories: D
     """(investigation_id, section_no, line_no, cells): entity, risk summary, category scores, findings by
     code and evidence by ev_seq, of each investigation in scores; line 0 of the last three is their
     header. Missing identifiers are N/A, a missing score 0 and a missing level UNKNOWN."""
-    own = scores.select("investigation_id")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-
-    def lines(d: DataFrame, section: int, rows: list) -> DataFrame:
-        cells = F.array(*(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in r)) for r in rows))
-        return d.select("investigation_id", F.lit(section).alias("section_no"), F.posexplode(cells).alias("line_no", "cells"))
-
-    def table(d: DataFrame, section: int, header: tuple, order: str, cells: list) -> DataFrame:
-        number = F.row_number().over(Window.partitionBy("investigation_id").orderBy(order))
-        body = d.join(own, "investigation_id", "left_semi").select("investigation_id", F.lit(section).alias("section_no"), number.alias("line_no"), F.array(*cells).alias("cells"))
-        return lines(own, section, [header]).union(body)
-
+    cells_of = lambda *x: F.array(*(c if isinstance(c, Column) else F.lit(c) for c in x))
     known = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("N/A"))
-    entity = own.join(entities, "investigation_id", "left")
-    names = (("Business Name", "business_name"), ("GSTIN", "gstin"), ("CIN", "cin"), ("Website", "website"))
-    summary = [("Overall Risk Score", F.coalesce("score", F.lit(0)).cast("string")), ("Overall Risk Level", F.coalesce("level", F.lit("UNKNOWN"))), ("Recommendation", recommendation(F.col("score")))]
     kinds = [c for c in categories.columns if c != "investigation_id"]
-    scored = own.join(categories, "investigation_id", "left").fillna(0, kinds)
-    parts = (
-        lines(entity, 1, [(label, known(c)) for label, c in names]),
-        lines(scores, 2, summary),
-        lines(scored, 3, [("Category", "Score"), *((c, text(c)) for c in kinds)]),
-        table(findings, 4, ("Code", "Category", "Severity", "Confidence", "Risk Weight", "Evidence IDs"), "code", [text("code"), text("category"), text("severity"), text("confidence"), text("risk_weight"), F.array_join("evidence_ids", ", ")]),
-        table(ev, 5, ("Evidence ID", "Task ID", "Field Name", "Source Name", "Confidence"), "ev_seq", [text("research_result_id"), text("task_id"), text("field_name"), text("source_name"), text("confidence")]),
+    line = F.struct("code", cells_of(text("code"), text("category"), text("severity"), text("confidence"), text("risk_weight"), F.array_join("evidence_ids", ", ")).alias("cells"))
+    found = findings.groupBy("investigation_id").agg(F.array_sort(F.collect_list(line)).alias("found"))
+    d = scores.join(entities.select("investigation_id", "business_name", "gstin", "cin", "website"), "investigation_id", "left").join(categories, "investigation_id", "left").join(found, "investigation_id", "left")
+    none = F.array().cast("array<array<string>>")
+    sections = (
+        [cells_of(label, known(c)) for label, c in (("Business Name", "business_name"), ("GSTIN", "gstin"), ("CIN", "cin"), ("Website", "website"))],
+        [cells_of("Overall Risk Score", F.coalesce("score", F.lit(0)).cast("string")), cells_of("Overall Risk Level", F.coalesce("level", F.lit("UNKNOWN"))), cells_of("Recommendation", recommendation(F.col("score")))],
+        [cells_of("Category", "Score"), *(cells_of(c, F.coalesce(F.col(c), F.lit(0)).cast("string")) for c in kinds)],
+        [cells_of("Code", "Category", "Severity", "Confidence", "Risk Weight", "Evidence IDs")],
     )
-    return reduce(DataFrame.union, parts)
+    entry = lambda section, line, cells: F.struct(F.lit(section).alias("section_no"), line.alias("line_no"), cells.alias("cells"))
+    lines = [F.array(*(entry(n, F.lit(i), c) for i, c in enumerate(x))) for n, x in enumerate(sections, 1)]
+    lines.append(F.transform(F.coalesce(F.transform("found", lambda x: x["cells"]), none), lambda c, i: entry(4, i + 1, c)))
+    lines.append(F.array(entry(5, F.lit(0), cells_of("Evidence ID", "Task ID", "Field Name", "Source Name", "Confidence"))))
+    head = d.select("investigation_id", F.explode(F.flatten(F.array(*lines))).alias("l")).select("investigation_id", "l.*")
+    number = F.row_number().over(Window.partitionBy("investigation_id").orderBy("ev_seq"))
+    body = ev.join(scores.select("investigation_id"), "investigation_id", "left_semi").select("investigation_id", F.lit(5).alias("section_no"), number.alias("line_no"), cells_of(*map(text, ("research_result_id", "task_id", "field_name", "source_name", "confidence"))).alias("cells"))
+    return head.union(body)

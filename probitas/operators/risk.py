@@ -31,6 +31,7 @@ ADDRESS_GROUPS = (("registered_address", "address"), ("establishment_address",),
 LOW_INFORMATION = ("mca_status", "epfo_status", "website_status")
 EXCLUDED = ("REJECTED", "ENTITY_MISMATCH", "UNRELATED")
 LEGAL_SOURCES, SUPPORTING_SOURCES = ("GST Portal", "MCA Portal"), ("Company Website", "General Web", "Third-Party Source")
+PAIR_RULES = ("LEGAL_NAME_CONFLICT", "ADDRESS_MAJOR_MISMATCH", "BUSINESS_ACTIVITY_MISMATCH")
 VERIFIED_CONFIDENCE = 0.70
 
 
@@ -79,62 +80,113 @@ def age_days(value: Column, at: Column) -> Column:
     return F.floor((F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(date)) / 86400)
 
 
+def _address_group(field: Column) -> Column:
+    return reduce(lambda c, g: c.when(field.isin(*g[1]), g[0]), enumerate(ADDRESS_GROUPS), F.when(F.lit(False), 0))
+
+
+def triggers(adm: DataFrame) -> DataFrame:
+    """(investigation_id, code, grp, norm, row): what each admissible row says to a rule. Rules that one
+    row triggers have an empty norm; rules that two different values trigger have the normalised
+    value; code '' stands for substantive evidence."""
+    field, value = F.col("field_name"), F.col("field_value")
+    low = F.lower(F.trim(value))
+    item = lambda code, grp=0, norm="": F.struct(F.lit(code).alias("code"), (grp if isinstance(grp, Column) else F.lit(grp)).cast("int").alias("grp"), (norm if isinstance(norm, Column) else F.lit(norm)).alias("norm"))
+    group = _address_group(field)
+    items = F.array(
+        F.when(is_substantive(), item("")),
+        F.when((field == "gst_status") & low.isin(*GST_BAD), item("GST_INACTIVE")),
+        F.when(field.isin("company_status", "registration_status") & F.regexp_replace(low, r"(?U)\s+", " ").isin(*COMPANY_BAD), item("COMPANY_STATUS_ADVERSE")),
+        F.when(field.isin("registration_date", "incorporation_date") & (age_days(value, F.col("retrieved_at")) < 365), item("VERY_RECENT_REGISTRATION")),
+        F.when(field.isin(*NAME_FIELDS), item("LEGAL_NAME_CONFLICT", 0, X.rule_name(value)))
+        .when(group.isNotNull() & X.is_full_address(value), item("ADDRESS_MAJOR_MISMATCH", group, X.norm_address(value)))
+        .when(field == "business_activity", item("BUSINESS_ACTIVITY_MISMATCH", 0, X.norm_activity(value))),
+    )
+    row = F.struct(F.col("ev_seq"), F.col("research_result_id").alias("id"), "confidence").alias("row")
+    found = adm.select("investigation_id", row, F.explode(F.array_compact(items)).alias("t")).select("investigation_id", "t.*", "row")
+    return found.filter(~F.col("code").isin(*PAIR_RULES) | (F.col("norm") != ""))
+
+
+def risk_profile(ev: DataFrame) -> DataFrame:
+    """(investigation_id, enough, signals) of each investigation with admissible evidence that says
+    something to a rule or to sufficiency: one pass over evidence. signals: (code, evidence_ids,
+    confidence), empty without substantive evidence.
+
+    Pair rules take the first pair in arrival order: the first usable row and the first later one
+    with another value, so the least row of each distinct value is enough, and of these the first
+    two of each group; no pairs are formed."""
+    least = triggers(admissible(ev)).groupBy("investigation_id", "code", "grp", "norm").agg(F.min("row").alias("row"))
+    rank = F.row_number().over(Window.partitionBy("investigation_id", "code", "grp").orderBy("row.ev_seq"))
+    two = least.select("investigation_id", "code", "grp", "row", rank.alias("n")).filter("n <= 2")
+    all_ = two.groupBy("investigation_id").agg(F.collect_list(F.struct("code", "grp", "n", "row")).alias("t"))  # 20 entries at most
+    of = lambda code, n: F.filter("t", lambda x: (x["code"] == code) & (x["n"] == n))
+
+    def one(code: str) -> Column:
+        hit = F.get(of(code, 1), 0)["row"]
+        return F.when(hit.isNotNull(), F.struct(F.lit(code).alias("code"), F.array(hit["id"]).alias("evidence_ids"), hit["confidence"].alias("confidence")))
+
+    def pair(code: str) -> Column:
+        grp = F.array_min(F.transform(of(code, 2), lambda x: x["grp"]))  # the first group with two values
+        row = lambda n: F.get(F.filter(of(code, n), lambda x: x["grp"] == grp), 0)["row"]
+        both = F.struct(F.lit(code).alias("code"), F.array(row(1)["id"], row(2)["id"]).alias("evidence_ids"), ((row(1)["confidence"] + row(2)["confidence"]) / 2).alias("confidence"))
+        return F.when(grp.isNotNull(), both)
+
+    enough = F.exists("t", lambda x: x["code"] == "")
+    signals = F.array_compact(F.array(*(pair(r[0]) if r[0] in PAIR_RULES else one(r[0]) for r in RULES)))
+    return all_.select("investigation_id", enough.alias("enough"), signals.alias("found")).select("investigation_id", "enough", F.when(F.col("enough"), F.col("found")).otherwise(F.slice("found", 1, 0)).alias("signals"))
+
+
+def exploded(d: DataFrame) -> DataFrame:
+    return d.select("investigation_id", F.explode("signals").alias("s")).select("investigation_id", "s.*")
+
+
 def first_triggers(adm: DataFrame) -> DataFrame:
     """Rules that one row triggers: (investigation_id, code, evidence_ids, confidence) of the first."""
-    field, value = F.col("field_name"), F.lower(F.trim("field_value"))
-    status = F.regexp_replace(value, r"(?U)\s+", " ")
-    codes = F.array_compact(F.array(
-        F.when((field == "gst_status") & value.isin(*GST_BAD), "GST_INACTIVE"),
-        F.when(field.isin("company_status", "registration_status") & status.isin(*COMPANY_BAD), "COMPANY_STATUS_ADVERSE"),
-        F.when(field.isin("registration_date", "incorporation_date") & (age_days(F.col("field_value"), F.col("retrieved_at")) < 365), "VERY_RECENT_REGISTRATION"),
-    ))
-    rows = adm.select("investigation_id", F.explode(codes).alias("code"), F.struct(F.col("ev_seq"), F.col("research_result_id").alias("id"), "confidence").alias("row"))
+    rows = triggers(adm).filter((F.col("code") != "") & ~F.col("code").isin(*PAIR_RULES))
     return rows.groupBy("investigation_id", "code").agg(F.min("row").alias("row")).select("investigation_id", "code", F.array("row.id").alias("evidence_ids"), F.col("row.confidence").alias("confidence"))
 
 
 def conflict_triggers(adm: DataFrame) -> DataFrame:
-    """Rules that two rows trigger by different normalised values: the first pair in arrival order.
-
-    That pair is the first usable row and the first later one with another value, so the least
-    row of each distinct value is enough, and no pairs are formed.
-    """
-    field, value = F.col("field_name"), F.col("field_value")
-    group = reduce(lambda c, g: c.when(field.isin(*g[1]), g[0]), enumerate(ADDRESS_GROUPS), F.when(F.lit(False), 0))
-    kind = F.when(field.isin(*NAME_FIELDS), F.struct(F.lit("LEGAL_NAME_CONFLICT").alias("code"), F.lit(0).alias("grp"), X.rule_name(value).alias("norm")))
-    kind = kind.when(group.isNotNull() & X.is_full_address(value), F.struct(F.lit("ADDRESS_MAJOR_MISMATCH").alias("code"), group.alias("grp"), X.norm_address(value).alias("norm")))
-    kind = kind.when(field == "business_activity", F.struct(F.lit("BUSINESS_ACTIVITY_MISMATCH").alias("code"), F.lit(0).alias("grp"), X.norm_activity(value).alias("norm")))
-    rows = adm.select("investigation_id", kind.alias("k"), F.struct(F.col("ev_seq"), F.col("research_result_id").alias("id"), "confidence").alias("row")).filter("k.norm <> ''")
-    least = rows.groupBy("investigation_id", "k.code", "k.grp", "k.norm").agg(F.min("row").alias("row"))
+    """Rules that two rows trigger by different normalised values: the first pair in arrival order."""
+    least = triggers(adm).filter(F.col("code").isin(*PAIR_RULES)).groupBy("investigation_id", "code", "grp", "norm").agg(F.min("row").alias("row"))
     rank = F.row_number().over(Window.partitionBy("investigation_id", "code", "grp").orderBy("row.ev_seq"))
     two = least.withColumn("n", rank).filter("n <= 2").groupBy("investigation_id", "code", "grp").agg(F.array_sort(F.collect_list("row")).alias("rows")).filter("size(rows) = 2")
     one = two.groupBy("investigation_id", "code").agg(F.min_by("rows", "grp").alias("rows"))
     return one.select("investigation_id", "code", F.transform("rows", lambda r: r["id"]).alias("evidence_ids"), ((F.col("rows")[0]["confidence"] + F.col("rows")[1]["confidence"]) / 2).alias("confidence"))
 
 
+def attach_rules(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """hits (code, ...) with category, severity and risk_weight of the rule catalogue; a code it lacks
+    is IDENTITY, MEDIUM and weighs 0."""
+    rules = rule_catalog(hits.sparkSession) if rules is None else rules
+    out = hits.join(rules, "code", "left")
+    return out.select("investigation_id", "code", F.coalesce("category", F.lit("IDENTITY")).alias("category"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), "evidence_ids", "confidence", F.coalesce("weight", F.lit(0)).alias("risk_weight"))
+
+
 def risk_signals(ev: DataFrame) -> DataFrame:
     """(investigation_id, code, category, severity, evidence_ids, confidence, risk_weight); none where
     no substantive evidence exists."""
-    adm = admissible(ev)
-    enough = substantive(adm).select("investigation_id").distinct()
-    hits = first_triggers(adm).unionByName(conflict_triggers(adm)).join(enough, "investigation_id", "left_semi")
-    rules = F.broadcast(rule_catalog(ev.sparkSession))  # six rows
-    out = hits.join(rules, "code", "left")
-    return out.select("investigation_id", "code", F.coalesce("category", F.lit("IDENTITY")).alias("category"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), "evidence_ids", "confidence", F.coalesce("weight", F.lit(0)).alias("risk_weight"))
+    return attach_rules(exploded(risk_profile(ev)))
+
+
+def level_of(score: Column, levels=None) -> Column:
+    """The first level whose inclusive range holds the score, else UNKNOWN."""
+    return reduce(lambda c, x: c.when(score.between(x[1], x[2]), x[0]), levels or LEVELS, F.when(F.lit(False), "")).otherwise("UNKNOWN")
+
+
+def scores_of(investigations: DataFrame, profile: DataFrame) -> DataFrame:
+    """(investigation_id, score, level, insufficient_evidence, n_signals) of every investigation, from
+    risk_profile()'s rows."""
+    weight = F.aggregate("signals", F.lit(0), lambda a, x: a + reduce(lambda c, r: c.when(x["code"] == r[0], r[1]), RULES, F.when(F.lit(False), 0)).otherwise(0))
+    per = profile.select("investigation_id", "enough", weight.alias("total"), F.size("signals").alias("n"))
+    d = investigations.select("investigation_id").join(per, "investigation_id", "left").withColumn("insufficient_evidence", ~F.coalesce("enough", F.lit(False)))
+    d = d.withColumn("score", F.when(~F.col("insufficient_evidence"), F.least("total", F.lit(100))).cast("int"))
+    level = F.when(F.col("insufficient_evidence"), "INSUFFICIENT_EVIDENCE").otherwise(level_of(F.col("score")))
+    return d.select("investigation_id", "score", level.alias("level"), "insufficient_evidence", F.coalesce("n", F.lit(0)).cast("long").alias("n_signals"))
 
 
 def risk_scores(investigations: DataFrame, ev: DataFrame) -> DataFrame:
     """(investigation_id, score, level, insufficient_evidence, n_signals) of every investigation."""
-    spark = ev.sparkSession
-    adm = admissible(ev)
-    enough = adm.groupBy("investigation_id").agg(F.bool_or(is_substantive()).alias("enough"))
-    sums = risk_signals(ev).groupBy("investigation_id").agg(F.sum("risk_weight").alias("total"), F.count("*").alias("n_signals"))
-    d = investigations.select("investigation_id").join(enough, "investigation_id", "left").join(sums, "investigation_id", "left")
-    d = d.withColumn("insufficient_evidence", ~F.coalesce("enough", F.lit(False)))
-    d = d.withColumn("score", F.when(~F.col("insufficient_evidence"), F.least(F.coalesce("total", F.lit(0)), F.lit(100))).cast("int"))
-    levels = F.broadcast(level_catalog(spark))  # four rows
-    d = d.join(levels, F.col("score").between(F.col("min_score"), F.col("max_score")), "left")
-    level = F.when(F.col("insufficient_evidence"), "INSUFFICIENT_EVIDENCE").otherwise(F.coalesce("level", F.lit("UNKNOWN")))
-    return d.select("investigation_id", "score", level.alias("level"), "insufficient_evidence", F.coalesce("n_signals", F.lit(0)).cast("long").alias("n_signals"))
+    return scores_of(investigations, risk_profile(ev))
 
 
 def category_scores(signals: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from probitas.cluster import stage
 from probitas.operators import pages as P
 from probitas.operators import planning as N
 from probitas.operators import report as R
@@ -69,8 +70,9 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
     ev = view(spark, sf, "evidence")
-    signals = K.risk_signals(ev)
-    d = R.export_report_sections(view(spark, sf, "intake"), K.risk_scores(view(spark, sf, "investigations"), ev), K.category_scores(signals), signals, ev)
+    profile = stage(K.risk_profile(ev), "risk")  # read by scores, categories and findings
+    signals = K.attach_rules(K.exploded(profile))
+    d = R.export_report_sections(view(spark, sf, "intake"), K.scores_of(view(spark, sf, "investigations"), profile), K.category_scores(signals), signals, ev)
     return d.withColumn("cells", F.array_join("cells", "|"))
 
 
@@ -83,14 +85,12 @@ QUERIES = {
     "u1_plan_tasks": _plan,
     "u4_seed_candidates": lambda s, d: N.seed_candidates(view(s, d, "intake")),
     "u6_merge_candidates": lambda s, d: N.merge_candidates(N.seed_candidates(view(s, d, "intake")), _proposals(s, d)),
-    "j9_route_sources": lambda s, d: _routes(s, _batch(s, d)),
-    "j9_route_all_sources": lambda s, d: _routes(s, view(s, d, "research_tasks")),
+    "j9_route_sources": lambda s, d: _routes(s, view(s, d, "research_tasks")),
     "w11_admit": lambda s, d: N.admit(view(s, d, "attempts").withColumn("actions", F.col("attempt_id") % 3), "attempt_id").select("attempt_id", "reason"),
     "x16_fetch_frontier": lambda s, d: N.fetch_frontier(_tasks(s, d), C.source_catalog(s)),
     "x18_search_terms": lambda s, d: N.search_terms(_tasks(s, d)).select("investigation_id", "task_id", "terms"),
     "s9_upsert_tasks": lambda s, d: N.upsert_tasks(_store(s, d), _batch(s, d)),
-    "s16_apply_task_status": lambda s, d: N.apply_task_status(_store(s, d), _changes(s, d)),
-    "s16_apply_all_task_status": lambda s, d: N.apply_task_status(_every_task(s, d), _changes(s, d)),
+    "s16_apply_task_status": lambda s, d: N.apply_task_status(_every_task(s, d), _changes(s, d)),
     "s14_export_sections": _sections,
     "x2_page_challenge": lambda s, d: P.page_challenge(_html(s, d)),
     "x7_9_page_facts": lambda s, d: P.page_facts(P.page_text(_html(s, d))),
@@ -208,17 +208,13 @@ SELECT investigation_id, task_id, CASE task_type WHEN '{C.GST}' THEN coalesce('"
         "u6_merge_candidates": f"""{ctes("intake", "evidence")}, {_SEED}, base AS (SELECT * FROM seed WHERE confidence IS NOT NULL), extra AS (SELECT investigation_id, trim(field_value) AS name, confidence FROM evidence WHERE field_name IN ('legal_name', 'trade_name', 'company_name') AND trim(field_value) <> ''
    QUALIFY row_number() OVER (PARTITION BY investigation_id, lower(trim(field_value)) ORDER BY ev_seq) = 1)
 SELECT *, 'intake' AS source FROM base UNION ALL SELECT x.investigation_id, x.name, NULL, NULL, NULL, NULL, least(x.confidence, CAST(0.9 AS DOUBLE)), 'proposal' FROM extra x JOIN base b ON x.investigation_id = b.investigation_id WHERE lower(trim(coalesce(b.name, ''))) <> lower(x.name)""",
-        "j9_route_sources": f"{ctes('research_tasks')}, {_ROUTES} SELECT investigation_id, seq, b.task_type, l[1] AS preferred, array_to_string(l[2:], ',') AS fallback FROM research_tasks t JOIN byt b ON upper(trim(t.task_type)) = b.task_type WHERE seq > 3",
-        "j9_route_all_sources": f"{ctes('research_tasks')}, {_ROUTES} SELECT investigation_id, seq, b.task_type, l[1] AS preferred, array_to_string(l[2:], ',') AS fallback FROM research_tasks t JOIN byt b ON upper(trim(t.task_type)) = b.task_type",
+        "j9_route_sources": f"{ctes('research_tasks')}, {_ROUTES} SELECT investigation_id, seq, b.task_type, l[1] AS preferred, array_to_string(l[2:], ',') AS fallback FROM research_tasks t JOIN byt b ON upper(trim(t.task_type)) = b.task_type",
         "w11_admit": f"{ctes('attempts')} SELECT attempt_id, CASE WHEN count(*) OVER w > 15 THEN '{N.TASKS_REASON}' WHEN sum(attempt_id % 3) OVER w > 20 THEN '{N.ACTIONS_REASON}' END AS reason FROM attempts WINDOW w AS (PARTITION BY investigation_id ORDER BY attempt_id ROWS UNBOUNDED PRECEDING)",
         "s9_upsert_tasks": f"""{ctes("research_tasks")}, {_STORE}, allr AS (SELECT {_TASK_KEY}, task_id, task_type, target, objective, status, started_at, completed_at, FALSE AS fresh, seq FROM store UNION ALL SELECT {_TASK_KEY}, task_id, task_type, target, objective, status, NULL, NULL, TRUE, seq FROM research_tasks WHERE seq > 3),
   s AS (SELECT *, lag(status) OVER w AS was, row_number() OVER (PARTITION BY investigation_id, k1, k2, k3 ORDER BY fresh DESC, seq DESC) AS back, first_value(task_type) OVER w AS ft, first_value(target) OVER w AS fg, first_value(objective) OVER w AS fo, lag(started_at) OVER w AS was_started FROM allr WINDOW w AS (PARTITION BY investigation_id, k1, k2, k3 ORDER BY fresh, seq)),
   n AS (SELECT *, sum(CASE WHEN fresh AND (was IN ('COMPLETED', 'FAILED') OR was_started IS NOT NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY investigation_id, k1, k2, k3) AS r FROM s)
 SELECT investigation_id, task_id, ft AS task_type, fg AS target, fo AS objective, status, CAST(r AS INTEGER) AS retry_count, started_at, completed_at FROM n WHERE back = 1""",
-        "s16_apply_task_status": f"""{ctes("research_tasks")}, {_STORE}, c AS (SELECT investigation_id, task_id, arg_max(status, seq) AS status, arg_max(changed_at, seq) FILTER (status = 'STARTED') AS started_at, arg_max(changed_at, seq) FILTER (status IN ('COMPLETED', 'FAILED')) AS completed_at,
-   arg_max(target, seq) FILTER (status = 'COMPLETED' AND seq % 3 = 0) AS result_info, arg_max('timeout', seq) FILTER (status = 'FAILED' AND seq % 2 = 0) AS error_info FROM research_tasks GROUP BY 1, 2)
-SELECT s.investigation_id, s.task_id, task_type, target, objective, coalesce(c.status, s.status) AS status, 0 AS retry_count, coalesce(c.started_at, s.started_at) AS started_at, coalesce(c.completed_at, s.completed_at) AS completed_at, result_info, error_info FROM store s LEFT JOIN c ON s.investigation_id = c.investigation_id AND s.task_id = c.task_id""",
-        "s16_apply_all_task_status": f"""{ctes("research_tasks")}, store AS (SELECT *, CASE WHEN status <> 'PENDING' THEN changed_at END AS started_at, CASE WHEN status IN ('COMPLETED', 'FAILED') THEN changed_at END AS completed_at FROM research_tasks QUALIFY row_number() OVER (PARTITION BY investigation_id, task_id ORDER BY seq) = 1),
+        "s16_apply_task_status": f"""{ctes("research_tasks")}, store AS (SELECT *, CASE WHEN status <> 'PENDING' THEN changed_at END AS started_at, CASE WHEN status IN ('COMPLETED', 'FAILED') THEN changed_at END AS completed_at FROM research_tasks QUALIFY row_number() OVER (PARTITION BY investigation_id, task_id ORDER BY seq) = 1),
   c AS (SELECT investigation_id, task_id, arg_max(status, seq) AS status, arg_max(changed_at, seq) FILTER (status = 'STARTED') AS started_at, arg_max(changed_at, seq) FILTER (status IN ('COMPLETED', 'FAILED')) AS completed_at,
    arg_max(target, seq) FILTER (status = 'COMPLETED' AND seq % 3 = 0) AS result_info, arg_max('timeout', seq) FILTER (status = 'FAILED' AND seq % 2 = 0) AS error_info FROM research_tasks GROUP BY 1, 2)
 SELECT s.investigation_id, s.task_id, task_type, target, objective, coalesce(c.status, s.status) AS status, 0 AS retry_count, coalesce(c.started_at, s.started_at) AS started_at, coalesce(c.completed_at, s.completed_at) AS completed_at, result_info, error_info FROM store s LEFT JOIN c ON s.investigation_id = c.investigation_id AND s.task_id = c.task_id""",

@@ -16,6 +16,7 @@ from probitas.operators import qa as Q
 from probitas.operators import report as R
 from probitas.operators import risk as K
 from probitas.plans import extract, identity, planning
+from probitas.sources.catalog import SOURCES, source_catalog
 from probitas.sources.views import ctes, view
 
 AS_OF = "1998-12-01 00:00:00"
@@ -37,8 +38,19 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return L.score_pairs(view(spark, sf, "targets"), view(spark, sf, "candidates"), "nationkey")
 
 
-def _wanted(spark: SparkSession, sf: str) -> DataFrame:
-    return _ev(spark, sf).select("task_id", "field_name", "source_name").distinct()
+_TASKS = "SELECT investigation_id, 'TASK-' || CAST(CAST(substr(task_id, 6) AS INT) AS STRING) AS task_id, {first}(task_type, seq) AS task_type, {first}(target, seq) AS target, {first}(objective, seq) AS objective FROM research_tasks GROUP BY 1, 2"
+
+
+def _cached(spark: SparkSession, sf: str) -> DataFrame:
+    """What each task of evidence wants, field by field, from evidence as it is linked to tasks."""
+    ev, tasks = _ev(spark, sf), view(spark, sf, "research_tasks")
+    tasks = spark.sql(_TASKS.format(first="min_by").replace("research_tasks", "{tasks}"), tasks=tasks)
+    wanted = tasks.join(ev.select("investigation_id", "task_id", "field_name", "source_name"), ["investigation_id", "task_id"]).distinct()
+    return E.cached_results(wanted, E.link_evidence_to_tasks(ev, tasks), F.lit(AS_OF))
+
+
+def _status(spark: SparkSession, sf: str) -> DataFrame:
+    return R.source_status(_ev(spark, sf), source_catalog(spark))
 
 
 def _html(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,20 +71,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p14_unverified": lambda s, d: R.unverified_information(_ev(s, d)).select("investigation_id", "ev_seq", "field_name", "field_value"),
     "s8_upsert_evidence": lambda s, d: E.upsert_evidence(_ev(s, d)),
     "f13_fresh": lambda s, d: _ev(s, d).filter(E.is_fresh(F.col("retrieved_at"), F.col("field_name"), F.lit(AS_OF))).select("investigation_id", "ev_seq", "field_name"),
-    "j7_cached_results": lambda s, d: E.cached_results(_wanted(s, d), _ev(s, d), F.lit(AS_OF)),
-    "j8_split_cached": lambda s, d: E.split_cached(E.cached_results(_wanted(s, d), _ev(s, d), F.lit(AS_OF))),
+    "j7_cached_results": lambda s, d: _cached(s, d).select("investigation_id", "task_id", "field_name", "source_name", "found_value", "found_at", "found"),
+    "j8_split_cached": lambda s, d: E.split_cached(_cached(s, d), "investigation_id", "task_id"),
     "w2_latest_evidence": lambda s, d: E.latest_evidence(_ev(s, d)).select("investigation_id", "field_name", "field_value", "ev_seq"),
     "j1_exact_matches": lambda s, d: L.exact_matches(view(s, d, "targets"), view(s, d, "candidates")),
     "j2_identifier_conflicts": lambda s, d: L.identifier_conflicts(view(s, d, "targets"), view(s, d, "candidates"), "nationkey"),
     "j4_score_pairs": lambda s, d: _pairs(s, d).select("target_id", "candidate_id", "score", "exact", "conflict"),
     "j5_resolve": lambda s, d: L.resolve(view(s, d, "targets"), _pairs(s, d)),
-    "a4_source_status": lambda s, d: R.source_status(_ev(s, d)),
+    "a4_source_status": _status,
     "a5_attempt_rollup": lambda s, d: R.attempt_rollup(view(s, d, "attempts")),
     "a6_consistency": lambda s, d: R.consistency(_ev(s, d)),
     "a10_attempt_counters": lambda s, d: R.attempt_counters(view(s, d, "attempts")),
     "a12_primary_source": lambda s, d: R.primary_source(_ev(s, d)),
     "j19_reconcile_attempts": lambda s, d: R.reconcile_attempts(view(s, d, "attempts"), _ev(s, d)).select("attempt_id", "final_status", "selected"),
-    "j20_source_limitations": lambda s, d: R.source_limitations(R.source_status(_ev(s, d)), view(s, d, "attempts")),
+    "j20_source_limitations": lambda s, d: R.source_limitations(_status(s, d), view(s, d, "attempts")),
     "j16_contradicted_findings": lambda s, d: Q.contradicted_findings(K.risk_signals(_ev(s, d)), _ev(s, d)),
     "j14_grounding": lambda s, d: Q.check_grounding(K.risk_signals(_ev(s, d)), E.evidence_for(_ev(s, d), view(s, d, "investigations").filter("status = 'COMPLETED'"))),
     "p5_incomplete": lambda s, d: I.incomplete(view(s, d, "investigations")).select("investigation_id", "user_id", "status"),
@@ -119,7 +131,7 @@ _LEVEL = "CASE " + " ".join(f"WHEN score BETWEEN {a} AND {b} THEN '{n}'" for n,
 
 
 def _cat(c: str) -> str:
-    third = " OR ".join(f"contains(lower({c}), '{w}')" for w in R.THIRD_PARTY)
+    third = " OR ".join([f"contains(lower({c}), '{w}')" for w in R.THIRD_PARTY] + [f"translate(lower(trim({c})), '_.', '--') IN ({_strings(x[0].translate(str.maketrans('_.', '--')) for x in SOURCES if x[2] == 'THIRD_PARTY_REGISTRY')})"])
     return f"CASE WHEN contains(lower({c}), 'gst') THEN 'gst' WHEN contains(lower({c}), 'mca') THEN 'mca' WHEN contains(lower({c}), 'epf') THEN 'epfo' WHEN {third} THEN 'third_party' WHEN contains(lower({c}), 'website') OR contains(lower({c}), 'company') THEN 'official_website' ELSE 'general_web' END"
 
 
@@ -128,7 +140,7 @@ _STATUS = f""", tagged AS (SELECT investigation_id, {_cat("source_name")} AS cat
     {_VALUE} NOT IN ('NOT_FOUND', 'UNAVAILABLE', 'NONE', 'BLOCKED') AND CASE WHEN coalesce(verification_status, '') <> '' THEN verification_status = 'VERIFIED' ELSE confidence >= 0.7 END AS ok FROM evidence),
   per AS (SELECT investigation_id, category, count(*) AS n, bool_or(ok) AS ok, bool_or(contains(v, 'CAPTCHA')) AS captcha, bool_or(v IN ('BLOCKED', 'SOURCE_UNAVAILABLE', 'TIMEOUT')) AS blocked, bool_or(v IN ('NOT_FOUND', 'NONE')) AS missing
     FROM tagged WHERE field_name <> 'candidate_entities' GROUP BY ALL),
-  status AS (SELECT i.investigation_id, c.category, CASE WHEN ok THEN 'VERIFIED' WHEN captcha THEN 'CAPTCHA_REQUIRED' WHEN blocked THEN 'BLOCKED' WHEN missing THEN 'NOT_FOUND' ELSE 'UNAVAILABLE' END AS status, coalesce(n, 0) AS evidence_count
+  status AS (SELECT i.investigation_id, c.category, CASE WHEN ok THEN 'VERIFIED' WHEN captcha THEN 'CAPTCHA_REQUIRED' WHEN blocked THEN 'BLOCKED' WHEN missing THEN 'NOT_FOUND' ELSE 'UNAVAILABLE' END AS status, CASE WHEN n IS NULL THEN '{R.NO_RESEARCH}' WHEN ok THEN '{R.DETAILS["VERIFIED"]}' WHEN captcha THEN '{R.DETAILS["CAPTCHA_REQUIRED"]}' WHEN blocked THEN '{R.DETAILS["BLOCKED"]}' WHEN missing THEN '{R.DETAILS["NOT_FOUND"]}' ELSE '{R.NO_DETAIL}' END AS details, coalesce(n, 0) AS evidence_count
     FROM (SELECT DISTINCT investigation_id FROM evidence) i CROSS JOIN (SELECT unnest([{_strings(R.CATEGORIES)}]) AS category) c LEFT JOIN per p ON i.investigation_id = p.investigation_id AND c.category = p.category)"""
 _RANK = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.ATTEMPT_RANK.items()) + " ELSE 0 END"
 
@@ -148,8 +160,14 @@ _PAIRS = f""", t AS (SELECT target_id, nationkey, {_entity("t_")} FROM targets),
   scored AS (SELECT target_id, candidate_id, CASE WHEN conflict OR t_sector <> c_sector OR weight = 0 THEN 0.0 ELSE round(gain / weight, 4) END AS score, exact, conflict, exact OR coalesce(t_location = c_location, FALSE) AS supported, len(t_tokens) < 2 AS one_token FROM w)"""
 _FRESH = "CASE " + " ".join(f"WHEN contains(field_name, '{w}') THEN {d}" for w, d in E.FRESH_DAYS) + f" ELSE {E.FRESH_DEFAULT} END"
 _FRESH_EV = f", fresh AS (SELECT * FROM evidence WHERE floor((epoch(TIMESTAMP '{AS_OF}') - epoch(CAST(retrieved_at AS TIMESTAMP))) / 86400) < {_FRESH})"
-_CACHED = f"""{_FRESH_EV}, newest AS (SELECT field_name, lower(trim(source_name)) AS k, field_value, retrieved_at FROM fresh QUALIFY row_number() OVER (PARTITION BY field_name, lower(trim(source_name)) ORDER BY retrieved_at DESC, investigation_id DESC, ev_seq DESC) = 1),
-  cached AS (SELECT w.task_id, w.field_name, w.source_name, n.field_value AS found_value, n.retrieved_at AS found_at, n.k IS NOT NULL AS found FROM (SELECT DISTINCT task_id, field_name, source_name FROM evidence) w LEFT JOIN newest n ON w.field_name = n.field_name AND lower(trim(w.source_name)) = n.k)"""
+_KEY = lambda c: f"CASE lower(trim({c})) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in E.PORTAL_NAMES) + f" ELSE lower(trim({c})) END"
+_CACHED = f"""{_FRESH_EV}, tk AS ({_TASKS.format(first="arg_min")}),
+  linked AS (SELECT e.*, {_KEY("source_name")} AS k, upper(trim(t.task_type)) AS kind, lower(trim(t.target)) AS tg, lower(trim(t.objective)) AS ob, t.task_id IS NOT NULL AS linked FROM fresh e LEFT JOIN tk t ON e.investigation_id = t.investigation_id AND e.task_id = t.task_id),
+  newest AS (SELECT * FROM linked QUALIFY row_number() OVER (PARTITION BY field_name, k, linked, kind, tg, ob ORDER BY retrieved_at DESC, investigation_id DESC, ev_seq DESC) = 1),
+  wanted AS (SELECT DISTINCT t.*, field_name, source_name FROM tk t JOIN evidence e ON e.investigation_id = t.investigation_id AND e.task_id = t.task_id),
+  cached AS (SELECT w.investigation_id, w.task_id, w.field_name, w.source_name, n.field_value AS found_value, n.retrieved_at AS found_at, n.k IS NOT NULL AS found FROM wanted w
+    LEFT JOIN newest n ON w.field_name = n.field_name AND {_KEY("w.source_name")} = n.k AND (NOT n.linked OR (upper(trim(w.task_type)) = n.kind AND lower(trim(w.target)) = n.tg AND lower(trim(w.objective)) = n.ob))
+    QUALIFY row_number() OVER (PARTITION BY w.investigation_id, w.task_id, w.field_name, w.source_name ORDER BY n.retrieved_at DESC NULLS LAST, n.investigation_id DESC, n.ev_seq DESC) = 1)"""
 _NEUTRAL = lambda c: __import__("functools").reduce(lambda v, p: f"regexp_replace({v}, '{p[0].replace('(?i)', '')}', '{p[1]}', 'gi')", P.INJECTIONS, c)
 _CLEAN = lambda c: f"trim(regexp_replace({c}, '{P.SPACES}', ' ', 'g'))"
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<(?:/div|/p|/h[1-6]|/tr|/li|br\\s*/?|/td|/section|/article)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
@@ -184,8 +202,8 @@ SELECT investigation_id, ev_seq, array_to_string(errs, '; ') AS errors, len(errs
    min(ev_seq) OVER (PARTITION BY investigation_id, field_name, k, research_result_id) AS seq FROM r)
 SELECT investigation_id, research_result_id, task_id, field_name, field_value, src AS source_name, confidence, st AS verification_status, retrieved_at, seq AS ev_seq FROM w WHERE newest = 1""",
     "f13_fresh": f"{ctes('evidence')}{_FRESH_EV} SELECT investigation_id, ev_seq, field_name FROM fresh",
-    "j7_cached_results": f"{ctes('evidence')}{_CACHED} SELECT * FROM cached",
-    "j8_split_cached": f"{ctes('evidence')}{_CACHED} SELECT task_id, bool_and(found) AS reusable FROM cached GROUP BY 1",
+    "j7_cached_results": f"{ctes('evidence', 'research_tasks')}{_CACHED} SELECT * FROM cached",
+    "j8_split_cached": f"{ctes('evidence', 'research_tasks')}{_CACHED} SELECT investigation_id, task_id, bool_and(found) AS reusable FROM cached GROUP BY ALL",
     "w2_latest_evidence": f"{ctes('evidence')} SELECT investigation_id, field_name, field_value, ev_seq FROM evidence QUALIFY row_number() OVER (PARTITION BY investigation_id, field_name ORDER BY retrieved_at DESC, ev_seq DESC) = 1",
     "j1_exact_matches": f"{ctes('targets', 'candidates')}{_PAIRS.split(', ' + chr(10))[0].split('  p AS')[0].rstrip().rstrip(',')} SELECT DISTINCT target_id, candidate_id FROM t JOIN c ON t_gstin = c_gstin OR t_website = c_website",
     "j2_identifier_conflicts": f"{ctes('targets', 'candidates')}{_PAIRS} SELECT target_id, candidate_id, 'gstin' AS field, t_gstin AS target_value, c_gstin AS candidate_value FROM p WHERE t_gstin <> c_gstin",
@@ -206,11 +224,11 @@ SELECT investigation_id, field_key, CASE WHEN field_key LIKE '%address' THEN CAS
    count(*) FILTER (status IN ('REJECTED', 'IRRELEVANT', 'IRRELEVANT_CONTENT', 'IRRELEVANT_SECTOR')) AS irrelevant, arg_min(domain, attempt_id) FILTER (status = 'SUCCESS') AS selected FROM attempts GROUP BY 1) SELECT *, total - success - blocked - irrelevant AS failed FROM g""",
     "a12_primary_source": f"{ctes('evidence')} SELECT investigation_id, trim(source_name) AS primary_source FROM evidence WHERE confidence >= 0.5 AND {_VALUE} NOT IN ({_strings(R.UNUSABLE)}) QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY CASE "
     + " ".join("WHEN " + " OR ".join(f"contains(lower(source_name), '{w}')" for w in g) + f" THEN {k}" for k, g in enumerate(R.AUTHORITY)) + f" ELSE {len(R.AUTHORITY)} END, confidence DESC, lower(source_name), ev_seq) = 1",
-    "j19_reconcile_attempts": f"""{ctes("attempts", "evidence")}, s AS (SELECT DISTINCT investigation_id, {_cat("source_name")} AS cat FROM evidence WHERE confidence > 0 AND {_VALUE} NOT IN ({_strings(R.UNUSABLE)})),
-  a AS (SELECT *, {_DOMAIN} AS cat FROM attempts)
+    "j19_reconcile_attempts": f"""{ctes("attempts", "evidence")}, s AS (SELECT DISTINCT investigation_id, lower(trim(source_name)) AS cat FROM evidence WHERE confidence > 0 AND trim(source_name) <> '' AND {_VALUE} NOT IN ({_strings(R.UNUSABLE)})),
+  a AS (SELECT *, lower(trim(source_name)) AS cat FROM attempts)
 SELECT attempt_id, CASE WHEN status = 'SUCCESS' AND s.cat IS NULL THEN 'NO_DATA' ELSE status END AS final_status, status = 'SUCCESS' AND s.cat IS NOT NULL AS selected FROM a LEFT JOIN s ON a.investigation_id = s.investigation_id AND a.cat = s.cat""",
     "j20_source_limitations": f"{ctes('evidence', 'attempts')}{_STATUS} SELECT investigation_id, CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.LABELS.items()) + f" END AS source, status FROM status WHERE status IN ({_strings(R.LIMITATIONS)}) AND (investigation_id, category) IN (SELECT investigation_id, {_DOMAIN} FROM attempts)",
-    "j16_contradicted_findings": f"{ctes('evidence')}{_SIGNALS} SELECT s.investigation_id, code, e.research_result_id FROM signals s JOIN evidence e ON s.investigation_id = e.investigation_id WHERE code = 'GST_INACTIVE' AND contains(lower(field_value), 'active') AND NOT contains(lower(field_value), 'inactive')",
+    "j16_contradicted_findings": f"{ctes('evidence')}{_SIGNALS} SELECT s.investigation_id, code, e.research_result_id FROM signals s JOIN evidence e ON s.investigation_id = e.investigation_id WHERE code = 'GST_INACTIVE' AND field_name = 'gst_status' AND contains(lower(field_value), 'active') AND NOT contains(lower(field_value), 'inactive')",
     "j14_grounding": f"""{ctes("investigations", "evidence")}{_SIGNALS}, kept AS (SELECT * FROM evidence WHERE investigation_id IN (SELECT investigation_id FROM investigations WHERE status = 'COMPLETED')), x AS (SELECT investigation_id, code, unnest(string_split(evidence_ids, ',')) AS evidence_id FROM signals)
 SELECT *, CASE WHEN (investigation_id, evidence_id) IN (SELECT investigation_id, research_result_id FROM kept) THEN NULL WHEN evidence_id IN (SELECT research_result_id FROM kept) THEN 'OTHER_INVESTIGATION' ELSE 'NON_EXISTENT' END AS problem FROM x""",
     "p5_incomplete": f"{ctes('investigations')} SELECT investigation_id, user_id, status FROM investigations WHERE completed_timestamp IS NULL AND status NOT IN ('COMPLETED', 'FAILED')",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DISCOVERY, GENERAL, THIRD = "ENTITY_DISCOVERY", "GENERAL_WEB_RESEARCH", "THIRD_PARTY_RESEARCH"
@@ -33,6 +35,7 @@ URLS = {
     "third_party": QUICK,
     "generic_web": QUICK,
 }
+CANONICAL = (("GST Portal", "gst.gov.in"), ("MCA Portal", "mca.gov.in"), ("EPFO Portal", "epfindia.gov.in"), ("Company Website", "company_website"), ("General Web", "generic_web"), ("Third-Party Source", "third_party"))
 NO_DIRECTORY = ("generic_web", "third_party")
 SCHEMA = "name string, label string, kind string, tier int, priority int, confidence double, task_types array<string>, base_url string, cin_name_url string, name_url string, cin_url string, gstin_url string, search_url string, enabled boolean"
 
@@ -42,6 +45,31 @@ def source_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*s, *URLS.get(s[0], (None,) * 5), True) for s in SOURCES], SCHEMA)
 
 
+def lookup_key(name: Column) -> Column:
+    """What names of one source share: letters of any case, and _ and . as -."""
+    return F.translate(F.lower(F.trim(name)), "_.", "--")
+
+
+def find_source(names: DataFrame, catalog: DataFrame, name: str = "source_name") -> DataFrame:
+    """names with source, the catalogue's entry: of equal name, else of equal name in lower case, else
+    of equal lookup_key(); null if none."""
+    s = catalog.select(lookup_key(F.col("name")).alias("key_"), F.struct("name", "kind", "tier", "priority", "confidence").alias("s_"))
+    rank = lambda n: F.when(F.col("s_.name") == n, 0).when(F.lower("s_.name") == F.lower(n), 1).otherwise(2)
+    d = names.select(F.struct("*").alias("n_"), F.col(name).alias("of_")).distinct().withColumn("key_", lookup_key(F.col("of_"))).join(s, "key_", "left")
+    best = d.groupBy("n_").agg(F.min_by("s_", F.struct(rank(F.col("of_")), F.col("s_.name"))).alias("source"))
+    return best.select("n_.*", "source")
+
+
+def canonical_source(name: Column) -> Column:
+    """The key of a source's display name; other names stay."""
+    return reduce(lambda c, kv: c.when(name == kv[0], kv[1]), CANONICAL, F.when(F.lit(False), "")).otherwise(name)
+
+
+def by_priority(registry: DataFrame) -> DataFrame:
+    """Sources by (priority, name)."""
+    return registry.orderBy("priority", "name")
+
+
 def by_task_type(catalog: DataFrame) -> DataFrame:
     """(task_type, preferred, fallback): the first enabled source of a type, and the rest in order."""
     pairs = catalog.filter("enabled").select(F.explode("task_types").alias("task_type"), F.struct("priority", "tier", "name").alias("s"))

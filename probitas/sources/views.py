@@ -40,7 +40,9 @@ VIEWS = {
   FROM {t}customer JOIN {t}nation ON c_nationkey = n_nationkey JOIN {t}part ON p_partkey = c_custkey""",
     "attempts": """SELECT event_id AS attempt_id, user_id AS investigation_id,
   CASE event_id % 6 WHEN 0 THEN 'gst.gov.in' WHEN 1 THEN 'mca.gov.in' WHEN 2 THEN 'epfindia.gov.in' WHEN 3 THEN 'company_website' WHEN 4 THEN 'zaubacorp.com' ELSE 'generic_web' END AS domain,
-  CASE event_type WHEN 'click' THEN 'SUCCESS' WHEN 'view' THEN 'NO_DATA' WHEN 'signup' THEN 'REJECTED' WHEN 'purchase' THEN 'BLOCKED_OR_ERROR' ELSE 'ERROR' END AS status, ts AS started_at FROM {t}events""",
+  CASE event_type WHEN 'click' THEN 'SUCCESS' WHEN 'view' THEN 'NO_DATA' WHEN 'signup' THEN 'REJECTED' WHEN 'purchase' THEN 'BLOCKED_OR_ERROR' ELSE 'ERROR' END AS status, ts AS started_at,
+  CASE event_id % 6 WHEN 0 THEN 'GST Portal' WHEN 1 THEN 'MCA Portal' WHEN 2 THEN 'EPFO Portal' WHEN 3 THEN ' company website' WHEN 4 THEN CASE WHEN event_id % 4 = 0 THEN 'Tofler' ELSE 'Zauba Corp' END ELSE 'General Web' END AS source_name,
+  'https://site' || CAST(event_id % 9 AS STRING) || '.in/page' AS url FROM {t}events""",
     "intake": """SELECT o_orderkey AS investigation_id, CASE WHEN o_custkey % 5 <> 0 THEN 'Firm ' || CAST(o_custkey AS STRING) || ' Limited' WHEN o_custkey % 10 = 0 THEN '' END AS business_name,
   CASE WHEN o_custkey % 4 = 0 THEN '27ABCDE' || lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') || 'F1Z5' END AS gstin, CASE WHEN o_custkey % 3 = 0 THEN 'U12345MH2001PTC' || lpad(CAST(o_custkey % 1000000 AS STRING), 6, '0') END AS cin,
   CASE WHEN o_custkey % 7 = 0 THEN 'MH/BAN/' || lpad(CAST(o_custkey % 100000 AS STRING), 5, '0') END AS epfo_code, CASE WHEN o_custkey % 6 = 0 THEN 'firm' || CAST(o_custkey AS STRING) || '.com' END AS website,

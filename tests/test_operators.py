@@ -128,7 +128,10 @@ def test_text_functions(spark):
 
 
 def test_source_status_best_outcome_wins(spark):
-    rows = R.source_status(ev(spark, (1, "a", "f", "BLOCKED", "GST Portal", 0.1, None), (1, "b", "f", "Active", "gst", 0.1, "VERIFIED"), (1, "c", "f", "solve CAPTCHA", "MCA", 0.1, "UNVERIFIED"), (1, "d", "f", "NOT_FOUND", "QuickCompany", 0.1, None), (1, "e", "candidate_entities", "x", "General Web", 0.9, None))).collect()
+    rows = R.source_status(ev(spark, (1, "a", "f", "BLOCKED", "GST Portal", 0.1, None), (1, "b", "f", "Active", "gst", 0.1, "VERIFIED"), (1, "c", "f", "solve CAPTCHA", "MCA", 0.1, "UNVERIFIED"), (1, "d", "f", "NOT_FOUND", "QuickCompany", 0.1, None), (1, "e", "candidate_entities", "x", "General Web", 0.9, None), (2, "f", "f", "v", "Falconebiz.com", 0.9, "VERIFIED")), C.source_catalog(spark)).collect()
+    assert [(r.category, r.details) for r in rows if r.investigation_id == 2 and r.evidence_count] == [("third_party", R.DETAILS["VERIFIED"])]
+    rows = [r for r in rows if r.investigation_id == 1]
+    assert {r.details for r in rows if not r.evidence_count} == {R.NO_RESEARCH}
     assert {r.category: (r.status, r.evidence_count) for r in rows} == {"gst": ("VERIFIED", 2), "mca": ("CAPTCHA_REQUIRED", 1), "epfo": ("UNAVAILABLE", 0), "official_website": ("UNAVAILABLE", 0), "third_party": ("NOT_FOUND", 1), "general_web": ("UNAVAILABLE", 0)}
 
 
@@ -345,3 +348,35 @@ def test_frontier_and_terms(spark):
 @pytest.mark.parametrize(("line", "ok"), [("12 MG Road, Pune 411001", True), ("MG Road Pune", False), ("12, MG Road, Pune", True), ("Registered office: 12 MG Road, Pune 411001", False), ("Manufacture of roads, India 411001", False), ("411001, a place beyond", True), ("Alpha 411001", False), ("411001 x", False), ("", False), (None, False)])
 def test_address_lines(spark, line, ok):
     assert one(spark, line, P.is_address_like) is ok
+
+
+def test_cached_results_ask_for_the_same_task(spark):
+    e = spark.createDataFrame([
+        (1, "a", "T1", "gst_status", "Active", " GST Portal", dt.date(2026, 1, 9), 1),  # linked to T1
+        (2, "b", "T9", "gst_status", "Older", "gst.gov.in", dt.date(2026, 1, 8), 1),  # linked to no task
+        (3, "c", "T1", "gst_status", "Stale", "gst.gov.in", dt.date(2025, 1, 1), 1),
+    ], "investigation_id long, research_result_id string, task_id string, field_name string, field_value string, source_name string, retrieved_at date, ev_seq int")
+    tasks = spark.createDataFrame([(1, "T1", "gst_verification ", "Firm", "Verify it")], "investigation_id long, task_id string, task_type string, target string, objective string")
+    w = spark.createDataFrame([(k, "GST_VERIFICATION", t, o, f, s) for k, t, o, f, s in (("same", " FIRM", "verify it", "gst_status", "GST.gov.in"), ("other objective", "firm", "look again", "gst_status", "gst portal"), ("other source", "firm", "verify it", "gst_status", "mca.gov.in"), ("other field", "firm", "verify it", "gstin", "gst portal"))], "task_id string, task_type string, target string, objective string, field_name string, source_name string")
+    got = {r.task_id: r.found_value for r in E.cached_results(w, E.link_evidence_to_tasks(e, tasks), F.lit("2026-01-10")).collect()}
+    assert got == {"same": "Active", "other objective": "Older", "other source": None, "other field": None}
+    assert {r.task_id for r in E.split_cached(E.cached_results(w, E.link_evidence_to_tasks(e, tasks), F.lit("2026-01-10"))).filter("reusable").collect()} == {"same", "other objective"}
+
+
+def test_attempts_are_matched_by_source_name(spark):
+    a = spark.createDataFrame([(1, 1, "zaubacorp.com", "SUCCESS", "Tofler"), (2, 1, "zaubacorp.com", "SUCCESS", " zauba corp"), (3, 1, "x", "ERROR", "Zauba Corp"), (4, 1, "x", "SUCCESS", None)], "attempt_id long, investigation_id long, domain string, status string, source_name string")
+    e = ev(spark, (1, "a", "f", "v", "Zauba Corp", 0.5, None), (1, "b", "f", "NOT_FOUND", "Tofler", 0.5, None), (1, "c", "f", "v", "", 0.5, None))
+    assert [(r.final_status, r.selected) for r in R.reconcile_attempts(a, e).orderBy("attempt_id").collect()] == [("NO_DATA", False), ("SUCCESS", True), ("ERROR", False), ("NO_DATA", False)]
+
+
+def test_contradictions_look_at_gst_status_alone(spark):
+    f = spark.createDataFrame([(1, "GST_INACTIVE")], "investigation_id long, code string")
+    e = ev(spark, (1, "a", "company_status", "Active", "s", 0.9, None), (1, "b", "gst_status", "Inactive", "s", 0.9, None), (1, "c", "gst_status", " ACTIVE", "s", 0.9, None), (1, "d", "contact_address", "Proactive House", "s", 0.9, None))
+    assert [r.research_result_id for r in Q.contradicted_findings(f, e).collect()] == ["c"]
+
+
+def test_find_source(spark):
+    names = spark.createDataFrame([(1, "Tofler.in"), (2, "company-website"), (3, "nobody"), (4, None)], "n int, source_name string")
+    got = {r.n: r.source and r.source.name for r in C.find_source(names, C.source_catalog(spark)).collect()}
+    assert got == {1: "tofler.in", 2: "company_website", 3: None, 4: None}
+    assert one(spark, "MCA Portal", C.canonical_source) == "mca.gov.in" and one(spark, "Tofler", C.canonical_source) == "Tofler"
