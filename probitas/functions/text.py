@@ -17,6 +17,77 @@ ADDRESS_FORMS = (
     ("no|num|number", "no"), ("opp|opposite", "opp"), ("nr|near", "near"), ("dist|district", "dist"), ("sec|sector", "sector"), ("ph|phase", "phase"), (r"hno|house\s+no", "hno"), ("india", ""), ("ind", ""),
 )
 
+# What places are introduced by and followed by, and their marks in HTML.
+PLACE_HEAD = r"^(?:in\s+|located\s+in\s+|at\s+|from\s+|near\s+|city\s+of\s+|state\s+of\s+)"
+PLACE_TAIL = r"\s*[-|–—:]?\s*(?:official\s+website|website|company\s+registration|mca\s+details|search\s+results|cin|gstin)\b.*$"
+PLACE_END = r"[.\-–—:|/,\s]+$"
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+# What is no legal name.
+NAME_TELLS = (
+    r"\s+\bin\s+.*$", r"\b[ul][0-9]{5}[a-z]{2}[0-9]{4}[a-z]{3}[0-9]{6}\b", r"\b[0-9]{2}[a-z]{5}[0-9]{4}[a-z][0-9a-z]z[0-9a-z]\b", r"\bhaving\s+(?:cin|gstin|llpin|pan|din|tan)\b", r"\bis\s+\d+\s+(?:year|yr|month|mo|week|wk|day)s?\b",
+    r"\b(?:date|year)\s+of\s+(?:incorporation|registration|establishment)\b", r"\b(?:incorporated|registered)\s+(?:on|in|as|since|under|with)\s+\S",
+)
+NO_NAME = (
+    "not_found", "unavailable", "unknown", "error", "blocked", "irrelevant", "source_unavailable", "captcha_required", "not applicable", "n/a", "na", "none", "null", "something went wrong", "access denied", "page not found", "search results", "results for", "duckduckgo", "google search", "bing search",
+    "nature of business activities", "nature of business", "business activity", "registered office", "registered address", "contact us", "about us", "terms of use", "privacy policy", "all rights reserved",
+)
+PORTAL_HEADS = ("welcome", "home", "login", "index", "search", "companies matching", "404", "503", "502", "500", "403")
+REGION_NAMES = ("maharashtra", "karnataka", "delhi", "new delhi", "tamil nadu", "telangana", "gujarat", "west bengal", "haryana", "uttar pradesh", "mumbai", "bengaluru", "bangalore", "chennai", "hyderabad", "kolkata", "pune", "gurgaon", "gurugram", "noida", "india", "bharat")
+# What is no business activity.
+FUNCTION_WORDS = ("of", "and", "the", "in", "for", "with", "to", "or", "on", "at", "by", "from", "a", "an", "as", "including", "related")
+MARKUP_TELLS = r"https?://|www\.\w|\S+@\S+\.\S+|<[a-z/][^>]*>|&[a-z]{2,6};"
+GLOSS = (
+    r"(?i)[\[(]\s*(?:(?:this|also)\s+)?(?:(?:sub[-\s]?class|class|group|division|section|category|heading|code)\s+)?(?:includes?|excludes?|including|excluding|incl\.?|excl\.?|covers?|comprises?|comprising"
+    r"|for\s+example|e\.?\s?g\.?|such\s+as|namely|i\.?\s?e\.?|n\.?\s?e\.?\s?c\.?|not\s+elsewhere\s+classified)\b"
+)
+ID_SHAPES = r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b|\b[UL][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b"
+ACTIVITY_WORD = r"[A-Za-z][A-Za-z&/.\-']*"
+BARE_LABEL = (
+    r"^(?:the\s+)?(?:nature|type|kind|principal|primary|main|category|class|code|description|details?|industry|sector|line)\s+(?:of\s+)?"
+    r"(?:business(?:\s+activit(?:y|ies))?|activit(?:y|ies)|industry|operations?|work)\s*[:\-–—]?$"
+)
+MENU_SIGN = r"\s[|/•·»›▸≫>]\s|\s[–-]\s\S"
+
+
+def title_case(c: Column) -> Column:
+    """The first letter of each run of letters in upper case, the others in lower case."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), "")
+
+
+def norm_location(c: Column) -> Column:
+    """Places without introduction, markup and site words, each once, in title case; null if none."""
+    v = reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.trim(c))
+    v = F.trim(F.regexp_replace(F.trim(F.regexp_replace(v, "<[^>]+>", " ")), f"(?i){PLACE_HEAD}", ""))
+    v = F.trim(F.regexp_replace(v, f"(?i){PLACE_TAIL}", ""))
+    v = F.regexp_replace(F.trim(F.element_at(F.split(v, "[?&#]"), 1)), PLACE_END, "")
+    parts = F.transform(F.split(v, "[,/|;]+"), lambda p: F.trim(F.regexp_replace(title_case(F.trim(p)), PLACE_END, "")))
+    return F.nullif(F.array_join(F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 2)), ", "), F.lit(""))
+
+
+def is_legal_name(c: Column) -> Column:
+    """Whether a value has the shape of a company's name: no metadata, header, portal title or region."""
+    v = F.trim(F.coalesce(c, F.lit("")))
+    low = F.lower(v)
+    tells = reduce(lambda a, b: a | b, (low.rlike(p) for p in NAME_TELLS))
+    heads = reduce(lambda a, b: a | b, (low.startswith(p) for p in PORTAL_HEADS))
+    return (v != "") & (F.length(v) <= 150) & ~tells & ~low.isin(*NO_NAME) & ~heads & ~low.isin(*REGION_NAMES) & ~F.trim(F.replace(low, F.lit(","), F.lit(" "))).isin(*REGION_NAMES)
+
+
+def is_activity(c: Column) -> Column:
+    """Whether a value has the shape of a line of business: one line of words that is no markup, snippet,
+    class gloss, identifier, label or menu."""
+    v = F.trim(F.coalesce(c, F.lit("")))
+    low = F.lower(v)
+    words = F.regexp_extract_all(v, F.lit(ACTIVITY_WORD), F.lit(0))
+    letters = F.length(F.regexp_replace(v, "[^A-Za-z]", ""))
+    snippet = v.contains("…") | v.endswith("...") | v.contains(" ... ") | v.contains("?")
+    menu = (F.size(words) >= 5) & F.forall(words, lambda w: w.rlike("^[A-Z]")) & ~F.exists(words, lambda w: F.lower(w).isin(*FUNCTION_WORDS))
+    return (
+        F.length(v).between(3, 250) & ~v.rlike("[\\n\\r\\t]") & ~low.rlike(MARKUP_TELLS) & ~snippet & ~v.rlike(GLOSS) & (2 * letters >= F.length(v)) & ~F.upper(v).rlike(ID_SHAPES)
+        & F.size(words).between(1, 40) & ~low.rlike(BARE_LABEL) & (F.regexp_count(v, F.lit(MENU_SIGN)) < 3) & ~menu
+    )
+
 
 def squeeze(c: Column) -> Column:
     """White space, also of other scripts, to single spaces; none at the ends."""
@@ -105,3 +176,40 @@ def sql_name_tokens(c: str) -> str:
 
 def sql_sector_mask(c: str) -> str:
     return "(" + " + ".join(f"CASE WHEN contains(lower(coalesce({c}, '')), '{w}') THEN {1 << i} ELSE 0 END" for i, w in enumerate(SECTOR_WORDS)) + ")"
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def sql_title_case(c: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
+
+
+def sql_norm_location(c: str) -> str:
+    v = reduce(lambda a, e: f"replace({a}, '{_sql(e[0])}', '{_sql(e[1])}')", ENTITIES, f"trim({c})")
+    v = f"trim(regexp_replace(trim(regexp_replace({v}, '<[^>]+>', ' ', 'g')), '(?i){PLACE_HEAD}', ''))"
+    v = f"trim(regexp_replace({v}, '(?i){PLACE_TAIL}', ''))"
+    v = f"regexp_replace(trim(regexp_split_to_array({v}, '[?&#]')[1]), '{PLACE_END}', '')"
+    parts = f"list_transform(regexp_split_to_array({v}, '[,/|;]+'), lambda p: trim(regexp_replace({sql_title_case('trim(p)')}, '{PLACE_END}', '')))"
+    return f"nullif(array_to_string(list_reduce(list_transform(list_filter({parts}, lambda p: length(p) >= 2), lambda p: [p]), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END, CAST([] AS VARCHAR[])), ', '), '')"
+
+
+def sql_is_legal_name(c: str) -> str:
+    v = f"trim(coalesce({c}, ''))"
+    words = lambda w: ", ".join(f"'{x}'" for x in w)
+    tells = " OR ".join(f"regexp_matches(lower({v}), '{_sql(p)}')" for p in NAME_TELLS)
+    heads = " OR ".join(f"starts_with(lower({v}), '{p}')" for p in PORTAL_HEADS)
+    return f"({v} <> '' AND length({v}) <= 150 AND NOT ({tells}) AND NOT ({heads}) AND lower({v}) NOT IN ({words((*NO_NAME, *REGION_NAMES))}) AND trim(replace(lower({v}), ',', ' ')) NOT IN ({words(REGION_NAMES)}))"
+
+
+def sql_is_activity(c: str) -> str:
+    v = f"trim(coalesce({c}, ''))"
+    words = f"regexp_extract_all({v}, '{_sql(ACTIVITY_WORD)}')"
+    near = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+    menu = f"(len({words}) >= 5 AND len(list_filter({words}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 AND len(list_filter({words}, lambda w: lower(w) IN ({near}))) = 0)"
+    return (
+        f"(length({v}) BETWEEN 3 AND 250 AND NOT regexp_matches({v}, '[\\n\\r\\t]') AND NOT regexp_matches(lower({v}), '{_sql(MARKUP_TELLS)}') AND NOT (contains({v}, '…') OR suffix({v}, '...') OR contains({v}, ' ... ') OR contains({v}, '?'))"
+        f" AND NOT regexp_matches({v}, '{_sql(GLOSS)}') AND 2 * length(regexp_replace({v}, '[^A-Za-z]', '', 'g')) >= length({v}) AND NOT regexp_matches(upper({v}), '{_sql(ID_SHAPES)}') AND len({words}) BETWEEN 1 AND 40"
+        f" AND NOT regexp_matches(lower({v}), '{_sql(BARE_LABEL)}') AND len(regexp_extract_all({v}, '{_sql(MENU_SIGN)}')) < 3 AND NOT {menu})"
+    )

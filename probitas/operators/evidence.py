@@ -7,12 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probitas.cluster import stage
+from probitas.functions import text as X
+from probitas.operators.pages import is_address_like
+
 # What counts as no fact, and how long a fact stays fresh.
 PLACEHOLDERS = ("NOT_FOUND", "UNAVAILABLE", "UNKNOWN", "ERROR", "BLOCKED", "IRRELEVANT", "SOURCE_UNAVAILABLE", "CAPTCHA_REQUIRED", "NOT APPLICABLE", "N/A", "NA", "NONE", "NULL", "SOMETHING WENT WRONG")
 REJECTED = ("REJECTED", "ENTITY_MISMATCH", "UNRELATED", "IRRELEVANT")
 VERIFICATION_FIELDS = ("gst_status", "mca_status", "website_status")
 FRESH_DAYS = (("gst", 7), ("mca", 30), ("company", 30), ("website", 30))
 FRESH_DEFAULT = 30
+ADDRESS_FIELDS = ("registered_address", "establishment_address", "contact_address", "principal_business_address", "principal_place_of_business", "corporate_address", "address")
+NAME_FIELDS = ("legal_name", "company_name", "business_name", "establishment_name", "trade_name")
+ACTIVITY_FIELDS = ("business_activity", "nature_of_business", "activity", "principal_business_activity")
+TEXT_KEYS, CUT = ("source_text", "snippet", "text", "context", "raw_text"), " …[truncated]"
 PORTAL_NAMES = (("gst.gov.in", "gst portal"), ("mca.gov.in", "mca portal"))
 KEY = ("investigation_id", "field_name", "source_key", "research_result_id")
 
@@ -33,8 +41,22 @@ def validate_results(d: DataFrame) -> DataFrame:
     return d.withColumn("errors", F.array_compact(F.array(*checks))).withColumn("is_valid", F.size("errors") == 0)
 
 
+def value_errors(d: DataFrame) -> DataFrame:
+    """d with value_errors (array of strings): values that don't have the shape of their group of fields."""
+    field, value = F.col("field_name"), F.col("field_value")
+    rules = ((ADDRESS_FIELDS, is_address_like, "not an address"), (NAME_FIELDS, X.is_legal_name, "not a legal name"), (ACTIVITY_FIELDS, X.is_activity, "not a business activity"))
+    return d.withColumn("value_errors", F.array_compact(F.array(*(F.when(value.isNotNull() & field.isin(*fields) & ~shape(value), said) for fields, shape, said in rules))))
+
+
+def admit_results(d: DataFrame) -> DataFrame:
+    """d with errors of both kinds and is_valid, checked once: stage it where both halves are used."""
+    both = value_errors(validate_results(d)).withColumn("errors", F.concat("errors", "value_errors"))
+    return both.withColumn("is_valid", F.size("errors") == 0).drop("value_errors")
+
+
 def split_valid(d: DataFrame) -> tuple[DataFrame, DataFrame]:
-    checked = validate_results(d)
+    """The valid rows as they are and the others with their errors; the checks are staged, not run twice."""
+    checked = stage(admit_results(d), "checked")
     return checked.filter("is_valid").drop("errors", "is_valid"), checked.filter("not is_valid")
 
 
@@ -105,4 +127,12 @@ def latest_evidence(ev: DataFrame) -> DataFrame:
 
 def bound_text(value: Column, limit: int = 20_000) -> Column:
     """Values longer than limit are cut and marked."""
-    return F.when(F.length(value) > limit, F.concat(F.substring(value, 1, limit), F.lit(" …[truncated]"))).otherwise(value)
+    return F.when(F.length(value) > limit, F.concat(F.substring(value, 1, limit), F.lit(CUT))).otherwise(value)
+
+
+def bound_items(items: Column, names: tuple[str, ...], limit: int = 20_000, each: int = 2_000) -> Column:
+    """A list of structs of the given fields whose text fields are cut to `each` characters and marked;
+    if its JSON is still longer than limit, the text fields become null."""
+    short = F.transform(items, lambda x: F.struct(*((F.when(F.length(x[n]) > each, F.concat(F.substring(x[n], 1, each), F.lit(CUT))).otherwise(x[n]) if n in TEXT_KEYS else x[n]).alias(n) for n in names)))
+    bare = F.transform(items, lambda x: F.struct(*((F.lit(None).cast("string") if n in TEXT_KEYS else x[n]).alias(n) for n in names)))
+    return F.when(F.length(F.to_json(short)) > limit, bare).otherwise(short)

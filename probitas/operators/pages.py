@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Patterns that results depend on.
@@ -101,6 +101,11 @@ def plain_text(html: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(plain, "\n"), clean), lambda x: x != ""), "\n")
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages (page_id, url, html) with content_hash, the hex SHA-256 of their HTML."""
+    return spark.read.parquet(path).withColumn("content_hash", F.sha2(F.coalesce("html", F.lit("")), 256))
+
+
 def page_text(pages: DataFrame, *keep: str) -> DataFrame:
     """pages (page_id, html) to (page_id, title, text) and the columns to keep: markup out, one line a
     block, no empty lines."""

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probitas.operators.intake import dropped_identifiers
+
 # Words that need support in cited evidence, and where each issue leads.
 UNSAFE = ("fraudster", "fraud", "scam", "fake")
 NEXT = (("WRONG_ENTITY", "entity_resolution"), ("MISSING_EVIDENCE", "planner"), ("UNSUPPORTED_CLAIM", "planner"), ("WRONG_RISK_SCORE", "risk_analysis"), ("REPORT_WORDING", "report_generation"))
@@ -53,12 +55,32 @@ def score_mismatch(reports: DataFrame, scores: DataFrame) -> DataFrame:
     return d.filter(~F.col("score").eqNullSafe(F.col("expected")))
 
 
+def qa_issues(reports: DataFrame, requests: DataFrame, findings: DataFrame, ev: DataFrame, scores: DataFrame, grounded: DataFrame) -> DataFrame:
+    """(investigation_id, kind, detail): every issue of reports (investigation_id, business_name, gstin, cin,
+    epfo_code, entity_confidence, score, level) against their requests, evidence and recomputed scores."""
+    i = "investigation_id"
+    row = lambda d, kind, *detail: d.select(i, F.lit(kind).alias("kind"), F.concat_ws(" ", *(F.col(c).cast("string") if isinstance(c, str) else c for c in detail)).alias("detail"))
+    named = F.coalesce("business_name", F.lit("")) != ""
+    unsure = named & ~F.coalesce(F.col("level") == "INSUFFICIENT_EVIDENCE", F.lit(False)) & (F.col("entity_confidence") < 0.5)
+    parts = (
+        row(grounded.filter("problem is not null"), "MISSING_EVIDENCE", "code", "problem"),
+        row(unsafe_wording(findings, ev), "REPORT_WORDING", "code", "word"),
+        row(contradicted_findings(findings, ev), "UNSUPPORTED_CLAIM", "code", "research_result_id"),
+        row(dropped_identifiers(requests, reports), "WRONG_ENTITY", "field"),
+        row(reports.filter(~named), "WRONG_ENTITY", F.lit("empty")),
+        row(reports.filter(unsure), "WRONG_ENTITY", F.lit("confidence")),
+        row(score_mismatch(reports, scores), "WRONG_RISK_SCORE", F.lit("score")),
+    )
+    return reduce(DataFrame.union, parts)
+
+
 def qa_verdict(investigations: DataFrame, issues: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(investigation_id, status, issues, coverage): PASS without issues (investigation_id, kind)."""
+    """(investigation_id, status, issues, coverage, score_verified, entity_verified): PASS without issues (investigation_id, kind)."""
     per = issues.groupBy("investigation_id").agg(F.sort_array(F.collect_set("kind")).alias("issues"))
     d = investigations.select("investigation_id").join(per, "investigation_id", "left").join(coverage, "investigation_id", "left")
     found = F.coalesce("issues", F.array().cast("array<string>"))
-    return d.select("investigation_id", F.when(F.size(found) == 0, "PASS").otherwise("FAIL").alias("status"), found.alias("issues"), F.coalesce("coverage", F.lit(1.0)).alias("coverage"))
+    free_of = lambda kind: ~F.array_contains(found, kind)
+    return d.select("investigation_id", F.when(F.size(found) == 0, "PASS").otherwise("FAIL").alias("status"), found.alias("issues"), F.coalesce("coverage", F.lit(1.0)).alias("coverage"), free_of("WRONG_RISK_SCORE").alias("score_verified"), free_of("WRONG_ENTITY").alias("entity_verified"))
 
 
 def next_step(status: Column, issues: Column, loops: Column, max_loops: int = 2) -> Column:

@@ -22,6 +22,14 @@ LIMITATIONS = ("UNAVAILABLE", "BLOCKED", "CAPTCHA_REQUIRED", "NOT_FOUND")
 UNUSABLE = ("NOT_FOUND", "UNAVAILABLE", "SOURCE_UNAVAILABLE", "BLOCKED", "TIMEOUT", "NONE", "ERROR")
 NO_VALUE = ("NOT_FOUND", "UNAVAILABLE", "NONE", "BLOCKED", "ERROR", "UNKNOWN")
 CONSISTENCY_FIELDS = ("legal_name", "gstin", "cin", "registered_address", "establishment_address", "contact_address", "principal_business_address", "company_status", "business_activity", "incorporation_date", "website")
+FIELD_LABELS = ("Legal Entity Name", "GSTIN Identifier", "CIN Identifier", "Registered Office Address", "EPFO Establishment Address", "Official Contact Address", "Principal Place of Business", "Active Company Status", "Business Activity / Sector", "Incorporation Date", "Official Domain / Website")
+SCORE_CATEGORIES = ("identity", "registration", "compliance", "consistency", "operational", "activity", "public_footprint")
+RECOMMENDATIONS = (
+    "Based on available public evidence, a complete risk assessment could not be finalized because insufficient verified external registry evidence was accessible.",
+    "Based on available public evidence, high risk was detected. Additional manual compliance verification is strongly recommended before proceeding with this business partner.",
+    "Based on available public evidence, moderate risk was detected. Specific field discrepancies or status limitations require manual verification.",
+    "Based on available public evidence, low risk was detected. Standard regulatory and business verification criteria were met.",
+)
 STOPWORDS = ("AND", "THE", "OF", "IN", "FOR", "TO", "A", "AN", "PVT", "LTD", "LIMITED", "INC", "LLP", "CO", "COMPANY", "SERVICES", "SOLUTIONS", "DEVELOPMENT", "&", "-")
 
 
@@ -119,19 +127,57 @@ def _words(v: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda w: F.regexp_replace(w, r"^[,.;:]+|[,.;:]+$", "")))
 
 
-def consistency(ev: DataFrame) -> DataFrame:
-    """(investigation_id, field_key, status, n_sources) for the fields with a value: the last value
-    of each source, in the order of the sources' first rows; later values are compared with the first."""
+def _values(ev: DataFrame, *more: DataFrame) -> DataFrame:
+    """(investigation_id, field_key, vs): the last value of each source as (at, source, v), in the order of
+    the sources' first rows. more: rows (investigation_id, field_key, source, v) that evidence of the same source goes before."""
     ok = F.col("field_name").isin(*CONSISTENCY_FIELDS) & (F.col("confidence") >= 0.5) & ~F.upper(F.trim("field_value")).isin(*NO_VALUE)
-    last = ev.filter(ok).groupBy("investigation_id", "field_name", "source_name").agg(F.max_by(F.trim("field_value"), "ev_seq").alias("v"), F.min("ev_seq").alias("at"))
-    g = last.groupBy("investigation_id", F.col("field_name").alias("field_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vs"))
-    plain = F.array_distinct(F.transform("vs", lambda v: F.upper(v)))
-    forms = F.array_distinct(F.transform("vs", lambda v: X.norm_address(v)))
+    rows = ev.filter(ok).select("investigation_id", F.col("field_name").alias("field_key"), F.col("source_name").alias("source"), F.trim("field_value").alias("v"), "ev_seq", F.lit(True).alias("own"))
+    for m in more:
+        rows = rows.unionByName(m.withColumns({"ev_seq": F.lit(1 << 62), "own": F.lit(False)}))
+    last = rows.groupBy("investigation_id", "field_key", "source").agg(F.max_by("v", F.struct("own", "ev_seq")).alias("v"), F.min("ev_seq").alias("at"))
+    return last.groupBy("investigation_id", "field_key").agg(F.array_sort(F.collect_list(F.struct("at", "source", "v"))).alias("vs"))
+
+
+def _agreement(vs: Column, key: Column) -> Column:
+    """Later values are compared with the first one."""
+    plain = F.array_distinct(F.transform(vs, lambda x: F.upper(x["v"])))
+    forms = F.array_distinct(F.transform(vs, lambda x: X.norm_address(x["v"])))
     first = _words(plain[0])
     near = F.exists(F.slice(plain, 2, 1 << 20), lambda v: F.coalesce(F.size(F.array_intersect(first, _words(v))) / F.nullif(F.size(F.array_union(first, _words(v))), F.lit(0)) >= 0.40, F.lit(False)) & (F.size(first) > 0) & (F.size(_words(v)) > 0))
-    address = F.col("field_key").endswith("address")
-    status = F.when(address, F.when(F.size(forms) == 1, "MATCH").otherwise("CONFLICT")).when(F.size(plain) == 1, "MATCH").when(near, "PARTIAL_MATCH").otherwise("CONFLICT")
-    return g.select("investigation_id", "field_key", status.alias("status"), F.size("vs").cast("long").alias("n_sources"))
+    return F.when(key.endswith("address"), F.when(F.size(forms) == 1, "MATCH").otherwise("CONFLICT")).when(F.size(plain) == 1, "MATCH").when(near, "PARTIAL_MATCH").otherwise("CONFLICT")
+
+
+def consistency(ev: DataFrame) -> DataFrame:
+    """(investigation_id, field_key, status, n_sources) for the fields with a value."""
+    return _values(ev).select("investigation_id", "field_key", _agreement(F.col("vs"), F.col("field_key")).alias("status"), F.size("vs").cast("long").alias("n_sources"))
+
+
+def consistency_records(ev: DataFrame, entities: DataFrame) -> DataFrame:
+    """(investigation_id, field_key, field, status, sources, analysis): a record of every field for each
+    row of entities, whose own values count as the source User Input; a field without any is UNAVAILABLE."""
+    own = [c for c in CONSISTENCY_FIELDS if c in entities.columns]
+    given = F.array_compact(F.array(*(F.when((F.trim(F.coalesce(F.col(c), F.lit(""))) != "") & ~F.upper(F.trim(c)).isin("NOT_FOUND", "UNAVAILABLE", "NONE", "UNKNOWN"), F.struct(F.lit(c).alias("field_key"), F.trim(c).alias("v"))) for c in own)))
+    user = entities.select("investigation_id", F.explode(given).alias("x")).select("investigation_id", "x.field_key", F.lit("User Input").alias("source"), "x.v")
+    keys = F.array(*(F.struct(F.lit(k).alias("field_key"), F.lit(n).alias("field")) for k, n in zip(CONSISTENCY_FIELDS, FIELD_LABELS, strict=True)))
+    every = entities.select("investigation_id", F.explode(keys).alias("k")).select("investigation_id", "k.*")
+    d = every.join(_values(ev, user), ["investigation_id", "field_key"], "left").withColumn("status", F.when(F.col("vs").isNull(), "UNAVAILABLE").otherwise(_agreement(F.col("vs"), F.col("field_key"))))
+    names = F.array_join(F.transform("vs", lambda x: x["source"]), ", ")
+    pairs = F.array_join(F.transform("vs", lambda x: F.concat(x["source"], F.lit(": "), x["v"])), "; ")
+    uppers = F.array_distinct(F.transform("vs", lambda x: F.upper(x["v"])))
+    forms = F.array_join(F.transform(uppers, lambda u: F.element_at(F.filter("vs", lambda x: F.upper(x["v"]) == u), -1)["v"]), ", ")
+    text = F.when(F.col("status") == "UNAVAILABLE", "No verified evidence available from any source for comparison.").when(F.col("status") == "MATCH", F.concat(F.lit("All sources ("), names, F.lit(") are fully consistent.")))
+    text = text.when(F.col("status") == "PARTIAL_MATCH", F.concat(F.lit("Minor formatting or text variations observed across sources: "), forms, F.lit(".")))
+    text = text.when(F.col("field_key").endswith("address"), F.concat(F.lit("Conflicting address data reported across sources: "), pairs, F.lit("."))).otherwise(F.concat(F.lit("Conflicting data reported across sources: "), pairs, F.lit(".")))
+    sources = F.coalesce(F.transform("vs", lambda x: F.struct(x["source"].alias("source"), x["v"].alias("value"))), F.array().cast("array<struct<source:string,value:string>>"))
+    return d.select("investigation_id", "field_key", "field", "status", sources.alias("sources"), text.alias("analysis"))
+
+
+def reason_codes(insufficient: Column, limited: Column, gst: Column, mca: Column, gstin: Column, cin: Column) -> Column:
+    """Why an assessment is insufficient; empty if it isn't. limited: some source is a limitation."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    away = F.coalesce(limited, F.lit(False)) | F.coalesce(gst.isin(*LIMITATIONS), F.lit(False)) | F.coalesce(mca.isin(*LIMITATIONS), F.lit(False))
+    codes = F.array(F.when(away, "AUTHORITATIVE_SOURCES_UNAVAILABLE"), F.when(blank(gstin) & blank(cin), "NO_VERIFIED_ENTITY_RECORD"), F.lit("INSUFFICIENT_EVIDENCE"))
+    return F.when(insufficient, F.array_compact(codes)).otherwise(F.array().cast("array<string>"))
 
 
 def compare_fields(field_a: Column, value_a: Column, field_b: Column, value_b: Column) -> Column:
@@ -143,7 +189,7 @@ def compare_fields(field_a: Column, value_a: Column, field_b: Column, value_b: C
 
 
 def recommendation(score: Column) -> Column:
-    return F.when(score.isNull(), "NOT_FINALISED").when(score >= 61, "HIGH_RISK").when(score >= 31, "MODERATE_RISK").otherwise("LOW_RISK")
+    return F.when(score.isNull(), RECOMMENDATIONS[0]).when(score >= 61, RECOMMENDATIONS[1]).when(score >= 31, RECOMMENDATIONS[2]).otherwise(RECOMMENDATIONS[3])
 
 
 def append_report_version(reports: DataFrame, new: DataFrame) -> DataFrame:
@@ -165,20 +211,41 @@ def stamp_qa(reports: DataFrame, verdict: DataFrame) -> DataFrame:
     return d.withColumn("qa_status", F.when((F.col("version") == F.col("_v")) & F.col("_q").isNotNull(), F.col("_q")).otherwise(F.col("qa_status"))).drop("_v", "_q")
 
 
-def build_reports(investigations: DataFrame, scores: DataFrame, signals: DataFrame, status: DataFrame, primary: DataFrame) -> DataFrame:
-    """One nested report an investigation; each child is aggregated before it is joined."""
-    found = signals.groupBy("investigation_id").agg(F.array_sort(F.collect_list(F.struct("code", "severity", "risk_weight", "evidence_ids"))).alias("findings"))
-    sources = status.groupBy("investigation_id").agg(F.array_sort(F.collect_list(F.struct("category", "status", "evidence_count"))).alias("sources"))
-    d = investigations.join(scores, "investigation_id", "left")
-    for part in (found, sources, primary):
-        d = d.join(part, "investigation_id", "left")
-    empty = F.array().cast("array<struct<code:string,severity:string,risk_weight:int,evidence_ids:array<string>>>")
-    risk = F.struct("score", "level", "insufficient_evidence", recommendation(F.col("score")).alias("recommendation"))
-    return d.select("investigation_id", risk.alias("risk"), F.coalesce("findings", empty).alias("findings"), "sources", "primary_source")
+def report_versions(reports: DataFrame) -> DataFrame:
+    """reports with nth, their place among the investigation's versions in rising order."""
+    return reports.withColumn("nth", F.row_number().over(Window.partitionBy("investigation_id").orderBy("version")))
+
+
+def build_reports(entities: DataFrame, scores: DataFrame, signals: DataFrame, status: DataFrame, limitations: DataFrame, attempts: DataFrame, ev: DataFrame) -> DataFrame:
+    """One nested report for each row of entities (investigation_id, business_name, gstin, cin, ...,
+    entity_confidence): every child is aggregated to a row an investigation before it is joined."""
+    i = "investigation_id"
+    many = lambda d, out, *cols: d.groupBy(i).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(out))
+    cats = F.map_from_entries(F.collect_list(F.struct("category", F.struct("status", "details", "evidence_count")))).alias("verification_summary")
+    parts = [
+        scores.select(i, "score", "level", "insufficient_evidence"),
+        many(signals, "major_findings", "code", "category", "severity", "evidence_ids", "confidence", "risk_weight"),
+        status.groupBy(i).agg(cats),
+        primary_source(ev),
+        many(consistency_records(ev, entities), "cross_source_consistency", "field_key", "field", "status", "sources", "analysis"),
+        many(limitations, "source_limitations", "source", "status"),
+        many(attempt_rollup(attempts), "source_attempt_status", "domain", "status", "attempts"),
+        many(unverified_information(ev), "unverified_information", "research_result_id", "ev_seq", "field_name", "field_value", "source_name"),
+        many(ev, "evidence_summary", "research_result_id", "ev_seq", "task_id", "field_name", "field_value", "source_name", "retrieved_at", "confidence"),
+        signals.groupBy(i).agg(F.struct(*(F.least(F.coalesce(F.sum(F.when(F.lower("category") == c, F.col("risk_weight"))), F.lit(0)), F.lit(100)).cast("int").alias(c) for c in SCORE_CATEGORIES)).alias("category_scores")),
+    ]
+    d = entities.select(i, "entity_confidence", F.struct(*(c for c in entities.columns if c not in (i, "entity_confidence"))).alias("entity"))
+    for p in parts:
+        d = d.join(p, i, "left")
+    codes = reason_codes(F.col("insufficient_evidence"), F.size("source_limitations") > 0, F.col("verification_summary")["gst"]["status"], F.col("verification_summary")["mca"]["status"], F.col("entity.gstin"), F.col("entity.cin"))
+    full = lambda c: F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType)).alias(c)
+    return d.select(i, "entity", "entity_confidence", F.struct("score", "level").alias("overall_risk"), F.when(F.col("insufficient_evidence"), "INSUFFICIENT_EVIDENCE").otherwise("COMPLETED").alias("assessment_status"), codes.alias("reason_codes"), "verification_summary", "primary_source",
+                    *map(full, ("cross_source_consistency", "source_limitations", "source_attempt_status")), F.when(~F.col("insufficient_evidence"), F.col("category_scores")).alias("category_scores"), full("major_findings"), full("unverified_information"), recommendation(F.col("score")).alias("recommendation"), full("evidence_summary"))
 
 
 def export_report_json(reports: DataFrame) -> DataFrame:
-    return reports.select("investigation_id", F.to_json(F.struct(*[c for c in reports.columns])).alias("document"))
+    """(investigation_id, document) of each investigation's latest version."""
+    return latest_reports(reports).select("investigation_id", F.to_json(F.struct(*reports.columns)).alias("document"))
 
 
 def export_report_sections(entities: DataFrame, scores: DataFrame, categories: DataFrame, findings: DataFrame, ev: DataFrame) -> DataFrame:

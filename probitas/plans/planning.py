@@ -175,7 +175,8 @@ def oracles(texts: str, plain: str, signals: str, level: str) -> dict[str, str]:
     """The statements; texts, plain, signals and level are CTEs and expressions of the other queries."""
     own = " OR ".join(f"(task_type = '{t}' AND field_name IN {_in(f)})" for t, f in P.OWN_TARGET.items())
     shaped = " OR ".join(f"(regexp_full_match(upper(trim(field_value)), {_q(P.IDENTIFIERS[k][2:-2])}) AND field_name NOT IN {_in((k, *P.ANY_SHAPE))})" for k in ("gstin", "cin"))
-    advice = "CASE WHEN score IS NULL THEN 'NOT_FINALISED' WHEN score >= 61 THEN 'HIGH_RISK' WHEN score >= 31 THEN 'MODERATE_RISK' ELSE 'LOW_RISK' END"
+    none, high, moderate, low = R.RECOMMENDATIONS
+    advice = f"CASE WHEN score IS NULL THEN '{none}' WHEN score >= 61 THEN '{high}' WHEN score >= 31 THEN '{moderate}' ELSE '{low}' END"
     text = lambda c: f"coalesce(CAST({c} AS VARCHAR), '')"
     known = lambda c: f"coalesce(nullif({c}, ''), 'N/A')"
     entity = [f"SELECT s.investigation_id, 1 AS section_no, {k} AS line_no, '{label}|' || {known(c)} AS cells FROM scores s LEFT JOIN intake i ON s.investigation_id = i.investigation_id" for k, (label, c) in enumerate((("Business Name", "business_name"), ("GSTIN", "gstin"), ("CIN", "cin"), ("Website", "website")))]

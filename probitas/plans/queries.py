@@ -15,7 +15,7 @@ from probitas.operators import pages as P
 from probitas.operators import qa as Q
 from probitas.operators import report as R
 from probitas.operators import risk as K
-from probitas.plans import extract, identity, planning
+from probitas.plans import cases, extract, identity, planning
 from probitas.sources.catalog import SOURCES, source_catalog
 from probitas.sources.views import ctes, view
 
@@ -41,10 +41,17 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 _TASKS = "SELECT investigation_id, 'TASK-' || CAST(CAST(substr(task_id, 6) AS INT) AS STRING) AS task_id, {first}(task_type, seq) AS task_type, {first}(target, seq) AS target, {first}(objective, seq) AS objective FROM research_tasks GROUP BY 1, 2"
 
 
+def _tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_TASKS.format(first="min_by").replace("research_tasks", "{tasks}"), tasks=view(spark, sf, "research_tasks"))
+
+
+def linked_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return E.link_evidence_to_tasks(_ev(spark, sf), _tasks(spark, sf))
+
+
 def _cached(spark: SparkSession, sf: str) -> DataFrame:
     """What each task of evidence wants, field by field, from evidence as it is linked to tasks."""
-    ev, tasks = _ev(spark, sf), view(spark, sf, "research_tasks")
-    tasks = spark.sql(_TASKS.format(first="min_by").replace("research_tasks", "{tasks}"), tasks=tasks)
+    ev, tasks = _ev(spark, sf), _tasks(spark, sf)
     wanted = tasks.join(ev.select("investigation_id", "task_id", "field_name", "source_name"), ["investigation_id", "task_id"]).distinct()
     return E.cached_results(wanted, E.link_evidence_to_tasks(ev, tasks), F.lit(AS_OF))
 
@@ -99,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **planning.QUERIES, **identity.QUERIES, **extract.QUERIES}
+    return {**QUERIES, **planning.QUERIES, **identity.QUERIES, **extract.QUERIES, **cases.QUERIES}
 
 
 # The same in SQL. CTEs that several statements share:
@@ -246,4 +253,5 @@ SELECT i.investigation_id, status, coalesce(e.n, 0) AS n_evidence, coalesce(e.f,
 
 def oracle_sql() -> dict[str, str]:
     planned = planning.oracles(_TEXTS, _PLAIN, _SIGNALS, _LEVEL)
-    return {**ORACLES, **planned, **identity.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"]), **extract.oracles(_TEXTS)}
+    more = cases.oracles(ORACLES, _SIGNALS, _LEVEL, _STATUS, _TASKS.format(first="arg_min"), planned["f14_address_values"], _TEXTS, _RANK)
+    return {**ORACLES, **planned, **identity.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"]), **extract.oracles(_TEXTS), **more}

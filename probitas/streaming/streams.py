@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probitas.operators.evidence import upsert_evidence
@@ -10,7 +13,8 @@ from probitas.operators.report import attempt_rank
 
 
 def tail_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each event once; the delay bounds the ids that are remembered."""
+    """Each event once, within a bounded state: ids are remembered for the delay, and events later than
+    that are dropped. event_sink() keeps late ones, too."""
     return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -20,17 +24,96 @@ def attempt_status(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("investigation_id", "domain").agg(best.alias("best"), F.count("*").alias("attempts")).select("investigation_id", "domain", "best.status", "attempts")
 
 
-def evidence_sink(store: str):
-    """A foreachBatch function that merges a batch of evidence into the Parquet store. Late rows are
-    decided by their own time, so none is dropped. Each batch writes a new generation and then names
-    it, so a batch that runs again gives the same store."""
+def _read(spark, path: str) -> str | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return "\n".join(r.value for r in spark.read.text(path).collect()) if fs.exists(p) else None  # one short line
+
+
+def _manifests(spark, store: str) -> list[str]:
+    """Addresses of the store's manifests in the order of their numbers."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/manifest")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().endswith(".json")) if fs.exists(p) else []
+
+
+def _manifest(spark, store: str) -> dict:
+    """number, the applied epoch of each query, and the folder of each bucket."""
+    all_ = _manifests(spark, store)
+    return json.loads(_read(spark, all_[-1])) if all_ else {"number": 0, "applied": {}, "buckets": {}}
+
+
+def _publish(spark, store: str, manifest: dict) -> None:
+    """Write a manifest under another name and rename it: readers see the old one or the new one."""
+    name = f"{store}/manifest/{manifest['number']:012d}.json"
+    p = spark._jvm.org.apache.hadoop.fs.Path(name)
+    apart = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/manifest/_{uuid.uuid4().hex}")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(apart, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if not fs.rename(apart, p):
+        raise RuntimeError(f"{name} exists: a store takes one writer")
+
+
+def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
+    """The evidence of a store as its newest manifest has it."""
+    paths = [f"{folder}/bucket={b}" for b, folder in _manifest(spark, store)["buckets"].items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def evidence_sink(store: str, buckets: int = 64):
+    """A foreachBatch function that merges a batch of evidence into a store of Parquet buckets by
+    investigation. Late rows are decided by their own time, so none is dropped. A batch rewrites the
+    buckets that it touches into a new folder and then publishes a manifest that names them; the
+    manifest also holds the last epoch of each query, so that a batch that runs again changes
+    nothing, and a query that starts anew at epoch 0 adds to what is there. Folders that neither the
+    newest manifest nor the one before it names are removed."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        names = [f"{store}/generation={k}" for k in (epoch - 1, epoch)]
-        path = spark._jvm.org.apache.hadoop.fs.Path(names[0])
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        rows = spark.read.parquet(names[0]).unionByName(batch) if there else batch
-        upsert_evidence(rows).select(*batch.columns).write.mode("overwrite").parquet(names[1])
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        now = _manifest(spark, store)
+        if now["applied"].get(query, -1) >= epoch:
+            return
+        at = F.pmod(F.xxhash64("investigation_id"), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(at).distinct().collect()]  # `buckets` rows at most
+        old = [f"{now['buckets'][str(b)]}/bucket={b}" for b in touched if str(b) in now["buckets"]]
+        rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch) if old else batch
+        folder = f"{store}/data/{now['number'] + 1:012d}-{uuid.uuid4().hex}"
+        upsert_evidence(rows).select(*batch.columns).withColumn("bucket", at).write.partitionBy("bucket").parquet(folder)
+        new = {"number": now["number"] + 1, "applied": now["applied"] | {query: epoch}, "buckets": now["buckets"] | {str(b): folder for b in touched}}
+        _publish(spark, store, new)
+        used = {x.rsplit("/", 1)[-1] for m in (now, new) for x in m["buckets"].values()}
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/data")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        for x in fs.listStatus(p) if fs.exists(p) else ():
+            if x.getPath().getName() not in used:
+                fs.delete(x.getPath(), True)
 
     return merge
+
+
+def event_sink(store: str):
+    """A foreachBatch function that appends those events whose id the store lacks, late ones too. A
+    batch has a folder of its own, so one that runs again replaces what it wrote."""
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        mine = f"batch={query}-{epoch}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(store)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        old = [x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName() != mine] if fs.exists(p) else []
+        rows = batch.dropDuplicates(["event_id"])
+        if old:
+            rows = rows.join(spark.read.schema(batch.schema).parquet(*old).select("event_id"), "event_id", "left_anti")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{store}/{mine}")
+
+    return append
+
+
+def until_finished(events: DataFrame, last: tuple[str, ...] = ("COMPLETED", "FAILED")) -> DataFrame:
+    """Events of each investigation up to the first whose status ends it."""
+    end = events.groupBy("investigation_id").agg(F.min(F.when(F.col("status").isin(*last), F.struct("created_at", "event_id"))).alias("end_"))
+    return events.join(end, "investigation_id").filter(F.col("end_").isNull() | (F.struct("created_at", "event_id") <= F.col("end_"))).drop("end_")

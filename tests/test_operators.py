@@ -204,7 +204,20 @@ def test_streams(spark, tmp_path):
     sink(rows.filter("ev_seq = 0"), 0)
     sink(rows.filter("ev_seq = 1"), 1)
     sink(rows.filter("ev_seq = 1"), 1)
-    assert [r.field_value for r in spark.read.parquet(str(tmp_path / "store/generation=1")).collect()] == ["second"]
+    stored = lambda: sorted(r.field_value for r in S.read_store(spark, str(tmp_path / "store"), rows.schema).collect())
+    assert stored() == ["second"]
+    other = ev(spark, (2, "b", "f", "of another", "s", 0.9, None), (1, "a", "f", "older", "s", 0.9, None)).withColumn("retrieved_at", F.col("retrieved_at") - F.expr("INTERVAL 1 DAY"))
+    source = str(tmp_path / "more")
+    other.write.parquet(source)
+    for k in (1, 2):  # a query that starts anew begins at epoch 0: it adds to what is there
+        q = spark.readStream.schema(rows.schema).parquet(source).writeStream.foreachBatch(S.evidence_sink(str(tmp_path / "store"))).option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert stored() == ["of another", "second"]
+    assert S.read_store(spark, str(tmp_path / "none"), rows.schema).count() == 0
+    late = S.event_sink(str(tmp_path / "log"))
+    for epoch, batch in ((0, e), (1, e.filter("event_id = 2").union(spark.createDataFrame([(3, dt.datetime(2020, 1, 1))], e.schema))), (1, e.filter("event_id = 2").union(spark.createDataFrame([(3, dt.datetime(2020, 1, 1))], e.schema)))):
+        late(batch, epoch)
+    assert sorted(r.event_id for r in spark.read.option("recursiveFileLookup", True).schema(e.schema).parquet(str(tmp_path / "log")).collect()) == [1, 2, 3]
 
 
 def test_entry_and_sql_keys(spark):
