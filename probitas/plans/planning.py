@@ -86,11 +86,13 @@ QUERIES = {
     "u4_seed_candidates": lambda s, d: N.seed_candidates(view(s, d, "intake")),
     "u6_merge_candidates": lambda s, d: N.merge_candidates(N.seed_candidates(view(s, d, "intake")), _proposals(s, d)),
     "j9_route_sources": lambda s, d: _routes(s, view(s, d, "research_tasks")),
+    "j9_route_all_sources": lambda s, d: _routes(s, view(s, d, "research_tasks")),  # the name of before, when j9 took a part
     "w11_admit": lambda s, d: N.admit(view(s, d, "attempts").withColumn("actions", F.col("attempt_id") % 3), "attempt_id").select("attempt_id", "reason"),
     "x16_fetch_frontier": lambda s, d: N.fetch_frontier(_tasks(s, d), C.source_catalog(s)),
     "x18_search_terms": lambda s, d: N.search_terms(_tasks(s, d)).select("investigation_id", "task_id", "terms"),
     "s9_upsert_tasks": lambda s, d: N.upsert_tasks(_store(s, d), _batch(s, d)),
     "s16_apply_task_status": lambda s, d: N.apply_task_status(_every_task(s, d), _changes(s, d)),
+    "s16_apply_all_task_status": lambda s, d: N.apply_task_status(_every_task(s, d), _changes(s, d)),  # likewise
     "s14_export_sections": _sections,
     "x2_page_challenge": lambda s, d: P.page_challenge(_html(s, d)),
     "x7_9_page_facts": lambda s, d: P.page_facts(P.page_text(_html(s, d))),

@@ -253,5 +253,6 @@ SELECT i.investigation_id, status, coalesce(e.n, 0) AS n_evidence, coalesce(e.f,
 
 def oracle_sql() -> dict[str, str]:
     planned = planning.oracles(_TEXTS, _PLAIN, _SIGNALS, _LEVEL)
+    planned |= {"j9_route_all_sources": planned["j9_route_sources"], "s16_apply_all_task_status": planned["s16_apply_task_status"]}
     more = cases.oracles(ORACLES, _SIGNALS, _LEVEL, _STATUS, _TASKS.format(first="arg_min"), planned["f14_address_values"], _TEXTS, _RANK)
     return {**ORACLES, **planned, **identity.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"]), **extract.oracles(_TEXTS), **more}
