@@ -50,6 +50,8 @@ STATUSES = (
 STATUS_WORDS = ("active", "inactive", "cancelled", "suspended", "allocated", "struck off")
 FOUNDED = ("incorporated", "incorporation", "established", "founded", "estd")
 YEAR, DAY = r"\b(19\d{2}|20\d{2})\b", r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b|\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b"
+# What an EPFO record says of an establishment that is gone, else of one that is there.
+EPFO_GONE, EPFO_THERE = ("inactive", "closed", "cancelled"), ("active", "exempted", "registered", "establishment details", "epfo")
 # Fields in which a task may find its own target, and shapes that belong in few fields.
 OWN_TARGET = {
     "ENTITY_DISCOVERY": ("candidate_entities",), "GST_VERIFICATION": ("gstin",), "MCA_VERIFICATION": ("cin",), "EPFO_VERIFICATION": ("epfo_code",),
@@ -197,6 +199,12 @@ def gst_status(text: Column) -> Column:
     return F.when(first != "NOT_FOUND", first).when(loose, "AVAILABLE").otherwise("UNAVAILABLE")
 
 
+def epfo_status(text: Column) -> Column:
+    """INACTIVE, AVAILABLE or UNAVAILABLE by the words of an EPFO record; empty and null texts are UNAVAILABLE."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(_holds(low, EPFO_GONE), "INACTIVE").when(_holds(low, EPFO_THERE), "AVAILABLE").otherwise("UNAVAILABLE")
+
+
 def founding_date(text: Column) -> Column:
     """The year, else the date, in the first line on the founding that has either."""
     some = lambda x, p, g: F.nullif(F.regexp_extract(x, p, g), F.lit(""))
