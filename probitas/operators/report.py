@@ -84,10 +84,12 @@ def attempt_rollup(attempts: DataFrame) -> DataFrame:
 
 
 def attempt_counters(attempts: DataFrame) -> DataFrame:
+    """(investigation_id, total, success, blocked, irrelevant, selected, fallback_used, failed) of attempts (attempt_id,
+    domain, status, source_type): selected is the domain of the first success, failed is the rest."""
     ok = F.col("status") == "SUCCESS"
     blocked = F.col("status").isin("BLOCKED", "BLOCKED_OR_ERROR", "CAPTCHA_REQUIRED")
     irrelevant = F.col("status").isin("REJECTED", "IRRELEVANT", "IRRELEVANT_CONTENT", "IRRELEVANT_SECTOR")
-    d = attempts.groupBy("investigation_id").agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(blocked).alias("blocked"), F.count_if(irrelevant).alias("irrelevant"), F.min_by(F.when(ok, F.col("domain")), F.when(ok, F.col("attempt_id"))).alias("selected"))
+    d = attempts.groupBy("investigation_id").agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(blocked).alias("blocked"), F.count_if(irrelevant).alias("irrelevant"), F.min_by(F.when(ok, F.col("domain")), F.when(ok, F.col("attempt_id"))).alias("selected"), F.coalesce(F.bool_or(F.col("source_type") == "fallback"), F.lit(False)).alias("fallback_used"))
     return d.withColumn("failed", F.col("total") - F.col("success") - F.col("blocked") - F.col("irrelevant"))
 
 

@@ -64,6 +64,14 @@ def _html(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 
+def _history(s: SparkSession, d: str) -> DataFrame:
+    """Histories with their lists as strings; a version of the report is there for each task."""
+    tasks = view(s, d, "research_tasks")
+    h = I.history(view(s, d, "investigations"), _ev(s, d), view(s, d, "audit_events"), tasks, tasks.select("investigation_id", F.col("seq").alias("version")))
+    told = F.array_join(F.transform("tasks", lambda t: F.concat_ws("|", *(t[c] for c in ("task_id", "task_type", "target", "objective", "status")))), ";")
+    return h.withColumns({"evidence_ids": F.array_join("evidence_ids", ","), "tasks": told, "latest_version": F.col("latest_version").cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a1_risk_scores": lambda s, d: K.risk_scores(view(s, d, "investigations"), _ev(s, d)),
     "a2_category_scores": lambda s, d: K.category_scores(K.risk_signals(_ev(s, d))),
@@ -88,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a4_source_status": _status,
     "a5_attempt_rollup": lambda s, d: R.attempt_rollup(view(s, d, "attempts")),
     "a6_consistency": lambda s, d: R.consistency(_ev(s, d)),
-    "a10_attempt_counters": lambda s, d: R.attempt_counters(view(s, d, "attempts")),
+    "a10_attempt_counters": lambda s, d: R.attempt_counters(view(s, d, "attempts").withColumn("source_type", F.when(F.col("domain").isin("gst.gov.in", "mca.gov.in"), "preferred").otherwise("fallback"))),
     "a12_primary_source": lambda s, d: R.primary_source(_ev(s, d)),
     "j19_reconcile_attempts": lambda s, d: R.reconcile_attempts(view(s, d, "attempts"), _ev(s, d)).select("attempt_id", "final_status", "selected"),
     "j20_source_limitations": lambda s, d: R.source_limitations(_status(s, d), view(s, d, "attempts")),
@@ -96,7 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j14_grounding": lambda s, d: Q.check_grounding(K.risk_signals(_ev(s, d)), E.evidence_for(_ev(s, d), view(s, d, "investigations").filter("status = 'COMPLETED'"))),
     "p5_incomplete": lambda s, d: I.incomplete(view(s, d, "investigations")).select("investigation_id", "user_id", "status"),
     "p4_list_investigations": lambda s, d: I.list_investigations(view(s, d, "investigations"), "user-7", "COMPLETED").select("investigation_id", "user_id", "status"),
-    "a9_history": lambda s, d: I.history(view(s, d, "investigations"), _ev(s, d), view(s, d, "audit_events")),
+    "a9_history": _history,
     "t4_latest_status": lambda s, d: I.latest_status(view(s, d, "audit_events")),
     "x1_page_text": lambda s, d: P.page_text(_html(s, d)),
     "x6_identifiers": lambda s, d: P.identifiers(P.page_text(_html(s, d))).drop("title", "text"),
@@ -215,10 +223,10 @@ SELECT investigation_id, research_result_id, task_id, field_name, field_value, s
     "j1_exact_matches": f"{ctes('targets', 'candidates')}{_PAIRS.split(', ' + chr(10))[0].split('  p AS')[0].rstrip().rstrip(',')} SELECT DISTINCT target_id, candidate_id FROM t JOIN c ON t_gstin = c_gstin OR t_website = c_website",
     "j2_identifier_conflicts": f"{ctes('targets', 'candidates')}{_PAIRS} SELECT target_id, candidate_id, 'gstin' AS field, t_gstin AS target_value, c_gstin AS candidate_value FROM p WHERE t_gstin <> c_gstin",
     "j4_score_pairs": f"{ctes('targets', 'candidates')}{_PAIRS} SELECT target_id, candidate_id, score, exact, conflict FROM scored",
-    "j5_resolve": f"""{ctes("targets", "candidates")}{_PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, candidate_id) AS r, min(CASE WHEN exact AND NOT conflict THEN candidate_id END) OVER (PARTITION BY target_id) AS hit, bool_or(conflict) OVER (PARTITION BY target_id) AS any_conflict FROM scored),
-  k AS (SELECT s.target_id, b.candidate_id AS best, score, hit, CASE WHEN b.target_id IS NULL THEN 'NO_MATCH' WHEN hit IS NOT NULL THEN 'EXACT' WHEN score >= 0.75 AND NOT supported AND one_token THEN 'INSUFFICIENT_IDENTITY' WHEN score >= 0.75 THEN 'SIMILARITY' WHEN any_conflict THEN 'CONFLICTING_IDENTITY' ELSE 'NO_MATCH' END AS match_type
+    "j5_resolve": f"""{ctes("targets", "candidates")}{_PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, candidate_id) AS r, min(CASE WHEN exact AND NOT conflict THEN candidate_id END) OVER (PARTITION BY target_id) AS hit, count(*) FILTER (conflict) OVER (PARTITION BY target_id) AS n_conflicts FROM scored),
+  k AS (SELECT s.target_id, b.candidate_id AS best, score, hit, coalesce(n_conflicts, 0) AS n_conflicts, CASE WHEN b.target_id IS NULL THEN 'NO_MATCH' WHEN hit IS NOT NULL THEN 'EXACT' WHEN score >= 0.75 AND NOT supported AND one_token THEN 'INSUFFICIENT_IDENTITY' WHEN score >= 0.75 THEN 'SIMILARITY' WHEN n_conflicts > 0 THEN 'CONFLICTING_IDENTITY' ELSE 'NO_MATCH' END AS match_type
     FROM targets s LEFT JOIN (SELECT * FROM b WHERE r = 1) b ON s.target_id = b.target_id)
-SELECT target_id, match_type, CASE WHEN match_type = 'EXACT' THEN 1.0 WHEN best IS NULL OR match_type = 'CONFLICTING_IDENTITY' THEN 0.0 ELSE score END AS confidence, CASE WHEN match_type = 'EXACT' THEN hit WHEN match_type IN ('SIMILARITY', 'NO_MATCH') THEN best END AS candidate_id, match_type IN ('EXACT', 'SIMILARITY') AS matched FROM k""",
+SELECT target_id, match_type, CASE WHEN match_type = 'EXACT' THEN 1.0 WHEN best IS NULL OR match_type = 'CONFLICTING_IDENTITY' THEN 0.0 ELSE score END AS confidence, CASE WHEN match_type = 'EXACT' THEN hit WHEN match_type IN ('SIMILARITY', 'NO_MATCH') THEN best END AS candidate_id, match_type IN ('EXACT', 'SIMILARITY') AS matched, CASE WHEN best IS NOT NULL THEN CASE match_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.REASONS.items())} END END AS reason, n_conflicts FROM k""",
     "a4_source_status": f"{ctes('evidence')}{_STATUS} SELECT * FROM status",
     "a5_attempt_rollup": f"{ctes('attempts')} SELECT investigation_id, domain, arg_min(status, (-({_RANK}), attempt_id)) AS status, count(*) AS attempts FROM attempts GROUP BY 1, 2",
     "a6_consistency": f"""{ctes("evidence")}, l AS (SELECT investigation_id, field_name AS field_key, source_name, arg_max(trim(field_value), ev_seq) AS v, min(ev_seq) AS first_seq FROM evidence
@@ -228,7 +236,7 @@ SELECT target_id, match_type, CASE WHEN match_type = 'EXACT' THEN 1.0 WHEN best
 SELECT investigation_id, field_key, CASE WHEN field_key LIKE '%address' THEN CASE WHEN count(DISTINCT {X.sql_norm_address("v")}) = 1 THEN 'MATCH' ELSE 'CONFLICT' END WHEN count(DISTINCT upper(v)) = 1 THEN 'MATCH'
    WHEN bool_or(upper(v) <> f AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) >= 0.4) THEN 'PARTIAL_MATCH' ELSE 'CONFLICT' END AS status, count(*) AS n_sources FROM x GROUP BY 1, 2""",
     "a10_attempt_counters": f"""{ctes("attempts")}, g AS (SELECT investigation_id, count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status IN ('BLOCKED', 'BLOCKED_OR_ERROR', 'CAPTCHA_REQUIRED')) AS blocked,
-   count(*) FILTER (status IN ('REJECTED', 'IRRELEVANT', 'IRRELEVANT_CONTENT', 'IRRELEVANT_SECTOR')) AS irrelevant, arg_min(domain, attempt_id) FILTER (status = 'SUCCESS') AS selected FROM attempts GROUP BY 1) SELECT *, total - success - blocked - irrelevant AS failed FROM g""",
+   count(*) FILTER (status IN ('REJECTED', 'IRRELEVANT', 'IRRELEVANT_CONTENT', 'IRRELEVANT_SECTOR')) AS irrelevant, arg_min(domain, attempt_id) FILTER (status = 'SUCCESS') AS selected, bool_or(domain NOT IN ('gst.gov.in', 'mca.gov.in')) AS fallback_used FROM attempts GROUP BY 1) SELECT *, total - success - blocked - irrelevant AS failed FROM g""",
     "a12_primary_source": f"{ctes('evidence')} SELECT investigation_id, trim(source_name) AS primary_source FROM evidence WHERE confidence >= 0.5 AND {_VALUE} NOT IN ({_strings(R.UNUSABLE)}) QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY CASE "
     + " ".join("WHEN " + " OR ".join(f"contains(lower(source_name), '{w}')" for w in g) + f" THEN {k}" for k, g in enumerate(R.AUTHORITY)) + f" ELSE {len(R.AUTHORITY)} END, confidence DESC, lower(source_name), ev_seq) = 1",
     "j19_reconcile_attempts": f"""{ctes("attempts", "evidence")}, s AS (SELECT DISTINCT investigation_id, lower(trim(source_name)) AS cat FROM evidence WHERE confidence > 0 AND trim(source_name) <> '' AND {_VALUE} NOT IN ({_strings(R.UNUSABLE)})),
@@ -240,8 +248,9 @@ SELECT attempt_id, CASE WHEN status = 'SUCCESS' AND s.cat IS NULL THEN 'NO_DATA'
 SELECT *, CASE WHEN (investigation_id, evidence_id) IN (SELECT investigation_id, research_result_id FROM kept) THEN NULL WHEN evidence_id IN (SELECT research_result_id FROM kept) THEN 'OTHER_INVESTIGATION' ELSE 'NON_EXISTENT' END AS problem FROM x""",
     "p5_incomplete": f"{ctes('investigations')} SELECT investigation_id, user_id, status FROM investigations WHERE completed_timestamp IS NULL AND status NOT IN ('COMPLETED', 'FAILED')",
     "p4_list_investigations": f"{ctes('investigations')} SELECT investigation_id, user_id, status FROM investigations WHERE user_id = 'user-7' AND status = 'COMPLETED'",
-    "a9_history": f"""{ctes("investigations", "evidence", "audit_events")}, e AS (SELECT investigation_id, count(*) AS n, count(DISTINCT field_name) AS f FROM evidence GROUP BY 1), a AS (SELECT investigation_id, count(*) AS n FROM audit_events GROUP BY 1)
-SELECT i.investigation_id, status, coalesce(e.n, 0) AS n_evidence, coalesce(e.f, 0) AS n_fields, coalesce(a.n, 0) AS n_events FROM investigations i LEFT JOIN e ON i.investigation_id = e.investigation_id LEFT JOIN a ON i.investigation_id = a.investigation_id""",
+    "a9_history": f"""{ctes("investigations", "evidence", "audit_events", "research_tasks")}, e AS (SELECT investigation_id, count(*) AS n, count(DISTINCT field_name) AS f, string_agg(research_result_id, ',' ORDER BY ev_seq) AS ids FROM evidence GROUP BY 1),
+  t AS (SELECT investigation_id, string_agg(concat_ws('|', task_id, task_type, target, objective, status), ';' ORDER BY seq) AS tasks, CAST(max(seq) AS INT) AS version FROM research_tasks GROUP BY 1), a AS (SELECT investigation_id, count(*) AS n FROM audit_events GROUP BY 1)
+SELECT i.investigation_id, status, coalesce(e.n, 0) AS n_evidence, coalesce(e.f, 0) AS n_fields, coalesce(a.n, 0) AS n_events, e.ids AS evidence_ids, t.tasks, t.version AS latest_version FROM investigations i LEFT JOIN t ON i.investigation_id = t.investigation_id LEFT JOIN e ON i.investigation_id = e.investigation_id LEFT JOIN a ON i.investigation_id = a.investigation_id""",
     "t4_latest_status": f"{ctes('audit_events')} SELECT investigation_id, node, event_type FROM audit_events QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY created_at DESC, event_id DESC) = 1",
     "x1_page_text": f"{_TEXTS} SELECT * FROM texts",
     "x6_identifiers": f"{_TEXTS} SELECT page_id, " + ", ".join(f"coalesce(nullif(replace(regexp_extract(text, '{p}', 1), ' ', ''), ''), 'NOT_FOUND') AS {k}" for k, p in P.IDENTIFIERS.items()) + " FROM texts",

@@ -138,8 +138,19 @@ def test_source_status_best_outcome_wins(spark):
 def test_attempts(spark):
     a = spark.createDataFrame([(1, 1, "d", "BLOCKED"), (2, 1, "d", "SUCCESS"), (3, 1, "d", "ERROR"), (4, 1, "e", "NOT_FOUND"), (5, 1, "e", "NO_DATA")], "attempt_id long, investigation_id long, domain string, status string")
     assert {r.domain: (r.status, r.attempts) for r in R.attempt_rollup(a).collect()} == {"d": ("SUCCESS", 3), "e": ("NOT_FOUND", 2)}
-    c = R.attempt_counters(a).first()
-    assert (c.total, c.success, c.blocked, c.failed, c.selected) == (5, 1, 1, 3, "d")
+    c = R.attempt_counters(a.withColumn("source_type", F.when(F.col("domain") == "e", "fallback"))).first()
+    assert (c.total, c.success, c.blocked, c.failed, c.selected, c.fallback_used) == (5, 1, 1, 3, "d", True)
+    assert not R.attempt_counters(a.withColumn("source_type", F.lit(None).cast("string"))).first().fallback_used
+
+
+def test_history(spark):
+    inv = spark.createDataFrame([(1, "COMPLETED"), (2, "FAILED")], "investigation_id long, status string")
+    evidence = spark.createDataFrame([(1, 2, "b", "f"), (1, 1, "a", "f")], "investigation_id long, ev_seq int, research_result_id string, field_name string")
+    tasks = spark.createDataFrame([(1, 2, "T2"), (1, 1, "T1")], "investigation_id long, seq int, task_id string").withColumns({c: F.lit(c) for c in ("task_type", "target", "objective", "status")})
+    events, reports = spark.createDataFrame([(2,)], "investigation_id long"), spark.createDataFrame([(1, 1), (1, 3)], "investigation_id long, version int")
+    one, two = I.history(inv, evidence, events, tasks, reports).orderBy("investigation_id").collect()
+    assert (one.n_evidence, one.n_fields, one.n_events, one.evidence_ids, [t.task_id for t in one.tasks], one.latest_version) == (2, 1, 0, ["a", "b"], ["T1", "T2"], 3)
+    assert (two.n_evidence, two.n_events, two.evidence_ids, two.tasks, two.latest_version) == (0, 1, None, None, None)
 
 
 def test_consistency(spark):
