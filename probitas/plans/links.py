@@ -40,9 +40,9 @@ def _found(s: SparkSession, d: str) -> DataFrame:
 
 
 def _followed(s: SparkSession, d: str) -> DataFrame:
-    """Every third task follows a link that leads to the page before its own."""
+    """Every task follows a link that leads to the page before its own."""
     r = _results(s, d)
-    best = r.filter("page_id % 3 = 0").select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("link")).withColumn("task_id", F.col("page_id"))
+    best = r.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("link")).withColumn("task_id", F.col("page_id"))
     pages = s.read.parquet(f"{d}/pages.parquet")
     return K.follow_links(pages, r.select("page_id", "task_id"), best)
 
@@ -63,7 +63,7 @@ FIELDS = ("gstin", "company_status", "candidate_entities", "cin")
 def _page_results(s: SparkSession, d: str) -> DataFrame:
     pages = s.read.parquet(f"{d}/pages.parquet")
     as_sql = lambda q: q.replace("//", "DIV").replace("https:DIV", "https://")
-    usable = P.page_challenge(pages).select("page_id", F.col("failure").isNull().alias("ok")).withColumn("usable", F.col("ok") & (F.col("page_id") % 11 > 0)).drop("ok")
+    usable = P.page_challenge(pages).select("page_id", F.col("failure").isNull().alias("usable"))
     tasks = s.sql(as_sql(TASKS), pages=pages).withColumn("required_fields", F.array(*map(F.lit, FIELDS)))
     chosen = R.choose_page(tasks, s.sql(as_sql(FETCHES), pages=pages).join(usable, "page_id"))
     text = P.identifiers(P.page_text(pages)).select("page_id", "gstin", "cin", P.company_status(F.col("text")).alias("company_status"), F.substring("title", 1, 20).alias("candidate_entities"))
@@ -162,7 +162,7 @@ def oracles(challenge: str, texts: str, facts: str, ids: str) -> dict[str, str]:
     raw_pages = {k: v.format(pages="pages") for k, v in (("t", TASKS), ("f", FETCHES))}
     return {
         "x4_x5_page_results": f"""WITH t AS ({raw_pages['t']}), f AS ({raw_pages['f']}), bad AS ({challenge}), ti AS ({texts} SELECT page_id, title FROM texts), fa AS ({facts}), id AS ({ids}),
-  c AS (SELECT t.*, g.* EXCLUDE (task_id) FROM t LEFT JOIN (SELECT f.* FROM f JOIN bad ON bad.page_id = f.page_id WHERE failure IS NULL AND f.page_id % 11 > 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY source_order, url_order, f.page_id) = 1) g ON g.task_id = t.task_id),
+  c AS (SELECT t.*, g.* EXCLUDE (task_id) FROM t LEFT JOIN (SELECT f.* FROM f JOIN bad ON bad.page_id = f.page_id WHERE failure IS NULL QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY source_order, url_order, f.page_id) = 1) g ON g.task_id = t.task_id),
   e AS (SELECT c.*, unnest([1, 2, 3, 4]) AS k, unnest({_list(FIELDS)}) AS field_name FROM c),
   v AS (SELECT e.*, coalesce(CASE field_name WHEN 'gstin' THEN id.gstin WHEN 'cin' THEN id.cin WHEN 'company_status' THEN fa.company_status ELSE substr(ti.title, 1, 20) END, 'NOT_FOUND') AS field_value FROM e LEFT JOIN id ON id.page_id = e.page_id LEFT JOIN fa ON fa.page_id = e.page_id LEFT JOIN ti ON ti.page_id = e.page_id),
   o AS (SELECT *, entity_conflict AND field_name <> 'candidate_entities' AS other FROM v)
@@ -174,7 +174,7 @@ SELECT printf('RESULT-%d-%03d', task_id, k) AS result_id, task_id, page_id, fiel
         "x19_score_links": f"{base}, {led}, u AS (SELECT l.page_id, pos, link AS url, target, task_type FROM links l JOIN r ON r.page_id = l.page_id), {_scores('u')} SELECT page_id, pos, url, score, relationship, reason, overlap FROM scored",
         "j24_discover_links": f"{base}, {own} SELECT * FROM found",
         "w6_best_links": f"{base}, {own} SELECT page_id, task_id, link, score FROM found QUALIFY row_number() OVER (PARTITION BY page_id, task_id ORDER BY score DESC, pos) = 1",
-        "j24_follow_links": f"{base}, x AS ({challenge}), ok AS (SELECT url, min(p.page_id) AS led FROM pages p JOIN x ON x.page_id = p.page_id WHERE failure IS NULL GROUP BY 1), b AS (SELECT page_id + 1 AS page_id, led FROM r JOIN ok ON ok.url = r.url WHERE page_id % 3 = 0) SELECT r.page_id, r.task_id, coalesce(led, r.page_id) AS used_page_id FROM r LEFT JOIN b ON b.page_id = r.page_id",
+        "j24_follow_links": f"{base}, x AS ({challenge}), ok AS (SELECT url, min(p.page_id) AS led FROM pages p JOIN x ON x.page_id = p.page_id WHERE failure IS NULL GROUP BY 1), b AS (SELECT page_id + 1 AS page_id, led FROM r JOIN ok ON ok.url = r.url) SELECT r.page_id, r.task_id, coalesce(led, r.page_id) AS used_page_id FROM r LEFT JOIN b ON b.page_id = r.page_id",
         "x12_clean_titles": f"{base}, {cleaned} SELECT page_id, {_proper('ct')} AS name FROM c",
         "x12_legal_names": f"{base}, {cleaned} SELECT page_id, coalesce({said}, {_proper('ct')}, CASE WHEN {by_name} THEN {_proper('cg')} END, 'NOT_FOUND') AS legal_name FROM c",
         "x13_candidates": f"""{base}, {cleaned}, s AS (SELECT *, {spans} AS f, coalesce({_proper('ct')}, target) AS other FROM c), e AS (SELECT page_id, text, CASE WHEN len(f) > 0 THEN f WHEN lower(other) = lower(target) AND NOT {by_name} THEN [] ELSE [other] END AS f FROM s),
