@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probitas.llm import chat, classifier, decontaminate, mixing, ppm, quality_rules, sharding, simhash, token_files, url_filter
+from probitas.llm import chat, classifier, decontaminate, mixing, periodic, ppm, quality_rules, sharding, simhash, token_files, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         decontaminate.op1_benchmark_decontamination, url_filter.op2_url_filter, quality_rules.op3_quality_rules,
         ppm.op4_ppm_scoring, token_files.op5_token_files, sharding.op6_sharding, mixing.op7_source_mixing,
         classifier.op8_quality_classifier, simhash.op9_simhash_near_dedup, chat.op10_chat_formatting,
+        periodic.op11_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.oracle(),
         "op7_source_mixing": mixing.oracle(),
         "op10_chat_formatting": chat.oracle(),
+        "op11_periodic_runs": periodic.oracle(),
     }
