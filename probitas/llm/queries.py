@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probitas.llm import alignment, chat, classifier, decontaminate, mixing, periodic, ppm, quality_rules, sharding, simhash, token_files, url_filter
+from probitas.llm import alignment, chat, classifier, decontaminate, mixing, periodic, ppm, private, quality_rules, sharding, simhash, token_files, url_filter
 
 
 def queries() -> dict:
@@ -10,7 +10,7 @@ def queries() -> dict:
         decontaminate.op1_benchmark_decontamination, url_filter.op2_url_filter, quality_rules.op3_quality_rules,
         ppm.op4_ppm_scoring, token_files.op5_token_files, sharding.op6_sharding, mixing.op7_source_mixing,
         classifier.op8_quality_classifier, simhash.op9_simhash_near_dedup, chat.op10_chat_formatting,
-        periodic.op11_periodic_runs, alignment.op13_tokenizer_alignment,
+        periodic.op11_periodic_runs, private.op12_personal_data, alignment.op13_tokenizer_alignment,
     )
     return {f.__name__: f for f in found}
 
