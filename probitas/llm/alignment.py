@@ -27,8 +27,9 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,11 +44,10 @@ from probitas.llm.common import table
 
 #: Pairs of ids whose counts are broadcast, at most.
 HOT = 1 << 18
-#: Chunks of text that a Python process remembers for each tokenizer, about.
-KEEP = 1 << 19
+#: Chunks of text that a Python process remembers, about, and as many older ones.
+KEEP = 200_000
 #: Characters of text that one pair of frames holds, about.
-PORTION = 1 << 18
-ARRAYS = "a_ids array<int>, b_ids array<int>, group_a array<int>, group_b array<int>, link_a array<int>, link_b array<int>"
+PORTION = 1 << 19
 
 
 def _byte_of() -> dict[str, int]:
@@ -58,55 +58,17 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Tokens:
-    """The ids of texts after a space, and None for a text that the tokens' bytes don't spell. What the
-    library gives for a chunk of text is remembered where no token can reach over the chunk's ends."""
+LETTERS, SPACES = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", " \\n"
+#: Signs beyond those of which all libraries hold one view.
+UNSURE = re.compile(f"[^\\x21-\\x7e{SPACES}{LETTERS}\u2013\u2014\u2018\u2019\u201c-\u201e\u2026\u20ac]")
+#: Parts of a text at whose ends no token reaches over; letters behind an apostrophe stay with it.
+CHUNKS = re.compile(f" ?[{LETTERS}]+| ?[^{SPACES}{LETTERS}]+(?:(?<=')[{LETTERS}]+)?|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-    bytes: list[bytes]
 
-    def __init__(self) -> None:
-        self.known: dict[str, bytes | None] = {}
-
-    @cached_property
-    def sizes(self) -> np.ndarray:
-        return np.fromiter(map(len, self.bytes), dtype=np.int64, count=len(self.bytes))
-
-    def split(self, text: str) -> list[str] | None:
-        """The chunks of a space and the text, or None where only the whole will do."""
-        return None
-
-    def encode(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of texts that begin with a space, or with white space alone."""
-        raise NotImplementedError
-
-    def _spelled(self, chunks: list[str]) -> Iterator[bytes | None]:
-        for c, ids in zip(chunks, self.encode(chunks), strict=True):
-            good = b"".join(map(self.bytes.__getitem__, ids)) == c.encode("utf-8", "surrogatepass")
-            yield np.array(ids, dtype="<i4").tobytes() if good else None
-
-    def of(self, texts: list[str]) -> list[np.ndarray | None]:
-        split = [self.split(t) for t in texts]
-        if len(self.known) > KEEP:
-            self.known = {}
-        new = [*set().union(*filter(None, split)).difference(self.known)]
-        self.known.update(zip(new, self._spelled(new), strict=True))
-        parts = [None if c is None else [*map(self.known.__getitem__, c)] for c in split]
-        rest = [i for i, p in enumerate(parts) if p is None or None in p]
-        whole = dict(zip(rest, self._spelled([" " + texts[i] for i in rest]), strict=True))
-        joined = [whole[i] if i in whole else b"".join(p) for i, p in enumerate(parts)]
-        return [None if x is None else np.frombuffer(x, dtype="<i4") for x in joined]
-
-
-class _ByteLevel(_Tokens):
-    """Tokenizer file (JSON) with a byte-level vocabulary. Its pattern starts a token at a space before
-    a word and parts white space from words, so words with their space are chunks of their own."""
-
-    PLAIN = re.compile(r" ?[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+(?![^ \t\n\r\v\f])|[ \t\n\r\v\f]+")
-    #: Control characters and spaces of which libraries may differ on whether they are white space.
-    UNSURE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+class _ByteLevel:
+    """Tokenizer file (JSON) with a byte-level vocabulary."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,40 +81,90 @@ class _ByteLevel(_Tokens):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         by = said.get("pre_tokenizer") or {}
-        self.by_word = not said.get("normalizer") and by.get("type") == "ByteLevel" and not by.get("add_prefix_space") and by.get("use_regex", True)
-
-    def split(self, text: str) -> list[str] | None:
-        return None if not self.by_word or self.UNSURE.search(text) else self.PLAIN.findall(" " + text)
+        # the byte-level pattern parts texts before the merges, wherever CHUNKS does
+        self.by_chunk = not said.get("normalizer") and by.get("type") == "ByteLevel" and not by.get("add_prefix_space") and by.get("use_regex", True)
 
     def encode(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
 
-class _Pieces(_Tokens):
+class _Pieces:
     """Model file with pieces that write a space as U+2581 and single bytes as <0xHH>; it puts a space
-    before the text. Whole texts go to the library: looking words up costs about as much as encoding them."""
+    before the text. If no piece holds a letter beside another sign, a space behind a character, or a line
+    end, no merge reaches over the ends of CHUNKS."""
+
+    MIXED = re.compile(f"[{LETTERS}][^{LETTERS}]|[^{LETTERS}\u2581][{LETTERS}]|[^\u2581]\u2581|\\n")
 
     def __init__(self, path: str):
-        super().__init__()
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        n, special = self.library.get_piece_size(), (self.library.is_byte, self.library.is_control, self.library.is_unknown)
+        pieces = [self.library.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        plain = (p for i, p in enumerate(pieces) if not any(f(i) for f in special))
+        self.by_chunk = not any(self.MIXED.search(p) for p in plain if not UNSURE.search(p.replace("\u2581", " ")))
+        self.before = {lead: len(self.library.encode(lead)) for lead in "a("}
 
     def encode(self, chunks: list[str]) -> list[list[int]]:
-        return self.library.encode([c[1:] for c in chunks], num_threads=1)
+        # the library's space is wanted before a chunk that begins with one; before others a sign takes it
+        lead = ["" if c[0] == " " else "(" if c[0].isalpha() else "a" for c in chunks]
+        made = self.library.encode([x + c if x else c[1:] for x, c in zip(lead, chunks, strict=True)], num_threads=1)
+        return [ids[self.before[x] :] if x else ids for x, ids in zip(lead, made, strict=True)]
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str) -> _Tokens:
-    return _Pieces(path) if path.endswith(".model") else _ByteLevel(path)
+class _Pair:
+    """Both sides' ids of texts after a space, as bytes, and None for a text that either side's tokens don't
+    spell. What the libraries give for a chunk is remembered while it is used, where both part texts at chunks."""
 
+    def __init__(self, a_path: str, b_path: str):
+        self.sides = [_Pieces(p) if p.endswith(".model") else _ByteLevel(p) for p in (a_path, b_path)]
+        self.sizes = [np.fromiter(map(len, x.bytes), dtype=np.int64, count=len(x.bytes)) for x in self.sides]
+        self.by_chunk = all(x.by_chunk for x in self.sides)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
-def _side(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
+    def split(self, text: str) -> list[str] | None:
+        """The chunks of a space and the text, or None where only the whole will do."""
+        plain = self.by_chunk and "  " not in text and text[0] != " " != text[-1] and not UNSURE.search(text)
+        return CHUNKS.findall(" " + text) if plain else None
+
+    def whole(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        a, b = (x.bytes.__getitem__ for x in self.sides)
+        for c, x, y in zip(chunks, *(s.encode(chunks) for s in self.sides), strict=True):
+            said = c.encode("utf-8", "surrogatepass")
+            yield (array("i", x).tobytes(), array("i", y).tobytes()) if b"".join(map(a, x)) == said == b"".join(map(b, y)) else None
+
+    def of(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        split = [self.split(t) for t in texts]
+        if len(self.known) > KEEP:
+            self.known, self.older = {}, self.known
+        known, new = self.known, []
+        for c in set().union(*filter(None, split)).difference(known):
+            if c in self.older:
+                known[c] = self.older[c]
+            else:
+                new.append(c)
+        known.update(zip(new, self.whole(new), strict=True))
+        out: list[tuple[bytes, bytes] | None] = []
+        for chunks in split:
+            parts = [None] if chunks is None else [*map(known.__getitem__, chunks)]
+            out.append(None if None in parts else tuple(map(b"".join, zip(*parts, strict=True))))
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.whole([" " + texts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+
+@lru_cache(maxsize=2)
+def _pair(a_path: str, b_path: str) -> _Pair:
+    return _Pair(a_path, b_path)
+
+
+def _side(ids: list[bytes], sizes: np.ndarray) -> pd.DataFrame:
     """A row for each token: its document, id, place in the document, and byte range among all documents."""
-    n = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.concatenate([*ids, np.empty(0, dtype="<i4")]).astype(np.int64)
+    n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+    flat = np.frombuffer(b"".join(ids), dtype=np.int32).astype(np.int64)
     size = sizes[flat]
     end = np.cumsum(size)  # documents follow each other, so byte ranges of all of them increase
     place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
@@ -160,35 +172,88 @@ def _side(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
 
 
 def links_of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """(doc, a, b): the places of each two tokens that overlap, in order."""
-    cover = pd.merge_asof(a[["start", "doc", "place"]], b[["start", "doc", "place"]], on="start", by="doc", suffixes=("_a", "_b"))
-    back = pd.merge_asof(b[["start", "doc", "place"]], a[["start", "doc", "place"]], on="start", by="doc", suffixes=("_b", "_a"))
-    both = pd.concat([cover, back], ignore_index=True)[["doc", "place_a", "place_b"]].astype("int64")
-    return both.drop_duplicates().sort_values(["doc", "place_a", "place_b"], ignore_index=True).set_axis(["doc", "a", "b"], axis=1)
-
-
-def align_batch(texts: list[str | None], a_path: str, b_path: str) -> list[pa.Array]:
-    """The columns of ARRAYS for some texts."""
-    left, right = _tokenizer(a_path), _tokenizer(b_path)
-    full = [i for i, t in enumerate(texts) if t]
-    both = zip(full, left.of([texts[i] for i in full]), right.of([texts[i] for i in full]), strict=True)
-    spelled = [(i, x, y) for i, x, y in both if x is not None and y is not None]
-    good = [i for i, _, _ in spelled]
-    a, b = _side([x for _, x, _ in spelled], left.sizes), _side([y for _, _, y in spelled], right.sizes)
+    """(doc, a, b): the places of each two tokens that overlap, by document."""
+    mine, other = a[["start", "doc", "place"]], b[["start", "doc", "place"]].assign(at=b["start"])
+    cover = pd.merge_asof(mine, other, on="start", by="doc", suffixes=("_a", "_b"))
+    back = pd.merge_asof(other, mine.assign(from_=mine["start"]), on="start", by="doc", suffixes=("_b", "_a"))
+    back = back[back["from_"] != back["at"]]  # tokens that start together are in cover already
+    both = pd.concat([cover[["doc", "place_a", "place_b"]], back[["doc", "place_a", "place_b"]]], ignore_index=True).set_axis(["doc", "a", "b"], axis=1)
+    return both.iloc[np.argsort(both["doc"].to_numpy(), kind="stable")]
+
+
+@lru_cache(maxsize=4)
+def _numbers(n: int, last: str) -> list[str]:
+    """The texts of the numbers below n before a comma, then before `last`."""
+    return [f"{i}," for i in range(n)] + [f"{i}{last}" for i in range(n)]
+
+
+def group_texts(a: pd.DataFrame, b: pd.DataFrame, last_a: np.ndarray, last_b: np.ndarray, docs: int) -> Iterator[str]:
+    """The groups of each document as text: `a1,a2|b1;a3|b2,b3`. last_a and last_b are the rows that end groups."""
+    order, parts = [], []
+    for x, last, sign in ((a, last_a, "|"), (b, last_b, ";")):
+        ends = np.zeros(len(x), dtype=bool)
+        ends[last] = True
+        table = _numbers(int(x["id"].max()) + 1 if len(x) else 0, sign)
+        parts += map(table.__getitem__, (x["id"].to_numpy() + ends * (len(table) // 2)).tolist())
+        order.append((np.cumsum(ends) - ends) * 2 + (sign == ";"))  # of group k, side a comes before side b
+    sorted_ = np.argsort(np.concatenate(order), kind="stable").tolist()
+    sizes = np.bincount(a["doc"], minlength=docs) + np.bincount(b["doc"], minlength=docs)
+    at = 0
+    for n in sizes.tolist():
+        yield "".join([parts[i] for i in sorted_[at : at + n]])[:-1]
+        at += n
+
+
+#: What align() can give.
+OUTPUTS = {
+    "a_ids": "array<int>", "b_ids": "array<int>", "group_a": "array<int>", "group_b": "array<int>", "link_a": "array<int>", "link_b": "array<int>",
+    "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string",
+}
+ARRAYS = tuple(OUTPUTS)[:6]
+
+
+def align_batch(texts: list[str | None], a_path: str, b_path: str, outputs: tuple[str, ...] = ARRAYS) -> list[pa.Array]:
+    """The outputs for some texts."""
+    pair, full = _pair(a_path, b_path), [i for i, t in enumerate(texts) if t]
+    spelled = [(i, x) for i, x in zip(full, pair.of([texts[i] for i in full]), strict=True) if x is not None]
+    good = [i for i, _ in spelled]
+    a, b = (_side([x[k] for _, x in spelled], pair.sizes[k]) for k in (0, 1))
     link = links_of(a, b)
     ends = np.intersect1d(a["end"].to_numpy(), b["end"].to_numpy(), assume_unique=True)
     last = [np.searchsorted(x["end"].to_numpy(), ends) for x in (a, b)]
-    doc = a["doc"].to_numpy()[last[0]]
-    size = [np.diff(x, prepend=-1) for x in last]
-    of_a, of_b = (x["id"].to_numpy()[np.searchsorted(x["doc"].to_numpy(), link["doc"]) + link[side]] for x, side in ((a, "a"), (b, "b")))
+    docs = {"a": a["doc"].to_numpy(), "b": b["doc"].to_numpy(), "link": link["doc"].to_numpy()}
+    docs["group"] = docs["a"][last[0]]
+    first = {x: np.searchsorted(docs[x], docs["link"]) for x in ("a", "b")} if "link_a" in outputs or "link_b" in outputs else {}
     at = np.array(good, dtype=np.int64)
 
-    def lists(values: np.ndarray, docs: np.ndarray) -> pa.Array:
+    def per_text(of: str) -> np.ndarray:
         count = np.zeros(len(texts), dtype=np.int64)
-        count[at] = np.bincount(docs, minlength=len(good))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values, pa.int32()))
-
-    return [lists(a["id"], a["doc"]), lists(b["id"], b["doc"]), lists(size[0], doc), lists(size[1], doc), lists(of_a, link["doc"]), lists(of_b, link["doc"])]
+        count[at] = np.bincount(docs[of], minlength=len(good))
+        return count
+
+    def lists(values: np.ndarray, of: str) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text(of))]), pa.int32()), pa.array(values, pa.int32()))
+
+    def digests() -> pa.Array:
+        out = [""] * len(texts)
+        for i, said in zip(good, group_texts(a, b, *last, len(good)), strict=True):
+            out[i] = hashlib.sha256(said.encode()).hexdigest()
+        return pa.array(out, pa.string())
+
+    make = {
+        "a_ids": lambda: lists(a["id"], "a"),
+        "b_ids": lambda: lists(b["id"], "b"),
+        "group_a": lambda: lists(np.diff(last[0], prepend=-1), "group"),
+        "group_b": lambda: lists(np.diff(last[1], prepend=-1), "group"),
+        "link_a": lambda: lists(a["id"].to_numpy()[first["a"] + link["a"].to_numpy()], "link"),
+        "link_b": lambda: lists(b["id"].to_numpy()[first["b"] + link["b"].to_numpy()], "link"),
+        "n_a": lambda: pa.array(per_text("a")),
+        "n_b": lambda: pa.array(per_text("b")),
+        "n_groups": lambda: pa.array(per_text("group")),
+        "n_links": lambda: pa.array(per_text("link")),
+        "groups_sha256": digests,
+    }
+    return [make[o]() for o in outputs]
 
 
 def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -202,49 +267,24 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(doc_id, a_ids, b_ids, group_a, group_b, link_a, link_b), a row for each row of docs (doc_id, text):
-    the ids of both sides, how many of each side every group has, and both ids of every overlap."""
+def align(docs: DataFrame, a_path: str, b_path: str, outputs: tuple[str, ...] = ARRAYS) -> DataFrame:
+    """doc_id and the outputs, a row for each row of docs (doc_id, text): the ids of both sides, how many of
+    each side every group has, both ids of every overlap; or the numbers of these, and the SHA-256 of the
+    groups as text ('' without tokens)."""
     ship_package(docs.sparkSession)
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(ARRAYS).fields])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)).fields])
     arrow = to_arrow_schema(schema)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in _portions(texts):
-                made = [batch.column("doc_id").slice(lo, hi - lo), *align_batch(texts[lo:hi], a_path, b_path)]
+                made = [batch.column("doc_id").slice(lo, hi - lo), *align_batch(texts[lo:hi], a_path, b_path, outputs)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(of, schema)
 
 
-def group_digests(aligned: DataFrame, out: str = "groups_sha256") -> DataFrame:
-    """aligned with the SHA-256 of its groups as text (`a1,a2|b1;a3|b2,b3`); '' without tokens."""
-
-    @F.pandas_udf("string")
-    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        known: dict[int, str] = {}
-
-        def written(i: int) -> str:
-            if i not in known:
-                known[i] = str(i)
-            return known[i]
-
-        for a_ids, b_ids, group_a, group_b in batches:
-            digests = []
-            for ids_a, ids_b, n_a, n_b in zip(a_ids, b_ids, group_a, group_b, strict=True):
-                x, y = list(map(written, ids_a.tolist())), list(map(written, ids_b.tolist()))
-                parts, i, j = [], 0, 0
-                for m, n in zip(n_a.tolist(), n_b.tolist(), strict=True):
-                    parts.append((x[i] if m == 1 else ",".join(x[i : i + m])) + "|" + (y[j] if n == 1 else ",".join(y[j : j + n])))
-                    i, j = i + m, j + n
-                digests.append(hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else "")
-            yield pd.Series(digests, dtype=object)
-
-    return aligned.withColumn(out, of("a_ids", "b_ids", "group_a", "group_b"))
-
-
 def pair_counts(links: DataFrame) -> DataFrame:
     """(a, b, n, best) of links (link_a, link_b): how many links hold the pair, and whether no pair of b has more."""
     each = links.select(F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select(F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
@@ -291,10 +331,8 @@ def default_paths() -> tuple[str, str]:
 
 def align_digests(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT) -> DataFrame:
     """The figures of each document's alignment, with counts of its links over all documents."""
-    n = lambda c: F.size(c).cast("long")
-    made = group_digests(align(docs, a_path, b_path)).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", n("a_ids").alias("n_a"), n("b_ids").alias("n_b"), n("group_a").alias("n_groups"), n("link_a").alias("n_links"), "groups_sha256", "link_a", "link_b"
-    )
+    figures = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    made = align(docs, a_path, b_path, (*figures, "link_a", "link_b")).withColumn("row", F.monotonically_increasing_id())
     with scratch(docs.sparkSession) as keep:
         made = stage(made, "aligned")
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
