@@ -34,6 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +46,9 @@ from probitas.llm.common import table
 #: Pairs of ids whose counts are broadcast, at most.
 HOT = 1 << 18
 #: Chunks of text that a Python process remembers, about, and as many older ones.
-KEEP = 200_000
-#: Characters of text that one pair of frames holds, about.
-PORTION = 1 << 19
+KEEP = 100_000
+#: Bytes of text that one pair of frames holds, about.
+PORTION = 1 << 18
 
 
 def _byte_of() -> dict[str, int]:
@@ -256,15 +257,14 @@ def align_batch(texts: list[str | None], a_path: str, b_path: str, outputs: tupl
     return [make[o]() for o in outputs]
 
 
-def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 64
-        if size >= PORTION:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of rows that follow each other and hold about PORTION bytes, a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy() + 64)
+    first = 0
+    while first < len(texts):
+        end = int(np.searchsorted(size, (size[first - 1] if first else 0) + PORTION)) + 1
+        yield first, min(end, len(texts)) - first
+        first = end
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, outputs: tuple[str, ...] = ARRAYS) -> DataFrame:
@@ -277,9 +277,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, outputs: tuple[str, ...] =
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in _portions(texts):
-                made = [batch.column("doc_id").slice(lo, hi - lo), *align_batch(texts[lo:hi], a_path, b_path, outputs)]
+            for part in (batch.slice(*p) for p in _portions(batch.column("text"))):
+                made = [part.column("doc_id"), *align_batch(part.column("text").to_pylist(), a_path, b_path, outputs)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(of, schema)
