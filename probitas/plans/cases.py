@@ -160,16 +160,6 @@ def _tailed(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(events.schema).option("recursiveFileLookup", True).parquet(store)
 
 
-def _labels(s: SparkSession, d: str) -> DataFrame:
-    best = L.exact_matches(_get(s, d, "targets"), _get(s, d, "candidates")).groupBy("target_id").agg(F.min("candidate_id").alias("expected"))
-    return _get(s, d, "targets").select("target_id").join(best, "target_id", "left")
-
-
-def _accuracy(s: SparkSession, d: str) -> DataFrame:
-    targets = _get(s, d, "targets")
-    return L.accuracy_report(L.resolve(targets, L.score_pairs(targets, _get(s, d, "candidates"), "nationkey")), _labels(s, d)).select(F.round("accuracy", 9).alias("accuracy"), F.round("false_merge_rate", 9).alias("false_merge_rate"))
-
-
 def _bounded(s: SparkSession, d: str) -> DataFrame:
     items = "transform(sequence(1, CASE WHEN ev_seq % 2 = 0 THEN 1 ELSE 12 END), i -> named_struct('name', field_name, 'text', repeat('x', CAST(ev_seq * 700 AS INT))))"
     x = _get(s, d, "evidence").select("investigation_id", "ev_seq", E.bound_items(F.expr(items), ("name", "text")).alias("x"))
@@ -218,7 +208,6 @@ QUERIES = {
     "s15_upsert_entities": _entities,
     "a11_discovery_confidence": lambda s, d: N.discovery_confidence(N.candidates_of(_get(s, d, "evidence"))),
     "j13_link_evidence": lambda s, d: _linked(s, d).select("investigation_id", "ev_seq", "kind", "target", "objective", "linked"),
-    "j25_accuracy": _accuracy,
     "p6_pending_interventions": lambda s, d: Y.pending_interventions(_get(s, d, "blocked")),
     "p7_requeue_blocked": lambda s, d: Y.requeue_blocked(_get(s, d, "blocked"), _get(s, d, "investigations")),
     "p9_admit_results": lambda s, d: E.admit_results(_get(s, d, "evidence")).select("investigation_id", "ev_seq", F.array_join("errors", "; ").alias("errors"), "is_valid"),
@@ -299,8 +288,6 @@ def oracles(core: dict[str, str], signals: str, level: str, status: str, tasks:
 SELECT entity_id, canonical_name, trade_name, registered_address, state FROM e QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY r, canonical_name, registered_address NULLS FIRST, state NULLS FIRST) = 1""",
         "a11_discovery_confidence": f"""{_with('evidence')} SELECT investigation_id, max(coalesce(c.confidence, 0.0)) AS confidence FROM (SELECT investigation_id, unnest(from_json(field_value, '[{{"confidence":"DOUBLE"}}]')) AS c FROM evidence WHERE field_name = 'candidate_entities') GROUP BY 1""",
         "j13_link_evidence": f"{_with('evidence', 'research_tasks')}, tk AS ({tasks}) SELECT e.investigation_id, ev_seq, upper(trim(task_type)) AS kind, lower(trim(target)) AS target, lower(trim(objective)) AS objective, t.task_id IS NOT NULL AS linked FROM evidence e LEFT JOIN tk t ON e.investigation_id = t.investigation_id AND e.task_id = t.task_id",
-        "j25_accuracy": f"""{_with('targets', 'candidates')}, r AS ({core['j5_resolve']}), x AS ({core['j1_exact_matches']}), l AS (SELECT t.target_id, min(x.candidate_id) AS expected FROM targets t LEFT JOIN x ON x.target_id = t.target_id GROUP BY 1),
-  j AS (SELECT expected, CASE WHEN matched THEN candidate_id END AS got FROM l LEFT JOIN r ON r.target_id = l.target_id) SELECT round(avg(CAST(expected IS NOT DISTINCT FROM got AS INT)), 9) AS accuracy, round(avg(CAST(got IS NOT NULL AND expected IS DISTINCT FROM got AS INT)), 9) AS false_merge_rate FROM j""",
         "p6_pending_interventions": f"{_with('blocked')} SELECT * FROM blocked WHERE status = 'HUMAN_INTERVENTION_REQUIRED'",
         "p7_requeue_blocked": f"""{_with('blocked', 'investigations')}, j AS (SELECT b.*, b.status = 'HUMAN_INTERVENTION_REQUIRED' AND coalesce(i.status NOT IN ('COMPLETED', 'RUNNING'), FALSE) AS go FROM blocked b LEFT JOIN investigations i ON i.investigation_id = b.investigation_id)
 SELECT investigation_id, seq, task_id, CASE WHEN go THEN 'PENDING' ELSE status END AS status, CASE WHEN NOT go THEN intervention_type END AS intervention_type, CASE WHEN NOT go THEN started_at END AS started_at FROM j""",
