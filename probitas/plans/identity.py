@@ -78,15 +78,17 @@ def _all_ids(c: str, pattern: str) -> str:
     return f"list_distinct(regexp_extract_all(upper({c}), {_q(rf'\b({pattern})\b')}, 1))"
 
 
-def _statement(texts: str, result: str) -> str:
+def _statement(texts: str, result: str, targets: str = "") -> str:
+    """Up to the CTE who, then result; targets gives the CTE tgt (page_id, k, target) in place of the queries' own."""
     opening = f"regexp_extract(coalesce(title, ''), {_q(WORDS)})"
     name = "array_to_string(list_slice(words, 1, list_max(list_transform(words, lambda w, i: CASE WHEN regexp_replace(lower(w), '[^a-z]', '', 'g') IN " + _in(D.HINTS) + " THEN 0 ELSE i END))), ' ')"
     for p in D.IDS.values():
         name = f"regexp_replace({name if name.startswith('regexp') else f"upper(replace({name}, 'ß', 'SS'))"}, {_q(rf'\b{p}\b')}, ' ', 'g')"
     said = " OR ".join(f"(regexp_extract(low, {_q(rf'\b({p})\b')}, 1) <> '' AND contains(head, regexp_extract(low, {_q(rf'\b({p})\b')}, 1)))" for p in D.IDS_IN_TARGET.values())
     kinds = ", ".join(map(_q, TYPES))
+    own = f"""tgt AS (SELECT page_id, 0 AS k, regexp_extract(host, {_q(LABEL)}, 1) AS target FROM pg UNION ALL SELECT page_id, 1, {opening} || ' Private Limited' FROM pg UNION ALL SELECT page_id - 1, 2, {opening} || ' Limited GST verification' FROM pg)"""
     return f"""{texts}, pg AS (SELECT t.page_id, coalesce(title, '') AS title, coalesce(text, '') AS text, regexp_extract(lower(url), {_q(HOST)}, 1) AS host FROM texts t JOIN pages p ON t.page_id = p.page_id),
-  tgt AS (SELECT page_id, 0 AS k, regexp_extract(host, {_q(LABEL)}, 1) AS target FROM pg UNION ALL SELECT page_id, 1, {opening} || ' Private Limited' FROM pg UNION ALL SELECT page_id - 1, 2, {opening} || ' Limited GST verification' FROM pg),
+  {targets or own},
   prof AS (SELECT page_id, regexp_replace(host, '^www\\.', '') AS host, lower(trim(title)) AS title, substr(lower(text), 1, {D.RELATION_CHARS}) AS head, {", ".join(f"{_all_ids('title || chr(10) || text', p)} AS page_{k}" for k, p in D.IDS.items())},
     regexp_split_to_array(title, {_q(D.TITLE_END)})[1] AS th, list_filter(list_transform(string_split(substr(text, 1, {D.CLAIM_CHARS}), chr(10)), lambda x: {_bare(_span("trim(x)"))}), lambda t: len(t) > 0)[1] AS line,
     {_names("title")} AS title_tokens, regexp_matches(title, {_q(D.SUFFIX_IN_TITLE)}) AS incorporated, {_names(f"substr(text, 1, {D.CONFLICT_CHARS})")} AS text_tokens FROM pg),
@@ -111,8 +113,8 @@ def _any(c: str, words) -> str:
     return f"len(list_filter([{', '.join(map(_q, words))}], lambda w: contains({c}, w))) > 0"
 
 
-def _outcome(texts: str, plain: str, failures: str) -> str:
-    who = _statement(texts, "")
+def _outcome(texts: str, plain: str, failures: str, targets: str = "") -> str:
+    who = _statement(texts, "", targets)
     alnum = lambda c: f"regexp_replace({c}, '[^a-z0-9]', '', 'g')"
     ids = [f"regexp_extract(t, {_q(rf'\b({p})\b')}, 1)" for p in D.IDS_IN_TARGET.values()]
     held = " OR ".join(f"({v} <> '' AND (contains(text, {v}) OR contains(title, {v})))" for v in ids)
@@ -131,8 +133,11 @@ SELECT page_id, k, CASE WHEN failure IS NOT NULL THEN failure
     WHEN n > 1 THEN hits < 2 OR hits * 2 < n WHEN n = 1 THEN hits < 1 ELSE NOT contains(text, t) AND NOT contains(title, t) END THEN 'IRRELEVANT_CONTENT' END AS outcome FROM h"""
 
 
-def oracles(texts: str, plain: str, failures: str) -> dict[str, str]:
-    gate = f"""SELECT page_id, k, task_type, CASE task_type WHEN '{C.WEBSITE}' THEN CASE WHEN relationship NOT IN {_in(D.WEBSITE_CONFIDENCE)} THEN 'REJECTED' END WHEN '{C.THIRD}' THEN CASE WHEN verdict <> 'MATCH' OR conflict THEN 'REJECTED' END
+def gate_sql(who: str) -> str:
+    return f"""SELECT page_id, k, task_type, CASE task_type WHEN '{C.WEBSITE}' THEN CASE WHEN relationship NOT IN {_in(D.WEBSITE_CONFIDENCE)} THEN 'REJECTED' END WHEN '{C.THIRD}' THEN CASE WHEN verdict <> 'MATCH' OR conflict THEN 'REJECTED' END
       WHEN '{C.GENERAL}' THEN CASE WHEN conflict THEN 'REJECTED' END ELSE CASE WHEN relationship = 'UNRELATED' AND conflict THEN 'REJECTED' END END AS gate,
-      CASE WHEN task_type = '{C.WEBSITE}' THEN CASE relationship {" ".join(f"WHEN '{k}' THEN {v}" for k, v in D.WEBSITE_CONFIDENCE.items())} END END::DOUBLE AS site_confidence FROM who"""
-    return {"j23_page_identity": _statement(texts, "SELECT page_id, k, target, relationship, conflict, verdict FROM who"), "p16_entity_gate": _statement(texts, gate), "x3_page_outcome": _outcome(texts, plain, failures)}
+      CASE WHEN task_type = '{C.WEBSITE}' THEN CASE relationship {" ".join(f"WHEN '{k}' THEN {v}" for k, v in D.WEBSITE_CONFIDENCE.items())} END END::DOUBLE AS site_confidence FROM {who}"""
+
+
+def oracles(texts: str, plain: str, failures: str) -> dict[str, str]:
+    return {"j23_page_identity": _statement(texts, "SELECT page_id, k, target, relationship, conflict, verdict FROM who"), "p16_entity_gate": _statement(texts, gate_sql("who")), "x3_page_outcome": _outcome(texts, plain, failures)}
