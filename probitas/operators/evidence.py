@@ -60,16 +60,27 @@ def split_valid(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("is_valid").drop("errors", "is_valid"), checked.filter("not is_valid")
 
 
+def merge_evidence(rows: DataFrame) -> DataFrame:
+    """upsert_evidence() of rows that may be merged already, in any order and any number of steps: newest_seq
+    is the place of the row that gave the value, status_seq of the one that gave the status."""
+    d = rows.withColumn("source_key", F.lower(F.trim("source_name")))
+    newest = F.max_by(F.struct("field_value", "confidence", "task_id", "newest_seq"), F.struct("retrieved_at", "newest_seq"))
+    status = F.max_by(F.struct("verification_status", "status_seq"), F.struct(F.col("retrieved_at"), -F.col("status_seq")))
+    g = d.groupBy(*KEY).agg(newest.alias("n"), status.alias("s"), F.max("retrieved_at").alias("retrieved_at"), F.min_by("source_name", "ev_seq").alias("source_name"), F.min("ev_seq").alias("ev_seq"))
+    return g.select("investigation_id", "research_result_id", "n.task_id", "field_name", "n.field_value", "source_name", "n.confidence", "s.verification_status", "retrieved_at", "ev_seq", "n.newest_seq", "s.status_seq")
+
+
+def unmerged(rows: DataFrame) -> DataFrame:
+    """Rows as they arrive, for merge_evidence()."""
+    return rows.withColumns({"newest_seq": F.col("ev_seq"), "status_seq": F.col("ev_seq")})
+
+
 def upsert_evidence(rows: DataFrame) -> DataFrame:
     """Newest row wins by key; one aggregation over store and batch together.
 
     Value, confidence and task are of the newest row, the last to arrive among equally new ones;
     the status is of the first to arrive among them; the source's spelling is of the first row."""
-    d = rows.withColumn("source_key", F.lower(F.trim("source_name")))
-    newest = F.max_by(F.struct("field_value", "confidence", "task_id"), F.struct("retrieved_at", "ev_seq"))
-    status = F.max_by(F.struct("verification_status"), F.struct(F.col("retrieved_at"), -F.col("ev_seq")))
-    g = d.groupBy(*KEY).agg(newest.alias("n"), status.alias("s"), F.max("retrieved_at").alias("retrieved_at"), F.min_by("source_name", "ev_seq").alias("source_name"), F.min("ev_seq").alias("ev_seq"))
-    return g.select("investigation_id", "research_result_id", "n.task_id", "field_name", "n.field_value", "source_name", "n.confidence", "s.verification_status", "retrieved_at", "ev_seq")
+    return merge_evidence(unmerged(rows)).drop("newest_seq", "status_seq")
 
 
 def fresh_days(field: Column) -> Column:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
-from probitas.operators.evidence import upsert_evidence
+from probitas.operators.evidence import merge_evidence, unmerged
 from probitas.operators.report import attempt_rank
 
 
@@ -64,7 +68,8 @@ def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
 
 def evidence_sink(store: str, buckets: int = 64):
     """A foreachBatch function that merges a batch of evidence into a store of Parquet buckets by
-    investigation. Late rows are decided by their own time, so none is dropped. A batch rewrites the
+    investigation. Late rows are decided by their own time, so none is dropped; rows in any order, in any
+    batches and more than once give what upsert_evidence() gives for all. A batch rewrites the
     buckets that it touches into a new folder and then publishes a manifest that names them; the
     manifest also holds the last epoch of each query, so that a batch that runs again changes
     nothing, and a query that starts anew at epoch 0 adds to what is there. Folders that neither the
@@ -79,12 +84,13 @@ def evidence_sink(store: str, buckets: int = 64):
         at = F.pmod(F.xxhash64("investigation_id"), F.lit(buckets)).cast("int")
         touched = [r[0] for r in batch.select(at).distinct().collect()]  # `buckets` rows at most
         old = [f"{now['buckets'][str(b)]}/bucket={b}" for b in touched if str(b) in now["buckets"]]
-        rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch) if old else batch
+        new = unmerged(batch)
+        rows = spark.read.schema(new.schema).parquet(*old).unionByName(new) if old else new
         folder = f"{store}/data/{now['number'] + 1:012d}-{uuid.uuid4().hex}"
-        upsert_evidence(rows).select(*batch.columns).withColumn("bucket", at).write.partitionBy("bucket").parquet(folder)
-        new = {"number": now["number"] + 1, "applied": now["applied"] | {query: epoch}, "buckets": now["buckets"] | {str(b): folder for b in touched}}
-        _publish(spark, store, new)
-        used = {x.rsplit("/", 1)[-1] for m in (now, new) for x in m["buckets"].values()}
+        merge_evidence(rows).select(*new.columns).withColumn("bucket", at).write.partitionBy("bucket").parquet(folder)
+        after = {"number": now["number"] + 1, "applied": now["applied"] | {query: epoch}, "buckets": now["buckets"] | {str(b): folder for b in touched}}
+        _publish(spark, store, after)
+        used = {x.rsplit("/", 1)[-1] for m in (now, after) for x in m["buckets"].values()}
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/data")
         fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
         for x in fs.listStatus(p) if fs.exists(p) else ():
@@ -117,3 +123,59 @@ def until_finished(events: DataFrame, last: tuple[str, ...] = ("COMPLETED", "FAI
     """Events of each investigation up to the first whose status ends it."""
     end = events.groupBy("investigation_id").agg(F.min(F.when(F.col("status").isin(*last), F.struct("created_at", "event_id"))).alias("end_"))
     return events.join(end, "investigation_id").filter(F.col("end_").isNull() | (F.struct("created_at", "event_id") <= F.col("end_"))).drop("end_")
+
+
+def events_until_end(events: DataFrame, statuses: DataFrame, last: tuple[str, ...] = ("COMPLETED", "FAILED")) -> DataFrame:
+    """(investigation_id, pos, event_id, created_at, body): each event once, in order of time, then id, up to the time of
+    the first status (investigation_id, status, created_at) that ends its investigation. events have event_id,
+    created_at and body, a text; of repeated ids the earliest event counts."""
+    end = statuses.filter(F.col("status").isin(*last)).groupBy("investigation_id").agg(F.min("created_at").alias("end_"))
+    one = events.groupBy("investigation_id", "event_id").agg(F.min(F.struct("created_at", "body")).alias("x")).select("investigation_id", "event_id", "x.*")
+    kept = one.join(end, "investigation_id", "left").filter(F.col("end_").isNull() | (F.col("created_at") <= F.col("end_")))
+    w = Window.partitionBy("investigation_id").orderBy("created_at", "event_id")
+    return kept.select("investigation_id", F.row_number().over(w).cast("long").alias("pos"), "event_id", "created_at", "body")
+
+
+def tail_until_end(events: DataFrame, statuses: DataFrame, delay: str, last: tuple[str, ...] = ("COMPLETED", "FAILED"), keep_days: int = 30) -> DataFrame:
+    """events_until_end() of two streams that may be shuffled and late by up to the delay (append mode). An event is
+    held until the watermark passes it, so that order holds; rows later than the delay are dropped. The state
+    of an investigation is the number of events given and those held; once the watermark passes its end, only
+    the mark of the end stays, for keep_days of event time: events of an ended investigation that are later than
+    that would open it anew."""
+    key = events.schema["investigation_id"].dataType
+    row = "investigation_id, event_id, created_at, body, status"
+    both = events.selectExpr("investigation_id", "event_id", "created_at", "body", "cast(null as string) AS status").union(
+        statuses.filter(F.col("status").isin(*last)).selectExpr("investigation_id", "cast(null as long) AS event_id", "created_at", "cast(null as string) AS body", "status")
+    )
+    out = T.StructType([T.StructField("investigation_id", key), *T.StructType.fromDDL("pos long, event_id long, created_at timestamp, body string").fields])
+    keep = keep_days * 86_400_000_000
+
+    def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        given, end, held, closed = state.get if state.exists else (0, -1, "{}", False)
+        waiting = {int(k): tuple(v) for k, v in json.loads(held).items()}
+        if state.hasTimedOut and closed:
+            state.remove()
+            return
+        for f in () if state.hasTimedOut or closed else frames:
+            at = f["created_at"].astype("datetime64[us]").astype("int64").tolist()
+            for t, i, body, status in zip(at, f["event_id"].tolist(), f["body"].tolist(), f["status"].tolist(), strict=True):
+                if isinstance(status, str):
+                    end = t if end < 0 else min(end, t)
+                else:
+                    waiting[int(i)] = min((t, body), waiting.get(int(i), (t, body)), key=lambda x: (x[0], x[1] or ""))
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sorted((t, i, body) for i, (t, body) in waiting.items() if t <= passed and not 0 <= end < t)
+        waiting = {i: v for i, v in waiting.items() if v[0] > passed and not 0 <= end < v[0]}
+        if ready:
+            made = pd.DataFrame(ready, columns=["at", "event_id", "body"])
+            made["created_at"] = pd.to_datetime(made["at"], unit="us")
+            made["pos"], made["investigation_id"] = range(given + 1, given + len(ready) + 1), ident[0]
+            yield made[["investigation_id", "pos", "event_id", "created_at", "body"]]
+        closed = closed or 0 <= end <= passed
+        state.update((given + len(ready), end, json.dumps(waiting), closed))
+        times = [end + keep] if closed else [t for t, _ in waiting.values()] + ([end] if end >= 0 else [])
+        if times:
+            state.setTimeoutTimestamp(max(min(times) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+    watched = both.selectExpr(*row.split(", ")).withWatermark("created_at", delay).groupBy("investigation_id")
+    return watched.applyInPandasWithState(step, out, "given long, end_at long, held string, closed boolean", "append", "EventTimeTimeout")
