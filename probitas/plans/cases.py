@@ -132,11 +132,18 @@ def _verdict(s: SparkSession, d: str) -> DataFrame:
 def _reports(s: SparkSession, d: str) -> DataFrame:
     ev, attempts, p = _get(s, d, "evidence"), _get(s, d, "attempts"), _profile(s, d)
     status = stage(R.source_status(ev, C.source_catalog(s)), "status")
-    entities = _normal(s, d).select("investigation_id", "business_name", "gstin", "cin", "website", F.lit(1.0).alias("entity_confidence"))
+    given = _normal(s, d).select("investigation_id", "business_name", "gstin", "cin", "website", "location")
+    entities = stage(N.resolved_entities(given, ev), "entities")
     r = R.build_reports(entities, _scores(s, d, p), _signals(p), status, R.source_limitations(status, attempts), attempts, ev)
-    n = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    sizes = [n(c) for c in ("major_findings", "source_limitations", "source_attempt_status", "unverified_information", "evidence_summary", "cross_source_consistency")]
-    return r.select("investigation_id", "overall_risk.score", "overall_risk.level", "assessment_status", F.array_join("reason_codes", ",").alias("reason_codes"), "primary_source", F.col("verification_summary")["gst"]["status"].alias("gst"), "category_scores.compliance", "recommendation", F.get("evidence_summary", 0)["research_result_id"].alias("first_evidence"), *sizes)
+    said = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws("=", *(x[p] for p in parts))), ",")
+    texts = {
+        "findings": said("major_findings", "code", "risk_weight"), "limitations": said("source_limitations", "source", "status"), "attempts": said("source_attempt_status", "domain", "status", "attempts"),
+        "unverified": said("unverified_information", "research_result_id", "field_name"), "evidence": said("evidence_summary", "research_result_id", "ev_seq"), "consistency": said("cross_source_consistency", "field_key", "status"),
+    }
+    return r.select(
+        "investigation_id", "entity.name", "entity.gstin", "entity.cin", "entity.resolution_status", F.round("entity_confidence", 4).alias("entity_confidence"), "overall_risk.score", "overall_risk.level", "assessment_status",
+        F.array_join("reason_codes", ",").alias("reason_codes"), "primary_source", F.col("verification_summary")["gst"]["status"].alias("gst"), "category_scores.compliance", "recommendation", *(c.alias(k) for k, c in texts.items()),
+    )
 
 
 def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -267,6 +274,9 @@ def oracles(core: dict[str, str], signals: str, level: str, status: str, tasks:
   records AS (SELECT n.investigation_id, k.field_key, k.field, coalesce(cg.status, 'UNAVAILABLE') AS status, CASE coalesce(cg.status, 'UNAVAILABLE') WHEN 'UNAVAILABLE' THEN 'No verified evidence available from any source for comparison.' WHEN 'MATCH' THEN 'All sources (' || names || ') are fully consistent.' WHEN 'PARTIAL_MATCH' THEN 'Minor formatting or text variations observed across sources: ' || forms || '.'
      ELSE 'Conflicting ' || CASE WHEN k.field_key LIKE '%address' THEN 'address ' ELSE '' END || 'data reported across sources: ' || pairs || '.' END AS analysis, coalesce(cg.n, 0) AS n_sources
     FROM norm_in n CROSS JOIN (VALUES {", ".join(f"('{k}', '{l}')" for k, l in zip(R.CONSISTENCY_FIELDS, R.FIELD_LABELS, strict=True))}) k(field_key, field) LEFT JOIN cg ON cg.investigation_id = n.investigation_id AND cg.field_key = k.field_key LEFT JOIN cu ON cu.investigation_id = n.investigation_id AND cu.field_key = k.field_key)"""
+    # the resolution statement, over each investigation's request and the candidates of its evidence
+    own = """WITH targets AS (SELECT investigation_id AS target_id, investigation_id AS nationkey, business_name AS name, location, website, gstin FROM norm_in), candidates AS (SELECT candidate_id, investigation_id AS nationkey, name, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS website, gstin FROM cand)"""
+    resolution = core["j5_resolve"].replace(ctes("targets", "candidates"), own)
     limited = f"limits AS ({core['j20_source_limitations']})"
     kind = f"[{', '.join(repr(k) for k in _KINDS)}][kind + 1]"
     step = "CASE WHEN status = 'PASS' OR loops >= 2 THEN 'end' " + " ".join(f"WHEN {kind} = '{a}' THEN '{b}'" for a, b in Q.NEXT) + " ELSE 'planner' END"
@@ -322,13 +332,24 @@ SELECT b.investigation_id, b.ev_seq, concat_ws('; ', nullif(b.errors, ''), m.e)
     UNION ALL SELECT investigation_id, 'WRONG_RISK_SCORE' FROM ({mismatch})),
   per AS (SELECT investigation_id, list_sort(list(DISTINCT kind)) AS l FROM issues GROUP BY 1)
 SELECT i.investigation_id, CASE WHEN p.l IS NULL THEN 'PASS' ELSE 'FAIL' END AS status, coalesce(array_to_string(p.l, ','), '') AS issues, c.coverage, NOT coalesce(list_contains(p.l, 'WRONG_RISK_SCORE'), FALSE) AS score_verified, NOT coalesce(list_contains(p.l, 'WRONG_ENTITY'), FALSE) AS entity_verified FROM investigations i LEFT JOIN per p ON p.investigation_id = i.investigation_id LEFT JOIN coverage c ON c.investigation_id = i.investigation_id""",
-        "a14_build_reports": f"""{_with('investigations', 'evidence', 'attempts', 'requests')}{signals}{sums}{status}, {limited}{records}, cnt AS (SELECT n.investigation_id AS id, (SELECT count(*) FROM signals x WHERE x.investigation_id = n.investigation_id) AS n_major_findings, (SELECT count(*) FROM limits x WHERE x.investigation_id = n.investigation_id) AS n_source_limitations,
-    (SELECT count(DISTINCT domain) FROM attempts x WHERE x.investigation_id = n.investigation_id) AS n_source_attempt_status, (SELECT count(*) FROM evidence x WHERE x.investigation_id = n.investigation_id AND confidence < 0.5 AND upper(trim(field_value)) NOT IN ({", ".join(f"'{c}'" for c in R.NO_VALUE)})) AS n_unverified_information,
-    (SELECT count(*) FROM evidence x WHERE x.investigation_id = n.investigation_id) AS n_evidence_summary, (SELECT min(research_result_id) FROM evidence x WHERE x.investigation_id = n.investigation_id) AS first_evidence, (SELECT CAST(least(coalesce(sum(risk_weight) FILTER (lower(category) = 'compliance'), 0), 100) AS INTEGER) FROM signals x WHERE x.investigation_id = n.investigation_id) AS comp FROM norm_in n),
-  prim AS ({core['a12_primary_source']})
-SELECT n.investigation_id, s.score, s.level, CASE WHEN s.bare THEN 'INSUFFICIENT_EVIDENCE' ELSE 'COMPLETED' END AS assessment_status, CASE WHEN s.bare THEN array_to_string(list_filter([CASE WHEN n_source_limitations > 0 OR coalesce(g.status <> 'VERIFIED', FALSE) OR coalesce(m.status <> 'VERIFIED', FALSE) THEN 'AUTHORITATIVE_SOURCES_UNAVAILABLE' END, CASE WHEN coalesce(gstin, '') = '' AND coalesce(cin, '') = '' THEN 'NO_VERIFIED_ENTITY_RECORD' END, 'INSUFFICIENT_EVIDENCE'], lambda x: x IS NOT NULL), ',') ELSE '' END AS reason_codes,
-   p.primary_source, g.status AS gst, CASE WHEN NOT s.bare AND n_major_findings > 0 THEN comp END AS compliance, {recommend} AS recommendation, first_evidence, n_major_findings, n_source_limitations, n_source_attempt_status, n_unverified_information, n_evidence_summary, 11 AS n_cross_source_consistency
-FROM norm_in n JOIN scores s ON s.investigation_id = n.investigation_id JOIN cnt ON cnt.id = n.investigation_id LEFT JOIN prim p ON p.investigation_id = n.investigation_id LEFT JOIN status g ON g.investigation_id = n.investigation_id AND g.category = 'gst' LEFT JOIN status m ON m.investigation_id = n.investigation_id AND m.category = 'mca'""",
+        "a14_build_reports": f"""{_with('investigations', 'evidence', 'attempts', 'requests')}{signals}{sums}{status}, {limited}{records},
+  listed AS MATERIALIZED (SELECT investigation_id, string_agg(research_result_id || '=' || ev_seq, ',' ORDER BY research_result_id, ev_seq) AS evidence,
+    string_agg(research_result_id || '=' || field_name, ',' ORDER BY research_result_id, ev_seq) FILTER (confidence < 0.5 AND upper(trim(field_value)) NOT IN ({", ".join(f"'{c}'" for c in R.NO_VALUE)})) AS unverified FROM evidence GROUP BY 1),
+  risks AS MATERIALIZED (SELECT investigation_id, string_agg(code || '=' || risk_weight, ',' ORDER BY code) AS findings, CAST(least(coalesce(sum(risk_weight) FILTER (lower(category) = 'compliance'), 0), 100) AS INTEGER) AS comp FROM signals GROUP BY 1),
+  short AS MATERIALIZED (SELECT investigation_id, string_agg(source || '=' || status, ',' ORDER BY source, status) AS limitations FROM limits GROUP BY 1),
+  tried AS MATERIALIZED (SELECT investigation_id, string_agg(domain || '=' || status || '=' || n, ',' ORDER BY domain) AS attempts FROM (SELECT investigation_id, domain, arg_min(status, (-({rank}), attempt_id)) AS status, count(*) AS n FROM attempts GROUP BY 1, 2) GROUP BY 1),
+  agree AS MATERIALIZED (SELECT investigation_id, string_agg(field_key || '=' || status, ',' ORDER BY field_key) AS consistency FROM records GROUP BY 1),
+  portal AS MATERIALIZED (SELECT investigation_id, max(status) FILTER (category = 'gst') AS gst, max(status) FILTER (category = 'mca') AS mca FROM status GROUP BY 1),
+  prim AS MATERIALIZED ({core['a12_primary_source']}),
+  cand AS MATERIALIZED (SELECT investigation_id, CAST(ev_seq AS BIGINT) * 1048576 + pos AS candidate_id, x.name AS name, x.gstin AS gstin, x.cin AS cin FROM (SELECT investigation_id, ev_seq, unnest(range(len(l))) AS pos, unnest(l) AS x FROM (SELECT *, from_json(field_value, '[{{"name":"VARCHAR","gstin":"VARCHAR","cin":"VARCHAR"}}]') AS l FROM evidence WHERE field_name = 'candidate_entities' AND confidence >= 0.5))),
+  chosen AS MATERIALIZED ({resolution}),
+  ent AS (SELECT n.investigation_id, {", ".join(f"CASE WHEN coalesce(c.{f}, '') <> '' AND upper(trim(c.{f})) NOT IN ('NOT_FOUND', 'UNAVAILABLE', 'NONE') THEN c.{f} ELSE n.{'business_name' if f == 'name' else f} END AS {f}" for f in ("name", "gstin", "cin"))}, match_type AS resolution_status, round(confidence, 4) AS entity_confidence
+    FROM norm_in n JOIN chosen r ON r.target_id = n.investigation_id LEFT JOIN cand c ON c.investigation_id = n.investigation_id AND c.candidate_id = r.candidate_id)
+SELECT n.investigation_id, n.name, n.gstin, n.cin, n.resolution_status, n.entity_confidence, s.score, s.level, CASE WHEN s.bare THEN 'INSUFFICIENT_EVIDENCE' ELSE 'COMPLETED' END AS assessment_status, CASE WHEN s.bare THEN array_to_string(list_filter([CASE WHEN limitations IS NOT NULL OR coalesce(gst <> 'VERIFIED', FALSE) OR coalesce(mca <> 'VERIFIED', FALSE) THEN 'AUTHORITATIVE_SOURCES_UNAVAILABLE' END,
+    CASE WHEN coalesce(n.gstin, '') = '' AND coalesce(n.cin, '') = '' THEN 'NO_VERIFIED_ENTITY_RECORD' END, 'INSUFFICIENT_EVIDENCE'], lambda x: x IS NOT NULL), ',') ELSE '' END AS reason_codes,
+   primary_source, gst, CASE WHEN NOT s.bare AND findings IS NOT NULL THEN comp END AS compliance, {recommend} AS recommendation, coalesce(findings, '') AS findings, coalesce(limitations, '') AS limitations, coalesce(attempts, '') AS attempts, coalesce(unverified, '') AS unverified, coalesce(evidence, '') AS evidence, consistency
+FROM ent n JOIN scores s ON s.investigation_id = n.investigation_id JOIN agree ag ON ag.investigation_id = n.investigation_id LEFT JOIN listed l ON l.investigation_id = n.investigation_id LEFT JOIN risks k ON k.investigation_id = n.investigation_id LEFT JOIN short h ON h.investigation_id = n.investigation_id
+  LEFT JOIN tried t ON t.investigation_id = n.investigation_id LEFT JOIN portal o ON o.investigation_id = n.investigation_id LEFT JOIN prim p ON p.investigation_id = n.investigation_id""",
         "t1_tail_events": f"{_with('audit_events')} SELECT event_id, investigation_id, node FROM audit_events",
         "t3_stream_attempts": f"{_with('attempts')} SELECT investigation_id, domain, arg_min(status, (-({rank}), attempt_id)) AS status, count(*) AS attempts FROM attempts GROUP BY 1, 2",
         "t4_stream_latest_status": core["t4_latest_status"],

@@ -127,3 +127,18 @@ def test_nested_report(spark):
     assert r[1].overall_risk.score == 30 and r[1].assessment_status == "COMPLETED" and [f.code for f in r[1].major_findings] == ["GST_INACTIVE"] and r[1].category_scores.compliance == 30
     assert [x.research_result_id for x in r[1].evidence_summary] == ["a", "b"] and r[1].verification_summary["gst"].status == "VERIFIED" and [x.field_name for x in r[1].unverified_information] == ["legal_name"]
     assert r[2].reason_codes == ["NO_VERIFIED_ENTITY_RECORD", "INSUFFICIENT_EVIDENCE"] and r[2].evidence_summary == [] and len(r[2].cross_source_consistency) == 11 and r[2].recommendation == R.RECOMMENDATIONS[0]
+
+
+def test_reports_take_the_entity_that_resolution_chooses(spark):
+    """Only own evidence of confidence 0.5 counts; the first of equal candidates wins; placeholders never override."""
+    given = spark.createDataFrame([(1, "Alpha Foods Ltd", None, None, None, None), (2, "Beta Steel", "27ABCDE1234F1Z5", None, None, None), (3, "Gamma", None, None, None, None), (4, None, None, None, None, None)], "investigation_id long, business_name string, gstin string, cin string, website string, location string")
+    lists = [
+        (1, 1, 0.4, '[{"name": "Alpha Foods", "cin": "WEAK"}]'), (1, 2, 0.9, '[{"name": "Zed Works"}, {"name": "Alpha Foods", "gstin": "NOT_FOUND", "cin": "C1"}, {"name": "ALPHA FOODS", "cin": "C2"}]'),
+        (2, 1, 0.9, '[{"name": "Beta Steel", "gstin": "29XXXXX1234F1Z5"}]'), (3, 1, 0.9, "not a list"), (4, 1, 0.9, '[{"name": "Only"}]'),
+    ]
+    rows = spark.createDataFrame([(i, s, "candidate_entities", c, v) for i, s, c, v in lists], "investigation_id long, ev_seq int, field_name string, confidence double, field_value string")
+    got = {r.investigation_id: r for r in N.resolved_entities(given, rows).collect()}
+    assert (got[1].name, got[1].gstin, got[1].cin, got[1].entity_confidence, got[1].resolution_status) == ("Alpha Foods", None, "C1", 1.0, "SIMILARITY")
+    assert (got[2].name, got[2].gstin, got[2].entity_confidence, got[2].resolution_status) == ("Beta Steel", "27ABCDE1234F1Z5", 0.0, "CONFLICTING_IDENTITY")
+    assert (got[3].name, got[3].entity_confidence, got[3].resolution_status) == ("Gamma", 0.0, "NO_MATCH") and (got[4].name, got[4].resolution_status) == ("Only", "NO_MATCH")
+    assert all(r.business_name == g.business_name for r, g in zip(sorted(got.values()), given.orderBy("investigation_id").collect(), strict=True))
