@@ -12,7 +12,10 @@ matches where all of them stand in a row.
 
 The benchmark is stated once and held against all documents in blocks: it is cut into pieces of
 bounded length, pieces are dealt to blocks of at most about `block_tokens` tokens, and each block
-is a broadcast of that proven size. A larger benchmark means more blocks, not a larger broadcast.
+is a broadcast of that proven size, freed before the next. A larger benchmark means more blocks, each of which
+reads the documents, not a larger broadcast. A seed that comes often in a text and in an item, as in a run of
+one word, is not paired place by place: its diagonals are the sums of two sets of places, made by shifting
+a map of bits, so that such texts take time in proportion to their diagonals.
 
 Defined results: null, empty and blank documents never match, nor does an item without tokens
 (null, empty, or signs alone); a repeated item matches under each of its ids; repeated documents
@@ -26,6 +29,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,6 +47,8 @@ from probitas.llm.common import free, table
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 6, 7))
 WINDOW, MAX_SUBSTITUTIONS, MIN_TOKENS = 16, 3, 8
 _PIECE = 4096
+#: Pairs of one seed, of a text with all items, from which its diagonals are found without them.
+HOT_PAIRS = 1 << 12
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _KEEP = 1 << 18
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -123,6 +129,13 @@ class _Block:
             where = np.flatnonzero(maybe[h >> np.uint64(42)])
             lo, hi = np.searchsorted(hashes, h[where], "left"), np.searchsorted(hashes, h[where], "right")
             where, lo, n = where[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            # a seed that comes often on both sides, as in a run of equal words, has far more pairs than diagonals
+            _, number, times = np.unique(lo, return_inverse=True, return_counts=True)
+            hot = (times[number] > 1) & (n > 1) & (times[number] * n > HOT_PAIRS)
+            for first in np.unique(lo[hot]).tolist():
+                mine = lo == first
+                found += self._between(where[mine], at[first : first + int(n[mine][0])])
+            where, lo, n = where[~hot], lo[~hot], n[~hot]
             part = (np.cumsum(n) - n) >> 20  # portions of bounded size
             for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1) if len(n) else ():
                 k = n[rows]
@@ -131,6 +144,23 @@ class _Block:
                 found.append(np.unique(np.stack([piece, np.repeat(where[rows], k) - (item - self.start[piece])], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    def _between(self, places: np.ndarray, items: np.ndarray) -> Iterator[np.ndarray]:
+        """The diagonals of every place with every item token, without their pairs: a map of bits of one side is
+        shifted by each place of the other."""
+        pieces = np.searchsorted(self.start, items, "right") - 1
+        for piece in np.unique(pieces).tolist():
+            inside = items[pieces == piece] - self.start[piece]
+            last = int(inside.max())
+            few, many = sorted((places, last - inside), key=len)  # their sums are the diagonals, last too high
+            mark = np.zeros(int(many.max()) + 1, dtype=np.uint8)
+            mark[many] = 1
+            bits, sums = int.from_bytes(np.packbits(mark, bitorder="little").tobytes(), "little"), 0
+            for k in few.tolist():
+                sums |= bits << k
+            raw = np.frombuffer(sums.to_bytes((sums.bit_length() + 7) // 8, "little"), dtype=np.uint8)
+            d = np.flatnonzero(np.unpackbits(raw, bitorder="little")) - last
+            yield np.stack([np.full(len(d), piece), d], axis=1)
+
     def whole(self, tokens: np.ndarray) -> Iterator[tuple]:
         """(item_id, start, item_start, width, equal) of the first place of each short item."""
         for n, (hashes, pieces) in self.short.items():
@@ -144,17 +174,29 @@ class _Block:
     def overlaps(self, tokens: np.ndarray) -> Iterator[tuple]:
         """(item_id, start, item_start, width, equal) of the best stretch of each diagonal that has one."""
         yield from self.whole(tokens)
-        for piece, d in self.diagonals(tokens).tolist():
+        found = self.diagonals(tokens)
+        for rows in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else ():
+            piece = int(rows[0, 0])
             item = self.tokens[self.start[piece] : self.start[piece + 1]]
             w, subs = self.rule[piece]
-            a, b = max(0, -d), min(len(item), len(tokens) - d)
-            if b - a < w:
-                continue
-            same = np.concatenate([[0], np.cumsum(item[a:b] == tokens[a + d : b + d])])
-            equal = same[w:] - same[:-w]
-            k = int(equal.argmax())
-            if equal[k] >= w - subs:
-                yield self.ids[piece], a + d + k, int(self.offset[piece]) + a + k, w, int(equal[k])
+            step = max(1, (1 << 20) // len(item))
+            for k in range(0, len(rows), step):
+                yield from self._best(tokens, piece, item, rows[k : k + step, 1], w, subs)
+
+    def _best(self, tokens: np.ndarray, piece: int, item: np.ndarray, diagonals: np.ndarray, w: int, subs: int) -> Iterator[tuple]:
+        """Hits of some diagonals of one piece, a row of comparisons for each."""
+        if len(tokens) < w:
+            return
+        under = diagonals[:, None] + np.arange(len(item))
+        there = (under >= 0) & (under < len(tokens))
+        same = np.zeros((len(diagonals), len(item) + 1), dtype=np.int32)
+        np.cumsum((tokens[np.where(there, under, 0)] == item) & there, axis=1, out=same[:, 1:])
+        equal = np.where(there[:, : len(item) - w + 1] & there[:, w - 1 :], same[:, w:] - same[:, :-w], -1)
+        at = equal.argmax(axis=1)
+        best = equal[np.arange(len(diagonals)), at]
+        for i in np.flatnonzero(best >= max(0, w - subs)).tolist():
+            k = int(at[i])
+            yield self.ids[piece], int(diagonals[i]) + k, int(self.offset[piece]) + k, w, int(best[i])
 
 
 _ready: dict[str, _Block] = {}
@@ -197,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 1 <<
     id_type, item_type = docs.schema["doc_id"].dataType, pieces.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", item_type), *(T.StructField(c, T.LongType()) for c in ("doc_start", "item_start", "n_tokens", "n_equal"))])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    found = spark.createDataFrame([], schema)
+    hits = []
     for k in range(blocks):
         part = pieces.filter(F.pmod(F.xxhash64("item_id", "offset"), F.lit(blocks)) == k).toArrow()
         shared = spark.sparkContext.broadcast(part)
@@ -214,7 +256,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 1 <<
                     cols = [batch.column("doc_id").take(pa.array(rows)), *(pa.array(c) for c in zip(*hits, strict=True))]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-        found = found.union(docs.select("doc_id", "text").mapInArrow(search, schema))
+        hits.append(stage(docs.select("doc_id", "text").mapInArrow(search, schema), "hits"))
+        shared.destroy()  # one block at a time is on driver and executors
+    found = reduce(DataFrame.union, hits, spark.createDataFrame([], schema))
     best = F.max_by(F.struct("doc_start", "item_start", "n_tokens", "n_equal"), F.struct(F.col("n_equal") / F.col("n_tokens"), -F.col("doc_start"), -F.col("item_start"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
