@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probitas.functions import text as X
+from probitas.operators.rulebook import Rule, RuleBook
 
 # Rules, levels and statuses that scores depend on.
 RULES = [
@@ -31,7 +31,6 @@ ADDRESS_GROUPS = (("registered_address", "address"), ("establishment_address",),
 LOW_INFORMATION = ("mca_status", "epfo_status", "website_status")
 EXCLUDED = ("REJECTED", "ENTITY_MISMATCH", "UNRELATED")
 LEGAL_SOURCES, SUPPORTING_SOURCES = ("GST Portal", "MCA Portal"), ("Company Website", "General Web", "Third-Party Source")
-PAIR_RULES = ("LEGAL_NAME_CONFLICT", "ADDRESS_MAJOR_MISMATCH", "BUSINESS_ACTIVITY_MISMATCH")
 VERIFIED_CONFIDENCE = 0.70
 
 
@@ -73,40 +72,28 @@ def substantive(adm: DataFrame) -> DataFrame:
     return adm.filter(is_substantive())
 
 
-def age_days(value: Column, at: Column) -> Column:
-    """Whole days from a date in one of the usual forms to `at`; null if it is no date."""
-    forms = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy", "dd/MM/yyyy", "d MMM yyyy")
-    date = F.coalesce(*(F.try_to_timestamp(F.trim(value), F.lit(f)) for f in forms))
-    return F.floor((F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(date)) / 86400)
+#: The rules above, as a book that more rules can be added to.
+BOOK = RuleBook(
+    tuple(Rule(*r, **how) for r, how in zip(RULES, (
+        {"kind": "one_of", "groups": (("gst_status",),), "values": GST_BAD}, {"kind": "one_of", "groups": (("company_status", "registration_status"),), "form": "squeezed", "values": COMPANY_BAD},
+        {"kind": "differs", "groups": (NAME_FIELDS,), "form": "name"}, {"kind": "differs", "groups": ADDRESS_GROUPS, "form": "address"}, {"kind": "differs", "groups": (("business_activity",),), "form": "activity"},
+        {"kind": "younger_than", "groups": (("registration_date", "incorporation_date"),), "days": 365},
+    ), strict=True)), tuple(LEVELS),
+)
+PAIR_RULES = BOOK.pair_codes
 
 
-def _address_group(field: Column) -> Column:
-    return reduce(lambda c, g: c.when(field.isin(*g[1]), g[0]), enumerate(ADDRESS_GROUPS), F.when(F.lit(False), 0))
-
-
-def triggers(adm: DataFrame) -> DataFrame:
+def triggers(adm: DataFrame, book: RuleBook = BOOK) -> DataFrame:
     """(investigation_id, code, grp, norm, row): what each admissible row says to a rule. Rules that one
     row triggers have an empty norm; rules that two different values trigger have the normalised
     value; code '' stands for substantive evidence."""
-    field, value = F.col("field_name"), F.col("field_value")
-    low = F.lower(F.trim(value))
-    item = lambda code, grp=0, norm="": F.struct(F.lit(code).alias("code"), (grp if isinstance(grp, Column) else F.lit(grp)).cast("int").alias("grp"), (norm if isinstance(norm, Column) else F.lit(norm)).alias("norm"))
-    group = _address_group(field)
-    items = F.array(
-        F.when(is_substantive(), item("")),
-        F.when((field == "gst_status") & low.isin(*GST_BAD), item("GST_INACTIVE")),
-        F.when(field.isin("company_status", "registration_status") & F.regexp_replace(low, r"(?U)\s+", " ").isin(*COMPANY_BAD), item("COMPANY_STATUS_ADVERSE")),
-        F.when(field.isin("registration_date", "incorporation_date") & (age_days(value, F.col("retrieved_at")) < 365), item("VERY_RECENT_REGISTRATION")),
-        F.when(field.isin(*NAME_FIELDS), item("LEGAL_NAME_CONFLICT", 0, X.rule_name(value)))
-        .when(group.isNotNull() & X.is_full_address(value), item("ADDRESS_MAJOR_MISMATCH", group, X.norm_address(value)))
-        .when(field == "business_activity", item("BUSINESS_ACTIVITY_MISMATCH", 0, X.norm_activity(value))),
-    )
+    sure = F.struct(F.lit("").alias("code"), F.lit(0).alias("grp"), F.lit("").alias("norm"))
     row = F.struct(F.col("ev_seq"), F.col("research_result_id").alias("id"), "confidence").alias("row")
-    found = adm.select("investigation_id", row, F.explode(F.array_compact(items)).alias("t")).select("investigation_id", "t.*", "row")
-    return found.filter(~F.col("code").isin(*PAIR_RULES) | (F.col("norm") != ""))
+    items = F.array(F.when(is_substantive(), sure), *book.triggers())
+    return adm.select("investigation_id", row, F.explode(F.array_compact(items)).alias("t")).select("investigation_id", "t.*", "row")
 
 
-def risk_profile(ev: DataFrame) -> DataFrame:
+def risk_profile(ev: DataFrame, book: RuleBook = BOOK) -> DataFrame:
     """(investigation_id, enough, signals) of each investigation with admissible evidence that says
     something to a rule or to sufficiency: one pass over evidence. signals: (code, evidence_ids,
     confidence), empty without substantive evidence.
@@ -114,10 +101,10 @@ def risk_profile(ev: DataFrame) -> DataFrame:
     Pair rules take the first pair in arrival order: the first usable row and the first later one
     with another value, so the least row of each distinct value is enough, and of these the first
     two of each group; no pairs are formed."""
-    least = triggers(admissible(ev)).groupBy("investigation_id", "code", "grp", "norm").agg(F.min("row").alias("row"))
+    least = triggers(admissible(ev), book).groupBy("investigation_id", "code", "grp", "norm").agg(F.min("row").alias("row"))
     rank = F.row_number().over(Window.partitionBy("investigation_id", "code", "grp").orderBy("row.ev_seq"))
     two = least.select("investigation_id", "code", "grp", "row", rank.alias("n")).filter("n <= 2")
-    all_ = two.groupBy("investigation_id").agg(F.collect_list(F.struct("code", "grp", "n", "row")).alias("t"))  # 20 entries at most
+    all_ = two.groupBy("investigation_id").agg(F.collect_list(F.struct("code", "grp", "n", "row")).alias("t"))  # two entries at most for each rule and group
     of = lambda code, n: F.filter("t", lambda x: (x["code"] == code) & (x["n"] == n))
 
     def one(code: str) -> Column:
@@ -131,7 +118,7 @@ def risk_profile(ev: DataFrame) -> DataFrame:
         return F.when(grp.isNotNull(), both)
 
     enough = F.exists("t", lambda x: x["code"] == "")
-    signals = F.array_compact(F.array(*(pair(r[0]) if r[0] in PAIR_RULES else one(r[0]) for r in RULES)))
+    signals = F.array_compact(F.array(*(pair(r.code) if r.kind == "differs" else one(r.code) for r in book.rules)))
     return all_.select("investigation_id", enough.alias("enough"), signals.alias("found")).select("investigation_id", "enough", F.when(F.col("enough"), F.col("found")).otherwise(F.slice("found", 1, 0)).alias("signals"))
 
 
@@ -173,20 +160,20 @@ def level_of(score: Column, levels=None) -> Column:
     return reduce(lambda c, x: c.when(score.between(x[1], x[2]), x[0]), levels or LEVELS, F.when(F.lit(False), "")).otherwise("UNKNOWN")
 
 
-def scores_of(investigations: DataFrame, profile: DataFrame) -> DataFrame:
+def scores_of(investigations: DataFrame, profile: DataFrame, book: RuleBook = BOOK) -> DataFrame:
     """(investigation_id, score, level, insufficient_evidence, n_signals) of every investigation, from
     risk_profile()'s rows."""
-    weight = F.aggregate("signals", F.lit(0), lambda a, x: a + reduce(lambda c, r: c.when(x["code"] == r[0], r[1]), RULES, F.when(F.lit(False), 0)).otherwise(0))
+    weight = F.aggregate("signals", F.lit(0), lambda a, x: a + book.weight(x["code"]))
     per = profile.select("investigation_id", "enough", weight.alias("total"), F.size("signals").alias("n"))
     d = investigations.select("investigation_id").join(per, "investigation_id", "left").withColumn("insufficient_evidence", ~F.coalesce("enough", F.lit(False)))
     d = d.withColumn("score", F.when(~F.col("insufficient_evidence"), F.least("total", F.lit(100))).cast("int"))
-    level = F.when(F.col("insufficient_evidence"), "INSUFFICIENT_EVIDENCE").otherwise(level_of(F.col("score")))
+    level = F.when(F.col("insufficient_evidence"), "INSUFFICIENT_EVIDENCE").otherwise(level_of(F.col("score"), book.levels))
     return d.select("investigation_id", "score", level.alias("level"), "insufficient_evidence", F.coalesce("n", F.lit(0)).cast("long").alias("n_signals"))
 
 
-def risk_scores(investigations: DataFrame, ev: DataFrame) -> DataFrame:
+def risk_scores(investigations: DataFrame, ev: DataFrame, book: RuleBook = BOOK) -> DataFrame:
     """(investigation_id, score, level, insufficient_evidence, n_signals) of every investigation."""
-    return scores_of(investigations, risk_profile(ev))
+    return scores_of(investigations, risk_profile(ev, book), book)
 
 
 def category_scores(signals: DataFrame) -> DataFrame:
