@@ -119,13 +119,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards:
     if n > max_rows:  # the rows of least hash, about max_rows
         known = known.filter(F.col("r") < int(-(1 << 63) + (1 << 64) * (max_rows / n)))
     # the ids are bounded by max_rows, so texts stay where they are read and only sampled ones move
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "r", F.pmod(F.hash("r"), F.lit(shards)).alias("shard"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y", "r", F.pmod(F.hash("r"), F.lit(shards)).alias("shard"))
 
     @F.pandas_udf("f binary, c binary")
     def of(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([[x.tobytes() for x in counted(t)] for t in s], columns=["f", "c"], dtype=object)
 
-    rows = rows.withColumn("x", of("text")).select("shard", "r", "y", "x.f", "x.c")
+    # an id that documents repeat is one row, the one of least text hash, so max_rows bounds the rows of a shard too
+    rows = rows.select("doc_id", "shard", "r", "y", F.xxhash64("text").alias("h"), of("text").alias("x"))
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("shard", "r", "y", "x.f", "x.c"), F.col("h")).alias("row")).select("row.*")
 
     good, all_ = known.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     prior = float(np.log((good + 1) / (all_ - good + 1)))  # a text of few words stays near the share of good ones
