@@ -129,13 +129,14 @@ class _Block:
             where = np.flatnonzero(maybe[h >> np.uint64(42)])
             lo, hi = np.searchsorted(hashes, h[where], "left"), np.searchsorted(hashes, h[where], "right")
             where, lo, n = where[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            # a seed that comes often on both sides, as in a run of equal words, has far more pairs than diagonals
-            _, number, times = np.unique(lo, return_inverse=True, return_counts=True)
-            hot = (times[number] > 1) & (n > 1) & (times[number] * n > HOT_PAIRS)
-            for first in np.unique(lo[hot]).tolist():
-                mine = lo == first
-                found += self._between(where[mine], at[first : first + int(n[mine][0])])
-            where, lo, n = where[~hot], lo[~hot], n[~hot]
+            if n.sum() > HOT_PAIRS:
+                # a seed that comes often on both sides, as in a run of equal words, has far more pairs than diagonals
+                _, number, times = np.unique(lo, return_inverse=True, return_counts=True)
+                hot = (times[number] > 1) & (n > 1) & (times[number] * n > HOT_PAIRS)
+                for first in np.unique(lo[hot]).tolist():
+                    mine = lo == first
+                    found += self._between(where[mine], at[first : first + int(n[mine][0])])
+                where, lo, n = where[~hot], lo[~hot], n[~hot]
             part = (np.cumsum(n) - n) >> 20  # portions of bounded size
             for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1) if len(n) else ():
                 k = n[rows]
