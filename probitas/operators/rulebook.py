@@ -18,15 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probitas.functions import text as X
+from probitas.functions.dates import read_date
 
 KINDS = ("one_of", "younger_than", "differs")
 
 
 def age_days(value: Column, at: Column) -> Column:
-    """Whole days from a date in one of the usual forms to `at`; null if it is no date."""
-    forms = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy", "dd/MM/yyyy", "d MMM yyyy")
-    date = F.coalesce(*(F.try_to_timestamp(F.trim(value), F.lit(f)) for f in forms))
-    return F.floor((F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(date)) / 86400)
+    """Whole days from a date in free form to `at`, from which it takes what it doesn't tell; null if it is no date."""
+    return F.floor((F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(read_date(value, at))) / 86400)
 
 
 def _lower(c: Column) -> Column:

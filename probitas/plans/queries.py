@@ -15,7 +15,7 @@ from probitas.operators import pages as P
 from probitas.operators import qa as Q
 from probitas.operators import report as R
 from probitas.operators import risk as K
-from probitas.plans import cases, corpus, election, extract, identity, links, planning, rules, streams
+from probitas.plans import cases, corpus, election, extract, identity, links, planning, rules, streams, timing
 from probitas.sources.catalog import SOURCES, source_catalog
 from probitas.sources.views import ctes, view
 
@@ -114,7 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **planning.QUERIES, **identity.QUERIES, **extract.QUERIES, **links.QUERIES, **cases.QUERIES, **corpus.QUERIES, **election.QUERIES, **streams.QUERIES, **rules.QUERIES}
+    return {**QUERIES, **planning.QUERIES, **identity.QUERIES, **extract.QUERIES, **links.QUERIES, **cases.QUERIES, **corpus.QUERIES, **election.QUERIES, **streams.QUERIES, **rules.QUERIES, **timing.queries(_tasks)}
 
 
 # The same in SQL. CTEs that several statements share:
@@ -264,4 +264,4 @@ def oracle_sql() -> dict[str, str]:
     planned = planning.oracles(_TEXTS, _PLAIN, _SIGNALS, _LEVEL)
     planned |= {"j9_route_all_sources": planned["j9_route_sources"], "s16_apply_all_task_status": planned["s16_apply_task_status"]}
     more = cases.oracles(ORACLES, _SIGNALS, _LEVEL, _STATUS, _TASKS.format(first="arg_min"), planned["f14_address_values"], _TEXTS, _RANK)
-    return {**ORACLES, **planned, **identity.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"]), **extract.oracles(_TEXTS), **links.oracles(planned["x2_page_challenge"], _TEXTS, planned["x7_9_page_facts"], ORACLES["x6_identifiers"]), **more, **corpus.oracles(_PAIRS, ORACLES["j5_resolve"]), **election.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"], planned["x7_9_page_facts"], ORACLES["x6_identifiers"]), **streams.oracles(ORACLES["s8_upsert_evidence"]), **rules.oracles(_SIGNALS)}
+    return {**ORACLES, **planned, **identity.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"]), **extract.oracles(_TEXTS), **links.oracles(planned["x2_page_challenge"], _TEXTS, planned["x7_9_page_facts"], ORACLES["x6_identifiers"]), **more, **corpus.oracles(_PAIRS, ORACLES["j5_resolve"]), **election.oracles(_TEXTS, _PLAIN, planned["x2_page_challenge"], planned["x7_9_page_facts"], ORACLES["x6_identifiers"]), **streams.oracles(ORACLES["s8_upsert_evidence"]), **rules.oracles(_SIGNALS), **timing.oracles(_TASKS.format(first="arg_min"), _KEY, _FRESH)}
