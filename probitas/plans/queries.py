@@ -15,7 +15,7 @@ from probitas.operators import pages as P
 from probitas.operators import qa as Q
 from probitas.operators import report as R
 from probitas.operators import risk as K
-from probitas.plans import cases, corpus, election, extract, identity, links, planning, rules, streams, timing
+from probitas.plans import cases, corpus, election, extract, identity, links, planning, rules, streams, timing, workflow
 from probitas.sources.catalog import SOURCES, source_catalog
 from probitas.sources.views import ctes, view
 
@@ -114,7 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **planning.QUERIES, **identity.QUERIES, **extract.QUERIES, **links.QUERIES, **cases.QUERIES, **corpus.QUERIES, **election.QUERIES, **streams.QUERIES, **rules.QUERIES, **timing.queries(_tasks)}
+    return {**QUERIES, **planning.QUERIES, **identity.QUERIES, **extract.QUERIES, **links.QUERIES, **cases.QUERIES, **corpus.QUERIES, **election.QUERIES, **streams.QUERIES, **rules.QUERIES, **timing.queries(_tasks), **workflow.QUERIES}
 
 
 # The same in SQL. CTEs that several statements share:
