@@ -25,7 +25,8 @@ KINDS = ("one_of", "younger_than", "differs")
 
 def age_days(value: Column, at: Column) -> Column:
     """Whole days from a date in free form to `at`, from which it takes what it doesn't tell; null if it is no date."""
-    return F.floor((F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(read_date(value, at))) / 86400)
+    plain = F.try_to_timestamp(F.trim(value), F.lit("yyyy-MM-dd"))  # most dates; the reader takes the others
+    return F.floor((F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(F.coalesce(plain, read_date(value, at)))) / 86400)
 
 
 def _lower(c: Column) -> Column:

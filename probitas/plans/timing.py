@@ -28,7 +28,7 @@ FORMS = (
     ("d-MMM-yyyy '9 PM'", f"{_D} + INTERVAL 21 HOUR"),
     ("'on' d'rd of' MMMM yyyy", _D),
     ("'Incorporated' yyyy", "NULL"),
-    ("d MMMM", f"make_date(1998, month({_D}), day({_D}))"),
+    ("d MMMM", f"TRY_CAST('1998-' || strftime({_D}, '%m-%d') AS DATE)"),
     ("yyyyMMdd'0915'", f"{_D} + INTERVAL 555 MINUTE"),
 )
 
