@@ -9,8 +9,12 @@ of a row are the pairs of tokens of that prefix: rarer by far than single tokens
 keys only for names that have no other, and for names short enough to be similar to one.
 
 Before a pair is formed its sizes and sectors must fit; a pair is kept under the first key that it
-shares, so nothing has to be made distinct. A key that many candidates hold is dealt into parts of
-about `part` candidates, and the targets of that key go to each part, so no key meets in one task.
+shares, so nothing has to be made distinct. A key that many rows hold is dealt into cells of about
+`part` rows a side (linkage.met), so no key meets in one task.
+
+Records that say the same are one profile (linkage.entity_profiles), and keys are looked for by name, of
+which a table has fewer: names are compared first, then the profiles of similar names, and ids come in
+when a pair of profiles has passed.
 """
 
 from __future__ import annotations
@@ -19,10 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probitas.cluster import stage
-from probitas.operators.linkage import THRESHOLD, WEIGHTS, compare_entities, exact_matches, normalize_entities
+from probitas.operators.linkage import CELL, SCORED, THRESHOLD, WEIGHTS, agreeing, compare_entities, entity_profiles, expanded, met, name_similarity, normalize_entities, resolve_profiles
 
-#: Candidates of one key that meet in one task, about.
-PART = 4096
 #: A score is rounded to four digits, a name similarity too.
 _ROUNDING = 0.0005
 _NAME = dict(WEIGHTS)["name"]
@@ -56,39 +58,59 @@ def keyed(d: DataFrame, threshold: float, target: bool) -> DataFrame:
     """A row of d (tokens, e) for each of its keys, with its least similarity. Targets have single tokens
     as keys if they have one token, candidates if they are short enough to be similar to such a target."""
     n = F.size("tokens")
-    d = d.withColumn("least", _least_similarity(F.col("e"), threshold))
+    d = d if "least" in d.columns else d.withColumn("least", _least_similarity(F.col("e"), threshold))
     need = F.greatest(F.lit(2), F.ceil(F.col("least") * n / (2 - F.col("least")) - 1e-9)).cast("int")
     single = (n == 1) if target else (F.lit(2.0) / (1 + n) >= F.col("least"))
     return d.withColumn("key", F.explode(_keys(n, single, need)))
 
 
-def formed_pairs(targets: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
+def _least_of(d: DataFrame) -> list[str]:
+    return ["least"] if {"e", "least"} <= set(d.columns) else []
+
+
+def _named(d: DataFrame, side: str, key: str, threshold: float) -> DataFrame:
+    """(key, e, least): one row a name of the profiles d, with the least similarity that any of them needs."""
+    d = d.select(F.col(side).alias("e")).filter("e.name is not null")
+    return d.groupBy(F.col("e.name").alias(key)).agg(F.min(_least_similarity(F.col("e"), threshold)).alias("least"), F.first("e").alias("e"))
+
+
+def formed_pairs(targets: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, part: int = CELL) -> DataFrame:
     """(target_id, candidate_id, t, c): every pair of named entities that may reach the threshold, once."""
     if 2.5 * threshold - 1.5 - 2.5 * _ROUNDING <= _ONE_TOKEN:
         raise ValueError("below 0.73 a single shared word could do, and the filter would lose pairs")
-    t, c = normalize_entities(targets).select("target_id", "e"), normalize_entities(candidates).select("candidate_id", "e")
+    t, c = (d.select(*key, "e") for d, key in ((normalize_entities(targets), ["target_id", *_least_of(targets)]), (normalize_entities(candidates), ["candidate_id", *_least_of(candidates)])))
     both = t.select("e").union(c.select("e"))
     order = both.select(F.explode(F.array_distinct("e.tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("rarity"))
     a = keyed(ordered_tokens(t, "target_id", order), threshold, True).select("key", "target_id", F.col("e").alias("t"), F.col("tokens").alias("t_tokens"), F.col("least").alias("t_least"))
     b = keyed(ordered_tokens(c, "candidate_id", order), threshold, False).select("key", "candidate_id", F.col("e").alias("c"), F.col("tokens").alias("c_tokens"), F.col("least").alias("c_least"))
-    large = b.groupBy("key").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1")
-    b = b.join(large, "key", "left").withColumn("p", F.pmod(F.xxhash64("candidate_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    a = a.join(large, "key", "left").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
     n, m, shared = F.size("t_tokens"), F.size("c_tokens"), F.array_intersect("t_tokens", "c_tokens")
     fits = 2 * F.least(n, m) >= F.greatest("t_least", "c_least") * (n + m) - 1e-9
     first = F.when(n == 0, True).when(F.instr("key", " ") == 0, F.size(shared) == 1).otherwise(F.array_join(F.slice(shared, 1, 2), " ") == F.col("key"))
-    met = a.join(b, ["key", "p"]).filter((F.col("t.sector") == F.col("c.sector")) & fits & first)
-    return met.select("target_id", "candidate_id", "t", "c")
+    both = met(a, b, ["key"], cell=part).filter((F.col("t.sector") == F.col("c.sector")) & fits).filter(first)
+    return both.select("target_id", "candidate_id", "t", "c")
+
+
+def _corpus(targets: DataFrame, candidates: DataFrame, threshold: float, part: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of targets, and the pairs of profiles that corpus_pairs() keeps, with t_ids and c_ids."""
+    t, c = entity_profiles(targets, "target_id", "t"), entity_profiles(candidates, "candidate_id", "c")
+    formed = formed_pairs(_named(t, "t", "target_id", threshold), _named(c, "c", "candidate_id", threshold), threshold, part)
+    names = stage(formed.select(F.col("target_id").alias("t_name"), F.col("candidate_id").alias("c_name"), name_similarity(F.col("t"), F.col("c")).alias("alike")), "names")
+    a = t.withColumn("t_name", F.col("t.name")).join(names, "t_name").drop("t_name")
+    both = met(a, c.withColumn("c_name", F.col("c.name")), ["c_name"], (F.size("t_ids"), F.size("c_ids")), part)
+    similar = compare_entities(both.withColumnsRenamed({"t_id": "target_id", "c_id": "candidate_id"}), "t_ids", "c_ids", alike=F.col("alike")).filter(F.col("score") >= threshold)
+    named = F.col("t.name").isNotNull() & F.col("c.name").isNotNull()
+    same = agreeing(t, c).withColumnsRenamed({"t_id": "target_id", "c_id": "candidate_id"}).withColumn("named", named)
+    scored = compare_entities(same, "t_ids", "c_ids", "named").filter(~F.col("named") | (F.col("score") < threshold))
+    return t, similar.unionByName(scored.drop("named"))
 
 
-def corpus_pairs(targets: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
+def corpus_pairs(targets: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, part: int = CELL) -> DataFrame:
     """score_pairs() over whole tables: the pairs of named entities that reach the threshold, and those that
     agree on an identifier, whatever their score. Ids are unique; rows without a name meet by identifier only."""
-    targets = stage(normalize_entities(targets).select("target_id", "e"), "targets")
-    candidates = stage(normalize_entities(candidates).select("candidate_id", "e"), "candidates")
-    similar = compare_entities(formed_pairs(targets, candidates, threshold, part)).filter(F.col("score") >= threshold)
-    t, c = targets.select("target_id", F.col("e").alias("t")), candidates.select("candidate_id", F.col("e").alias("c"))
-    same = exact_matches(targets, candidates).join(t, "target_id").join(c, "candidate_id")
-    named = F.col("t.name").isNotNull() & F.col("c.name").isNotNull()
-    scored = compare_entities(same.withColumn("named", named), "named")
-    return similar.union(scored.filter(~F.col("named") | (F.col("score") < threshold)).drop("named"))
+    return expanded(_corpus(targets, candidates, threshold, part)[1], *SCORED)
+
+
+def corpus_resolve(targets: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, part: int = CELL) -> DataFrame:
+    """linkage.resolve() of corpus_pairs(), without forming pairs of ids."""
+    t, pairs = _corpus(targets, candidates, threshold, part)
+    return resolve_profiles(targets, t, pairs, threshold)

@@ -24,7 +24,7 @@ def _planted(s: SparkSession, d: str) -> DataFrame:
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
     candidates = view(s, d, "candidates").select(*_PLAIN).union(_planted(s, d).select(*_PLAIN))
-    return L.resolve(view(s, d, "targets"), M.corpus_pairs(view(s, d, "targets"), candidates))
+    return M.corpus_resolve(view(s, d, "targets"), candidates)
 
 
 def _accuracy(s: SparkSession, d: str) -> DataFrame:
