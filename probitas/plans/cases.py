@@ -67,7 +67,7 @@ def _intake_rows(s: SparkSession, d: str) -> DataFrame:
 def _resolved(s: SparkSession, d: str) -> DataFrame:
     fields = ("name", "location", "website", "gstin")
     targets, candidates = _get(s, d, "targets"), _get(s, d, "candidates")
-    found = L.resolve(targets, L.score_pairs(targets, candidates, "nationkey")).join(candidates, "candidate_id").select("target_id", *fields)
+    found = L.resolve_scope(targets, candidates, "nationkey").join(candidates, "candidate_id").select("target_id", *fields)
     return N.merge_entity(targets.select("target_id", *fields), found, fields, "target_id").withColumn("entity_id", N.entity_id(F.col("name")))
 
 
