@@ -66,7 +66,7 @@ def source_status(ev: DataFrame, catalog: DataFrame) -> DataFrame:
         n = F.count_if((F.col("cat") == c) & F.col("f.use"))
         status = F.when(on("v"), "VERIFIED").when(on("c"), "CAPTCHA_REQUIRED").when(on("b"), "BLOCKED").when(on("n"), "NOT_FOUND").otherwise("UNAVAILABLE")
         per.append(F.struct(F.lit(c).alias("category"), status.alias("status"), n.alias("evidence_count")))
-    rows = ev.withColumn("key_", lookup_key(F.col("source_name"))).join(third, "key_", "left")
+    rows = ev.withColumn("key_", lookup_key(F.col("source_name"))).join(F.broadcast(third), "key_", "left")
     g = rows.select("investigation_id", cat.alias("cat"), flags.alias("f")).groupBy("investigation_id").agg(F.array(*per).alias("x"))
     details = reduce(lambda c, kv: c.when(F.col("x.status") == kv[0], kv[1]), DETAILS.items(), F.when(F.col("x.evidence_count") == 0, NO_RESEARCH)).otherwise(NO_DETAIL)
     return g.select("investigation_id", F.explode("x").alias("x")).select("investigation_id", "x.category", "x.status", details.alias("details"), "x.evidence_count")
