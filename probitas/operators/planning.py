@@ -69,7 +69,8 @@ def discovered_identifiers(results: DataFrame) -> DataFrame:
 def plan_targets(intake: DataFrame, results: DataFrame) -> DataFrame:
     """(investigation_id, gstin, cin, epfo_code, website, name, location): what the user gave goes
     before what was found, but a name that was found goes before the user's."""
-    found = discovered_identifiers(results).select("investigation_id", *(F.col(k).alias(f"found_{k}") for k in OFFERS))
+    offering = results.filter(F.col("field_name").isin("candidate_entities", *(n for names in OFFERS.values() for n in names)))
+    found = discovered_identifiers(offering).select("investigation_id", *(F.col(k).alias(f"found_{k}") for k in OFFERS))
     d = intake.join(found, "investigation_id", "left")
     ids = (F.coalesce(_given(F.col(k)), F.col(f"found_{k}")).alias(k) for k in OFFERS if k != "name")
     return d.select("investigation_id", *ids, F.coalesce("found_name", _given(F.col("business_name"))).alias("name"), _given(F.col("location")).alias("location"))
@@ -107,24 +108,47 @@ def plan_tasks(intake: DataFrame, results: DataFrame, existing: DataFrame, catal
     existing: (investigation_id, task_type, target, preferred_sources); tasks equal in type, target
     without case, and set of preferred sources are not planned again. An investigation with neither
     name nor identifier gets none."""
-    t = plan_targets(intake, results)
-    name = F.col("name")
+    given = [*OFFERS, "location"]
+    # one row an investigation from here to the last step: what is joined by investigation is joined before
+    # tasks are made of it, so that no task is shuffled or sorted
+    t = plan_targets(intake, results).groupBy("investigation_id").agg(F.collect_list(F.struct(*given)).alias("_t"))
+    none = F.array().cast("array<string>")
+    key = task_key(F.col("task_type"), F.col("target"), F.coalesce("preferred_sources", none))
+    old = existing.groupBy("investigation_id").agg(F.collect_set(key).alias("_old"), F.count("*").alias("_n"))
+    of = routes(catalog).groupBy("task_type").agg(F.array_sort(F.collect_list(F.struct("route", "label", "preferred", "fallback"))).alias("l"))
+    each = of.agg(F.map_from_entries(F.collect_list(F.struct("task_type", "l"))).alias("_routes"))
+    d = t.join(old, "investigation_id", "left").crossJoin(F.broadcast(each))
+
+    def routed(x: Column) -> Column:
+        no_route = F.array().cast(each.schema["_routes"].dataType.valueType)
+        return F.transform(F.coalesce(F.try_element_at("_routes", x["task_type"]), no_route), lambda r: F.struct(x["pos"].alias("pos"), *(r[c].alias(c) for c in of.schema["l"].dataType.elementType.names), *(x[c].alias(c) for c in ("task_type", "target", "objective", "required_fields", "priority"))))
+
+    def is_new(x: Column) -> Column:
+        return ~F.coalesce(F.array_contains("_old", task_key(x["task_type"], x["target"], x["preferred"])), F.lit(False))
+
+    made = F.filter(F.flatten(F.transform("_t", _categories)), lambda x: x["target"] != "")
+    d = d.withColumn("_tasks", F.filter(F.flatten(F.transform(made, routed)), is_new))
+    ordered = F.when(F.size("_t") > 1, F.array_sort("_tasks")).otherwise(F.col("_tasks"))  # tasks of one row come in order
+    d = d.select("investigation_id", "_n", F.posexplode(ordered).alias("_k", "_x")).select("investigation_id", "_n", "_k", "_x.*")
+    objective = F.replace(F.replace("objective", F.lit("{label}"), F.col("label")), F.lit("{target}"), F.col("target"))
+    number = F.format_string("TASK-%03d", F.coalesce("_n", F.lit(0)) + F.col("_k") + 1)
+    return d.select("investigation_id", number.alias("task_id"), "task_type", "target", objective.alias("objective"), "required_fields", "priority", "preferred", "fallback")
+
+
+def _categories(t: Column) -> Column:
+    """The tasks of a row of plan_targets() in six categories, without their sources."""
+    name = t["name"]
     made = []
     for pos, (kind, key, with_id, search, without, fields, priority) in enumerate(VERIFY):
-        given = F.col(key)
+        given = t[key]
         made.append(_task(pos, F.lit(kind), F.coalesce(given, _fill(search, name)), F.coalesce(_fill(with_id, given), _fill(without, name)), _words(fields), F.lit(priority)))
-    target = F.concat_ws(" ", "name", "cin", "gstin")
+    target = F.concat_ws(" ", name, t["cin"], t["gstin"])
     made.append(_task(4, F.lit(THIRD), F.when(name.isNotNull(), target), F.lit(DIRECTORY[0]), _words(DIRECTORY[1]), F.lit(DIRECTORY[2])))
-    wide = F.coalesce(F.concat(name, F.lit(" in "), F.col("location")), name)
-    known = F.coalesce("gstin", "cin", "epfo_code").isNotNull()
+    wide = F.coalesce(F.concat(name, F.lit(" in "), t["location"]), name)
+    known = F.coalesce(t["gstin"], t["cin"], t["epfo_code"]).isNotNull()
     pick = lambda a, b: F.when(known, a).otherwise(b)
     made.append(_task(5, pick(F.lit(GENERAL), F.lit(DISCOVERY)), wide, pick(_fill(GENERALLY[0], wide), _fill(DISCOVER[0], wide)), pick(_words(GENERALLY[1]), _words(DISCOVER[1])), pick(F.lit(GENERALLY[2]), F.lit(DISCOVER[2]))))
-    rows = t.select("investigation_id", F.inline(F.array(*made))).filter(F.col("target") != "")
-    d = rows.join(routes(catalog), "task_type").withColumn("objective", F.replace(F.replace("objective", F.lit("{label}"), F.col("label")), F.lit("{target}"), F.col("target")))
-    d = d.withColumn("_key", task_key(F.col("task_type"), F.col("target"), F.col("preferred")))
-    old = existing.select("investigation_id", task_key(F.col("task_type"), F.col("target"), F.coalesce("preferred_sources", F.array().cast("array<string>"))).alias("_key"))
-    d = d.join(old, ["investigation_id", "_key"], "left_anti")
-    return number_tasks(d, existing, ["pos", "route"]).select("investigation_id", "task_id", "task_type", "target", "objective", "required_fields", "priority", "preferred", "fallback")
+    return F.array(*made)
 
 
 def number_tasks(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
@@ -137,7 +161,7 @@ def number_tasks(new: DataFrame, existing: DataFrame, order: list[str]) -> DataF
 def route_sources(tasks: DataFrame, catalog: DataFrame) -> DataFrame:
     """tasks with the preferred source and the fallbacks of their type, empty for unknown types."""
     none = F.array().cast("array<string>")
-    d = tasks.join(by_task_type(catalog), "task_type", "left")
+    d = tasks.join(F.broadcast(by_task_type(catalog)), "task_type", "left")
     return d.withColumns({"preferred": F.coalesce("preferred", none), "fallback": F.coalesce("fallback", none)})
 
 
@@ -257,7 +281,7 @@ def fetch_frontier(tasks: DataFrame, catalog: DataFrame) -> DataFrame:
     site = F.lower(F.regexp_replace(F.regexp_replace("_t", SITE_WORDS, ""), "[^a-zA-Z0-9]", ""))
     name = F.trim(F.regexp_replace(F.regexp_replace(_without(c("_t"), c("_gstin"), c("_cin")), SLUG_WORDS, ""), r"[^a-zA-Z0-9\s-]", ""))
     slug = F.lower(F.regexp_replace(F.regexp_replace(name, r"\s+", "-"), "^-+|-+$", ""))
-    d = d.withColumns({"_site": F.nullif(site, F.lit("")), "_slug": F.nullif(slug, F.lit(""))}).join(of, "task_type")
+    d = d.withColumns({"_site": F.nullif(site, F.lit("")), "_slug": F.nullif(slug, F.lit(""))}).join(F.broadcast(of), "task_type")
 
     def url(pattern: str, **values: Column) -> Column:
         out = c(pattern)

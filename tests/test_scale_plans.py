@@ -1,5 +1,8 @@
 """What the plans of joins with small tables must not do: deal rows by a few hot keys, or sort what is planned."""
 
+from pyspark.sql import functions as F
+
+from probitas.operators import planning as N
 from probitas.operators import report as R
 from probitas.sources import catalog as C
 
@@ -14,3 +17,27 @@ def test_evidence_is_not_dealt_by_source_name(spark):
     assert "SortMergeJoin" not in _plan(d) and "BroadcastHashJoin" in _plan(d)
     got = {r.category: (r.status, r.evidence_count) for r in d.collect()}
     assert got["third_party"] == ("VERIFIED", 1) and got["general_web"] == ("VERIFIED", 1) and got["mca"] == ("UNAVAILABLE", 0)
+
+
+def test_planned_tasks_are_neither_shuffled_nor_sorted(spark):
+    intake = spark.createDataFrame([(1, "Firm", None, None, None, None, None), (2, "Acme", "G2", None, None, None, "Pune"), (2, "Base", None, None, None, None, None), (3, None, None, None, None, None, None)], "investigation_id long, business_name string, gstin string, cin string, epfo_code string, website string, location string")
+    none = spark.createDataFrame([], "investigation_id long, field_name string, field_value string, ev_seq int")
+    existing = spark.createDataFrame([(1, C.EPFO, " FIRM EPFO establishment", ["epfindia.gov.in"]), (1, "OTHER", "x", None)], "investigation_id long, task_type string, target string, preferred_sources array<string>")
+    d = N.plan_tasks(intake, none, existing, C.source_catalog(spark))
+    assert "Window" not in _plan(d)
+    rows = d.orderBy("investigation_id", "task_id").collect()
+    one, two = ([r for r in rows if r.investigation_id == i] for i in (1, 2))
+    assert {r.investigation_id for r in rows} == {1, 2}
+    assert C.EPFO not in {r.task_type for r in one} and one[0].task_id == "TASK-003"
+    # rows of one investigation are numbered together, category by category
+    assert [r.task_id for r in two] == [f"TASK-{k:03d}" for k in range(1, len(two) + 1)]
+    assert [(r.task_type, r.target) for r in two[:2]] == [(C.GST, "Base"), (C.GST, "G2")]
+    assert all("{" not in r.objective for r in rows)
+
+
+def test_routes_do_not_deal_tasks_by_type(spark):
+    tasks = spark.createDataFrame([(1, C.GST), (2, "UNKNOWN")], "investigation_id long, task_type string")
+    d = N.route_sources(tasks, C.source_catalog(spark))
+    assert "BroadcastHashJoin" in _plan(d)
+    got = {r.investigation_id: r.preferred for r in d.select("investigation_id", F.size("preferred").alias("preferred")).collect()}
+    assert got == {1: 1, 2: 0}
