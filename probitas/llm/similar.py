@@ -1,6 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and MinHash bands propose, sets decide.
 
-Candidates share one of `BANDS` keys, each of `ROWS` minima of random permutations: two texts of
+SimHash: texts whose 64-bit fingerprints (3-word shingles, as in simhash.py) differ in `BITS` or fewer bits are
+candidates; those that are not in one group yet are asked for. Similar texts are often further apart than that, so
+MinHash proposes too: candidates share one of `BANDS` keys, each of `ROWS` minima of random permutations: two texts of
 similarity 0.8 miss each other in all bands with a chance of 5 in 100,000, whatever the table's
 size. Pairs of a large bucket would grow with its square, so they are asked for in three rounds:
 first each member with the bucket's centre (the member that shares most keys with others), then
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 
 from probitas.cluster import scratch, ship_package, stage
 from probitas.llm.common import connected_components, one_of_each, text_of
+from probitas.llm.simhash import near_pairs, with_fingerprints
 
 SHINGLE, SIMILARITY, BANDS, ROWS, NEXT = 5, 0.8, 25, 5, 8
+#: Words of a shingle of a fingerprint, and bits in which fingerprints of candidates differ at most.
+FP_SHINGLE, BITS = 3, 3
 #: Members of a bucket that one ordered slice of round two holds, about.
 SLICE = 1 << 16
 #: Bits of a sketch.
@@ -83,7 +88,8 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
     def keys(s: pd.Series) -> pd.Series:
         return pd.Series([band_keys(shingle_set(t, shingle)) for t in s], dtype=object)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _node().alias("node"), keys("text").alias("keys"))
+    marked = with_fingerprints(docs.select("doc_id", "text"), FP_SHINGLE)
+    return marked.select("doc_id", F.xxhash64("text").alias("text_hash"), _node().alias("node"), keys("text").alias("keys"), "fp")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -153,16 +159,34 @@ def _rest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, "v").filter(once & (differ <= bound)).select(*_pair("x", "y")).distinct()
 
 
+def _near(nodes: DataFrame) -> DataFrame:
+    """(a, b): the fingerprints of nodes (node, fp) that differ in few bits, a < b, and (a, a) where texts share one."""
+    same = nodes.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
+    return near_pairs(nodes, BITS).distinct().union(same.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+
+
+def _apart(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """(v, node, label): buckets of the texts rows (node, fp, label) of each two near fingerprints, one for each
+    fingerprint with those above it, but for two whose texts all have one label."""
+    of = rows.groupBy("fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (of.select(F.col("fp").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")) for c in "ab")
+    todo = near.join(x, "a").join(y, "b").filter("lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b")
+    return todo.select(F.col("a").alias("v"), F.explode(F.array("a", "b")).alias("fp")).distinct().join(rows, "fp").select("v", "node", "label")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, following: int = NEXT) -> DataFrame:
     """(doc_id, text_hash, node, label), a row for each row of docs; label names the group."""
     ship_package(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         marked = stage(_marked(docs.select("doc_id", "text"), shingle), "minhash")
-        one = marked.groupBy("node").agg(F.first("keys").alias("k"))
+        one = marked.groupBy("node").agg(F.first("keys").alias("k"), F.first("fp").alias("fp"))
+        prints = stage(one.select("node", "fp"), "simhash")
+        alike = stage(_near(prints), "near")
+        close = stage(prints.join(alike.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("node", "fp"), "close")
         each = one.select("node", F.inline(F.arrays_zip(F.slice("k", 1, BANDS).alias("v"), F.slice("k", BANDS + 1, BANDS).alias("o"))).alias("v", "o"))
         shared = each.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1")
         buckets = stage(each.join(shared, "v"), "buckets")
-        sets = stage(_sets(docs, buckets, shingle), "shingles")
+        sets = stage(_sets(docs, buckets.select("node").union(close.select("node")), shingle), "shingles")
         known = buckets.groupBy("node").agg(F.sum("n").alias("p"))
         centre = buckets.join(known, "node").groupBy("v").agg(F.max(F.struct("p", "node")).alias("c")).select("v", F.col("c.node").alias("centre"))
         star = stage(buckets.join(centre, "v").filter("node <> centre").select(*_pair("node", "centre")).distinct(), "pairs")
@@ -174,7 +198,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         more = later.select(*_pair("node", "x.node")).distinct().join(star, ["a", "b"], "left_anti")
         links = stage(first.union(_linked(more, sets, similarity)), "links")
         large = stage(_labelled(buckets.filter(F.col("n") > following + 1).select("v", "node"), links), "large")
-        links = stage(links.union(_linked(_rest(large, sets, similarity), sets, similarity)), "links")
+        rest = large.select("v", "node", "label").union(_apart(alike, stage(_labelled(close, links), "close")))
+        links = stage(links.union(_linked(_rest(rest, sets, similarity), sets, similarity)), "links")
         return keep(_labelled(marked.select("doc_id", "text_hash", "node"), links), "groups")
 
 

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from probitas.llm import similar
+from probitas.llm import simhash, similar
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -101,3 +101,21 @@ def test_sketch_bound_holds():
         y = np.union1d(x[: -size // 5 or None], rng.integers(0, 1 << 63, size // 6, dtype=np.uint64))
         differ = np.unpackbits((similar.sketch(x) ^ similar.sketch(y)).view(np.uint8)).sum()
         assert differ <= len(np.setxor1d(x, y))
+
+
+def test_simhash_proposes_where_minhash_does_not(spark, monkeypatch):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(6):
+        base = rng.choice(WORDS, 3000)
+        near = base.copy()
+        near[17] = "other"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    rows += [(50, rows[0][1].upper()), (51, "short text"), (52, "short  text")]
+    bits = [(simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() for (_, a), (_, b) in zip(rows[:12:2], rows[1:12:2], strict=True)]
+    assert all(n <= 3 for n in bits)
+    # bands that no two texts share
+    monkeypatch.setattr(similar, "band_keys", lambda h: __import__("numpy").random.default_rng().integers(1 << 62, size=50))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want, _ = brute_kept(rows)
+    assert want == [0, 2, 4, 6, 8, 10, 51]
+    assert sorted(r.doc_id for r in similar.drop_similar(docs).collect()) == want
