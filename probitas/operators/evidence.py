@@ -144,6 +144,19 @@ def bound_text(value: Column, limit: int = 20_000) -> Column:
 def bound_items(items: Column, names: tuple[str, ...], limit: int = 20_000, each: int = 2_000) -> Column:
     """A list of structs of the given fields whose text fields are cut to `each` characters and marked;
     if its JSON is still longer than limit, the text fields become null."""
-    short = F.transform(items, lambda x: F.struct(*((F.when(F.length(x[n]) > each, F.concat(F.substring(x[n], 1, each), F.lit(CUT))).otherwise(x[n]) if n in TEXT_KEYS else x[n]).alias(n) for n in names)))
-    bare = F.transform(items, lambda x: F.struct(*((F.lit(None).cast("string") if n in TEXT_KEYS else x[n]).alias(n) for n in names)))
-    return F.when(F.length(F.to_json(short)) > limit, bare).otherwise(short)
+    texts = [n for n in names if n in TEXT_KEYS]
+
+    def cut(v: Column) -> Column:
+        return F.when(F.length(v) > each, F.concat(F.substring(v, 1, each), F.lit(CUT))).otherwise(v)
+
+    def bounded(given: Column) -> Column:
+        short = F.transform(given, lambda x: F.struct(*((cut(x[n]) if n in texts else x[n]).alias(n) for n in names)))
+        bare = F.transform(given, lambda x: F.struct(*((F.lit(None).cast("string") if n in texts else x[n]).alias(n) for n in names)))
+        chars = lambda v: F.coalesce(F.when(F.length(v) > each, each + len(CUT)).otherwise(F.length(v)), F.lit(0))
+        size = F.aggregate(given, F.lit(0).cast("long"), lambda n, x: sum((chars(x[t]) for t in texts), n))
+        # JSON takes 1 to 6 characters for one of a text, so it is written only where that leaves the question open
+        most = F.length(F.to_json(bare)) + 6 * size + F.size(given) * sum(len(t) + 6 for t in texts)
+        over = F.when(size > limit, True).when(most <= limit, False).otherwise(F.length(F.to_json(short)) > limit)
+        return F.when(over, bare).otherwise(short)
+
+    return F.transform(F.array(items), bounded)[0]  # items are made once, however often they are looked at

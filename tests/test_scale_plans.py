@@ -41,3 +41,22 @@ def test_routes_do_not_deal_tasks_by_type(spark):
     assert "BroadcastHashJoin" in _plan(d)
     got = {r.investigation_id: r.preferred for r in d.select("investigation_id", F.size("preferred").alias("preferred")).collect()}
     assert got == {1: 1, 2: 0}
+
+
+def test_bounded_items_are_made_once_and_cut_where_their_json_is_too_long(spark):
+    from probitas.operators import evidence as E
+
+    items = F.expr("transform(sequence(1, k), i -> named_struct('name', concat('n', i), 'text', repeat(c, n)))")
+    d = spark.createDataFrame([(k, c, n) for k in (1, 3, 10) for c in ("x", '"', "\x01", "é", "😀") for n in (0, 5, 100, 110, 199, 200, 300)], "k int, c string, n int").repartition(1)
+    x = d.select("k", "c", "n", items.alias("items"), E.bound_items(items, ("name", "text"), 2000, 200).alias("x"))
+    assert str(d.select(E.bound_items(items, ("name", "text")).alias("x"))._jdf.queryExecution().optimizedPlan()).count("repeat(") == 1
+    short = F.expr(f"transform(items, x -> named_struct('name', x.name, 'text', CASE WHEN length(x.text) > 200 THEN substring(x.text, 1, 200) || '{E.CUT}' ELSE x.text END))")
+    y = x.withColumn("short", short).withColumn("json", F.length(F.to_json("short")))
+    rows = y.collect()
+    for r in rows:
+        assert [i.text for i in r.x] == ([None] * r.k if r.json > 2000 else [i.text for i in r.short]), (r.k, r.c, r.n)
+        assert [i.name for i in r.x] == [i.name for i in r.items]
+    assert {r.json > 2000 for r in rows} == {True, False}
+    nothing = spark.sql("SELECT CAST(NULL AS array<struct<name:string,text:string>>) AS a, CAST(array() AS array<struct<name:string,text:string>>) AS b, array(CAST(NULL AS struct<name:string,text:string>)) AS c")
+    got = nothing.select(*(E.bound_items(F.col(k), ("name", "text")).alias(k) for k in "abc")).first()
+    assert got.a is None and got.b == [] and len(got.c) == 1 and got.c[0].text is None
