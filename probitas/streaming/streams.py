@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
+from probitas.cluster import tasks_for
 from probitas.operators.evidence import merge_evidence, unmerged
 from probitas.operators.report import attempt_rank
 
@@ -82,12 +83,15 @@ def evidence_sink(store: str, buckets: int = 64):
         if now["applied"].get(query, -1) >= epoch:
             return
         at = F.pmod(F.xxhash64("investigation_id"), F.lit(buckets)).cast("int")
-        touched = [r[0] for r in batch.select(at).distinct().collect()]  # `buckets` rows at most
+        counts = dict(batch.groupBy(at).count().collect())  # `buckets` rows at most
+        touched = list(counts)
         old = [f"{now['buckets'][str(b)]}/bucket={b}" for b in touched if str(b) in now["buckets"]]
         new = unmerged(batch)
         rows = spark.read.schema(new.schema).parquet(*old).unionByName(new) if old else new
         folder = f"{store}/data/{now['number'] + 1:012d}-{uuid.uuid4().hex}"
-        merge_evidence(rows).select(*new.columns).withColumn("bucket", at).write.partitionBy("bucket").parquet(folder)
+        held = spark.read.schema(new.schema).parquet(*old).count() if old else 0  # from the files' footers
+        dealt = rows.repartition(tasks_for(spark, held + sum(counts.values())), "investigation_id")
+        merge_evidence(dealt).select(*new.columns).withColumn("bucket", at).write.partitionBy("bucket").parquet(folder)
         after = {"number": now["number"] + 1, "applied": now["applied"] | {query: epoch}, "buckets": now["buckets"] | {str(b): folder for b in touched}}
         _publish(spark, store, after)
         used = {x.rsplit("/", 1)[-1] for m in (now, after) for x in m["buckets"].values()}
