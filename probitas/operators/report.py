@@ -107,9 +107,9 @@ def unverified_information(ev: DataFrame) -> DataFrame:
 
 def source_limitations(status: DataFrame, attempts: DataFrame) -> DataFrame:
     """(investigation_id, source, status): limited sources that were tried at all."""
-    tried = attempts.select("investigation_id", domain_category(F.col("domain")).alias("category")).distinct()
+    tried = attempts.groupBy("investigation_id").agg(F.collect_set(domain_category(F.col("domain"))).alias("tried_"))  # six at most
     label = reduce(lambda c, kv: c.when(F.col("category") == kv[0], kv[1]), LABELS.items(), F.when(F.lit(False), "")).otherwise(F.col("category"))
-    return status.filter(F.col("status").isin(*LIMITATIONS)).join(tried, ["investigation_id", "category"], "left_semi").select("investigation_id", label.alias("source"), "status")
+    return status.filter(F.col("status").isin(*LIMITATIONS)).join(tried, "investigation_id").filter(F.array_contains("tried_", F.col("category"))).select("investigation_id", label.alias("source"), "status")
 
 
 def reconcile_attempts(attempts: DataFrame, ev: DataFrame) -> DataFrame:
@@ -129,15 +129,17 @@ def _words(v: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda w: F.regexp_replace(w, r"^[,.;:]+|[,.;:]+$", "")))
 
 
-def _values(ev: DataFrame, *more: DataFrame) -> DataFrame:
-    """(investigation_id, field_key, vs): the last value of each source as (at, source, v), in the order of
-    the sources' first rows. more: rows (investigation_id, field_key, source, v) that evidence of the same source goes before."""
+def _last_values(ev: DataFrame) -> DataFrame:
+    """(investigation_id, field_key, source, v, at): the last value of each source, and the place of its first row."""
     ok = F.col("field_name").isin(*CONSISTENCY_FIELDS) & (F.col("confidence") >= 0.5) & ~F.upper(F.trim("field_value")).isin(*NO_VALUE)
-    rows = ev.filter(ok).select("investigation_id", F.col("field_name").alias("field_key"), F.col("source_name").alias("source"), F.trim("field_value").alias("v"), "ev_seq", F.lit(True).alias("own"))
-    for m in more:
-        rows = rows.unionByName(m.withColumns({"ev_seq": F.lit(1 << 62), "own": F.lit(False)}))
-    last = rows.groupBy("investigation_id", "field_key", "source").agg(F.max_by("v", F.struct("own", "ev_seq")).alias("v"), F.min("ev_seq").alias("at"))
-    return last.groupBy("investigation_id", "field_key").agg(F.array_sort(F.collect_list(F.struct("at", "source", "v"))).alias("vs"))
+    rows = ev.filter(ok).select("investigation_id", F.col("field_name").alias("field_key"), F.col("source_name").alias("source"), F.trim("field_value").alias("v"), "ev_seq")
+    return rows.groupBy("investigation_id", "field_key", "source").agg(F.max_by("v", "ev_seq").alias("v"), F.min("ev_seq").cast("long").alias("at"))
+
+
+def _values(ev: DataFrame) -> DataFrame:
+    """(investigation_id, field_key, vs): the last value of each source as (at, source, v), in the order of
+    the sources' first rows."""
+    return _last_values(ev).groupBy("investigation_id", "field_key").agg(F.array_sort(F.collect_list(F.struct("at", "source", "v"))).alias("vs"))
 
 
 def _agreement(vs: Column, key: Column) -> Column:
@@ -158,11 +160,21 @@ def consistency_records(ev: DataFrame, entities: DataFrame) -> DataFrame:
     """(investigation_id, field_key, field, status, sources, analysis): a record of every field for each
     row of entities, whose own values count as the source User Input; a field without any is UNAVAILABLE."""
     own = [c for c in CONSISTENCY_FIELDS if c in entities.columns]
-    given = F.array_compact(F.array(*(F.when((F.trim(F.coalesce(F.col(c), F.lit(""))) != "") & ~F.upper(F.trim(c)).isin("NOT_FOUND", "UNAVAILABLE", "NONE", "UNKNOWN"), F.struct(F.lit(c).alias("field_key"), F.trim(c).alias("v"))) for c in own)))
-    user = entities.select("investigation_id", F.explode(given).alias("x")).select("investigation_id", "x.field_key", F.lit("User Input").alias("source"), "x.v")
-    keys = F.array(*(F.struct(F.lit(k).alias("field_key"), F.lit(n).alias("field")) for k, n in zip(CONSISTENCY_FIELDS, FIELD_LABELS, strict=True)))
-    every = entities.select("investigation_id", F.explode(keys).alias("k")).select("investigation_id", "k.*")
-    d = every.join(_values(ev, user), ["investigation_id", "field_key"], "left").withColumn("status", F.when(F.col("vs").isNull(), "UNAVAILABLE").otherwise(_agreement(F.col("vs"), F.col("field_key"))))
+    entry = "array<struct<field_key:string,at:bigint,source:string,v:string>>"
+    given = F.array_compact(F.array(*(F.when((F.trim(F.coalesce(F.col(c), F.lit(""))) != "") & ~F.upper(F.trim(c)).isin("NOT_FOUND", "UNAVAILABLE", "NONE", "UNKNOWN"), F.struct(F.lit(c), F.lit(1 << 62), F.lit("User Input"), F.trim(c))) for c in own))).cast(entry)
+    # one row an investigation until its records are made, so that values are shuffled by investigation alone
+    found = _last_values(ev).groupBy("investigation_id").agg(F.collect_list(F.struct("field_key", "at", "source", "v")).cast(entry).alias("found_"))
+    d = entities.select("investigation_id", given.alias("given_")).join(found, "investigation_id", "left").withColumn("found_", F.coalesce("found_", F.array().cast(entry)))
+
+    def record(key: str, name: str) -> Column:
+        here = F.filter("found_", lambda x: x["field_key"] == key)
+        users = F.filter("given_", lambda x: (x["field_key"] == key) & ~F.exists(here, lambda y: F.coalesce(y["source"] == "User Input", F.lit(False))))
+        vs = F.array_sort(F.transform(F.concat(here, users), lambda x: F.struct(x["at"].alias("at"), x["source"].alias("source"), x["v"].alias("v"))))
+        return F.struct(F.lit(key).alias("field_key"), F.lit(name).alias("field"), F.when(F.size(vs) > 0, vs).alias("vs"))
+
+    records = F.array(*(record(k, n) for k, n in zip(CONSISTENCY_FIELDS, FIELD_LABELS, strict=True)))
+    d = d.select("investigation_id", F.explode(records).alias("r_")).select("investigation_id", "r_.*")
+    d = d.withColumn("status", F.when(F.col("vs").isNull(), "UNAVAILABLE").otherwise(_agreement(F.col("vs"), F.col("field_key"))))
     names = F.array_join(F.transform("vs", lambda x: x["source"]), ", ")
     pairs = F.array_join(F.transform("vs", lambda x: F.concat(x["source"], F.lit(": "), x["v"])), "; ")
     uppers = F.array_distinct(F.transform("vs", lambda x: F.upper(x["v"])))

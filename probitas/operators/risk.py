@@ -145,7 +145,7 @@ def attach_rules(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """hits (code, ...) with category, severity and risk_weight of the rule catalogue; a code it lacks
     is IDENTITY, MEDIUM and weighs 0."""
     rules = rule_catalog(hits.sparkSession) if rules is None else rules
-    out = hits.join(rules, "code", "left")
+    out = hits.join(F.broadcast(rules), "code", "left")  # else hits are dealt by a few codes
     return out.select("investigation_id", "code", F.coalesce("category", F.lit("IDENTITY")).alias("category"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), "evidence_ids", "confidence", F.coalesce("weight", F.lit(0)).alias("risk_weight"))
 
 

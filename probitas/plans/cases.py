@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probitas.cluster import new_folder, stage
+from probitas.cluster import new_folder, stage, stage_by
 from probitas.functions import text as X
 from probitas.operators import evidence as E
 from probitas.operators import intake as N
@@ -19,7 +19,7 @@ from probitas.operators import qa as Q
 from probitas.operators import report as R
 from probitas.operators import risk as K
 from probitas.sources import catalog as C
-from probitas.sources.views import VIEWS, ctes, view
+from probitas.sources.views import VIEWS, by_investigation, ctes, dealt, dealt_tasks, view
 from probitas.streaming import streams as S
 
 DERIVED = {
@@ -84,9 +84,9 @@ def _linked(s: SparkSession, d: str) -> DataFrame:
     return linked_evidence(s, d)
 
 
-def _profile(s: SparkSession, d: str) -> DataFrame:
+def _profile(s: SparkSession, d: str, ev: DataFrame | None = None) -> DataFrame:
     """risk_profile() of all evidence, staged: scores, findings and checks read it."""
-    return stage(K.risk_profile(_get(s, d, "evidence")), "risk")
+    return stage(K.risk_profile(_get(s, d, "evidence") if ev is None else ev), "risk")
 
 
 def _signals(p: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def _reported(s: SparkSession, d: str, p: DataFrame) -> DataFrame:
     return e.join(_scores(s, d, p).select("investigation_id", wrong.alias("score"), "level"), "investigation_id")
 
 
-def _grounded(s: SparkSession, d: str, p: DataFrame) -> DataFrame:
-    ev = _get(s, d, "evidence")
+def _grounded(s: SparkSession, d: str, p: DataFrame, ev: DataFrame | None = None) -> DataFrame:
+    ev = _get(s, d, "evidence") if ev is None else ev
     return stage(Q.check_grounding(_signals(p), E.evidence_for(ev, _get(s, d, "investigations").filter("status = 'COMPLETED'"))), "grounded")
 
 
@@ -123,17 +123,20 @@ def _mismatch(s: SparkSession, d: str) -> DataFrame:
 
 
 def _verdict(s: SparkSession, d: str) -> DataFrame:
-    p, i = _profile(s, d), _get(s, d, "investigations")
-    grounded = _grounded(s, d, p)
-    issues = Q.qa_issues(_reported(s, d, p), _get(s, d, "requests"), _findings(p), _get(s, d, "evidence"), _scores(s, d, p), grounded)
+    ev, i = by_investigation(s, d), _get(s, d, "investigations")
+    p = stage_by(K.risk_profile(ev), "investigation_id", dealt_tasks(s, d), "risk")
+    grounded = _grounded(s, d, p, ev)
+    issues = Q.qa_issues(_reported(s, d, p), _get(s, d, "requests"), _findings(p), ev, _scores(s, d, p), grounded)
     return Q.qa_verdict(i, issues, Q.grounding_coverage(i, grounded)).withColumn("issues", F.array_join("issues", ","))
 
 
 def _reports(s: SparkSession, d: str) -> DataFrame:
-    ev, attempts, p = _get(s, d, "evidence"), _get(s, d, "attempts"), _profile(s, d)
-    status = stage(R.source_status(ev, C.source_catalog(s)), "status")
+    ev, attempts = by_investigation(s, d), _get(s, d, "attempts")
+    keep = lambda x, label: stage_by(x, "investigation_id", dealt_tasks(s, d), label)
+    p = keep(K.risk_profile(ev), "risk")
+    status = keep(R.source_status(ev, C.source_catalog(s)), "status")
     given = _normal(s, d).select("investigation_id", "business_name", "gstin", "cin", "website", "location")
-    entities = stage(N.resolved_entities(given, ev), "entities")
+    entities = keep(N.resolved_entities(given, ev), "entities")
     r = R.build_reports(entities, _scores(s, d, p), _signals(p), status, R.source_limitations(status, attempts), attempts, ev)
     said = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws("=", *(x[p] for p in parts))), ",")
     texts = {
@@ -174,12 +177,19 @@ def _bounded(s: SparkSession, d: str) -> DataFrame:
 
 
 def _replaced(s: SparkSession, d: str) -> DataFrame:
-    store = K.risk_signals(_get(s, d, "evidence")).select("investigation_id", "code", "risk_weight")
+    p = _profile(s, d, dealt(s, d, "evidence"))  # store and new signals are both made of it
+    store = _signals(p).select("investigation_id", "code", "risk_weight")
     touched = _get(s, d, "investigations").filter("status = 'FAILED'")
     new = store.join(touched.select("investigation_id"), "investigation_id", "left_semi").withColumn("risk_weight", F.col("risk_weight") * 2)
     return K.replace_risk_signals(store, new, touched)
 
 
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    """The table of versions, staged by investigation: it is read for its last versions and for its rows."""
+    rows = s.sql(DERIVED["versions"], research_tasks=dealt(s, d, "research_tasks"))
+    return stage_by(rows, "investigation_id", dealt_tasks(s, d), "versions")
+
+
 def _pairs_of_rows(s: SparkSession, d: str) -> DataFrame:
     e = _get(s, d, "evidence").select("investigation_id", "ev_seq", "field_name", "field_value")
     n = e.select("investigation_id", (F.col("ev_seq") - 1).alias("ev_seq"), F.col("field_name").alias("f2"), F.col("field_value").alias("v2"))
@@ -225,7 +235,7 @@ QUERIES = {
     "f20_find_source": lambda s, d: C.find_source(_get(s, d, "attempts").select(F.col("attempt_id"), F.translate("domain", ".", "_").alias("source_name")), C.source_catalog(s)).select("attempt_id", "source.name", "source.tier"),
     "f19_canonical_source": lambda s, d: _get(s, d, "evidence").select("investigation_id", "ev_seq", C.canonical_source(F.col("source_name")).alias("source")),
     "s10_replace_risk_signals": _replaced,
-    "s11_append_report_version": lambda s, d: R.append_report_version(_get(s, d, "versions"), _get(s, d, "investigations").select("investigation_id")),
+    "s11_append_report_version": lambda s, d: R.append_report_version(_versions(s, d), _get(s, d, "investigations").select("investigation_id")),
     "s12_append_events": lambda s, d: Y.append_events(_get(s, d, "created"), _get(s, d, "audit_events").withColumn("status", F.col("event_type")), ("event_id",)),
     "s13_export_json": lambda s, d: R.export_report_json(_get(s, d, "versions")),
     "s17_append_attempts": _attempt_log,

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probitas.cluster import stage
+from probitas.cluster import stage_by
 from probitas.operators import pages as P
 from probitas.operators import planning as N
 from probitas.operators import report as R
 from probitas.operators import risk as K
 from probitas.sources import catalog as C
-from probitas.sources.views import ctes, view
+from probitas.sources.views import by_investigation, ctes, dealt_tasks, view
 
 
 def _html(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +69,8 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
-    ev = view(spark, sf, "evidence")
-    profile = stage(K.risk_profile(ev), "risk")  # read by scores, categories and findings
+    ev = by_investigation(spark, sf)
+    profile = stage_by(K.risk_profile(ev), "investigation_id", dealt_tasks(spark, sf), "risk")  # read by scores, categories and findings
     signals = K.attach_rules(K.exploded(profile))
     d = R.export_report_sections(view(spark, sf, "intake"), K.scores_of(view(spark, sf, "investigations"), profile), K.category_scores(signals), signals, ev)
     return d.withColumn("cells", F.array_join("cells", "|"))

@@ -11,7 +11,7 @@ from probitas.operators import workflow as W
 from probitas.operators.evidence import source_key
 from probitas.operators.intake import resolved_entities
 from probitas.sources.catalog import EPFO, source_catalog
-from probitas.sources.views import view
+from probitas.sources.views import by_investigation, view
 
 
 def first_reports(intake: DataFrame, ev: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def answers(ev: DataFrame) -> W.Research:
 
 
 def looped(s: SparkSession, d: str) -> W.Ended:
-    intake, ev = view(s, d, "intake"), view(s, d, "evidence")
+    intake, ev = view(s, d, "intake"), by_investigation(s, d)
     old = intake.filter("investigation_id % 3 = 0 and business_name <> ''").select("investigation_id", F.lit(EPFO).alias("task_type"), F.concat("business_name", F.lit(" EPFO establishment")).alias("target"), F.array(F.lit("epfindia.gov.in")).alias("preferred"))
     return W.run_until_ended(intake, *first_reports(intake, ev), ev, old, source_catalog(s), answers(ev))
 
