@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from probitas.cluster import scratch, ship_package, stage
 from probitas.llm.common import id_remainder, lower_az, table, words_of
 
-ORDER, BLOCK, HEAD, RUN = 5, 1 << 22, 1 << 17, 1 << 22
+ORDER, BLOCK, HEAD, RUN = 5, 1 << 22, 1 << 17, 1 << 20
 #: Bytes that UTF-8 never uses: what stands before a text, and its end as a symbol.
 BEFORE, END = 0xFE, 0xFF
 ADD = 0.1
@@ -220,17 +220,22 @@ def deeper(codes: np.ndarray, n: np.ndarray, low: list[Level], order: int) -> Le
 
 
 class Block:
-    """The deepest level for contexts whose last_three() is from lo to below hi, with a hash table from code to log10 p."""
+    """The deepest level for contexts whose last_three() is from lo to below hi, with a hash table from code to log10 p.
+    The table has all of the level's entries, so the level keeps only its contexts, for codes that are not there."""
 
     def __init__(self, top: Level, lo: int, hi: int):
         self.top, self.lo, self.hi = top, lo, hi
         ctx = _find(top.ctx, top.codes >> 8)
         logp = np.log10(top.n / (top.total[ctx] + top.kinds[ctx])) if len(ctx) else np.empty(0)
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(logp)) * 3))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(logp)) * 1.5))))
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)  # an empty slot has no value
         self.vals = np.full(1 << self.bits, np.nan, dtype=np.float32)
-        codes, left = top.codes.astype(np.uint64), np.arange(len(logp))
-        slot = self._slot(codes)
+        for a in range(0, len(logp), RUN):
+            self._put(top.codes[a : a + RUN].astype(np.uint64), logp[a : a + RUN])
+        top.codes, top.n = top.codes[:0].copy(), top.n[:0].copy()
+
+    def _put(self, codes: np.ndarray, logp: np.ndarray) -> None:
+        left, slot = np.arange(len(logp)), self._slot(codes)
         while len(left):
             free = np.isnan(self.vals[slot[left]])
             _, one = np.unique(np.where(free, slot[left], -1 - np.arange(len(left), dtype=np.int64)), return_index=True)
