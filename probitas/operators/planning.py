@@ -98,8 +98,12 @@ def routes(catalog: DataFrame) -> DataFrame:
     return one.union(each.select(F.lit(THIRD), order, "label", F.array("name"), F.array().cast("array<string>")))
 
 
-def task_key(kind: Column, target: Column, preferred: Column) -> Column:
-    return F.concat_ws("\x1f", kind, F.lower(F.trim(target)), F.array_join(F.array_sort(preferred), "\x1e"))
+def _sources_key(preferred: Column) -> Column:
+    return F.array_join(F.array_sort(preferred), "\x1e")
+
+
+def task_key(kind: Column, target: Column, sources: Column) -> Column:
+    return F.concat_ws("\x1f", kind, F.lower(F.trim(target)), sources)
 
 
 def plan_tasks(intake: DataFrame, results: DataFrame, existing: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -113,21 +117,24 @@ def plan_tasks(intake: DataFrame, results: DataFrame, existing: DataFrame, catal
     # tasks are made of it, so that no task is shuffled or sorted
     t = plan_targets(intake, results).groupBy("investigation_id").agg(F.collect_list(F.struct(*given)).alias("_t"))
     none = F.array().cast("array<string>")
-    key = task_key(F.col("task_type"), F.col("target"), F.coalesce("preferred_sources", none))
+    key = task_key(F.col("task_type"), F.col("target"), _sources_key(F.coalesce("preferred_sources", none)))
     old = existing.groupBy("investigation_id").agg(F.collect_set(key).alias("_old"), F.count("*").alias("_n"))
-    of = routes(catalog).groupBy("task_type").agg(F.array_sort(F.collect_list(F.struct("route", "label", "preferred", "fallback"))).alias("l"))
+    names = ("route", "label", "preferred", "fallback")
+    of = routes(catalog).groupBy("task_type").agg(F.array_sort(F.collect_list(F.struct(*names, _sources_key(F.col("preferred")).alias("key")))).alias("l"))
     each = of.agg(F.map_from_entries(F.collect_list(F.struct("task_type", "l"))).alias("_routes"))
     d = t.join(old, "investigation_id", "left").crossJoin(F.broadcast(each))
 
+    # lambdas are interpreted, so each does no more than it must: routes bring their part of the key with them, and
+    # it is only asked where the investigation has tasks
     def routed(x: Column) -> Column:
         no_route = F.array().cast(each.schema["_routes"].dataType.valueType)
-        return F.transform(F.coalesce(F.try_element_at("_routes", x["task_type"]), no_route), lambda r: F.struct(x["pos"].alias("pos"), *(r[c].alias(c) for c in of.schema["l"].dataType.elementType.names), *(x[c].alias(c) for c in ("task_type", "target", "objective", "required_fields", "priority"))))
-
-    def is_new(x: Column) -> Column:
-        return ~F.coalesce(F.array_contains("_old", task_key(x["task_type"], x["target"], x["preferred"])), F.lit(False))
+        to = F.coalesce(F.try_element_at("_routes", x["task_type"]), no_route)
+        is_new = lambda r: ~F.coalesce(F.array_contains("_old", task_key(x["task_type"], x["target"], r["key"])), F.lit(False))
+        to = F.when(F.col("_old").isNull(), to).otherwise(F.filter(to, is_new))
+        return F.transform(to, lambda r: F.struct(x["pos"].alias("pos"), *(r[c].alias(c) for c in names), *(x[c].alias(c) for c in ("task_type", "target", "objective", "required_fields", "priority"))))
 
     made = F.filter(F.flatten(F.transform("_t", _categories)), lambda x: x["target"] != "")
-    d = d.withColumn("_tasks", F.filter(F.flatten(F.transform(made, routed)), is_new))
+    d = d.withColumn("_tasks", F.flatten(F.transform(made, routed)))
     ordered = F.when(F.size("_t") > 1, F.array_sort("_tasks")).otherwise(F.col("_tasks"))  # tasks of one row come in order
     d = d.select("investigation_id", "_n", F.posexplode(ordered).alias("_k", "_x")).select("investigation_id", "_n", "_k", "_x.*")
     objective = F.replace(F.replace("objective", F.lit("{label}"), F.col("label")), F.lit("{target}"), F.col("target"))
@@ -301,14 +308,18 @@ def fetch_frontier(tasks: DataFrame, catalog: DataFrame) -> DataFrame:
         .when(c("kind") == "GOVERNMENT", F.array("base_url"))
         .otherwise(F.array(*asked))
     )
-    return d.select("investigation_id", "task_id", "source", F.posexplode(F.array_distinct(F.array_compact(urls))).alias("pos", "url"))
+    # array_except leaves nulls and repeats out, in order; array_compact would have all of this interpreted
+    found = F.array_except(urls, F.array(F.lit(None).cast("string")))
+    return d.select("investigation_id", "task_id", "source", F.posexplode(found).alias("pos", "url"))
 
 
 def search_terms(tasks: DataFrame) -> DataFrame:
     """tasks (task_type, target) with terms: the words to search for, by the task's type."""
-    t = F.trim(F.coalesce("target", F.lit("")))
-    gstin, cin = _identifier("gstin", t), _identifier("cin", t)
-    name = F.trim(F.regexp_replace(_without(t, gstin, cin), TERM_WORDS, ""))
+    d = tasks.withColumn("_t", F.trim(F.coalesce("target", F.lit(""))))
+    t, gstin, cin, name = map(F.col, ("_t", "_gstin", "_cin", "_name"))
+    # step by step, so that each is made once for a task and not wherever it is read
+    d = d.withColumns({"_gstin": _identifier("gstin", t), "_cin": _identifier("cin", t)})
+    d = d.withColumn("_name", F.trim(F.regexp_replace(_without(t, gstin, cin), TERM_WORDS, "")))
     quoted = lambda v, rest="": F.concat(F.lit('"'), v, F.lit('"' + rest))
     kind = F.col("task_type")
     terms = (
@@ -319,4 +330,4 @@ def search_terms(tasks: DataFrame) -> DataFrame:
         .when(kind == WEBSITE, quoted(name, " official website"))
         .otherwise(quoted(F.coalesce(F.nullif(name, F.lit("")), t)))
     )
-    return tasks.withColumn("terms", terms)
+    return d.withColumn("terms", terms).drop("_t", "_gstin", "_cin", "_name")
