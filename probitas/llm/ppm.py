@@ -31,6 +31,7 @@ names, change nothing.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -130,7 +131,22 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, n
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n, first)
+    return keys[first], np.add.reduceat(n, first, dtype=np.int64)
+
+
+def _small(n: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the least memory."""
+    return n.astype(np.min_scalar_type(int(n.max())) if len(n) else np.uint8)
+
+
+def _packed(codes: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, str]:
+    """Sorted codes and their counts for a broadcast, which each Python process keeps: about a quarter of their size."""
+    n = _small(n)
+    return zlib.compress(np.diff(codes, prepend=0).tobytes(), 1), zlib.compress(n.tobytes(), 1), n.dtype.str
+
+
+def _unpacked(codes: bytes, n: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(zlib.decompress(codes), dtype=np.int64)), np.frombuffer(zlib.decompress(n), dtype=kind)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -145,22 +161,28 @@ class Level:
     """Contexts of one order with their symbols: entries (context << 8 | symbol) and counts."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, lower: Level | None):
-        self.codes, self.n = codes.astype(np.int64), n.astype(np.float64)
+        self.codes, self.n = codes.astype(np.int64, copy=False), _small(n)
         ctx = self.codes >> 8
-        self.ctx, self.total = _sums(ctx, self.n)
-        _, self.kinds = _sums(ctx, np.ones(len(ctx)))
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.empty(0, dtype=np.int64)
+        self.ctx = ctx[first]
+        del ctx
+        sums = lambda v: np.add.reduceat(v, first, dtype=np.int64) if len(first) else first
+        total, kinds = sums(self.n), np.diff(first, append=len(self.codes))
         self.lower = lower
         if lower is not None:
             # what the next shorter context keeps, less the symbols of this one
             size = 8 * max(0, lower.order)
-            short = self.codes & ((1 << (size + 8)) - 1)
-            there = _find(lower.codes, short)
-            _, gone = _sums(ctx, lower.n[there])
+            of = np.empty(len(self.codes), dtype=lower.n.dtype)
+            for a in range(0, len(of), RUN):
+                of[a : a + RUN] = lower.n[_find(lower.codes, self.codes[a : a + RUN] & ((1 << (size + 8)) - 1))]
+            gone = sums(of)
+            del of
             at = _find(lower.ctx, self.ctx & ((1 << size) - 1))
-            self.rest_total, self.rest_kinds = lower.total[at] - gone, lower.kinds[at] - self.kinds
+            self.rest_total, self.rest_kinds = _small(lower.total[at].astype(np.int64) - gone), _small(lower.kinds[at].astype(np.int64) - kinds)
             self.order = lower.order + 1
         else:
             self.order = 0
+        self.total, self.kinds = _small(total), _small(kinds)
 
     def seen(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _find(self.codes, codes), _find(self.ctx, codes >> 8)
@@ -186,7 +208,7 @@ class Level:
         if not len(miss):
             return out
         if self.lower is None:
-            left = 256 - np.where(known[miss], self.kinds[ctx[miss]] if len(self.kinds) else 0, 0)
+            left = 256 - np.where(known[miss], self.kinds[ctx[miss]] if len(self.kinds) else 0, 0).astype(np.int64)
             out[miss] -= np.log10(left)
         else:
             size = 8 * self.lower.order
@@ -212,11 +234,14 @@ def deeper(codes: np.ndarray, n: np.ndarray, low: list[Level], order: int) -> Le
     """The level of `order` over orders 0 to 2 of all contexts and the orders from 3 on of the
     contexts that codes has: all that end in its groups of three bytes."""
     top = low[2]
-    for k in range(3, order + 1):
+    for k in range(3, order):
         short = codes & ((1 << (8 * k + 8)) - 1)
         by = np.argsort(short, kind="stable")
-        top = Level(*_sums(short[by], n[by]), top)
-    return top
+        entries = _sums(short[by], n[by])
+        del short, by
+        top = Level(*entries, top)
+        del entries
+    return Level(codes, n, top)
 
 
 class Block:
@@ -225,13 +250,13 @@ class Block:
 
     def __init__(self, top: Level, lo: int, hi: int):
         self.top, self.lo, self.hi = top, lo, hi
-        ctx = _find(top.ctx, top.codes >> 8)
-        logp = np.log10(top.n / (top.total[ctx] + top.kinds[ctx])) if len(ctx) else np.empty(0)
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(logp)) * 1.5))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(top.codes)) * 1.5))))
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)  # an empty slot has no value
         self.vals = np.full(1 << self.bits, np.nan, dtype=np.float32)
-        for a in range(0, len(logp), RUN):
-            self._put(top.codes[a : a + RUN].astype(np.uint64), logp[a : a + RUN])
+        for a in range(0, len(top.codes), RUN):
+            codes = top.codes[a : a + RUN]
+            ctx = _find(top.ctx, codes >> 8)
+            self._put(codes.astype(np.uint64), np.log10(top.n[a : a + RUN] / (top.total[ctx].astype(np.float64) + top.kinds[ctx])))
         top.codes, top.n = top.codes[:0].copy(), top.n[:0].copy()
 
     def _put(self, codes: np.ndarray, logp: np.ndarray) -> None:
@@ -276,11 +301,11 @@ def last_three(codes: np.ndarray) -> np.ndarray:
     return ((codes >> np.uint64(8)) & np.uint64(0xFFFF)) << np.uint64(8) | (codes >> np.uint64(24)) & np.uint64(0xFF)
 
 
-def _block(name: str, codes: np.ndarray, n: np.ndarray, lo: int, hi: int, codes2: np.ndarray, n2: np.ndarray, order: int) -> Block:
+def _block(name: str, packed: tuple[bytes, bytes, str], lo: int, hi: int, codes2: np.ndarray, n2: np.ndarray, order: int) -> Block:
     """A block's tables, built once in each Python process."""
     if name not in _ready:
         _ready.clear()
-        _ready[name] = Block(deeper(codes, n, levels(codes2, n2), order), lo, hi)
+        _ready[name] = Block(deeper(*_unpacked(*packed), levels(codes2, n2), order), lo, hi)
     return _ready[name]
 
 
@@ -408,7 +433,7 @@ def score_documents(docs: DataFrame, training: DataFrame, head: int = HEAD, orde
         bounds, parts = block_bounds(trie, limit), []
         for i in range(len(bounds) - 2, -1, -1):  # the first block last, as its rows are not staged
             lo, hi = bounds[i], bounds[i + 1]
-            shared = spark.sparkContext.broadcast((*_collected(trie.filter(_last_three().between(lo, hi - 1)).select("code", "n")), lo, hi))
+            shared = spark.sparkContext.broadcast((_packed(*_collected(trie.filter(_last_three().between(lo, hi - 1)).select("code", "n"))), lo, hi))
             part = keyed.mapInArrow(partial(more if i else score, name=f"{run}-{i}", shared=shared), schema)
             if i:
                 parts.append(keep(part, "scores"))
