@@ -30,6 +30,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -130,11 +131,23 @@ class _Pair:
         plain = self.by_chunk and "  " not in text and text[0] != " " != text[-1] and not UNSURE.search(text)
         return CHUNKS.findall(" " + text) if plain else None
 
-    def whole(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        a, b = (x.bytes.__getitem__ for x in self.sides)
-        for c, x, y in zip(chunks, *(s.encode(chunks) for s in self.sides), strict=True):
-            said = c.encode("utf-8", "surrogatepass")
-            yield (array("i", x).tobytes(), array("i", y).tobytes()) if b"".join(map(a, x)) == said == b"".join(map(b, y)) else None
+    def whole(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        said, made = [c.encode("utf-8", "surrogatepass") for c in chunks], [s.encode(chunks) for s in self.sides]
+        good = np.ones(len(chunks), dtype=bool)
+        for side, sizes, ids in zip(self.sides, self.sizes, made, strict=True):
+            good &= self._spelled(said, ids, side.bytes, sizes)
+        return [(array("i", x).tobytes(), array("i", y).tobytes()) if ok else None for ok, x, y in zip(good.tolist(), *made, strict=True)]
+
+    @staticmethod
+    def _spelled(said: list[bytes], ids: list[list[int]], bytes_: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Which chunks their tokens spell. If each has as many bytes as its tokens and all in a row are equal, all are."""
+        flat = list(chain.from_iterable(ids))
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        ends = np.concatenate([[0], np.cumsum(sizes[np.array(flat, dtype=np.int64)])])
+        long = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+        if np.array_equal(long, np.fromiter(map(len, said), dtype=np.int64, count=len(said))) and b"".join(map(bytes_.__getitem__, flat)) == b"".join(said):
+            return np.ones(len(said), dtype=bool)
+        return np.array([b"".join(map(bytes_.__getitem__, x)) == c for x, c in zip(ids, said, strict=True)], dtype=bool)
 
     def of(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         split = [self.split(t) for t in texts]
@@ -174,34 +187,40 @@ def _side(ids: list[bytes], sizes: np.ndarray) -> pd.DataFrame:
 
 def links_of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """(doc, a, b): the places of each two tokens that overlap, by document."""
-    mine, other = a[["start", "doc", "place"]], b[["start", "doc", "place"]].assign(at=b["start"])
-    cover = pd.merge_asof(mine, other, on="start", by="doc", suffixes=("_a", "_b"))
-    back = pd.merge_asof(other, mine.assign(from_=mine["start"]), on="start", by="doc", suffixes=("_b", "_a"))
-    back = back[back["from_"] != back["at"]]  # tokens that start together are in cover already
-    both = pd.concat([cover[["doc", "place_a", "place_b"]], back[["doc", "place_a", "place_b"]]], ignore_index=True).set_axis(["doc", "a", "b"], axis=1)
-    return both.iloc[np.argsort(both["doc"].to_numpy(), kind="stable")]
+    # both sides cover the same bytes of each document, and byte ranges follow each other, so the token that covers
+    # a start is of the same document; only its row is merged
+    at = [x[["start"]].assign(row=np.arange(len(x))) for x in (a, b)]
+    cover = pd.merge_asof(at[0][["start"]], at[1], on="start")["row"].to_numpy().astype(np.int64)
+    back = pd.merge_asof(at[1][["start"]], at[0], on="start")["row"].to_numpy().astype(np.int64)
+    start, doc, place_a, place_b = a["start"].to_numpy(), a["doc"].to_numpy(), a["place"].to_numpy(), b["place"].to_numpy()
+    own = np.flatnonzero(start[back] != b["start"].to_numpy())  # tokens that start together are in cover already
+    of = np.concatenate([doc, doc[back[own]]])
+    by = np.argsort(of, kind="stable")
+    return pd.DataFrame({"doc": of[by], "a": np.concatenate([place_a, place_a[back[own]]])[by], "b": np.concatenate([place_b[cover], place_b[own]])[by]})
 
 
 @lru_cache(maxsize=4)
-def _numbers(n: int, last: str) -> list[str]:
+def _numbers(n: int, last: str) -> np.ndarray:
     """The texts of the numbers below n before a comma, then before `last`."""
-    return [f"{i}," for i in range(n)] + [f"{i}{last}" for i in range(n)]
+    return np.array([f"{i}," for i in range(n)] + [f"{i}{last}" for i in range(n)], dtype=object)
 
 
 def group_texts(a: pd.DataFrame, b: pd.DataFrame, last_a: np.ndarray, last_b: np.ndarray, docs: int) -> Iterator[str]:
     """The groups of each document as text: `a1,a2|b1;a3|b2,b3`. last_a and last_b are the rows that end groups."""
-    order, parts = [], []
-    for x, last, sign in ((a, last_a, "|"), (b, last_b, ";")):
+    parts = np.empty(len(a) + len(b), dtype=object)
+    lasts = (last_a, last_b)
+    for x, k, sign in ((a, 0, "|"), (b, 1, ";")):
         ends = np.zeros(len(x), dtype=bool)
-        ends[last] = True
-        table = _numbers(int(x["id"].max()) + 1 if len(x) else 0, sign)
-        parts += map(table.__getitem__, (x["id"].to_numpy() + ends * (len(table) // 2)).tolist())
-        order.append((np.cumsum(ends) - ends) * 2 + (sign == ";"))  # of group k, side a comes before side b
-    sorted_ = np.argsort(np.concatenate(order), kind="stable").tolist()
+        ends[lasts[k]] = True
+        table = _numbers(1 << int(x["id"].max()).bit_length() if len(x) else 0, sign)
+        # side a of a group comes after the other side's groups before it, side b after its own group's too
+        before = np.concatenate([[0], lasts[1 - k] + 1])[np.cumsum(ends) - ends + k]
+        parts[np.arange(len(x)) + before] = table[x["id"].to_numpy() + ends * (len(table) // 2)]
+    parts = parts.tolist()
     sizes = np.bincount(a["doc"], minlength=docs) + np.bincount(b["doc"], minlength=docs)
     at = 0
     for n in sizes.tolist():
-        yield "".join([parts[i] for i in sorted_[at : at + n]])[:-1]
+        yield "".join(parts[at : at + n])[:-1]
         at += n
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -126,3 +127,20 @@ def test_least_count_of_the_broadcast(spark):
         cut = alignment.hot_cut(counts, limit)
         assert counts.filter(f"n >= {cut}").count() <= limit
     assert alignment.hot_cut(counts, 100) == 1 and alignment.hot_cut(counts, 30) == 2 and alignment.hot_cut(counts.limit(0), 5) == 1
+
+
+def test_texts_of_numbers_are_made_once():
+    alignment._numbers.cache_clear()
+    for k in range(40):  # batches of different greatest ids
+        alignment.align_batch([f"word {chr(97 + k % 26)} {k} and more"], *alignment.default_paths(), ("groups_sha256",))
+    assert alignment._numbers.cache_info().misses <= 12
+
+
+def test_each_chunk_is_held_against_its_own_tokens():
+    bytes_ = [b"ab", b"c", b"a", b"bc"]
+    sizes = np.array([2, 1, 1, 2])
+    of = lambda said, ids: alignment._Pair._spelled(said, ids, bytes_, sizes).tolist()
+    assert of([b"abc", b"c"], [[0, 1], [1]]) == [True, True]
+    assert of([b"ab", b"cc"], [[2], [3, 1]]) == [False, False]  # together they spell the same
+    assert of([b"ab", b"c"], [[0], [2]]) == [True, False]
+    assert of([b"", b"c"], [[], [1]]) == [True, True] and of([], []) == []
