@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probitas.cluster import merged
 from probitas.functions import text as X
 from probitas.operators.linkage import resolve, score_pairs
 
@@ -91,13 +92,13 @@ def resolved_entities(inputs: DataFrame, ev: DataFrame) -> DataFrame:
     candidate that resolution chose among those of the investigation's own evidence of confidence 0.5 or more, and
     entity_confidence and resolution_status. Candidates come in order of ev_seq, then place in their list; without any
     the inputs stay, name is the business name, and confidence is 0."""
-    named = inputs.withColumn("name", F.col("business_name"))
+    named = merged(inputs.withColumn("name", F.col("business_name")))
     place = (F.col("ev_seq").cast("long") * (1 << 20) + F.col("pos")).alias("candidate_id")
-    found = candidates_of(ev.filter("confidence >= 0.5")).select("investigation_id", place, "name", "gstin", "cin")
+    found = merged(candidates_of(ev.filter("confidence >= 0.5")).select("investigation_id", place, "name", "gstin", "cin"))
     chosen = resolve(named.select(F.col("investigation_id").alias("target_id")), score_pairs(named.withColumn("target_id", F.col("investigation_id")), found, "investigation_id"))
-    chosen = chosen.select(F.col("target_id").alias("investigation_id"), "candidate_id", F.col("confidence").alias("entity_confidence"), F.col("match_type").alias("resolution_status"))
+    chosen = merged(chosen.select(F.col("target_id").alias("investigation_id"), "candidate_id", F.col("confidence").alias("entity_confidence"), F.col("match_type").alias("resolution_status")))
     theirs = found.join(chosen.filter("candidate_id is not null").select("investigation_id", "candidate_id"), ["investigation_id", "candidate_id"], "left_semi")
-    return merge_entity(named, theirs, ("name", "gstin", "cin"), "investigation_id").join(chosen.drop("candidate_id"), "investigation_id", "left").fillna(0.0, ["entity_confidence"])
+    return merge_entity(named, merged(theirs), ("name", "gstin", "cin"), "investigation_id").join(chosen.drop("candidate_id"), "investigation_id", "left").fillna(0.0, ["entity_confidence"])
 
 
 # the same in DuckDB's SQL

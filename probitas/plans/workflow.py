@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probitas.cluster import stage
+from probitas.cluster import merged, stage, stage_rows
 from probitas.operators import risk as K
 from probitas.operators import workflow as W
 from probitas.operators.evidence import source_key
@@ -18,12 +18,12 @@ def first_reports(intake: DataFrame, ev: DataFrame) -> tuple[DataFrame, DataFram
     """Reports and findings as a first pass writes them, with faults that depend on the id: scores one too
     high (7), no name (11), findings without evidence (5), a word that nothing supports (3)."""
     i = F.col("investigation_id")
-    profile = stage(K.risk_profile(ev), "profile")
+    profile = stage_rows(K.risk_profile(ev), "profile")
     who = resolved_entities(intake, ev).select("investigation_id", F.when(i % 11 != 0, F.col("name")).alias("business_name"), "gstin", "cin", "epfo_code", "entity_confidence")
     said = K.scores_of(intake, profile).select("investigation_id", (F.col("score") + F.when(i % 7 == 0, 1).otherwise(0)).alias("score"), "level")
     ids = F.when(i % 5 == 0, F.array(F.lit("RES-0"))).otherwise(F.col("evidence_ids"))
     findings = K.exploded(profile).select("investigation_id", "code", ids.alias("evidence_ids"), F.when(i % 3 == 0, "looks like a scam").otherwise(F.lower("code")).alias("description"))
-    return stage(who.join(said, "investigation_id"), "reports"), stage(findings, "findings")
+    return stage_rows(merged(who).join(said, "investigation_id"), "reports"), stage_rows(findings, "findings")
 
 
 def answers(ev: DataFrame) -> W.Research:
