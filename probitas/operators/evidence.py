@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probitas.cluster import stage
+from probitas.cluster import merged, stage
 from probitas.functions import text as X
 from probitas.operators.pages import is_address_like
 
@@ -107,6 +107,21 @@ def link_evidence_to_tasks(ev: DataFrame, tasks: DataFrame) -> DataFrame:
     return ev.join(t, ["investigation_id", "task_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
+def with_own_task(ev: DataFrame, tasks: DataFrame) -> DataFrame:
+    """ev with task, the (task_type, target, objective) of the task that it names in its investigation, else null. tasks
+    has a row a task; those of an investigation are joined as one row, so tables dealt by investigation are not dealt again."""
+    said = F.struct("task_id", F.struct("task_type", "target", "objective"))
+    of = tasks.filter("task_id is not null").groupBy("investigation_id").agg(F.map_from_entries(F.collect_list(said)).alias("tasks_"))
+    return ev.join(merged(of), "investigation_id", "left").withColumn("task", F.try_element_at("tasks_", F.col("task_id"))).drop("tasks_")
+
+
+def normal_task(task: str) -> dict[str, Column]:
+    """kind, target and objective of a struct of with_own_task() in their normal form, and linked, as
+    link_evidence_to_tasks() has them."""
+    low = lambda c: F.lower(F.trim(f"{task}.{c}"))
+    return {"kind": F.upper(F.trim(f"{task}.task_type")), "target": low("target"), "objective": low("objective"), "linked": F.col(task).isNotNull()}
+
+
 def cached_results(wanted: DataFrame, linked: DataFrame, as_of: Column) -> DataFrame:
     """wanted (task_type, target, objective, field_name, source_name, ...) with the newest fresh evidence
     of link_evidence_to_tasks(), of any investigation, for that field and source: found_value, found_at

@@ -37,8 +37,8 @@ def _strings(words) -> str:
 _TASKS = "SELECT investigation_id, 'TASK-' || CAST(CAST(substr(task_id, 6) AS INT) AS STRING) AS task_id, {first}(task_type, seq) AS task_type, {first}(target, seq) AS target, {first}(objective, seq) AS objective FROM research_tasks GROUP BY 1, 2"
 
 
-def _tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_TASKS.format(first="min_by").replace("research_tasks", "{tasks}"), tasks=view(spark, sf, "research_tasks"))
+def _tasks(spark: SparkSession, sf: str, of: Callable[[SparkSession, str, str], DataFrame] = view) -> DataFrame:
+    return spark.sql(_TASKS.format(first="min_by").replace("research_tasks", "{tasks}"), tasks=of(spark, sf, "research_tasks"))
 
 
 def linked_evidence(spark: SparkSession, sf: str) -> DataFrame:

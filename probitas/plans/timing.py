@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probitas.cluster import merged, stage_by
 from probitas.functions.dates import read_date
 from probitas.operators.asof import cached_as_of
-from probitas.operators.evidence import link_evidence_to_tasks
-from probitas.sources.views import ctes, view
+from probitas.operators.evidence import normal_task, with_own_task
+from probitas.sources.views import ctes, dealt, dealt_tasks, view
 
 DATES_AS_OF = "1998-12-01"
 #: How an order's date is written, by its key, and what the reader must make of it in SQL.
@@ -43,19 +44,19 @@ def free_dates(s: SparkSession, d: str) -> DataFrame:
 
 def asked(s: SparkSession, d: str, tasks: DataFrame) -> DataFrame:
     """What each task of evidence wants, field by field, some days after its investigation began."""
-    ev = view(s, d, "evidence")
-    fields = ev.select("investigation_id", "task_id", "field_name", "source_name").distinct()
-    days = ((F.col("investigation_id") * 7 + F.col("n") * 13) % 120).cast("int")
+    ev = with_own_task(dealt(s, d, "evidence"), tasks).select("investigation_id", "task_id", "field_name", "source_name", "field_value", "retrieved_at", "ev_seq", "task")
+    ev = stage_by(ev, "investigation_id", dealt_tasks(s, d), "linked")
+    wanted = ev.filter("task is not null").select("investigation_id", "task_id", "field_name", "source_name", "task.*").distinct()
+    days = ((F.col("investigation_id") * 7 + F.substring("task_id", 6, 9).cast("int") * 13) % 120).cast("int")
     at = F.date_add("created_at", days).cast("timestamp") + F.expr("INTERVAL 12 HOURS")
     begun = view(s, d, "investigations").select("investigation_id", "created_at")
-    wanted = tasks.withColumn("n", F.substring("task_id", 6, 9).cast("int")).join(fields, ["investigation_id", "task_id"]).join(begun, "investigation_id")
-    return cached_as_of(wanted.withColumn("asked_at", at), link_evidence_to_tasks(ev, tasks))
+    return cached_as_of(wanted.join(merged(begun), "investigation_id").withColumn("asked_at", at), ev.withColumns(normal_task("task")))
 
 
-def queries(tasks: Callable[[SparkSession, str], DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries(tasks: Callable[..., DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "f12_free_dates": free_dates,
-        "j7_cached_as_of": lambda s, d: asked(s, d, tasks(s, d)).select("investigation_id", "task_id", "field_name", "source_name", "asked_at", "found_value", "found_at", "found"),
+        "j7_cached_as_of": lambda s, d: asked(s, d, tasks(s, d, dealt)).select("investigation_id", "task_id", "field_name", "source_name", "asked_at", "found_value", "found_at", "found"),
     }
 
 
