@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probitas.cluster import merged
+from probitas.cluster import merged, stage
 from probitas.operators.evidence import is_fresh, source_key
 
 
@@ -42,10 +42,11 @@ def cached_as_of(wanted: DataFrame, linked: DataFrame, at: str = "asked_at") ->
     low = lambda c: F.lower(F.trim(c))
     facts = linked.select("field_name", source_key(F.col("source_name")).alias("key_"), F.col("kind").alias("kind_of_"), F.col("target").alias("target_"), F.col("objective").alias("objective_"), "linked", F.col("retrieved_at").cast("timestamp").alias(at), F.struct("retrieved_at", "investigation_id", "ev_seq", "field_value").alias("x_"))
     asks = wanted.withColumns({"key_": source_key(F.col("source_name")), "kind_of_": F.upper(F.trim("task_type")), "target_": low("target"), "objective_": low("objective"), at: F.col(at).cast("timestamp")})
-    # what asks is looked up once for each key and instant, so that whole rows are shuffled once, for the last join; a
-    # struct is equal to one with nulls in the same places
+    # what asks is looked up once for each key and instant, staged as it is read four times, so that whole rows are
+    # shuffled once, for the last join; a struct is equal to one with nulls in the same places
     ask = F.struct(*own, at).alias("ask_")
-    d = newest_before(asks.select(*own, at).distinct(), facts.filter("linked"), own, at, "x_").withColumnRenamed("x_", "own_")
+    once = stage(asks.select(*own, at).distinct(), "asks")
+    d = newest_before(once, facts.filter("linked"), own, at, "x_").withColumnRenamed("x_", "own_")
     d = newest_before(d, facts.filter("not linked"), own[:2], at, "x_")
     best: Column = F.greatest("own_", "x_")
     d = d.withColumn("best_", best).filter(is_fresh(F.col("best_.retrieved_at"), F.col("field_name"), F.col(at)))
